@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -28,6 +29,11 @@ CHAR_DIM = 384
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(left: Column, right: Column) -> Column:
     pairs = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x)
@@ -41,80 +47,122 @@ def norm(vector: Column) -> Column:
 
 def cosine(left: Column, right: Column) -> Column:
     """Cosine similarity; 0 where lengths differ or a norm is 0."""
-    scale = norm(left) * norm(right)
-    usable = (F.size(left) == F.size(right)) & (scale > 0)
-    return F.when(usable, dot(left, right) / scale).otherwise(F.lit(0.0))
+
+    def scaled(scale: Column) -> Column:
+        usable = (F.size(left) == F.size(right)) & (scale > 0)
+        return F.when(usable, dot(left, right) / scale).otherwise(F.lit(0.0))
+
+    return bind(norm(left) * norm(right), scaled)
 
 
 def l2_normalize(vector: Column) -> Column:
     """Unit length; a zero vector is left as it is."""
-    length = norm(vector)
-    return F.when(
-        length > 0, F.transform(vector, lambda x: x.cast("double") / length)
-    ).otherwise(F.transform(vector, lambda x: x.cast("double")))
+
+    def scaled(v: Column) -> Column:
+        return bind(
+            norm(v),
+            lambda length: F.transform(
+                v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double"))
+            ),
+        )
+
+    return bind(vector, scaled)
 
 
 def embed_hash(text: Column, dim: int = 256) -> Column:
     """Eight numbers from the SHA-256 of the text, zeros after, unit length."""
-    digest = F.sha2(text, 256)
     used = min(dim, 8)
-    numbers = F.transform(
-        F.sequence(F.lit(0), F.lit(used - 1)),
-        lambda i: F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(2.0**64),
-    )
-    return l2_normalize(F.concat(numbers, F.array_repeat(F.lit(0.0), dim - used)))
+
+    def numbers(digest: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(used - 1)),
+            lambda i: F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(2.0**64),
+        )
+
+    zeros = F.array_repeat(F.lit(0.0), dim - used)
+    return l2_normalize(F.concat(bind(F.sha2(text, 256), numbers), zeros))
+
+
+def _literals(values) -> Column:
+    """A constant array, from one expression."""
+    kind = "double" if isinstance(values[0], float) else "string"
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
 
 
 def embed_charstats(text: Column) -> Column:
-    """Length, blank/stop/comma densities and letter frequencies; 384 numbers."""
-    size = F.octet_length(text)
+    """Length, blank/stop/comma densities and letter frequencies; 384 numbers.
 
-    def density(mark: str) -> Column:
-        rest = F.replace(text, F.lit(mark), F.lit(""))
-        return F.when(size > 0, (F.length(text) - F.length(rest)) / size).otherwise(F.lit(0.0))
+    The text is scanned once per counted character, in the JVM.
+    """
+    marks = _literals([" ", ".", ","] + list(LETTERS))
 
-    parts = [size / 1000.0, density(" "), density("."), density(",")]
-    parts += [density(letter) for letter in LETTERS]
-    return l2_normalize(
-        F.concat(F.array(*parts), F.array_repeat(F.lit(0.0), CHAR_DIM - len(parts)))
-    )
+    def parts(t: Column) -> Column:
+        size, length = F.octet_length(t), F.length(t)
+
+        def density(mark: Column) -> Column:
+            count = length - F.length(F.replace(t, mark, F.lit("")))
+            return F.when(size > 0, count / size).otherwise(F.lit(0.0))
+
+        used = 1 + 3 + len(LETTERS)
+        zeros = F.array_repeat(F.lit(0.0), CHAR_DIM - used)
+        return F.concat(F.array(size / 1000.0), F.transform(marks, density), zeros)
+
+    return l2_normalize(bind(text, parts))
 
 
 def embed_tfidf(text: Column, dim: int = 256, stats: bool = True) -> Column:
-    """Vocabulary TF-IDF with a position ramp; the last ten numbers are text statistics."""
-    clean = F.translate(F.lower(text), MARKS, " " * len(MARKS))
-    tokens = words(clean)
-    count = F.size(tokens)
-    known = F.filter(tokens, lambda word: word.isin(*VOCABULARY))
-    total = F.size(known)
-
-    def term_weight(term: str) -> Column:
-        idf = COMMON_WEIGHT if any(part in term for part in COMMON_PARTS) else RARE_WEIGHT
-        hits = F.size(F.filter(known, lambda word: word == F.lit(term)))
-        return F.when(total > 0, hits / total * F.lit(idf)).otherwise(F.lit(0.0))
-
-    last = {term: index for index, term in enumerate(VOCABULARY)}
-    slots = [
-        term_weight(term) if last[term] == index else F.lit(0.0)
-        for index, term in enumerate(VOCABULARY[:dim])
+    """Vocabulary TF-IDF with a position ramp; the last ten numbers are text statistics.
+
+    Each intermediate (clean text, words, known words, their index counts) is bound
+    once, so a text is split once and its few known words are counted per index.
+    """
+    last = {term: index for index, term in enumerate(VOCABULARY) if index < dim}
+    weights = [
+        COMMON_WEIGHT if any(part in term for part in COMMON_PARTS) else RARE_WEIGHT for term in VOCABULARY
     ]
-    base = F.concat(F.array(*slots), F.array_repeat(F.lit(0.0), dim - len(slots)))
-    ramp = F.transform(base, lambda x, i: F.when(i < count, x + F.lit(0.1) * i / count).otherwise(x))
-    if not stats or dim < 10:
-        return l2_normalize(ramp)
-
-    def term_count(term: str) -> Column:
-        rest = F.replace(clean, F.lit(term), F.lit(""))
-        return (F.length(clean) - F.length(rest)) / F.lit(len(term)) / 10.0
-
-    size = F.octet_length(clean)
-    tail = [
-        size / 1000.0,
-        count / 100.0,
-        size / (count + 1),
-        F.size(F.array_distinct(tokens)) / (count + 1),
-    ] + [term_count(term) for term in COUNTED_TERMS]
-    return l2_normalize(F.concat(F.slice(ramp, 1, dim - len(tail)), F.array(*tail)))
+    slots = [term if last.get(term) == index else "" for index, term in enumerate(VOCABULARY[:dim])]
+    slots += [""] * (dim - len(slots))
+    weights = (weights + [0.0] * dim)[:dim]
+    with_tail = stats and dim >= 10
+
+    def from_words(clean: Column, tokens: Column) -> Column:
+        count = F.size(tokens)
+
+        def from_known(known: Column) -> Column:
+            total = F.size(known)
+
+            def slot(term: Column, i: Column) -> Column:
+                hits = F.size(F.filter(known, lambda word: word == term))
+                tf = F.when(
+                    (term != "") & (total > 0), hits / total * F.get(_literals(weights), i)
+                ).otherwise(F.lit(0.0))
+                return tf + F.when(i < count, F.lit(0.1) * i / count).otherwise(F.lit(0.0))
+
+            return F.transform(_literals(slots), slot)
+
+        ramp = bind(F.filter(tokens, lambda word: word.isin(*VOCABULARY)), from_known)
+        if not with_tail:
+            return ramp
+        size = F.octet_length(clean)
+
+        def term_count(term: Column) -> Column:
+            rest = F.replace(clean, term, F.lit(""))
+            return (F.length(clean) - F.length(rest)) / F.length(term) / 10.0
+
+        tail = F.concat(
+            F.array(
+                size / 1000.0,
+                count / 100.0,
+                size / (count + 1),
+                F.size(F.array_distinct(tokens)) / (count + 1),
+            ),
+            F.transform(_literals(COUNTED_TERMS), term_count),
+        )
+        return F.concat(F.slice(ramp, 1, dim - 4 - len(COUNTED_TERMS)), tail)
+
+    clean = F.translate(F.lower(text), MARKS, " " * len(MARKS))
+    built = bind(clean, lambda t: bind(words(t), lambda tokens: from_words(t, tokens)))
+    return l2_normalize(built)
 
 
 # Embeddings by name; callers may add a builder, such as one made of a pandas_udf.

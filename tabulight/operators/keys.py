@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog, type_family
-from .profile import distinct_key, union_all
+from .profile import distinct_counts, name_of, quoted, sketch, tagged_values, union_all, value_text
 
-# A sketch's estimate is within a few percent; a true key can never fall to half.
-SKETCH_ERROR, SKETCH_SHARE = 0.02, 0.5
+# A sketch's estimate is within a few percent (1.6 percent standard error); a true
+# key cannot fall to half.
+SKETCH_SHARE = 0.5
 
 
 def promising_columns(catalog: Catalog) -> dict[str, list[str]]:
@@ -21,22 +22,17 @@ def promising_columns(catalog: Catalog) -> dict[str, list[str]]:
     Only one row per table and column reaches the driver.
     """
     frames = []
-    for name, df in sorted(catalog.tables.items()):
+    for table, df in sorted(catalog.tables.items()):
         fields = [f for f in df.schema.fields if type_family(f.dataType) in ("number", "text", "time")]
         if not fields:
             continue
-        stats = [
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.approx_count_distinct(F.col(f"`{f.name}`"), SKETCH_ERROR).alias("distinct"),
-                F.count(F.col(f"`{f.name}`")).alias("present"),
-                F.count(F.lit(1)).alias("n"),
-            )
+        stats = ", ".join(
+            f"named_struct('table_name', {quoted(table)}, 'column_name', {quoted(f.name)}, "
+            f"'distinct', {sketch(f.name)}, "
+            f"'present', count({name_of(f.name)}), 'n', count(1))"
             for f in fields
-        ]
-        frames.append(
-            df.agg(F.array(*stats).alias("s")).select(F.lit(name).alias("table_name"), F.inline("s"))
         )
+        frames.append(df.agg(F.expr(f"array({stats})").alias("s")).select(F.inline("s")))
     rows = (
         union_all(frames)
         .filter((F.col("n") > 0) & (F.col("present") == F.col("n")))
@@ -49,60 +45,81 @@ def promising_columns(catalog: Catalog) -> dict[str, list[str]]:
     return found
 
 
-def key_check(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
-    """Exact test of one column set: rows, distinct keys, rows with a null part.
+def _key_text(df: DataFrame, columns: Sequence[str]) -> str:
+    """SQL for a key as one text, null if a part is null."""
+    parts = [value_text(c, df.schema[c].dataType) for c in columns]
+    if len(parts) == 1:
+        return parts[0]
+    complete = " AND ".join(f"{name_of(c)} IS NOT NULL" for c in columns)
+    return f"CASE WHEN {complete} THEN to_json(array({', '.join(parts)})) END"
+
+
+def key_checks(catalog: Catalog, wanted: dict[str, Sequence[Sequence[str]]]) -> DataFrame:
+    """Exact tests of column sets: rows, distinct keys, rows with a null part.
 
-    Counting per key first lets equal keys collapse in their own tasks.
+    All sets of all tables go through one shuffle of distinct keys.
     """
-    parts = [
-        distinct_key(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"part_{i}")
-        for i, c in enumerate(columns)
-    ]
-    names = [f"part_{i}" for i in range(len(columns))]
-    incomplete = F.lit(False)
-    for n in names:
-        incomplete = incomplete | F.col(n).isNull()
+    entries: dict[str, list[tuple[int, str]]] = {}
+    labels = []
+    for table, column_sets in wanted.items():
+        for columns in column_sets:
+            entries.setdefault(table, []).append((len(labels), _key_text(catalog[table], columns)))
+            labels.append((table, ",".join(columns)))
+    names = ", ".join(
+        f"named_struct('tag', {i}, 'table_name', {quoted(t)}, 'key_columns', {quoted(c)})"
+        for i, (t, c) in enumerate(labels)
+    )
+    spark = next(iter(catalog.tables.values())).sparkSession
+    checks = spark.range(1).selectExpr(f"inline(array({names}))")
+    sizes = union_all(
+        catalog[t].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
+        for t in entries
+    )
+    counts = distinct_counts(catalog.tables, entries)
+    zero = F.lit(0).cast("bigint")
     return (
-        df.select(*parts)
-        .groupBy(*names)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
-            F.count_if(~incomplete).alias("distinct_count"),
-            F.coalesce(F.sum(F.when(incomplete, F.col("n"))), F.lit(0)).alias("null_count"),
-        )
+        checks.join(sizes, "table_name")
+        .join(counts, "tag", "left")
         .select(
-            F.lit(table).alias("table_name"),
-            F.lit(",".join(columns)).alias("key_columns"),
+            "table_name",
+            "key_columns",
             "row_count",
-            "distinct_count",
-            "null_count",
-            ((F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count"))).alias("is_key"),
+            F.coalesce("distinct_count", zero).alias("distinct_count"),
+            (F.col("row_count") - F.coalesce("present", zero)).alias("null_count"),
+        )
+        .withColumn(
+            "is_key", (F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count"))
         )
     )
 
 
+def key_check(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
+    """The exact test of one column set."""
+    return key_checks(Catalog({table: df}), {table: [list(columns)]})
+
+
 def key_candidates(catalog: Catalog, sets: dict[str, Iterable[Sequence[str]]] | None = None) -> DataFrame:
     """Complete and unique single columns, and the given column sets that are.
 
     Exact counting is spent only on columns a sketch has not ruled out.
     """
-    checks = []
+    wanted: dict[str, list[Sequence[str]]] = {}
     for table, columns in promising_columns(catalog).items():
-        checks += [key_check(catalog[table], table, [c]) for c in columns]
+        wanted[table] = [[c] for c in columns]
     for table, column_sets in (sets or {}).items():
-        checks += [key_check(catalog[table], table, list(c)) for c in column_sets]
-    return union_all(checks).filter("is_key")
+        wanted[table] = wanted.get(table, []) + [list(c) for c in column_sets]
+    return key_checks(catalog, wanted).filter("is_key")
 
 
 def verify_declared_keys(catalog: Catalog) -> DataFrame:
     """Every declared primary and unique key with the result of its exact test."""
-    checks = []
+    wanted: dict[str, list[Sequence[str]]] = {}
     for table in catalog.names:
         keys = catalog.keys_of(table)
-        checks += [key_check(catalog[table], table, c) for c in ((keys.primary,) if keys.primary else ())]
-        checks += [key_check(catalog[table], table, c) for c in keys.unique]
-    return union_all(checks)
+        declared = ([keys.primary] if keys.primary else []) + list(keys.unique)
+        if declared:
+            wanted[table] = declared
+    return key_checks(catalog, wanted)
 
 
 @dataclass(frozen=True)
@@ -155,49 +172,25 @@ def reference_inclusion(catalog: Catalog, pairs: Sequence[ReferencePair]) -> Dat
     Each table is scanned once for all its pairs; values are counted per task before
     the one shuffle, so a value that fills a third of a table is one row there.
     """
-    by_child: dict[str, list[int]] = {}
     parents = sorted({(p.parent_table, p.parent_column) for p in pairs})
+    child_entries: dict[str, list[tuple[int, str]]] = {}
     for number, pair in enumerate(pairs):
-        by_child.setdefault(pair.child_table, []).append(number)
-    sides = []
-    for table, numbers in by_child.items():
-        entries = F.array(
-            *[
-                F.struct(
-                    F.lit(n).alias("pair"),
-                    F.col(f"`{pairs[n].child_column}`").cast("string").alias("value"),
-                )
-                for n in numbers
-            ]
+        text = f"CAST({name_of(pair.child_column)} AS STRING)"
+        child_entries.setdefault(pair.child_table, []).append((number, text))
+    parent_entries: dict[str, list[tuple[int, str]]] = {}
+    for number, (table, column) in enumerate(parents):
+        parent_entries.setdefault(table, []).append((number, f"CAST({name_of(column)} AS STRING)"))
+
+    def counted(entries, tag: str, count: str) -> DataFrame:
+        return (
+            tagged_values(catalog.tables, entries)
+            .filter("value IS NOT NULL")
+            .groupBy(F.col("tag").alias(tag), "value")
+            .agg(F.count(F.lit(1)).alias(count))
         )
-        sides.append(catalog[table].select(F.inline(entries)))
-    child_values = (
-        union_all(sides)
-        .filter("value IS NOT NULL")
-        .groupBy("pair", "value")
-        .agg(F.count(F.lit(1)).alias("child_rows"))
-    )
-    by_parent: dict[str, list[int]] = {}
-    for number, (table, _) in enumerate(parents):
-        by_parent.setdefault(table, []).append(number)
-    sides = []
-    for table, numbers in by_parent.items():
-        entries = F.array(
-            *[
-                F.struct(
-                    F.lit(n).alias("parent"),
-                    F.col(f"`{parents[n][1]}`").cast("string").alias("value"),
-                )
-                for n in numbers
-            ]
-        )
-        sides.append(catalog[table].select(F.inline(entries)))
-    parent_values = (
-        union_all(sides)
-        .filter("value IS NOT NULL")
-        .groupBy("parent", "value")
-        .agg(F.count(F.lit(1)).alias("parent_rows"))
-    )
+
+    child_values = counted(child_entries, "pair", "child_rows")
+    parent_values = counted(parent_entries, "parent", "parent_rows")
     # Which parent column each pair reads, as data; one row per pair.
     links = F.create_map(
         *[

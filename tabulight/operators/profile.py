@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,15 +80,6 @@ def sample_recent(
     return ordered.offset(offset).limit(n) if offset else ordered.limit(n)
 
 
-def distinct_key(column: Column, data_type: T.DataType) -> Column:
-    """What to count for a distinct count: long texts go as a digest, so the
-    shuffle carries at most 64 characters a value. Shorter texts stay as they
-    are and cannot equal a digest, which has exactly 64."""
-    if type_family(data_type) != "text":
-        return column
-    return F.when(F.length(column) >= DIGEST_FROM, F.sha2(column, 256)).otherwise(column)
-
-
 PROFILE_COLUMNS = (
     "table_name", "ordinal", "column_name", "data_type", "family", "nullable", "row_count",
     "null_count", "empty_count", "marked_count", "distinct_count", "min_number", "max_number",
@@ -95,72 +87,139 @@ PROFILE_COLUMNS = (
 )
 
 
-def _column_stats(table: str, ordinal: int, field: T.StructField, distinct: str, exact: bool) -> Column:
-    c = F.col(f"`{field.name}`")
-    family = type_family(field.dataType)
-    none_text, none_number = F.lit(None).cast("string"), F.lit(None).cast("double")
-    is_text, is_number, is_time = family == "text", family == "number", family == "time"
-    zero = F.lit(0).cast("bigint")
-    if family == "other" or distinct == "none" or (distinct == "exact" and not exact):
-        distinct_count = F.lit(None).cast("bigint")
-    elif distinct == "approx":
-        distinct_count = F.approx_count_distinct(c)
-    else:
-        distinct_count = F.count_distinct(distinct_key(c, field.dataType))
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def time_text(ends: Column) -> Column:
-        return ends.cast("timestamp_ntz").cast("string")
 
-    stats = {
-        "table_name": F.lit(table),
-        "ordinal": F.lit(ordinal),
-        "column_name": F.lit(field.name),
-        "data_type": F.lit(field.dataType.simpleString()),
-        "family": F.lit(family),
-        "nullable": F.lit(field.nullable),
-        "row_count": F.count(F.lit(1)),
-        "null_count": F.count_if(c.isNull()),
-        "empty_count": F.count_if(c == "") if is_text else zero,
-        "marked_count": F.count_if(c.rlike(COLLECTION_MARKS)) if is_text else zero,
-        "distinct_count": distinct_count,
-        "min_number": F.min(c).cast("double") if is_number else none_number,
-        "max_number": F.max(c).cast("double") if is_number else none_number,
-        "avg_number": F.avg(c).cast("double") if is_number else none_number,
-        "min_text": F.min(c) if is_text else none_text,
-        "max_text": F.max(c) if is_text else none_text,
-        "min_time": time_text(F.min(c)) if is_time else none_text,
-        "max_time": time_text(F.max(c)) if is_time else none_text,
-    }
-    return F.struct(*[stats[name].alias(name) for name in PROFILE_COLUMNS])
+def name_of(column: str) -> str:
+    """A SQL identifier."""
+    return "`" + column.replace("`", "``") + "`"
 
 
-def column_profile(
-    df: DataFrame, table: str, distinct: str = "exact", distinct_for: Iterable[str] | None = None
-) -> DataFrame:
-    """One row per column, from one aggregate over the table.
+def value_text(column: str, data_type: T.DataType) -> str:
+    """SQL for a value as text that is equal for equal values only.
 
-    ``distinct`` is "exact", "approx" (a sketch, no value leaves its task) or
-    "none"; with "exact", ``distinct_for`` limits the exact counts, which
-    shuffle their values, to the columns that need one.
+    Texts of 64 characters or more go as their digest, which has exactly 64, so a
+    value never weighs more than that in a shuffle.
     """
-    wanted = None if distinct_for is None else set(distinct_for)
-    stats = [
-        _column_stats(table, i, field, distinct, wanted is None or field.name in wanted)
-        for i, field in enumerate(df.schema.fields, start=1)
-    ]
-    return df.agg(F.array(*stats).alias("columns")).select(F.inline("columns"))
+    c = name_of(column)
+    if type_family(data_type) in ("number", "time", "bool"):
+        return f"CAST({c} AS STRING)"
+    text = c if type_family(data_type) == "text" else f"CAST({c} AS STRING)"
+    return f"CASE WHEN length({text}) >= {DIGEST_FROM} THEN sha2({text}, 256) ELSE {text} END"
+
+
+def sketch(column: str) -> str:
+    """SQL for an estimated distinct count; the sketch is one small binary per task."""
+    c = name_of(column)
+    return f"hll_sketch_estimate(hll_sketch_agg(CASE WHEN {c} IS NOT NULL THEN xxhash64({c}) END))"
+
+
+def tagged_values(tables: dict[str, DataFrame], wanted: dict[str, list[tuple[int, str]]]) -> DataFrame:
+    """``(tag, value)`` rows: for each table, (tag, SQL text expression) pairs; one scan a table."""
+    sides = []
+    for table, entries in wanted.items():
+        pairs = ", ".join(f"named_struct('tag', {tag}, 'value', {text})" for tag, text in entries)
+        sides.append(tables[table].selectExpr(f"inline(array({pairs}))"))
+    return union_all(sides)
+
+
+def distinct_counts(tables: dict[str, DataFrame], wanted: dict[str, list[tuple[int, str]]]) -> DataFrame:
+    """Per tag: distinct values and rows that have one.
+
+    All columns of all tables share one shuffle. Equal values are counted in their
+    own tasks first, so a value that fills a third of a table is one row there.
+    """
+    return (
+        tagged_values(tables, wanted)
+        .filter("value IS NOT NULL")
+        .groupBy("tag", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("tag")
+        .agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("present"))
+    )
+
+
+def _column_stats(table: str, ordinal: int, field: T.StructField, approx: bool) -> str:
+    c, family = name_of(field.name), type_family(field.dataType)
+    text, number, time = family == "text", family == "number", family == "time"
+
+    def when(condition: bool, expression: str, kind: str) -> str:
+        return expression if condition else f"CAST({'0' if kind == 'BIGINT' else 'NULL'} AS {kind})"
+
+    def moment(expression: str) -> str:
+        return f"CAST(CAST({expression} AS TIMESTAMP_NTZ) AS STRING)"
+
+    stats = {
+        "table_name": quoted(table),
+        "ordinal": str(ordinal),
+        "column_name": quoted(field.name),
+        "data_type": quoted(field.dataType.simpleString()),
+        "family": quoted(family),
+        "nullable": str(field.nullable).lower(),
+        "row_count": "count(1)",
+        "null_count": f"count(1) - count({c})",
+        "empty_count": when(text, f"count_if({c} = '')", "BIGINT"),
+        "marked_count": when(text, f"count_if({c} RLIKE {quoted(COLLECTION_MARKS)})", "BIGINT"),
+        "distinct_count": sketch(field.name) if approx and family != "other" else "CAST(NULL AS BIGINT)",
+        "min_number": when(number, f"CAST(min({c}) AS DOUBLE)", "DOUBLE"),
+        "max_number": when(number, f"CAST(max({c}) AS DOUBLE)", "DOUBLE"),
+        "avg_number": when(number, f"CAST(avg({c}) AS DOUBLE)", "DOUBLE"),
+        "min_text": when(text, f"min({c})", "STRING"),
+        "max_text": when(text, f"max({c})", "STRING"),
+        "min_time": when(time, moment(f"min({c})"), "STRING"),
+        "max_time": when(time, moment(f"max({c})"), "STRING"),
+    }
+    return "named_struct(" + ", ".join(f"'{name}', {stats[name]}" for name in PROFILE_COLUMNS) + ")"
 
 
 def profile_catalog(
     catalog: Catalog, distinct: str = "exact", distinct_for: dict[str, list[str]] | None = None
 ) -> DataFrame:
-    """Column profiles of all tables, in one job."""
-    return union_all(
-        column_profile(df, name, distinct, None if distinct_for is None else distinct_for.get(name, []))
-        for name, df in sorted(catalog.tables.items())
+    """One row per column of every table, in one job.
+
+    Each table gives its counts and ranges in one aggregate, of which only a row per
+    task is shuffled. ``distinct`` is "exact", "approx" (a sketch in the same
+    aggregate) or "none"; exact counts shuffle distinct values, and ``distinct_for``
+    limits them to the columns that need one.
+    """
+    stats, wanted, columns = [], {}, []
+    for table, df in sorted(catalog.tables.items()):
+        structs = []
+        for ordinal, field in enumerate(df.schema.fields, start=1):
+            structs.append(_column_stats(table, ordinal, field, distinct == "approx"))
+            needed = distinct_for is None or field.name in distinct_for.get(table, ())
+            if distinct == "exact" and needed and type_family(field.dataType) != "other":
+                wanted.setdefault(table, []).append((len(columns), value_text(field.name, field.dataType)))
+                columns.append((table, ordinal))
+        # The constant parts need no aggregate, but ride along in one expression.
+        stats.append(df.agg(F.expr(f"array({', '.join(structs)})").alias("c")).select(F.inline("c")))
+    profile = union_all(stats)
+    if not wanted:
+        return profile
+    places = ", ".join(f"named_struct('table_name', {quoted(t)}, 'ordinal', {o})" for t, o in columns)
+    counts = distinct_counts(catalog.tables, wanted).select(
+        F.expr(f"array({places})")[F.col("tag")].alias("at"), F.col("distinct_count").alias("found")
+    ).select("at.*", "found")
+    asked = F.concat_ws(".", "table_name", F.col("ordinal").cast("string")).isin(
+        *[f"{t}.{o}" for t, o in columns]
+    )
+    # A column of nulls only has no value to count: 0, not null.
+    exact = F.when(asked, F.coalesce("found", F.lit(0)))
+    return (
+        profile.join(counts, ["table_name", "ordinal"], "left")
+        .withColumn("distinct_count", exact)
+        .select(*PROFILE_COLUMNS)
     )
 
 
+def column_profile(df: DataFrame, table: str, distinct: str = "exact", distinct_for=None) -> DataFrame:
+    """The profile of one table; see ``profile_catalog``."""
+    limits = None if distinct_for is None else {table: list(distinct_for)}
+    return profile_catalog(Catalog({table: df}), distinct, limits)
+
+
 def profile_database(catalog: Catalog) -> DataFrame:
     """One row per table: rows, columns and declared keys, with the table count."""
     frames = []
@@ -186,39 +245,30 @@ def table_report(
     catalog: Catalog, n: int = 5, recent: Iterable[str] = RECENT_COLUMNS, tiebreak: dict | None = None
 ) -> DataFrame:
     """Schema, keys, newest rows (as JSON) and row count of each table; one row per table."""
+    shape = (
+        "struct<schema:array<struct<name:string,type:string,nullable:boolean>>,constraints:struct<"
+        "primary_keys:array<string>,foreign_keys:array<string>,unique_keys:array<string>>>"
+    )
     frames = []
     for name in catalog.names:
         df, keys = catalog[name], catalog.keys_of(name)
-        columns = F.array(
-            *[
-                F.struct(
-                    F.lit(f.name).alias("name"),
-                    F.lit(f.dataType.simpleString()).alias("type"),
-                    F.lit(f.nullable).alias("nullable"),
-                )
+        known = {
+            "schema": [
+                {"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable}
                 for f in df.schema.fields
-            ]
-        )
-        none = F.array().cast("array<string>")
-        constraints = F.struct(
-            (F.array(*map(F.lit, keys.primary)) if keys.primary else none).alias("primary_keys"),
-            (
-                F.array(
-                    *[
-                        F.lit(f"{','.join(k.columns)} -> {k.ref_table}.{','.join(k.ref_columns)}")
-                        for k in keys.foreign
-                    ]
-                )
-                if keys.foreign
-                else none
-            ).alias("foreign_keys"),
-            (
-                F.array(*[F.lit(",".join(u)) for u in keys.unique]) if keys.unique else none
-            ).alias("unique_keys"),
-        )
+            ],
+            "constraints": {
+                "primary_keys": list(keys.primary),
+                "foreign_keys": [
+                    f"{','.join(k.columns)} -> {k.ref_table}.{','.join(k.ref_columns)}" for k in keys.foreign
+                ],
+                "unique_keys": [",".join(u) for u in keys.unique],
+            },
+        }
+        described = F.from_json(F.lit(json.dumps(known)), shape)
         rows = sample_recent(df, n, recent, (tiebreak or {}).get(name, keys.primary))
         samples = rows.agg(
-            F.collect_list(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("samples")
+            F.collect_list(F.to_json(F.struct("*"))).alias("samples")
         )
         counts = df.agg(F.count(F.lit(1)).alias("row_count"))
         # Both sides are single rows, so the pairing is one row.
@@ -227,8 +277,8 @@ def table_report(
             .join(counts.withColumn("one", F.lit(1)), "one")
             .select(
                 F.lit(name).alias("table_name"),
-                columns.alias("schema"),
-                constraints.alias("constraints"),
+                described["schema"].alias("schema"),
+                described["constraints"].alias("constraints"),
                 "samples",
                 "row_count",
                 F.lit(len(df.columns)).alias("column_count"),

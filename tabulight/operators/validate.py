@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog
-from .keys import key_check
+from .keys import key_checks
 from .profile import union_all
 
 
@@ -70,11 +70,14 @@ def row_violations(df: DataFrame, table: str, rules: Sequence[RowRule]) -> DataF
     return df.agg(counts.alias("c")).select(F.lit(table).alias("table_name"), F.inline("c"))
 
 
-def unique_violations(df: DataFrame, rule: UniqueRule) -> DataFrame:
+def unique_violations(catalog: Catalog, rules: Sequence[UniqueRule]) -> DataFrame:
     """Rows beyond the first of each complete key."""
-    return key_check(df, rule.table, rule.columns).select(
+    wanted: dict[str, list] = {}
+    for rule in rules:
+        wanted.setdefault(rule.table, []).append(rule.columns)
+    return key_checks(catalog, wanted).select(
         "table_name",
-        F.lit(f"{','.join(rule.columns)} unique").alias("rule"),
+        F.concat("key_columns", F.lit(" unique")).alias("rule"),
         (F.col("row_count") - F.col("null_count") - F.col("distinct_count")).alias("violations"),
     )
 
@@ -103,13 +106,12 @@ def reference_violations(catalog: Catalog, rule: ReferenceRule) -> DataFrame:
 def constraint_violations(catalog: Catalog, rules: Sequence) -> DataFrame:
     """Violations of every rule, in one job."""
     by_table: dict[str, list[RowRule]] = {}
-    frames = []
+    unique = [rule for rule in rules if isinstance(rule, UniqueRule)]
+    frames = [unique_violations(catalog, unique)] if unique else []
     for rule in rules:
         if isinstance(rule, RowRule):
             by_table.setdefault(rule.table, []).append(rule)
-        elif isinstance(rule, UniqueRule):
-            frames.append(unique_violations(catalog[rule.table], rule))
-        else:
+        elif isinstance(rule, ReferenceRule):
             frames.append(reference_violations(catalog, rule))
     frames += [row_violations(catalog[t], t, r) for t, r in by_table.items()]
     return union_all(frames)

@@ -414,7 +414,7 @@ def _dimension_members() -> str:
         ("customer", "c_custkey", "dim_customer", "people"), ("supplier", "s_suppkey", "dim_supplier", "people"),
         ("part", "p_partkey", "dim_part", "product"), ("orders", "o_orderkey", "dim_order", "event"),
         ("events", "event_id", "dim_event", "event"), ("documents", "doc_id", "dim_document", "product"),
-        ("pages", "page_id", "dim_page", "product"), ("benchmark", "item_id", "dim_benchmark", "product"),
+        ("pages", "page_id", "dim_page", "product"), ("conversations", "text", "dim_conversation", "product"), ("benchmark", "item_id", "dim_benchmark", "product"),
     )
     return sql.union(
         f"SELECT '{name}' AS name, '{kind}' AS c FROM {t} HAVING count(*) = count(DISTINCT {k})"
