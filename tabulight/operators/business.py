@@ -17,6 +17,7 @@ from ..functions.classify import (
     RELATION_PAIRS,
 )
 from ..functions.text import text_summary
+from ..sources.catalog import literal_rows
 
 
 def infer_domain(areas: DataFrame, group: str = "source", area: str = "area") -> DataFrame:
@@ -70,37 +71,35 @@ def keyword_pairs(
     return found.distinct()
 
 
-def dimension_report(dimensions: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """The five classes with description, members and counts, and the totals.
+def dimension_report(dimensions: DataFrame) -> DataFrame:
+    """The five classes with description, members and counts.
 
     ``dimensions`` holds one row per dimension (``name``, ``dimension_class``), so a
     class lists at most as many names as there are tables.
     """
-    spark = dimensions.sparkSession
-    classes = spark.createDataFrame(
-        [(i, c, d) for i, (c, d) in enumerate(DIMENSION_CLASSES.items(), start=1)],
-        "class_order int, dimension_class string, description string",
+    classes = literal_rows(
+        dimensions.sparkSession,
+        [{"dimension_class": c, "description": d} for c, d in DIMENSION_CLASSES.items()],
+        "dimension_class string, description string",
     )
     members = dimensions.groupBy("dimension_class").agg(
         F.array_join(F.array_sort(F.collect_set("name")), ",").alias("dimensions"),
         F.count_distinct("name").alias("dimension_count"),
     )
-    report = classes.join(members, "dimension_class", "left").select(
+    return classes.join(members, "dimension_class", "left").select(
         "dimension_class",
         "description",
         F.coalesce("dimensions", F.lit("")).alias("dimensions"),
         F.coalesce("dimension_count", F.lit(0)).alias("dimension_count"),
     )
-    if facts is None:
-        return report
-    total = facts.agg(F.count(F.lit(1)).alias("total_fact_tables"))
-    sums = report.agg(F.sum("dimension_count").alias("total_dimensions"))
-    one = F.lit(1).alias("one")
-    return (
-        report.select("*", one)
-        .join(total.select("*", one), "one")
-        .join(sums.select("*", one), "one")
-        .drop("one")
+
+
+def model_totals(dimensions: DataFrame, facts: DataFrame) -> DataFrame:
+    """How many dimensions and fact tables there are."""
+    return dimensions.agg(F.count_distinct("name").alias("total")).select(
+        F.lit("dimensions").alias("kind"), "total"
+    ).unionByName(
+        facts.agg(F.count(F.lit(1)).alias("total")).select(F.lit("fact_tables").alias("kind"), "total")
     )
 
 

@@ -70,7 +70,7 @@ def key_checks(catalog: Catalog, wanted: dict[str, Sequence[Sequence[str]]]) ->
         for i, (t, c) in enumerate(labels)
     )
     spark = next(iter(catalog.tables.values())).sparkSession
-    checks = spark.range(1).selectExpr(f"inline(array({names}))")
+    checks = spark.range(0, 1, 1, 1).selectExpr(f"inline(array({names}))")
     sizes = union_all(
         catalog[t].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
         for t in entries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +21,6 @@ HIDDEN = "***"
 
 
 def mask_kind(column: str, rules: Sequence[tuple[str, str]] = MASK_RULES) -> str | None:
-    import re
-
     for pattern, kind in rules:
         if re.search(pattern, column.lower()):
             return kind

@@ -270,24 +270,22 @@ def table_report(
         samples = rows.agg(
             F.collect_list(F.to_json(F.struct("*"))).alias("samples")
         )
-        counts = df.agg(F.count(F.lit(1)).alias("row_count"))
-        # Both sides are single rows, so the pairing is one row.
         frames.append(
-            samples.withColumn("one", F.lit(1))
-            .join(counts.withColumn("one", F.lit(1)), "one")
-            .select(
+            samples.select(
                 F.lit(name).alias("table_name"),
                 described["schema"].alias("schema"),
                 described["constraints"].alias("constraints"),
                 "samples",
-                "row_count",
                 F.lit(len(df.columns)).alias("column_count"),
                 F.size("samples").alias("sample_count"),
                 F.lit(bool(keys.primary or keys.foreign or keys.unique)).alias("has_constraints"),
                 F.lit(bool(keys.primary or keys.unique)).alias("has_indexes"),
             )
         )
-    return union_all(frames)
+    return union_all(frames).join(row_counts(catalog), "table_name").select(
+        "table_name", "schema", "constraints", "samples", "row_count", "column_count", "sample_count",
+        "has_constraints", "has_indexes",
+    )
 
 
 def database_overview(report: DataFrame) -> DataFrame:

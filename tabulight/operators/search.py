@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.text import hard_cut
 from ..functions.vectors import cosine
 
 # Query vectors shipped to the tasks at a time; larger batches go in more passes.
@@ -21,6 +24,8 @@ BLOCK_BYTES = 64 * 1024 * 1024
 SCORE_DIGITS = 9
 # Partial results a task keeps before it passes them on.
 KEPT_GROUPS = 10_000
+# Scores a task holds at a time.
+TILE_SCORES = 4_000_000
 # A block that keeps its size through this many halvings holds one repeated id.
 MOST_SPLITS = 40
 
@@ -29,7 +34,7 @@ def nearest(
     chunks: DataFrame, query: Sequence[float], k: int = 5, id_col: str = "chunk_id", vector_col: str = "vector"
 ) -> DataFrame:
     """The ``k`` rows most like one query vector: an expression and a heap per task."""
-    literal = F.array(*[F.lit(float(x)) for x in query])
+    literal = F.from_json(F.lit(json.dumps([float(x) for x in query])), "array<double>")
     score = F.round(cosine(F.col(vector_col), literal), SCORE_DIGITS)
     return chunks.withColumn("score", score).orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
@@ -53,7 +58,7 @@ def search_text(
     The question's vector is one constant row; it is folded into the scoring
     expression, so scoring stays in the JVM.
     """
-    vector = chunks.sparkSession.range(1).select(embedder(F.lit(text)).alias("v")).first()["v"]
+    vector = chunks.sparkSession.range(0, 1, 1, 1).select(embedder(F.lit(text)).alias("v")).first()["v"]
     return nearest(_in_phases(chunks, phases, phase_col), vector, k)
 
 
@@ -72,68 +77,90 @@ def _query_blocks(queries: DataFrame, id_col: str, vector_col: str, block_bytes:
     return [(queries.filter(block == i), fit) for i in range(count)]
 
 
+class _Best:
+    """The best k rows per query of what a task has seen, as flat arrays."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.floor = np.full(queries, -np.inf)
+        self.query = np.empty(0, dtype=np.int64)
+        self.score = np.empty(0)
+        self.key = None
+
+    def add(self, keys: np.ndarray, scores: np.ndarray, first: int) -> None:
+        """Rows that can still place, from a (queries x rows) tile that starts at ``first``."""
+        floor = self.floor[first : first + len(scores)]
+        if scores.shape[1] > self.k:
+            cut = scores.shape[1] - self.k
+            floor = np.maximum(floor, np.partition(scores, cut, axis=1)[:, cut])
+        query, row = np.nonzero(scores >= floor[:, None])
+        self.query = np.concatenate([self.query, query + first])
+        self.score = np.concatenate([self.score, scores[query, row]])
+        self.key = keys[row] if self.key is None else np.concatenate([self.key, keys[row]])
+
+    def trim(self) -> None:
+        """Keep k per query, by score and then by id, and raise the floors."""
+        order = np.lexsort((self.key, -self.score, self.query))
+        query, score = self.query[order], self.score[order]
+        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+        kept = order[rank < self.k]
+        self.query, self.score, self.key = self.query[kept], self.score[kept], self.key[kept]
+        last = np.flatnonzero(rank == self.k - 1)
+        self.floor[query[last]] = score[last]
+
+
 def _score_batches(ids, matrix: np.ndarray, lengths: np.ndarray, k: int, groups: bool, schema: pa.Schema):
     """A task function: score each Arrow batch against the block, keep the best k."""
     dim = matrix.shape[1]
 
-    def best(scores: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        if len(scores) > k:
-            floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-            keep = np.flatnonzero(scores >= floor)
-        else:
-            keep = np.arange(len(scores))
-        return keep[np.lexsort((keys[keep], -scores[keep]))][:k]
-
-    def rows_of(batch: pa.RecordBatch):
-        keys = np.asarray(batch.column(0).to_pylist())
-        vectors = batch.column(1)
-        sizes = np.array([-1 if v is None else len(v) for v in vectors], dtype=np.int64)
-        values = np.zeros((len(keys), dim))
+    def vectors_of(column: pa.Array) -> np.ndarray:
+        """Rows of the block's dimension; others, which are not comparable, as zeros."""
+        sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
         fits = np.flatnonzero(sizes == dim)
+        values = np.zeros((len(column), dim))
         if len(fits):
-            flat = vectors.take(pa.array(fits)).flatten()
-            values[fits] = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        values = np.nan_to_num(values)
-        norms = np.linalg.norm(values, axis=1)
-        scale = np.outer(norms, lengths)
-        scores = np.divide(values @ matrix.T, scale, out=np.zeros_like(scale), where=scale > 0)
-        labels = np.asarray(batch.column(2).to_pylist()) if groups else np.zeros(len(keys), dtype=np.int64)
-        return keys, np.round(scores, SCORE_DIGITS), labels
-
-    def emit(kept) -> Iterator[pa.RecordBatch]:
-        out = {name: [] for name in schema.names}
-        for label, per_query in kept.items():
-            for q, (scores, keys) in enumerate(per_query):
-                out["query_id"] += [ids[q]] * len(keys)
-                out["id"] += keys.tolist()
-                out["score"] += scores.tolist()
-                if groups:
-                    out["group"] += [label] * len(keys)
-        if out["id"]:
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+            flat = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False)
+            values[fits] = np.nan_to_num(flat.astype(np.float64)).reshape(-1, dim)
+        return values
+
+    def plain(column: pa.Array) -> np.ndarray:
+        values = column.to_numpy(zero_copy_only=False)
+        return values.astype(str) if values.dtype == object else values
+
+    def rows_of(label, best: _Best) -> Iterator[pa.RecordBatch]:
+        if best.key is not None and len(best.key):
+            out = [pa.array(ids, schema.field(0).type).take(pa.array(best.query))]
+            out += [pa.array(best.key, schema.field(1).type), pa.array(best.score, pa.float64())]
+            if groups:
+                out.append(pa.array([label] * len(best.key), schema.field(3).type))
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, scores, labels = rows_of(batch)
+            keys, values = plain(batch.column(0)), vectors_of(batch.column(1))
+            norms = np.linalg.norm(values, axis=1)
+            labels = plain(batch.column(2)) if groups else np.zeros(len(keys), dtype=np.int64)
             for label in np.unique(labels):
                 rows = np.flatnonzero(labels == label)
-                name = label.item() if hasattr(label, "item") else label
-                before = kept.get(name)
-                now = []
-                for q in range(len(ids)):
-                    s, i = scores[rows, q], keys[rows]
-                    if before is not None:
-                        s, i = np.concatenate([before[q][0], s]), np.concatenate([before[q][1], i])
-                    top = best(s, i)
-                    now.append((s[top], i[top]))
-                kept[name] = now
-            if len(kept) * len(ids) > KEPT_GROUPS and groups:
-                yield from emit(kept)
+                best = kept.setdefault(label.item(), _Best(len(ids), k))
+                step = max(1, TILE_SCORES // len(rows))
+                for first in range(0, len(ids), step):
+                    part = slice(first, first + step)
+                    scale = np.outer(lengths[part], norms[rows])
+                    scores = matrix[part] @ values[rows].T
+                    scores = np.divide(scores, scale, out=np.zeros_like(scale), where=scale > 0)
+                    best.add(keys[rows], np.round(scores, SCORE_DIGITS), first)
+                best.trim()
+            if groups and len(kept) * len(ids) > KEPT_GROUPS:
+                for label, best in kept.items():
+                    yield from rows_of(label, best)
                 kept = {}
-        yield from emit(kept)
+        for label, best in kept.items():
+            yield from rows_of(label, best)
 
     return run
 
@@ -222,43 +249,29 @@ def group_centroids(df: DataFrame, group_col: str, vector_col: str) -> DataFrame
     return means.groupBy("group").agg(F.transform(ordered, lambda p: p["mean"]).alias("centroid"))
 
 
-def lsh_nearest(
-    chunks: DataFrame,
-    queries: DataFrame,
-    k: int = 5,
-    tables: int = 4,
-    bucket_length: float = 1.0,
-    distance: float = 1.2,
-) -> DataFrame:
-    """Approximate top-k with random projections; recall must be checked against the exact search.
+# How the best chunk of a phase is announced.
+PHASE_TITLES = {
+    "phase1": "Phase 1 - Schema Analysis: ",
+    "phase2": "Phase 2 - Business Logic: ",
+    "phase3": "Phase 3 - Business Description: ",
+}
 
-    Both sides need ``id`` (or ``query_id``) and a unit ``vector``; the cosine of unit
-    vectors is 1 - d*d/2.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    left = chunks.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    right = queries.select(
-        "query_id", array_to_vector(F.col("vector").cast("array<double>")).alias("features")
-    )
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=7
-    ).fit(left)
-    near = model.approxSimilarityJoin(left, right, distance, distCol="distance")
-    ranked = Window.partitionBy("query_id").orderBy("distance", "id")
-    return (
-        near.select(
-            F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.id").alias("id"), "distance"
-        )
-        .withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") <= k)
-        .withColumn("score", 1 - F.col("distance") * F.col("distance") / 2)
-    )
 
+def relevant_knowledge(chunks: DataFrame, queries: DataFrame, limit: int = 500) -> DataFrame:
+    """For each query, the best chunk of each of three phases, cut and titled, as one text.
 
-def knowledge_for_query(hits: DataFrame, limit: int = 500) -> DataFrame:
-    """Best hit of each phase with its text cut for a prompt."""
-    from ..functions.text import hard_cut
-
-    return hits.filter("rank = 1").withColumn("content", hard_cut(F.col("content"), limit))
+    ``chunks`` are store rows, ``queries`` have ``query_id`` and ``query_vector``. A
+    query keeps at most one chunk per phase, so its text is made of three rows.
+    """
+    searched = chunks.filter(F.col("phase").isin(*PHASE_TITLES))
+    hits = nearest_batch(searched, queries, 1, group_col="phase").withColumnRenamed("id", "chunk_id")
+    title = F.create_map(*[F.lit(x) for pair in PHASE_TITLES.items() for x in pair])
+    texts = hits.join(searched.select("chunk_id", "content"), "chunk_id").select(
+        "query_id",
+        F.struct(
+            F.col("group").alias("phase"),
+            F.concat(title[F.col("group")], hard_cut(F.col("content"), limit)).alias("text"),
+        ).alias("part"),
+    )
+    parts = F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"])
+    return texts.groupBy("query_id").agg(F.array_join(parts, "\n\n").alias("knowledge"))

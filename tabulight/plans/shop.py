@@ -44,10 +44,11 @@ def customer_order_summary(customers: DataFrame, orders: DataFrame, cancelled: s
             F.max("ordered_at").alias("last_order_date"),
         )
     )
-    return customers.join(per_customer, customers["id"] == per_customer["customer_id"], "left").select(
-        customers["id"].alias("customer_id"),
-        customers["name"].alias("customer_name"),
-        customers["email"],
+    people = customers.select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"), "email")
+    return people.join(per_customer, "customer_id", "left").select(
+        "customer_id",
+        "customer_name",
+        "email",
         F.coalesce("total_orders", F.lit(0)).alias("total_orders"),
         F.coalesce("total_spent", F.lit(0.0)).alias("total_spent"),
         "last_order_date",
@@ -66,16 +67,17 @@ def product_sales_summary(
     lines = order_items
     if orders is not None:
         valid = orders.filter(~F.col("status").isin("cancelled", "refunded"))
-        lines = lines.join(valid, lines["order_id"] == valid["id"], "left_semi")
+        lines = lines.join(valid.select(F.col("id").alias("order_id")), "order_id", "left_semi")
     per_product = lines.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("total_sold"),
         F.sum("quantity").alias("total_quantity_sold"),
         money_sum("total").alias("total_revenue"),
     )
-    return products.join(per_product, products["id"] == per_product["product_id"], "left").select(
-        products["id"].alias("product_id"),
-        products["name"].alias("product_name"),
-        products["sku"],
+    named = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "sku")
+    return named.join(per_product, "product_id", "left").select(
+        "product_id",
+        "product_name",
+        "sku",
         F.coalesce("total_sold", F.lit(0)).alias("total_sold"),
         F.coalesce("total_quantity_sold", F.lit(0)).alias("total_quantity_sold"),
         F.coalesce("total_revenue", F.lit(0.0)).alias("total_revenue"),
@@ -148,9 +150,9 @@ def monthly_sales(orders: DataFrame, as_of: dt.date | None = None) -> DataFrame:
 def customer_totals(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """Every customer with the sum of their orders, largest first; null without orders."""
     sums = orders.groupBy("customer_id").agg(money_sum("total").alias("total_orders"))
+    people = customers.select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"))
     return (
-        customers.join(sums, customers["id"] == sums["customer_id"], "left")
-        .select(customers["id"].alias("customer_id"), customers["name"].alias("customer_name"), "total_orders")
+        people.join(sums, "customer_id", "left")
         .orderBy(F.col("total_orders").desc_nulls_last(), "customer_id")
     )
 

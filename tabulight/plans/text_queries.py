@@ -87,17 +87,16 @@ def index_update(spark, root):
 
 
 @query(
-    f"WITH {CHUNK_CTES} SELECT lang AS phase, count(*) AS chunk_count, sum(length(content))::BIGINT AS characters, "
-    "(SELECT count(*) FROM chunked) AS total_chunks FROM chunked GROUP BY lang"
+    f"WITH {CHUNK_CTES} SELECT lang AS phase, count(*) AS chunk_count, sum(length(content))::BIGINT AS characters "
+    "FROM chunked GROUP BY lang UNION ALL SELECT 'total', count(*), sum(length(content))::BIGINT FROM chunked"
 )
 def knowledge_export(spark, root):
     rows = _chunks(_documents(spark, root))
     counts = rows.groupBy("phase").agg(
         F.count(F.lit(1)).alias("chunk_count"), F.sum(F.length("content").cast("bigint")).alias("characters")
     )
-    total = counts.agg(F.sum("chunk_count").alias("total_chunks"))
-    one = F.lit(1).alias("one")
-    return counts.select("*", one).join(total.select("*", one), "one").drop("one")
+    total = counts.agg(F.sum("chunk_count").alias("chunk_count"), F.sum("characters").alias("characters"))
+    return counts.unionByName(total.withColumn("phase", F.lit("total")))
 
 
 @query(

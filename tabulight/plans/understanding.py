@@ -22,6 +22,7 @@ class Model:
     dimensions: DataFrame
     facts: DataFrame
     report: DataFrame
+    totals: DataFrame
 
 
 def column_findings(catalog: Catalog) -> DataFrame:
@@ -80,5 +81,6 @@ def model_catalog(spark: SparkSession, catalog: Catalog, key_sets: dict | None =
         labels=business.business_labels(areas),
         dimensions=dimensions,
         facts=facts,
-        report=business.dimension_report(dimensions, facts),
+        report=business.dimension_report(dimensions),
+        totals=business.model_totals(dimensions, facts),
     )

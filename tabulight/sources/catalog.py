@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -137,48 +138,70 @@ def type_family(data_type: T.DataType) -> str:
     return "other"
 
 
+def literal_rows(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A few rows of metadata as a one-partition frame, from one constant."""
+    shape = "array<struct<" + ",".join(":".join(f.split(" ", 1)) for f in fields.split(", ")) + ">>"
+    one = spark.range(0, 1, 1, 1)
+    return one.select(F.inline(F.from_json(F.lit(json.dumps(rows)), shape)))
+
+
 def column_descriptors(spark: SparkSession, catalog: Catalog) -> DataFrame:
     """One row per column of the catalog, from the schemas alone."""
-    schema = (
-        "table_name string, ordinal int, column_name string, data_type string, family string, "
-        "nullable boolean, precision int, scale int"
-    )
     rows = []
     for name in catalog.names:
         for ordinal, column in enumerate(catalog[name].schema.fields, start=1):
             decimal = isinstance(column.dataType, T.DecimalType)
             rows.append(
-                (
-                    name,
-                    ordinal,
-                    column.name,
-                    column.dataType.simpleString(),
-                    type_family(column.dataType),
-                    column.nullable,
-                    column.dataType.precision if decimal else 0,
-                    column.dataType.scale if decimal else 0,
-                )
+                {
+                    "table_name": name,
+                    "ordinal": ordinal,
+                    "column_name": column.name,
+                    "data_type": column.dataType.simpleString(),
+                    "family": type_family(column.dataType),
+                    "nullable": column.nullable,
+                    "precision": column.dataType.precision if decimal else 0,
+                    "scale": column.dataType.scale if decimal else 0,
+                }
             )
-    return spark.createDataFrame(rows, schema)
+    return literal_rows(
+        spark,
+        rows,
+        "table_name string, ordinal int, column_name string, data_type string, family string, "
+        "nullable boolean, precision int, scale int",
+    )
 
 
 def declared_constraints(spark: SparkSession, catalog: Catalog) -> DataFrame:
     """Declared keys as rows: table, kind, name, columns, referenced table and columns."""
-    schema = (
-        "table_name string, kind string, constraint_name string, columns array<string>, "
-        "ref_table string, ref_columns array<string>"
-    )
     rows = []
+
+    def add(table, kind, label, columns, ref_table=None, ref_columns=None):
+        rows.append(
+            {
+                "table_name": table,
+                "kind": kind,
+                "constraint_name": label,
+                "columns": list(columns),
+                "ref_table": ref_table,
+                "ref_columns": ref_columns,
+            }
+        )
+
     for name in catalog.names:
         keys = catalog.keys_of(name)
         if keys.primary:
-            rows.append((name, "primary", f"{name}_pkey", list(keys.primary), None, None))
+            add(name, "primary", f"{name}_pkey", keys.primary)
         for fk in keys.foreign:
             label = f"{name}_{'_'.join(fk.columns)}_fkey"
-            rows.append((name, "foreign", label, list(fk.columns), fk.ref_table, list(fk.ref_columns)))
+            add(name, "foreign", label, fk.columns, fk.ref_table, list(fk.ref_columns))
         for columns in keys.unique:
-            rows.append((name, "unique", f"{name}_{'_'.join(columns)}_key", list(columns), None, None))
-    return spark.createDataFrame(rows, schema)
+            add(name, "unique", f"{name}_{'_'.join(columns)}_key", columns)
+    return literal_rows(
+        spark,
+        rows,
+        "table_name string, kind string, constraint_name string, columns array<string>, "
+        "ref_table string, ref_columns array<string>",
+    )
 
 
 def decoded(df: DataFrame) -> DataFrame:
