@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import bind
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -18,15 +20,22 @@ class Rule:
 
 
 def classify(texts: Mapping[str, Column], rules: Sequence[Rule], default: str) -> Column:
-    """The label of the first rule with a word in its text, else ``default``."""
-    result = None
-    for rule in rules:
-        hit = F.lit(False)
-        for scope, scope_words in rule.words.items():
-            for word in scope_words:
-                hit = hit | F.coalesce(F.contains(texts[scope], F.lit(word)), F.lit(False))
-        result = F.when(hit, rule.label) if result is None else result.when(hit, rule.label)
-    return result.otherwise(default)
+    """The label of the first rule with a word in its text, else ``default``.
+
+    The texts are bound once, so lower-casing and the like is not repeated per word.
+    """
+
+    def first_hit(scope_texts: Column) -> Column:
+        result = None
+        for rule in rules:
+            hit = F.lit(False)
+            for scope, scope_words in rule.words.items():
+                for word in scope_words:
+                    hit = hit | F.coalesce(F.contains(scope_texts[scope], F.lit(word)), F.lit(False))
+            result = F.when(hit, rule.label) if result is None else result.when(hit, rule.label)
+        return result.otherwise(default)
+
+    return bind(F.struct(*[text.alias(scope) for scope, text in texts.items()]), first_hit)
 
 
 def _named(label: str, words: str) -> Rule:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.catalog import Catalog, type_family
-from .profile import distinct_counts, name_of, quoted, sketch, tagged_values, union_all, value_text
+from .profile import distinct_counts, name_of, quoted, sketch, tagged_values, typed_value, union_all, value_text
 
 # A sketch's estimate is within a few percent (1.6 percent standard error); a true
 # key cannot fall to half.
@@ -45,13 +47,13 @@ def promising_columns(catalog: Catalog) -> dict[str, list[str]]:
     return found
 
 
-def _key_text(df: DataFrame, columns: Sequence[str]) -> str:
-    """SQL for a key as one text, null if a part is null."""
+def _key_value(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """A key as one typed value; several parts as one text, null if a part is null."""
+    if len(columns) == 1:
+        return typed_value(columns[0], df.schema[columns[0]].dataType)
     parts = [value_text(c, df.schema[c].dataType) for c in columns]
-    if len(parts) == 1:
-        return parts[0]
     complete = " AND ".join(f"{name_of(c)} IS NOT NULL" for c in columns)
-    return f"CASE WHEN {complete} THEN to_json(array({', '.join(parts)})) END"
+    return {"s": f"CASE WHEN {complete} THEN to_json(array({', '.join(parts)})) END"}
 
 
 def key_checks(catalog: Catalog, wanted: dict[str, Sequence[Sequence[str]]]) -> DataFrame:
@@ -59,11 +61,11 @@ def key_checks(catalog: Catalog, wanted: dict[str, Sequence[Sequence[str]]]) ->
 
     All sets of all tables go through one shuffle of distinct keys.
     """
-    entries: dict[str, list[tuple[int, str]]] = {}
+    entries: dict[str, list[tuple[int, dict[str, str]]]] = {}
     labels = []
     for table, column_sets in wanted.items():
         for columns in column_sets:
-            entries.setdefault(table, []).append((len(labels), _key_text(catalog[table], columns)))
+            entries.setdefault(table, []).append((len(labels), _key_value(catalog[table], columns)))
             labels.append((table, ",".join(columns)))
     names = ", ".join(
         f"named_struct('tag', {i}, 'table_name', {quoted(t)}, 'key_columns', {quoted(c)})"
@@ -172,36 +174,47 @@ def reference_inclusion(catalog: Catalog, pairs: Sequence[ReferencePair]) -> Dat
     Each table is scanned once for all its pairs; values are counted per task before
     the one shuffle, so a value that fills a third of a table is one row there.
     """
-    parents = sorted({(p.parent_table, p.parent_column) for p in pairs})
-    child_entries: dict[str, list[tuple[int, str]]] = {}
-    for number, pair in enumerate(pairs):
-        text = f"CAST({name_of(pair.child_column)} AS STRING)"
-        child_entries.setdefault(pair.child_table, []).append((number, text))
-    parent_entries: dict[str, list[tuple[int, str]]] = {}
-    for number, (table, column) in enumerate(parents):
-        parent_entries.setdefault(table, []).append((number, f"CAST({name_of(column)} AS STRING)"))
+    fields = {
+        (t, f.name): f.dataType for t in {x for p in pairs for x in (p.child_table, p.parent_table)}
+        for f in catalog[t].schema.fields
+    }
+
+    def value(table: str, column: str, whole: bool) -> dict[str, str]:
+        kind = "BIGINT" if whole else "STRING"
+        return {"n" if whole else "s": f"CAST({name_of(column)} AS {kind})"}
+
+    # Whole numbers on both sides are compared as numbers, other values as text.
+    targets, parents = [], []
+    child_entries: dict[str, list] = {}
+    parent_entries: dict[str, list] = {}
+    for number, p in enumerate(pairs):
+        types = fields[p.child_table, p.child_column], fields[p.parent_table, p.parent_column]
+        whole = all(isinstance(t, T.IntegralType) for t in types)
+        child_entries.setdefault(p.child_table, []).append((number, value(p.child_table, p.child_column, whole)))
+        target = (p.parent_table, p.parent_column, whole)
+        if target not in parents:
+            parent_entries.setdefault(p.parent_table, []).append((len(parents), value(*target)))
+            parents.append(target)
+        targets.append(parents.index(target))
 
     def counted(entries, tag: str, count: str) -> DataFrame:
         return (
             tagged_values(catalog.tables, entries)
-            .filter("value IS NOT NULL")
-            .groupBy(F.col("tag").alias(tag), "value")
+            .groupBy(F.col("tag").alias(tag), "n", "s")
             .agg(F.count(F.lit(1)).alias(count))
         )
 
     child_values = counted(child_entries, "pair", "child_rows")
     parent_values = counted(parent_entries, "parent", "parent_rows")
-    # Which parent column each pair reads, as data; one row per pair.
-    links = F.create_map(
-        *[
-            x
-            for n, p in enumerate(pairs)
-            for x in (F.lit(n), F.lit(parents.index((p.parent_table, p.parent_column))))
-        ]
-    )
-    matched = child_values.withColumn("parent", links[F.col("pair")]).join(
-        parent_values, ["parent", "value"], "left"
+    # Which parent column each pair reads, as data; one entry per pair.
+    links = F.from_json(F.lit(json.dumps(targets)), "array<int>")
+    near, far = child_values.withColumn("parent", links[F.col("pair")]).alias("c"), parent_values.alias("p")
+    same = (
+        (F.col("c.parent") == F.col("p.parent"))
+        & F.col("c.n").eqNullSafe(F.col("p.n"))
+        & F.col("c.s").eqNullSafe(F.col("p.s"))
     )
+    matched = near.join(far, same, "left").select("c.pair", "c.child_rows", "p.parent_rows")
     per_pair = matched.groupBy("pair").agg(
         F.count(F.lit(1)).alias("child_distinct"),
         F.count("parent_rows").alias("matched_distinct"),
@@ -210,28 +223,19 @@ def reference_inclusion(catalog: Catalog, pairs: Sequence[ReferencePair]) -> Dat
         F.max("child_rows").alias("most_children"),
         F.max("parent_rows").alias("most_parents"),
     )
-    names = F.create_map(
-        *[
-            x
-            for n, p in enumerate(pairs)
-            for x in (
-                F.lit(n),
-                F.struct(
-                    F.lit(p.child_table).alias("child_table"),
-                    F.lit(p.child_column).alias("child_column"),
-                    F.lit(p.parent_table).alias("parent_table"),
-                    F.lit(p.parent_column).alias("parent_column"),
-                ),
-            )
-        ]
-    )
+    labels = [
+        [p.child_table, p.child_column, p.parent_table, p.parent_column] for p in pairs
+    ]
+    names = F.from_json(F.lit(json.dumps(labels)), "array<array<string>>")[F.col("pair")]
     unique = parent_values.groupBy("parent").agg((F.max("parent_rows") == 1).alias("parent_unique"))
     return (
         per_pair.withColumn("parent", links[F.col("pair")])
         .join(unique, "parent")
-        .select(names[F.col("pair")].alias("n"), "*")
         .select(
-            "n.*",
+            names[0].alias("child_table"),
+            names[1].alias("child_column"),
+            names[2].alias("parent_table"),
+            names[3].alias("parent_column"),
             "child_distinct",
             "matched_distinct",
             F.round(F.col("matched_distinct") / F.col("child_distinct"), 6).alias("inclusion"),
@@ -247,6 +251,11 @@ def reference_inclusion(catalog: Catalog, pairs: Sequence[ReferencePair]) -> Dat
 
 
 def discover_references(catalog: Catalog, least: float = 1.0) -> DataFrame:
-    """References found by name and by value: unique parent, inclusion of at least ``least``."""
-    found = reference_inclusion(catalog, reference_pairs(catalog))
+    """References found by name and by value: unique parent, inclusion of at least ``least``.
+
+    Parents that a sketch rules out as unique are not compared at all.
+    """
+    likely = promising_columns(catalog)
+    pairs = [p for p in reference_pairs(catalog) if p.parent_column in likely.get(p.parent_table, ())]
+    found = reference_inclusion(catalog, pairs)
     return found.filter(F.col("parent_unique") & (F.col("inclusion") >= least))

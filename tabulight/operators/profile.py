@@ -19,6 +19,7 @@ LOW_BELOW, HIGH_ABOVE = 10, 10_000
 # Marks that hint at several values in one text.
 COLLECTION_MARKS = r"[,;\[{|]"
 DIGEST_FROM = 64
+COLUMNS_PER_AGGREGATE = 4
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
@@ -110,22 +111,46 @@ def value_text(column: str, data_type: T.DataType) -> str:
     return f"CASE WHEN length({text}) >= {DIGEST_FROM} THEN sha2({text}, 256) ELSE {text} END"
 
 
+def typed_value(column: str, data_type: T.DataType) -> dict[str, str]:
+    """The value under one of ``n`` (whole numbers), ``d`` (floats) and ``s`` (the rest).
+
+    Numbers are grouped as numbers, which is far cheaper than as text.
+    """
+    if isinstance(data_type, T.IntegralType):
+        return {"n": f"CAST({name_of(column)} AS BIGINT)"}
+    if isinstance(data_type, T.FractionalType) and not isinstance(data_type, T.DecimalType):
+        return {"d": f"CAST({name_of(column)} AS DOUBLE)"}
+    return {"s": value_text(column, data_type)}
+
+
 def sketch(column: str) -> str:
     """SQL for an estimated distinct count; the sketch is one small binary per task."""
     c = name_of(column)
     return f"hll_sketch_estimate(hll_sketch_agg(CASE WHEN {c} IS NOT NULL THEN xxhash64({c}) END))"
 
 
-def tagged_values(tables: dict[str, DataFrame], wanted: dict[str, list[tuple[int, str]]]) -> DataFrame:
-    """``(tag, value)`` rows: for each table, (tag, SQL text expression) pairs; one scan a table."""
+VALUE_TYPES = {"n": "BIGINT", "d": "DOUBLE", "s": "STRING"}
+
+
+def tagged_values(
+    tables: dict[str, DataFrame], wanted: dict[str, list[tuple[int, dict[str, str]]]]
+) -> DataFrame:
+    """``(tag, n, d, s)`` rows: per table, (tag, typed value) pairs; one scan a table."""
     sides = []
     for table, entries in wanted.items():
-        pairs = ", ".join(f"named_struct('tag', {tag}, 'value', {text})" for tag, text in entries)
-        sides.append(tables[table].selectExpr(f"inline(array({pairs}))"))
-    return union_all(sides)
+        structs = []
+        for tag, value in entries:
+            parts = [
+                f"'{slot}', {value.get(slot, f'CAST(NULL AS {kind})')}" for slot, kind in VALUE_TYPES.items()
+            ]
+            structs.append(f"named_struct('tag', {tag}, {', '.join(parts)})")
+        sides.append(tables[table].selectExpr(f"inline(array({', '.join(structs)}))"))
+    return union_all(sides).filter("n IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL")
 
 
-def distinct_counts(tables: dict[str, DataFrame], wanted: dict[str, list[tuple[int, str]]]) -> DataFrame:
+def distinct_counts(
+    tables: dict[str, DataFrame], wanted: dict[str, list[tuple[int, dict[str, str]]]]
+) -> DataFrame:
     """Per tag: distinct values and rows that have one.
 
     All columns of all tables share one shuffle. Equal values are counted in their
@@ -133,11 +158,10 @@ def distinct_counts(tables: dict[str, DataFrame], wanted: dict[str, list[tuple[i
     """
     return (
         tagged_values(tables, wanted)
-        .filter("value IS NOT NULL")
-        .groupBy("tag", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("tag", *VALUE_TYPES)
+        .agg(F.count(F.lit(1)).alias("n_rows"))
         .groupBy("tag")
-        .agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("present"))
+        .agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n_rows").alias("present"))
     )
 
 
@@ -191,10 +215,13 @@ def profile_catalog(
             structs.append(_column_stats(table, ordinal, field, distinct == "approx"))
             needed = distinct_for is None or field.name in distinct_for.get(table, ())
             if distinct == "exact" and needed and type_family(field.dataType) != "other":
-                wanted.setdefault(table, []).append((len(columns), value_text(field.name, field.dataType)))
+                wanted.setdefault(table, []).append((len(columns), typed_value(field.name, field.dataType)))
                 columns.append((table, ordinal))
-        # The constant parts need no aggregate, but ride along in one expression.
-        stats.append(df.agg(F.expr(f"array({', '.join(structs)})").alias("c")).select(F.inline("c")))
+        # Few columns per aggregate keep its generated code small enough for the JVM to
+        # compile; Parquet is columnar, so no column is read twice.
+        for first in range(0, len(structs), COLUMNS_PER_AGGREGATE):
+            some = ", ".join(structs[first : first + COLUMNS_PER_AGGREGATE])
+            stats.append(df.agg(F.expr(f"array({some})").alias("c")).select(F.inline("c")))
     profile = union_all(stats)
     if not wanted:
         return profile

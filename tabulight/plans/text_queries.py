@@ -10,6 +10,7 @@ from ..functions.jsontext import findings_text, json_lines
 from ..functions.vectors import VOCABULARY, cosine, embed_charstats, embed_hash, embed_tfidf, l2_normalize
 from ..operators import business, chunks, search
 from ..sources import knowledge
+from ..sources.staging import spread
 from .lake import open_lake
 from .registry import query
 
@@ -31,7 +32,7 @@ q AS (SELECT label AS query_id, list(v ORDER BY pos) AS qv FROM m GROUP BY label
 
 
 def _documents(spark, root):
-    return open_lake(spark, root, "documents")["documents"]
+    return spread(open_lake(spark, root, "documents")["documents"])
 
 
 def _chunks(docs, size=SIZE, overlap=OVERLAP):
