@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 from ..functions.classify import dimension_class, table_category
 from ..operators import business, chunks, decisions, findings, keys, profile, star, validate, values
 from ..sources.catalog import column_descriptors
+from ..sources.staging import stage
 from . import catalog_sql as sql
 from . import understanding
 from .lake import COLUMNS, KEY_SETS, KEYS, aged_lake, open_lake, survey_lake
 from .registry import query
 
-AREA = "lake"
-
-
 @query(sql.counts_sql())
 def row_counts(spark, root):
     return profile.row_counts(open_lake(spark, root))
@@ -46,11 +44,30 @@ def profile_database(spark, root):
     return profile.profile_database(open_lake(spark, root))
 
 
-@query()
-def table_report(spark, root):
+def _report(spark, root):
     return profile.table_report(open_lake(spark, root), recent=("o_orderdate", "l_shipdate", "ts"))
 
 
+@query(
+    sql.union(
+        f"SELECT '{t}' AS table_name, '{','.join(n for n, _ in sql.columns_of(t))}' AS columns, "
+        f"'{' '.join(KEYS[t].primary)}' AS primary_keys, least(count(*), 5)::INT AS sample_count, count(*) AS row_count, "
+        f"{len(sql.columns_of(t))} AS column_count, {bool(KEYS[t].primary or KEYS[t].foreign)} AS has_constraints, "
+        f"{bool(KEYS[t].primary)} AS has_indexes FROM {t}"
+        for t in COLUMNS
+    )
+)
+def table_report(spark, root):
+    report = _report(spark, root)
+    return report.select(
+        "table_name",
+        F.array_join(F.transform("schema", lambda c: c["name"]), ",").alias("columns"),
+        F.array_join("constraints.primary_keys", " ").alias("primary_keys"),
+        F.size("samples").alias("sample_count"),
+        "row_count", "column_count", "has_constraints", "has_indexes",
+    )
+
+
 @query(
     "SELECT count(*) AS tables_count, sum(c)::BIGINT AS total_columns, sum(least(n, 5))::BIGINT AS total_samples, "
     "count_if(k) AS tables_with_constraints, count_if(u) AS tables_with_indexes FROM ("
@@ -62,7 +79,7 @@ def table_report(spark, root):
     + ")"
 )
 def database_overview(spark, root):
-    return profile.database_overview(table_report(spark, root))
+    return profile.database_overview(_report(spark, root))
 
 
 @query(
@@ -169,6 +186,11 @@ def _issues(spark, root):
     return findings.column_issues(_survey_profile(spark, root))
 
 
+def _asked(spark, root):
+    """The column questions, kept, as the answers below are made from them too."""
+    return stage(findings.column_questions(_issues(spark, root)))
+
+
 @query(f"WITH {sql.findings_ctes()} SELECT table_name, ordinal, column_name, data_type, issues FROM found")
 def column_issues(spark, root):
     found = _issues(spark, root)
@@ -194,7 +216,7 @@ def _column_answers(asked):
 
 
 def _column_decisions(spark, root):
-    asked = findings.column_questions(_issues(spark, root))
+    asked = _asked(spark, root)
     answered = decisions.answer_questions(asked, _column_answers(asked))
     return decisions.column_decisions(answered)
 
@@ -204,7 +226,7 @@ def _column_decisions(spark, root):
     "SELECT question_id, table_name, column_name, question_type, response FROM answered"
 )
 def answers_join(spark, root):
-    asked = findings.column_questions(_issues(spark, root))
+    asked = _asked(spark, root)
     joined = decisions.answer_questions(asked, _column_answers(asked))
     return joined.select("question_id", "table_name", "column_name", "question_type", "response")
 
@@ -291,7 +313,7 @@ def collection_items(spark, root):
 
 
 def _table_questions(spark, root):
-    return findings.table_questions(profile.row_counts(aged_lake(spark, root)))
+    return stage(findings.table_questions(profile.row_counts(aged_lake(spark, root))))
 
 
 @query(
@@ -396,35 +418,57 @@ def _star(spark, root):
     return column_descriptors(spark, lake), keys.key_candidates(lake, KEY_SETS), lake
 
 
-@query()
+DIMENSIONS_SQL = sql.union(
+    f"SELECT '{name}' AS name, '{kind}' AS dimension_class, '{t}' AS source_table, '{key}' AS key_fields, "
+    f"'{texts}' AS attributes FROM {t} HAVING count(*) = count(DISTINCT {key})"
+    for t, key, name, kind, texts in (
+        ("region", "r_regionkey", "dim_region", "location", "r_name"),
+        ("nation", "n_nationkey", "dim_nation", "product", "n_name"),
+        ("customer", "c_custkey", "dim_customer", "people", "c_mktsegment,c_name"),
+        ("supplier", "s_suppkey", "dim_supplier", "people", "s_name"),
+        ("part", "p_partkey", "dim_part", "product", "p_brand,p_name,p_type"),
+        ("orders", "o_orderkey", "dim_order", "event", "o_orderpriority,o_orderstatus"),
+        ("events", "event_id", "dim_event", "event", "event_type,props"),
+        ("documents", "doc_id", "dim_document", "product", "lang,source,text"),
+        ("pages", "page_id", "dim_page", "product", "html,url"),
+        ("benchmark", "item_id", "dim_benchmark", "product", "text"),
+        ("conversations", "text", "dim_conversation", "product", "role"),
+    )
+)
+
+
+@query(DIMENSIONS_SQL)
 def detect_dimensions(spark, root):
     columns, found, _ = _star(spark, root)
-    return star.detect_dimensions(columns, found)
+    return star.detect_dimensions(columns, found).select(
+        "name", "dimension_class", "source_table",
+        F.array_join("key_fields", ",").alias("key_fields"), F.array_join("attributes", ",").alias("attributes"),
+    )
 
 
-@query()
+@query(
+    """
+SELECT 'fact_lineitem' AS name, 'lineitem' AS source_table,
+  CASE WHEN count(*) = count(DISTINCT (l_orderkey, l_linenumber)) THEN 'l_discount,l_extendedprice,l_quantity,l_tax'
+       ELSE 'l_discount,l_extendedprice,l_linenumber,l_quantity,l_tax' END AS measures,
+  'orders,part,supplier' AS dimensions
+FROM lineitem HAVING count_if(l_orderkey NOT IN (SELECT o_orderkey FROM orders)) = 0
+  AND count_if(l_partkey NOT IN (SELECT p_partkey FROM part)) = 0
+  AND count_if(l_suppkey NOT IN (SELECT s_suppkey FROM supplier)) = 0
+"""
+)
 def detect_facts(spark, root):
     columns, found, lake = _star(spark, root)
-    return star.detect_facts(columns, found, keys.discover_references(lake))
-
-
-def _dimension_members() -> str:
-    wanted = (
-        ("region", "r_regionkey", "dim_region", "location"), ("nation", "n_nationkey", "dim_nation", "product"),
-        ("customer", "c_custkey", "dim_customer", "people"), ("supplier", "s_suppkey", "dim_supplier", "people"),
-        ("part", "p_partkey", "dim_part", "product"), ("orders", "o_orderkey", "dim_order", "event"),
-        ("events", "event_id", "dim_event", "event"), ("documents", "doc_id", "dim_document", "product"),
-        ("pages", "page_id", "dim_page", "product"), ("conversations", "text", "dim_conversation", "product"), ("benchmark", "item_id", "dim_benchmark", "product"),
-    )
-    return sql.union(
-        f"SELECT '{name}' AS name, '{kind}' AS c FROM {t} HAVING count(*) = count(DISTINCT {k})"
-        for t, k, name, kind in wanted
+    facts = star.detect_facts(columns, found, keys.discover_references(lake))
+    return facts.select(
+        "name", "source_table",
+        F.array_join("measures", ",").alias("measures"), F.array_join("dimensions", ",").alias("dimensions"),
     )
 
 
 @query(
     f"""
-WITH m AS ({_dimension_members()}),
+WITH m AS (SELECT name, dimension_class AS c FROM ({DIMENSIONS_SQL})),
 classes(c, description) AS (VALUES
   ('people', '人 - 資料模型裡面的對象 (客戶、使用者、供應商等)'), ('time', '時間 - 時間維度'),
   ('product', '物體 - 資料模型裡面的物體 (產品、折扣券等)'), ('event', '事件 - 資料模型裡面的事件 (運輸、銷售等)'),
@@ -441,17 +485,35 @@ def dimension_report(spark, root):
 
 @query(sql.table_text_sql())
 def table_text(spark, root):
-    report = profile.table_report(open_lake(spark, root), recent=("o_orderdate", "l_shipdate", "ts"))
+    report = _report(spark, root)
     return chunks.table_text(report).join(report.select("table_name", "row_count"), "table_name")
 
 
-@query()
+@query(
+    f"""
+SELECT 'phase1' AS phase, 'table_schema' AS kind, table_name AS name, trim(content) AS content, row_count > 0 AS filled
+FROM ({sql.table_text_sql()})
+UNION ALL SELECT 'phase1', 'table_samples', table_name,
+  'Sample data for table: ' || table_name || ', ' || least(row_count, 3) || ' rows', true
+FROM ({sql.counts_sql()}) WHERE row_count > 0
+UNION ALL SELECT 'phase2', 'knowledge_chunk', 'event_' || event_id, 'k: ' || json_extract_string(props, '$.k'), true FROM events
+"""
+)
 def chunk_sections(spark, root):
-    report = profile.table_report(open_lake(spark, root), recent=("o_orderdate", "l_shipdate", "ts"))
+    report = _report(spark, root)
     found = open_lake(spark, root, "events")["events"].select(
         F.lit("phase2").alias("phase"), F.concat(F.lit("event_"), "event_id").alias("source"), F.col("props").alias("body")
     )
-    return chunks.chunk_sections(report, found)
+    content = F.col("content")
+    lines = F.size(F.filter(F.split(content, "\n"), lambda x: F.startswith(x, F.lit("Sample ")))) - 1
+    samples = F.concat(F.element_at(F.split(content, "\n"), 1), F.lit(", "), lines, F.lit(" rows"))
+    return chunks.chunk_sections(report, found).select(
+        "phase",
+        "kind",
+        F.coalesce("table_name", "source").alias("name"),
+        F.when(F.col("kind") == "table_samples", samples).otherwise(F.btrim(content, F.lit(" "))).alias("content"),
+        F.lit(True).alias("filled"),
+    )
 
 
 @query(

@@ -64,11 +64,6 @@ def knowledge_delete(spark, root):
     return knowledge.knowledge_stats(knowledge.without_metadata(rows, "phase", "fr"))
 
 
-@query()
-def index_build(spark, root):
-    return knowledge.build_store_rows(_chunks(_documents(spark, root), 1000, 200))
-
-
 @query(
     f"""
 WITH {CHUNK_CTES},
@@ -113,17 +108,6 @@ def knowledge_stats(spark, root):
     return by_phase.unionByName(by_source)
 
 
-@query()
-def knowledge_store(spark, root):
-    events = open_lake(spark, root, "events")["events"]
-    found = events.select(
-        F.concat(F.lit("phase_phase2_"), "event_id").alias("source"),
-        findings_text("phase2", F.col("props"), F.col("ts")).alias("text"),
-    )
-    rows = chunks.chunk_documents(found, "text", F.col("source"), F.lit("phase2"))
-    return knowledge.build_store_rows(rows, timestamp=F.lit("2024-01-01 00:00:00"))
-
-
 @query(
     """
 SELECT doc_id, CASE WHEN length(text) <= 200 THEN text
@@ -318,10 +302,10 @@ _SLOTS = "[" + ", ".join(f"'{w}'" for w in VOCABULARY) + "]"
 _LAST = {word: i for i, word in enumerate(VOCABULARY)}
 _LIVE = "[" + ", ".join("true" if _LAST[w] == i else "false" for i, w in enumerate(VOCABULARY)) + "]"
 
-
-@query(
-    f"""
-WITH c AS (SELECT doc_id, translate(lower(text) || ' sales by customer and order', '.,:;!?', '      ') AS t FROM documents),
+def _tfidf_digest(source: str) -> str:
+    """The digest of TF-IDF vectors of ``(doc_id, body)`` rows, in SQL."""
+    return f"""
+c AS (SELECT doc_id, translate(lower(body), '.,:;!?', '      ') AS t FROM {source}),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\\s\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '') AS ws FROM c),
 k AS (SELECT *, list_filter(ws, lambda x: list_contains({_SLOTS}, x)) AS known, len(ws) AS n FROM w),
 f AS (SELECT *, list_transform({_SLOTS}, lambda term, i: CASE WHEN {_LIVE}[i] AND len(known) > 0
@@ -335,7 +319,11 @@ built AS (SELECT doc_id, list_concat(ramp, [strlen(t) / 1000.0::DOUBLE, n / 100.
     lambda x: (length(t) - length(replace(t, x, '')))::DOUBLE / length(x) / 10.0::DOUBLE)) AS raw FROM r),
 {UNIT_CTE}
 {DIGEST_SQL}
-""",
+"""
+
+
+@query(
+    "WITH d AS (SELECT doc_id, text || ' Sales by customer and order' AS body FROM documents), " + _tfidf_digest("d"),
     name="embed_tfidf",
 )
 def embed_tfidf_vectors(spark, root):
@@ -344,6 +332,36 @@ def embed_tfidf_vectors(spark, root):
     return vectors.select(*_vector_digest(F.col("v"), "doc_id"))
 
 
+@query(
+    f"WITH d AS (SELECT doc_id, regexp_replace(text, '{TRIM}', '', 'g') AS body FROM documents "
+    f"WHERE regexp_replace(text, '{TRIM}', '', 'g') <> ''), q AS (WITH {_tfidf_digest('d')}) "
+    "SELECT d.doc_id::VARCHAR AS source, sha256(body) AS content_hash, 256::BIGINT AS dims, weighted_sum FROM d JOIN q USING (doc_id)"
+)
+def index_build(spark, root):
+    rows = knowledge.build_store_rows(_chunks(_documents(spark, root), 1000, 200))
+    return rows.select("source", "content_hash", *_vector_digest(F.col("vector"))[:2])
+
+
+@query(
+    f"""
+WITH d AS (SELECT event_id AS doc_id, 'Phase: phase2' || chr(10)
+  || 'Description: AI-powered business logic analysis with LLM insights and recommendations' || chr(10)
+  || 'Timestamp: ' || ts::VARCHAR || chr(10) || chr(10) || 'k:' || chr(10) || '  ' || json_extract_string(props, '$.k') AS body
+  FROM events), q AS (WITH {_tfidf_digest('d')})
+SELECT 'phase_phase2_' || d.doc_id AS source, 'phase2' AS phase, body AS content, weighted_sum FROM d JOIN q USING (doc_id)
+"""
+)
+def knowledge_store(spark, root):
+    events = spread(open_lake(spark, root, "events")["events"])
+    found = events.select(
+        F.concat(F.lit("phase_phase2_"), "event_id").alias("source"),
+        findings_text("phase2", F.col("props"), F.col("ts")).alias("text"),
+    )
+    rows = chunks.chunk_documents(found, "text", F.col("source"), F.lit("phase2"))
+    stored = knowledge.build_store_rows(rows, timestamp=F.lit("2024-01-01 00:00:00"))
+    return stored.select("source", "phase", "content", _vector_digest(F.col("vector"))[1])
+
+
 def _vectors(spark, root):
     return open_lake(spark, root, "embeddings")["embeddings"]
 
