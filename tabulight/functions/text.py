@@ -17,12 +17,17 @@ TABLE_WORDS = ("table", "表格")
 CONSTRAINT_WORDS = ("constraint", "foreign", "primary", "unique")
 NAME_PATTERN = "^[A-Za-z0-9_]{1,50}$"
 NAME_MARKS = ".,;:\"'"
+# Blank characters: controls, the Unicode space separators and line separators.
+BLANK_CHARS = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 BLANKS = r"[\s\u0085\p{Z}]+"
 
 
 def trimmed(text: Column) -> Column:
     """Blank characters of any kind removed from both ends."""
-    return F.regexp_replace(text, r"^[\s\u0085\p{Z}]+|[\s\u0085\p{Z}]+$", "")
+    return F.btrim(text, F.lit(BLANK_CHARS))
 
 
 def words(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.classify import dimension_class, table_category
+from ..functions.classify import table_category
 from ..operators import business, chunks, decisions, findings, keys, profile, star, validate, values
 from ..sources.catalog import column_descriptors
 from ..sources.staging import stage
@@ -312,8 +312,13 @@ def collection_items(spark, root):
     return values.collection_item_counts(survey_lake(spark, root)["part"], "part", "p_tags")
 
 
-def _table_questions(spark, root):
-    return stage(findings.table_questions(profile.row_counts(aged_lake(spark, root))))
+def _aged_counts(spark, root):
+    """Row counts, one row a table, kept: questions, answers and tables are made from them."""
+    return stage(profile.row_counts(aged_lake(spark, root)))
+
+
+def _table_questions(counts):
+    return stage(findings.table_questions(counts))
 
 
 @query(
@@ -321,14 +326,14 @@ def _table_questions(spark, root):
     "question_type, question, array_to_string(options, '|') AS options FROM questions"
 )
 def table_questions(spark, root):
-    return _table_questions(spark, root).select(
+    return _table_questions(_aged_counts(spark, root)).select(
         "question_id", "table_name", "row_count", "question_type", "question",
         F.array_join("options", "|").alias("options"),
     )
 
 
-def _table_decisions(spark, root):
-    asked = _table_questions(spark, root)
+def _table_decisions(counts):
+    asked = _table_questions(counts)
     pick = F.get(F.col("options"), ((F.col("question_number") + 2) % 3).cast("int"))
     answers = asked.select("question_id", pick.alias("response"))
     questions = asked.select("question_id", F.explode("related_tables").alias("table_name"))
@@ -337,7 +342,7 @@ def _table_decisions(spark, root):
 
 @query(f"WITH {sql.table_question_ctes()} SELECT question_id, table_name, response, decision FROM decided")
 def table_decisions(spark, root):
-    return _table_decisions(spark, root).select("question_id", "table_name", "response", "decision")
+    return _table_decisions(_aged_counts(spark, root)).select("question_id", "table_name", "response", "decision")
 
 
 @query(
@@ -345,8 +350,8 @@ def table_decisions(spark, root):
     "WHERE table_name NOT IN (SELECT table_name FROM decided WHERE decision = 'drop')"
 )
 def exclude_tables(spark, root):
-    counts = profile.row_counts(aged_lake(spark, root))
-    return decisions.exclude_tables(counts, _table_decisions(spark, root))
+    counts = _aged_counts(spark, root)
+    return decisions.exclude_tables(counts, _table_decisions(counts))
 
 
 CONSTRAINTS = (

@@ -63,3 +63,25 @@ def audit_queries(log: DataFrame, query: str) -> DataFrame:
     return log.withColumn("is_safe", is_read_only(F.col(query))).withColumn(
         "forbidden_word", unsafe_word(F.col(query))
     )
+
+
+def query_log_findings(log: DataFrame) -> DataFrame:
+    """Answered questions as findings to store: ``phase, source, body`` (JSON) rows.
+
+    ``log``: query, sql_query, result_count, error, asked_at, insights.
+    """
+    record = F.struct(
+        F.lit("marketing_query").alias("phase"),
+        F.lit("Marketing query result with business insights").alias("description"),
+        "query",
+        "sql_query",
+        "result_count",
+        (F.coalesce("error", F.lit("")) != "").alias("has_error"),
+        F.col("asked_at").cast("string").alias("timestamp"),
+        (F.coalesce("insights", F.lit("")) != "").alias("insights_generated"),
+    )
+    return log.select(
+        F.lit("marketing_query").alias("phase"),
+        F.lit("phase_marketing_query").alias("source"),
+        F.to_json(record).alias("body"),
+    )

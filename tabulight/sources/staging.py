@@ -33,11 +33,16 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Fewer splits than a quarter of the cores: most cores would wait.
+IDLE_FACTOR = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a table has fewer splits than the session has cores.
+    """A scan's rows over all cores, where its few splits would leave most of them idle.
 
-    A Parquet file with one row group is one task, however many cores wait. A table of
-    any size has more splits than cores and is returned as it is, without a shuffle.
+    A Parquet file with one row group is one task, however much work a row makes. Only
+    small tables are affected: a table with a split for a quarter of the cores or more
+    is returned as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * IDLE_FACTOR <= cores else df

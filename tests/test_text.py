@@ -193,3 +193,13 @@ def test_relations_and_summary(spark):
     lines = business.database_summary(tables, "db", "postgres").first()[0].split("\n")
     assert lines[0] == "Database: db (postgres)" and lines[1] == "Total Tables Analyzed: 2"
     assert lines[6] == "• a: " + "x" * 200 + "..." and lines[7] == "• b: Second." and lines[-2] == "• b"
+
+
+def test_query_log_findings(spark):
+    log = spark.createDataFrame(
+        [("best sellers?", "SELECT 1", 3, None, "2024-01-01", "ok"), ("x", "", 0, "failed", "2024-01-02", None)],
+        "query string, sql_query string, result_count int, error string, asked_at string, insights string",
+    )
+    found = [json.loads(r["body"]) for r in guarded.query_log_findings(log).collect()]
+    assert [(f["has_error"], f["insights_generated"], f["result_count"]) for f in found] == [(False, True, 3), (True, False, 0)]
+    assert found[0]["query"] == "best sellers?" and found[0]["phase"] == "marketing_query"
