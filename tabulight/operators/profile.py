@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.catalog import Catalog, type_family
+from ..sources.staging import spread
 
 # The time columns a recent-first sample looks for, in order.
 RECENT_COLUMNS = ("updated_at", "created_at")
@@ -144,7 +145,7 @@ def tagged_values(
                 f"'{slot}', {value.get(slot, f'CAST(NULL AS {kind})')}" for slot, kind in VALUE_TYPES.items()
             ]
             structs.append(f"named_struct('tag', {tag}, {', '.join(parts)})")
-        sides.append(tables[table].selectExpr(f"inline(array({', '.join(structs)}))"))
+        sides.append(spread(tables[table]).selectExpr(f"inline(array({', '.join(structs)}))"))
     return union_all(sides).filter("n IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL")
 
 

@@ -33,16 +33,17 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Fewer splits than a quarter of the cores: most cores would wait.
-IDLE_FACTOR = 4
+# Tables below this size per core are spread over the cores, unless they are tiny.
+SPREAD_BYTES, TINY_BYTES = 16 * 1024 * 1024, 1024 * 1024
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan's rows over all cores, where its few splits would leave most of them idle.
+    """A small table's rows over all cores, for work that costs much per row.
 
-    A Parquet file with one row group is one task, however much work a row makes. Only
-    small tables are affected: a table with a split for a quarter of the cores or more
-    is returned as it is, without a shuffle.
+    A Parquet file with one row group is one task, however much work a row makes. The
+    size is the estimate the optimizer chooses joins by; a table of more than 16 MB a
+    core has splits enough and is returned as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * IDLE_FACTOR <= cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if TINY_BYTES < size < cores * SPREAD_BYTES else df
