@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -91,12 +91,11 @@ def to_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:
 FILTER_BITS = 1 << 26
 
 
-def id_filter(ids: DataFrame, column: str = "id") -> np.ndarray:
-    """A bitmap of FILTER_BITS bits (8 MB at any input size) with a bit set for each id.
+def id_filter(ids: DataFrame, slot: Column) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits (8 MB at any input size) with the bit at each row's ``slot`` set.
 
     It only thins rows before an exact join, so collisions cost work, never results.
     """
-    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
     words = (
         ids.select(slot.alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("word"))
@@ -109,10 +108,10 @@ def id_filter(ids: DataFrame, column: str = "id") -> np.ndarray:
 
 
 def in_filter(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """Which filter positions (computed by Spark with ``filter_slot``) are set."""
+    """Which filter positions are set."""
     slots = slots.astype(np.uint64)
     return (bitmap[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
 
 
-def filter_slot(column: str):
+def filter_slot(column: str) -> Column:
     return F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))

@@ -28,11 +28,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .components import components
-from .frames import arrow_map, filter_slot, id_filter, in_filter, stage, to_batch
-from .words import MULTIPLIERS, WordHashes, mix, shingle_set
+from .frames import FILTER_BITS, arrow_map, filter_slot, id_filter, in_filter, stage, to_batch
+from .words import mix, shingle_sets
 
-LOW_SHIFT = 3  # shingles below 2**64 / 2**LOW_SHIFT are in the signature
-SIGNATURE_BITS = 1024
+SIGNATURE_BITS = 1 << 13  # most bits of a signature; a set of n shingles has about n
 MINIMA = 3
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 500_000
 FANOUT = 8
@@ -51,18 +50,15 @@ def describe(df: DataFrame, key: str, text: str, words: int, percent: int) -> Da
     """(id, n, digest, signature, minima, prefix) for every row."""
 
     def make():
-        cache = WordHashes()
         salts = [mix(np.uint64(0x5851F42D4C957F2D) * np.array([i + 1], np.uint64)) | np.uint64(1) for i in range(MINIMA)]
 
         def work(batch):
             sizes, digests, signatures, minima, prefixes = [], [], [], [], []
-            for body in batch["body"]:
-                found = shingle_set(cache.of(body.as_py()), words)
+            for found in shingle_sets(batch["body"].to_pylist(), words):
                 n = len(found)
                 sizes.append(n)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                low = found[: np.searchsorted(found, np.uint64(1) << np.uint64(64 - LOW_SHIFT))]
-                signatures.append(np.append(bitmap(low, SIGNATURE_BITS), np.uint64(len(low))).tobytes())
+                signatures.append(bitmap(found, min(SIGNATURE_BITS, max(64, 1 << (2 * n - 1).bit_length()))).tobytes())
                 minima.append([int((found * s).min().view(np.int64)) for s in salts] if n else [])
                 share = n - (percent * n + 99) // 100 + 1 if n else 0
                 prefixes.append(found[:share].view(np.int64))
@@ -85,16 +81,14 @@ def shingles_of(df: DataFrame, key: str, text: str, words: int, wanted: DataFram
 
     A bitmap of fixed size thins the rows inside the scan, so texts are never shuffled.
     """
-    known = df.sparkSession.sparkContext.broadcast(id_filter(wanted))
+    known = df.sparkSession.sparkContext.broadcast(id_filter(wanted, filter_slot("id")))
 
     def make():
-        cache = WordHashes()
-
         def work(batch):
             keep = np.flatnonzero(in_filter(known.value, np.asarray(batch["slot"])))
             digests, packed = [], []
-            for i in keep:
-                data = shingle_set(cache.of(batch["body"][i].as_py()), words).tobytes()
+            for found in shingle_sets(batch["body"].take(pa.array(keep)).to_pylist(), words):
+                data = found.tobytes()
                 digests.append(xxhash.xxh3_128_digest(data))
                 packed.append(data)
             return {"id": batch["id"].take(pa.array(keep)), "digest": digests, "shingles": packed}
@@ -133,10 +127,10 @@ def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 class Tree:
     """Levels of nodes from leaves to root; node i of a level covers FANOUT nodes of the level below."""
 
-    def __init__(self, bits, excess, rest, sizes, groups):
-        level = (bits, excess, rest, sizes, sizes, groups, groups)
+    def __init__(self, bits, excess, sizes, groups, period):
+        level = (bits, excess, sizes, sizes, groups, groups, period)
         self.levels = [level]
-        joins = (np.bitwise_or, np.maximum, np.maximum, np.minimum, np.maximum, np.minimum, np.maximum)
+        joins = (np.bitwise_or, np.maximum, np.minimum, np.maximum, np.minimum, np.maximum, np.maximum)
         while len(level[1]) > 1:
             starts = np.arange(0, len(level[1]), FANOUT)
             level = tuple(join.reduceat(column, starts, axis=0) for join, column in zip(joins, level, strict=True))
@@ -146,13 +140,14 @@ class Tree:
 def possible(one, two, i, j, percent):
     """Whether some pair below nodes i and j can still be similar and is not one component already.
 
-    Shingles that two sets share set bits in both; at most ``excess`` of them share a bit
-    with another, and at most ``rest`` are outside the signature's range.
+    Shingles that two sets share set bits in both, and at most ``excess`` of a set's shingles
+    set no bit of their own. Bitmaps repeat with their ``period``, in words.
     """
-    bits1, excess1, rest1, small1, large1, low1, high1 = (c[i] for c in one)
-    bits2, excess2, rest2, small2, large2, low2, high2 = (c[j] for c in two)
+    bits1, excess1, small1, large1, low1, high1, period1 = (c[i] for c in one)
+    bits2, excess2, small2, large2, low2, high2, period2 = (c[j] for c in two)
     overlap = np.bitwise_count(bits1 & bits2).sum(axis=1, dtype=np.int64)
-    overlap += np.minimum(excess1, excess2) + np.minimum(rest1, rest2)
+    overlap = overlap * np.maximum(period1, period2) // bits1.shape[1]
+    overlap += np.minimum(excess1, excess2)
     overlap = np.minimum(overlap, np.minimum(large1, large2))
     fits = overlap * (100 + percent) >= percent * (small1 + small2)
     fits &= (large1 * 100 >= small2 * percent) & (large2 * 100 >= small1 * percent)
@@ -250,23 +245,31 @@ def sides(side: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray |
 
 
 def meeting(group: pa.Table, percent: int) -> tuple[list]:
-    """Rows of a bucket that may be similar to a row of another component, by signatures alone."""
+    """Rows of a bucket that may be similar to a row of another component, by signatures alone.
+
+    They get a bucket named by the hash of its members, so equal ones fall together.
+    """
     n = np.asarray(group["n"])
-    packed = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint64).reshape(group.num_rows, -1)
-    bits, low = packed[:, :-1], packed[:, -1].astype(np.int64)
-    excess = low - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    own = [np.frombuffer(s, np.uint64) for s in group["signature"].to_pylist()]
+    width = max(map(len, own))
+    # A narrow signature repeated to a wider width still has a bit wherever a shared shingle sets one.
+    bits = np.stack([np.tile(s, width // len(s)) for s in own])
+    excess = n - np.array([np.bitwise_count(s).sum(dtype=np.int64) for s in own])
+    period = np.array([len(s) for s in own])
     groups = np.asarray(group["component"])
     left, right = sides(np.asarray(group["side"]), n)
     if not len(left) or right is not None and not len(right):
         return [], [], []
-    trees = [None if p is None else Tree(bits[p], excess[p], (n - low)[p], n[p], groups[p]) for p in (left, right)]
+    trees = [None if p is None else Tree(bits[p], excess[p], n[p], groups[p], period[p]) for p in (left, right)]
     seen = np.zeros(group.num_rows, bool)
     for i, j in walk(*trees, percent):
         seen[left[i]] = True
         seen[(left if right is None else right)[j]] = True
     keep = np.flatnonzero(seen)
     taken = group.take(pa.array(keep))
-    return taken["bucket"].to_pylist(), taken["id"].to_pylist(), taken["digest"].to_pylist()
+    digests = taken["digest"].to_pylist()
+    name = xxhash.xxh3_64_intdigest(b"".join(sorted(digests))) - (1 << 63)
+    return [name] * len(digests), taken["id"].to_pylist(), digests
 
 
 def linked(group: pa.Table, percent: int) -> tuple[list, list]:
@@ -291,8 +294,8 @@ def linked(group: pa.Table, percent: int) -> tuple[list, list]:
     left, right = sides(np.asarray(group["side"]), n)
     made = []
     if len(left) and (right is None or len(right)):
-        rest = np.zeros(len(n), np.int64)
-        trees = [None if p is None else Tree(bits[p], excess[p], rest[p], n[p], groups[p]) for p in (left, right)]
+        period = np.full(len(n), width // 64)
+        trees = [None if p is None else Tree(bits[p], excess[p], n[p], groups[p], period[p]) for p in (left, right)]
         for i, j in walk(*trees, percent):
             i, j = left[i], (left if right is None else right)[j]
             roots = np.fromiter(map(root, range(len(ids))), np.int64, len(ids))
@@ -325,15 +328,48 @@ def verified(df, key, text, words, percent, rows: DataFrame, sizes: DataFrame) -
 
 
 def bucket_sizes(rows: DataFrame) -> DataFrame:
-    """Buckets that hold more than one component, with their rows and shingles."""
+    """Buckets that hold more than one component, with their rows and shingles; one of those with equal members."""
+    members = [F.bit_xor(F.xxhash64("digest")).alias("one"), F.bit_xor(F.xxhash64("id", "digest")).alias("two")]
     return (
         rows.groupBy("bucket")
         .agg(
             F.count("*").alias("bucket_rows"), F.sum("n").alias("bucket_shingles"),
-            F.min("component").alias("low"), F.max("component").alias("high"),
+            F.min("component").alias("low"), F.max("component").alias("high"), *members,
         )
-        .filter("low < high").drop("low", "high")
+        .filter("low < high")
+        .groupBy("one", "two", "bucket_rows", "bucket_shingles").agg(F.min("bucket").alias("bucket"))
+        .select("bucket", "bucket_rows", "bucket_shingles")
+    )
+
+
+def mixed_rows(classes: DataFrame) -> DataFrame:
+    """(bucket, id, digest, n, component) of the prefix buckets that hold more than one component.
+
+    Buckets are pre-aggregated to two labels each. A bitmap of the mixed ones thins the
+    prefixes inside the scan, so only rows of mixed buckets are shuffled whole.
+    """
+    mixed = stage(
+        classes.select("component", F.explode("prefix").alias("bucket"))
+        .groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low < high").select("bucket")
     )
+    slot = F.col("bucket").bitwiseAND(F.lit(FILTER_BITS - 1))
+    known = classes.sparkSession.sparkContext.broadcast(id_filter(mixed, slot))
+
+    def make():
+        def work(batch):
+            tokens = batch["prefix"].flatten().to_numpy()
+            owner = np.repeat(np.arange(len(batch["id"])), np.diff(batch["prefix"].offsets.to_numpy()))
+            keep = in_filter(known.value, tokens & (FILTER_BITS - 1))
+            own = pa.array(owner[keep])
+            taken = {name: batch[name].take(own) for name in ("id", "digest", "n", "component")}
+            return {"bucket": tokens[keep]} | taken
+
+        return work
+
+    source = classes.select("id", "digest", "n", "component", "prefix")
+    rows = arrow_map(source, make, "bucket long, id long, digest binary, n long, component long")
+    return rows.join(mixed, "bucket", "left_semi")
 
 
 def jaccard_components(
@@ -371,10 +407,9 @@ def jaccard_components(
         classes.drop("minima").join(found, "id", "left")
         .withColumn("component", F.coalesce("component", "id"))
     )
-    spread = merged.select(*light, F.explode("prefix").alias("bucket"))
+    spread = stage(mixed_rows(merged))
     mixed = stage(bucket_sizes(spread))
-    left = spread.select("bucket", *light).join(mixed, "bucket", "left_semi")
-    signed = dealt(left, mixed).join(merged.select("digest", "signature"), "digest")
+    signed = dealt(spread, mixed).join(merged.select("digest", "signature"), "digest")
     close = stage(
         by_group(signed, lambda group: meeting(group, percent), "bucket long, id long, digest binary").distinct()
         .join(merged.select("digest", "n", "component"), "digest")

@@ -1,31 +1,17 @@
-"""Words and word n-grams of UTF-8 text as 64-bit hashes.
+"""Words and word n-grams of UTF-8 texts as 64-bit hashes, for many texts at once.
 
-Words are runs of bytes other than space and 0x09-0x0D, with A-Z in lower case: that is
-what ``bytes.lower`` and ``bytes.split`` give, so no regular expression is run.
+Words are runs of bytes other than space and 0x09-0x0D, with A-Z in lower case. A word's
+hash is a polynomial of random values of its bytes, so differences of one running sum
+give the hashes of all words of a batch.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-CACHED_WORDS = 150_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-
-
-class WordHashes(dict):
-    """Word to hash; forgets all words when it holds CACHED_WORDS, so its memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = value
-        return value
-
-    def of(self, body: bytes | None) -> np.ndarray:
-        words = body.lower().split() if body else []
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+PART_BYTES = 1 << 20
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -34,6 +20,62 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
+def byte_values() -> tuple[np.ndarray, np.ndarray]:
+    """A value for each byte, that of a-z for A-Z, and which bytes part words."""
+    values = mix(mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[1]) ^ MULTIPLIERS[0])
+    values[65:91] = values[97:123]
+    parts = np.zeros(256, bool)
+    parts[[32, *range(9, 14)]] = True
+    return values, parts
+
+
+VALUES, PARTS = byte_values()
+_POWERS: list[np.ndarray] = []
+
+
+def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and INVERSE to the powers below ``count``."""
+    if not _POWERS or len(_POWERS[0]) < count:
+        size = max(count, 2 * PART_BYTES)
+        made = []
+        for base in (BASE, INVERSE):
+            out = np.full(size, np.uint64(base))
+            out[0] = 1
+            made.append(np.multiply.accumulate(out))
+        _POWERS[:] = made
+    return _POWERS[0][:count], _POWERS[1][:count]
+
+
+def word_hashes(bodies: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts in order, and where each text's start (one more entry)."""
+    hashes, counts = [], []
+    part: list[bytes] = []
+    size = 0
+    for body in bodies:
+        part.append(body or b"")
+        size += len(part[-1]) + 1
+        if size >= PART_BYTES:
+            hashed(part, hashes, counts)
+            part, size = [], 0
+    if part:
+        hashed(part, hashes, counts)
+    edges = np.concatenate(([0], np.cumsum(np.concatenate(counts)))) if counts else np.zeros(1, np.int64)
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), edges
+
+
+def hashed(part: list[bytes], hashes: list, counts: list) -> None:
+    data = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
+    up, down = powers(len(data))
+    between = PARTS[data]
+    before = np.concatenate(([True], between[:-1]))
+    starts, ends = np.flatnonzero(before & ~between), np.flatnonzero(between & ~before)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(VALUES[data] * up)))
+    hashes.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+    lengths = np.array([len(p) + 1 for p in part], np.int64)
+    edges = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
+    counts.append(np.diff(edges))
+
+
 def ngrams(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of ``size`` words, in order."""
     count = len(hashes) - size + 1
@@ -46,10 +88,15 @@ def ngrams(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct shingles; fewer words than ``size`` make one shingle, no words none."""
-    if len(hashes) == 0:
-        return hashes
-    if len(hashes) < size:
-        return ngrams(hashes, len(hashes)) ^ np.uint64(len(hashes))
-    return np.unique(ngrams(hashes, size))
+def shingle_sets(bodies: list[bytes | None], size: int):
+    """Each text's sorted distinct shingles; fewer words than ``size`` make one shingle, no words none."""
+    hashes, edges = word_hashes(bodies)
+    grams = ngrams(hashes, size)
+    for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if start == end:
+            yield hashes[:0]
+        elif end - start < size:
+            yield ngrams(hashes[start:end], end - start) ^ np.uint64(end - start)
+        else:
+            found = np.sort(grams[start : end - size + 1])
+            yield found[np.concatenate(([True], found[1:] != found[:-1]))]
