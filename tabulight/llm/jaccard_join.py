@@ -61,7 +61,7 @@ def describe(df: DataFrame, key: str, text: str, words: int, percent: int) -> Da
                 signatures.append(bitmap(found, min(SIGNATURE_BITS, max(64, 1 << (2 * n - 1).bit_length()))).tobytes())
                 minima.append([int((found * s).min().view(np.int64)) for s in salts] if n else [])
                 share = n - (percent * n + 99) // 100 + 1 if n else 0
-                prefixes.append(found[:share].view(np.int64))
+                prefixes.append(found[:share].view(np.int64).copy())
             return {
                 "id": batch["id"], "n": sizes, "digest": digests, "signature": signatures, "minima": minima,
                 "prefix": prefixes,
@@ -77,7 +77,7 @@ def describe(df: DataFrame, key: str, text: str, words: int, percent: int) -> Da
 
 
 def shingles_of(df: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(digest, shingles) of the classes in ``wanted`` (id, digest), straight from the texts.
+    """(digest, shingles) of the classes in ``wanted`` (id, digest), straight from the texts, dealt by digest.
 
     A bitmap of fixed size thins the rows inside the scan, so texts are never shuffled.
     """
@@ -91,7 +91,7 @@ def shingles_of(df: DataFrame, key: str, text: str, words: int, wanted: DataFram
                 data = found.tobytes()
                 digests.append(xxhash.xxh3_128_digest(data))
                 packed.append(data)
-            return {"id": batch["id"].take(pa.array(keep)), "digest": digests, "shingles": packed}
+            return {"digest": digests, "shingles": packed}
 
         return work
 
@@ -100,8 +100,8 @@ def shingles_of(df: DataFrame, key: str, text: str, words: int, wanted: DataFram
         .select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
         .withColumn("slot", filter_slot("id"))
     )
-    made = arrow_map(source, make, "id long, digest binary, shingles binary")
-    return made.join(wanted.select("id", "digest").distinct(), ["id", "digest"], "left_semi").dropDuplicates(["digest"])
+    made = arrow_map(source, make, "digest binary, shingles binary")
+    return made.join(wanted.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
 
 
 def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     blocks = F.greatest(
         F.ceil(F.col("bucket_rows") / BLOCK_ROWS), F.ceil(F.col("bucket_shingles") / BLOCK_SHINGLES)
     ).cast("int")
-    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    own = F.pmod("code", F.col("blocks")).cast("int")
     return (
         rows.join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
         .withColumn("own", own)
@@ -236,6 +236,35 @@ def by_group(rows: DataFrame, work, schema: str) -> DataFrame:
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, parsed)
 
 
+def fitting(group: pa.Table, percent: int) -> tuple[list]:
+    """Rows of a bucket with a partner of another component that their sizes and the shingle's places allow.
+
+    A shingle at place p of a set of n is the first of at most n - p that two sets share
+    if they share none before; where they do, they meet in that one's bucket too.
+    """
+    n, place, groups = (np.asarray(group[c]) for c in ("n", "place", "component"))
+    left, right = sides(np.asarray(group["side"]), n)
+    right = left if right is None else right
+    rest = n - place
+    seen = np.zeros(len(n), bool)
+    for start in range(0, len(left), 500):
+        i = left[start : start + 500][:, None]
+        j = right[None, :]
+        fits = np.minimum(rest[i], rest[j]) * (100 + percent) >= percent * (n[i] + n[j])
+        fits &= groups[i] != groups[j]
+        seen[i[fits.any(axis=1), 0]] = True
+        seen[j[0, fits.any(axis=0)]] = True
+    taken = group.filter(pa.array(seen))
+    return named(taken, "code")
+
+
+def named(taken: pa.Table, column: str) -> tuple[list]:
+    """Bucket name from the members, and the members."""
+    members = taken[column].to_pylist()
+    name = xxhash.xxh3_64_intdigest(repr(sorted(members)).encode()) - (1 << 63)
+    return [name] * len(members), members
+
+
 def sides(side: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     """Rows of either side in tree order; one block with itself has one side only."""
     place = np.argsort(order, kind="stable")
@@ -259,7 +288,7 @@ def meeting(group: pa.Table, percent: int) -> tuple[list]:
     groups = np.asarray(group["component"])
     left, right = sides(np.asarray(group["side"]), n)
     if not len(left) or right is not None and not len(right):
-        return [], [], []
+        return [], []
     trees = [None if p is None else Tree(bits[p], excess[p], n[p], groups[p], period[p]) for p in (left, right)]
     seen = np.zeros(group.num_rows, bool)
     for i, j in walk(*trees, percent):
@@ -267,9 +296,7 @@ def meeting(group: pa.Table, percent: int) -> tuple[list]:
         seen[(left if right is None else right)[j]] = True
     keep = np.flatnonzero(seen)
     taken = group.take(pa.array(keep))
-    digests = taken["digest"].to_pylist()
-    name = xxhash.xxh3_64_intdigest(b"".join(sorted(digests))) - (1 << 63)
-    return [name] * len(digests), taken["id"].to_pylist(), digests
+    return named(taken, "code")
 
 
 def linked(group: pa.Table, percent: int) -> tuple[list, list]:
@@ -321,15 +348,14 @@ def linked(group: pa.Table, percent: int) -> tuple[list, list]:
 
 def verified(df, key, text, words, percent, rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Links (a, b) found in the buckets of ``rows`` (bucket, id, digest, n, component)."""
-    wanted = rows.select("id", "digest").distinct()
-    sets = stage(shingles_of(df, key, text, words, wanted))
-    ready = dealt(rows.select("bucket", "id", "digest", "n", "component"), sizes).join(sets.drop("id"), "digest")
+    sets = shingles_of(df, key, text, words, stage(rows.select("id", "digest").distinct()))
+    ready = dealt(rows.select("bucket", "code", "id", "digest", "n", "component"), sizes).join(sets, "digest")
     return by_group(ready, lambda group: linked(group, percent), "a long, b long")
 
 
 def bucket_sizes(rows: DataFrame) -> DataFrame:
     """Buckets that hold more than one component, with their rows and shingles; one of those with equal members."""
-    members = [F.bit_xor(F.xxhash64("digest")).alias("one"), F.bit_xor(F.xxhash64("id", "digest")).alias("two")]
+    members = [F.bit_xor("code").alias("one"), F.bit_xor(F.xxhash64("code")).alias("two")]
     return (
         rows.groupBy("bucket")
         .agg(
@@ -343,7 +369,7 @@ def bucket_sizes(rows: DataFrame) -> DataFrame:
 
 
 def mixed_rows(classes: DataFrame) -> DataFrame:
-    """(bucket, id, digest, n, component) of the prefix buckets that hold more than one component.
+    """(bucket, code, n, component, place) of the prefix buckets that hold more than one component.
 
     Buckets are pre-aggregated to two labels each. A bitmap of the mixed ones thins the
     prefixes inside the scan, so only rows of mixed buckets are shuffled whole.
@@ -359,16 +385,17 @@ def mixed_rows(classes: DataFrame) -> DataFrame:
     def make():
         def work(batch):
             tokens = batch["prefix"].flatten().to_numpy()
-            owner = np.repeat(np.arange(len(batch["id"])), np.diff(batch["prefix"].offsets.to_numpy()))
+            edges = batch["prefix"].offsets.to_numpy() - batch["prefix"].offsets[0].as_py()
+            owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
             keep = in_filter(known.value, tokens & (FILTER_BITS - 1))
             own = pa.array(owner[keep])
-            taken = {name: batch[name].take(own) for name in ("id", "digest", "n", "component")}
-            return {"bucket": tokens[keep]} | taken
+            taken = {name: batch[name].take(own) for name in ("code", "n", "component")}
+            return {"bucket": tokens[keep], "place": (np.arange(len(tokens)) - edges[owner])[keep]} | taken
 
         return work
 
-    source = classes.select("id", "digest", "n", "component", "prefix")
-    rows = arrow_map(source, make, "bucket long, id long, digest binary, n long, component long")
+    source = classes.select("code", "n", "component", "prefix")
+    rows = arrow_map(source, make, "bucket long, code long, n long, component long, place int")
     return rows.join(mixed, "bucket", "left_semi")
 
 
@@ -385,34 +412,39 @@ def jaccard_components(
     every = stage(describe(df, key, text, words, percent))
     part = every.filter("n > 0 and id is not null")
     classes = stage(
-        part.groupBy("digest")
-        .agg(F.min(F.struct("id", "n", "signature", "minima", "prefix")).alias("first"))
-        .select("digest", "first.*")
+        part.groupBy("digest").agg(F.min(F.struct("id", "n", "minima")).alias("first"))
+        .select("digest", "first.*", F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long").alias("code"))
     )
-    start = classes.withColumn("component", F.col("id"))
     copies = part.select("id", "digest").join(classes.select("digest", F.col("id").alias("b")), "digest")
     links = copies.select(F.col("id").alias("a"), "b").filter("a <> b")
 
-    light = ["id", "digest", "n", "component"]
+    light = ["id", "digest", "code", "n", F.col("id").alias("component")]
     near = stage(
-        start.select(*light, F.posexplode("minima").alias("which", "value"))
-        .select(F.xxhash64("which", "value").alias("bucket"), *light)
+        classes.select(*light, F.posexplode("minima").alias("which", "value"))
+        .select(F.xxhash64("which", "value").alias("bucket"), "id", "digest", "code", "n", "component")
     )
     sizes = stage(bucket_sizes(near))
     families = near.join(sizes, "bucket", "left_semi")
     links = stage(links.unionByName(verified(df, key, text, words, percent, families, sizes)).distinct())
     found = components(links)
 
+    known = stage(
+        classes.drop("minima").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    )
     merged = stage(
-        classes.drop("minima").join(found, "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
+        part.select("digest", "id", "prefix").groupBy("digest").agg(F.min(F.struct("id", "prefix")).alias("first"))
+        .select("digest", "first.prefix").join(known.select("digest", "code", "n", "component"), "digest")
+        .drop("digest")
     )
+    about = known.select("code", "id", "digest", "n", "component")
     spread = stage(mixed_rows(merged))
-    mixed = stage(bucket_sizes(spread))
-    signed = dealt(spread, mixed).join(merged.select("digest", "signature"), "digest")
+    fit = by_group(dealt(spread, stage(bucket_sizes(spread))), lambda g: fitting(g, percent), "bucket long, code long")
+    fit = stage(fit.distinct().join(about, "code"))
+    mixed = stage(bucket_sizes(fit))
+    signs = part.select("digest", "signature").dropDuplicates(["digest"])
+    signed = dealt(fit, mixed).join(signs, "digest")
     close = stage(
-        by_group(signed, lambda group: meeting(group, percent), "bucket long, id long, digest binary").distinct()
-        .join(merged.select("digest", "n", "component"), "digest")
+        by_group(signed, lambda group: meeting(group, percent), "bucket long, code long").distinct().join(about, "code")
     )
     late = stage(bucket_sizes(close))
     more = stage(verified(df, key, text, words, percent, close.join(late, "bucket", "left_semi"), late))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, pieces, quality
+from . import decontaminate, jaccard_join, language_id, lm_scoring, pieces, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op2_benchmark_decontamination(spark, root):
     return decontaminate.contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
+@query()
+def op4_lm_scoring(spark, root):
+    return lm_scoring.lm_score(table(spark, root, "documents"))
+
+
 @query()
 def op5_quality(spark, root):
     return quality.quality(table(spark, root, "documents"), table(spark, root, "labels"))

@@ -46,34 +46,31 @@ def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:count], _POWERS[1][:count]
 
 
-def word_hashes(bodies: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of all texts in order, and where each text's start (one more entry)."""
-    hashes, counts = [], []
+def text_parts(bodies: list[bytes | None]):
+    """Runs of texts of about PART_BYTES, or one longer text, so that arrays over their words stay small."""
     part: list[bytes] = []
     size = 0
     for body in bodies:
         part.append(body or b"")
         size += len(part[-1]) + 1
         if size >= PART_BYTES:
-            hashed(part, hashes, counts)
+            yield part
             part, size = [], 0
     if part:
-        hashed(part, hashes, counts)
-    edges = np.concatenate(([0], np.cumsum(np.concatenate(counts)))) if counts else np.zeros(1, np.int64)
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), edges
+        yield part
 
 
-def hashed(part: list[bytes], hashes: list, counts: list) -> None:
+def word_hashes(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts in order, and where each text's start (one more entry)."""
     data = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
     up, down = powers(len(data))
     between = PARTS[data]
     before = np.concatenate(([True], between[:-1]))
     starts, ends = np.flatnonzero(before & ~between), np.flatnonzero(between & ~before)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(VALUES[data] * up)))
-    hashes.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     lengths = np.array([len(p) + 1 for p in part], np.int64)
-    edges = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
-    counts.append(np.diff(edges))
+    return hashes, np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
 
 
 def ngrams(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -90,13 +87,14 @@ def ngrams(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def shingle_sets(bodies: list[bytes | None], size: int):
     """Each text's sorted distinct shingles; fewer words than ``size`` make one shingle, no words none."""
-    hashes, edges = word_hashes(bodies)
-    grams = ngrams(hashes, size)
-    for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if start == end:
-            yield hashes[:0]
-        elif end - start < size:
-            yield ngrams(hashes[start:end], end - start) ^ np.uint64(end - start)
-        else:
-            found = np.sort(grams[start : end - size + 1])
-            yield found[np.concatenate(([True], found[1:] != found[:-1]))]
+    for part in text_parts(bodies):
+        hashes, edges = word_hashes(part)
+        grams = ngrams(hashes, size)
+        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if start == end:
+                yield hashes[:0]
+            elif end - start < size:
+                yield ngrams(hashes[start:end], end - start) ^ np.uint64(end - start)
+            else:
+                found = np.sort(grams[start : end - size + 1])
+                yield found[np.concatenate(([True], found[1:] != found[:-1]))]
