@@ -29,11 +29,13 @@ from pyspark.sql.types import StructType
 
 from .components import components
 from .frames import FILTER_BITS, arrow_map, filter_slot, id_filter, in_filter, stage, to_batch
-from .words import mix, shingle_sets
+from .words import mix, shingle_sets, text_parts, word_hashes
 
 SIGNATURE_BITS = 1 << 13  # most bits of a signature; a set of n shingles has about n
 MINIMA = 3
-BLOCK_ROWS, BLOCK_SHINGLES = 1000, 500_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1500, 700_000
+LIGHT_ROWS = 6000
+COMMON, COUNTED = 100_000, 8
 FANOUT = 8
 CHUNK = 1 << 15
 
@@ -46,7 +48,38 @@ def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def describe(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+def common_words(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words that make up at least 1/COMMON of all words, and a weight by their logarithm.
+
+    At most COMMON words can. Each batch of texts counts its own words and passes on those
+    it has COUNTED times; so counts are slightly low, which moves cost but no result: any
+    one order of all shingles is right for the prefix filter.
+    """
+
+    def make():
+        def work(batch):
+            tokens = np.concatenate([word_hashes(part)[0] for part in text_parts(batch["body"].to_pylist())])
+            kinds, counts = np.unique(tokens, return_counts=True)
+            keep = counts >= COUNTED
+            return {
+                "word": np.append(kinds[keep].view(np.int64), 0), "times": np.append(counts[keep], len(tokens)),
+                "total": np.append(np.zeros(int(keep.sum()), bool), True),
+            }
+
+        return work
+
+    rows = arrow_map(df.select(F.col(text).cast("binary").alias("body")), make, "word long, times long, total boolean")
+    sums = stage(rows.groupBy("word", "total").agg(F.sum("times").alias("times")))
+    total = sums.filter("total").first()
+    least = total["times"] / COMMON if total else 1
+    found = sums.filter(~F.col("total") & (F.col("times") >= least)).select("word", "times").toArrow()
+    keys, times = found["word"].to_numpy().view(np.uint64), found["times"].to_numpy()
+    order = np.argsort(keys)
+    weights = np.clip(np.round(4 * np.log2(np.maximum(times / max(least, 1e-9), 1)) + 1), 1, 63).astype(np.int64)
+    return keys[order], weights[order]
+
+
+def describe(df: DataFrame, key: str, text: str, words: int, percent: int, common) -> DataFrame:
     """(id, n, digest, signature, minima, prefix) for every row."""
 
     def make():
@@ -54,7 +87,7 @@ def describe(df: DataFrame, key: str, text: str, words: int, percent: int) -> Da
 
         def work(batch):
             sizes, digests, signatures, minima, prefixes = [], [], [], [], []
-            for found in shingle_sets(batch["body"].to_pylist(), words):
+            for found in shingle_sets(batch["body"].to_pylist(), words, common.value):
                 n = len(found)
                 sizes.append(n)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
@@ -76,7 +109,7 @@ def describe(df: DataFrame, key: str, text: str, words: int, percent: int) -> Da
     )
 
 
-def shingles_of(df: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
+def shingles_of(df: DataFrame, key: str, text: str, words: int, common, wanted: DataFrame) -> DataFrame:
     """(digest, shingles) of the classes in ``wanted`` (id, digest), straight from the texts, dealt by digest.
 
     A bitmap of fixed size thins the rows inside the scan, so texts are never shuffled.
@@ -87,7 +120,7 @@ def shingles_of(df: DataFrame, key: str, text: str, words: int, wanted: DataFram
         def work(batch):
             keep = np.flatnonzero(in_filter(known.value, np.asarray(batch["slot"])))
             digests, packed = [], []
-            for found in shingle_sets(batch["body"].take(pa.array(keep)).to_pylist(), words):
+            for found in shingle_sets(batch["body"].take(pa.array(keep)).to_pylist(), words, common.value):
                 data = found.tobytes()
                 digests.append(xxhash.xxh3_128_digest(data))
                 packed.append(data)
@@ -104,24 +137,30 @@ def shingles_of(df: DataFrame, key: str, text: str, words: int, wanted: DataFram
     return made.join(wanted.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
 
 
-def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``rows`` (bucket, id, digest, n, …) dealt to pairs of blocks; ``sizes`` has rows and shingles of a bucket.
+def dealt(rows: DataFrame, sizes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``rows`` (bucket, code, n, …) dealt to pairs of blocks; ``sizes`` has rows and shingles of a bucket.
 
     A bucket of one block is one group. A larger one has a group for each pair of its
     blocks; ``side`` says which of the two a row is in (both, if the pair is one block).
     """
-    blocks = F.greatest(
-        F.ceil(F.col("bucket_rows") / BLOCK_ROWS), F.ceil(F.col("bucket_shingles") / BLOCK_SHINGLES)
-    ).cast("int")
-    own = F.pmod("code", F.col("blocks")).cast("int")
-    return (
-        rows.join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = F.ceil(F.col("bucket_rows") / block_rows)
+    if block_rows == BLOCK_ROWS:
+        blocks = F.greatest(blocks, F.ceil(F.col("bucket_shingles") / BLOCK_SHINGLES))
+    known = sizes.select("bucket", blocks.cast("int").alias("blocks"))
+    zero = F.lit(0)
+    small = (
+        rows.join(known.filter("blocks = 1").select("bucket"), "bucket")
+        .withColumns({"first": zero, "second": zero, "side": F.lit(2)})
+    )
+    large = (
+        rows.join(known.filter("blocks > 1"), "bucket")
+        .withColumn("own", F.pmod("code", F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
         .withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
         .withColumn("side", F.when(F.col("first") == F.col("second"), 2).when(F.col("own") == F.col("first"), 0).otherwise(1))
         .drop("blocks", "own", "other")
     )
+    return small.unionByName(large)
 
 
 class Tree:
@@ -346,9 +385,9 @@ def linked(group: pa.Table, percent: int) -> tuple[list, list]:
     return list(places), [firsts[root(at)] for at in places.values()]
 
 
-def verified(df, key, text, words, percent, rows: DataFrame, sizes: DataFrame) -> DataFrame:
+def verified(df, key, text, words, percent, common, rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Links (a, b) found in the buckets of ``rows`` (bucket, id, digest, n, component)."""
-    sets = shingles_of(df, key, text, words, stage(rows.select("id", "digest").distinct()))
+    sets = shingles_of(df, key, text, words, common, stage(rows.select("id", "digest").distinct()))
     ready = dealt(rows.select("bucket", "code", "id", "digest", "n", "component"), sizes).join(sets, "digest")
     return by_group(ready, lambda group: linked(group, percent), "a long, b long")
 
@@ -409,7 +448,8 @@ def jaccard_components(
     document: each of their sets is compared, and all are in one component. Other
     columns of ``df`` play no part. An empty table gives an empty result.
     """
-    every = stage(describe(df, key, text, words, percent))
+    common = df.sparkSession.sparkContext.broadcast(common_words(df, text))
+    every = stage(describe(df, key, text, words, percent, common))
     part = every.filter("n > 0 and id is not null")
     classes = stage(
         part.groupBy("digest").agg(F.min(F.struct("id", "n", "minima")).alias("first"))
@@ -425,7 +465,7 @@ def jaccard_components(
     )
     sizes = stage(bucket_sizes(near))
     families = near.join(sizes, "bucket", "left_semi")
-    links = stage(links.unionByName(verified(df, key, text, words, percent, families, sizes)).distinct())
+    links = stage(links.unionByName(verified(df, key, text, words, percent, common, families, sizes)).distinct())
     found = components(links)
 
     known = stage(
@@ -438,7 +478,7 @@ def jaccard_components(
     )
     about = known.select("code", "id", "digest", "n", "component")
     spread = stage(mixed_rows(merged))
-    fit = by_group(dealt(spread, stage(bucket_sizes(spread))), lambda g: fitting(g, percent), "bucket long, code long")
+    fit = by_group(dealt(spread, stage(bucket_sizes(spread)), LIGHT_ROWS), lambda g: fitting(g, percent), "bucket long, code long")
     fit = stage(fit.distinct().join(about, "code"))
     mixed = stage(bucket_sizes(fit))
     signs = part.select("digest", "signature").dropDuplicates(["digest"])
@@ -447,7 +487,7 @@ def jaccard_components(
         by_group(signed, lambda group: meeting(group, percent), "bucket long, code long").distinct().join(about, "code")
     )
     late = stage(bucket_sizes(close))
-    more = stage(verified(df, key, text, words, percent, close.join(late, "bucket", "left_semi"), late))
+    more = stage(verified(df, key, text, words, percent, common, close.join(late, "bucket", "left_semi"), late))
     if more.limit(1).count():
         found = components(links.unionByName(more))
     return every.join(found, "id", "left").select(

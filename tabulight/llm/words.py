@@ -85,11 +85,21 @@ def ngrams(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def shingle_sets(bodies: list[bytes | None], size: int):
-    """Each text's sorted distinct shingles; fewer words than ``size`` make one shingle, no words none."""
+def shingle_sets(bodies: list[bytes | None], size: int, common: tuple[np.ndarray, np.ndarray]):
+    """Each text's sorted distinct shingles; fewer words than ``size`` make one shingle, no words none.
+
+    ``common`` has sorted word hashes and a weight for each; the sum of a shingle's weights
+    is its top byte, so shingles of rare words sort first.
+    """
+    keys, weights = common
     for part in text_parts(bodies):
         hashes, edges = word_hashes(part)
         grams = ngrams(hashes, size)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.where(keys[at] == hashes, weights[at], 0))))
+            rank = np.minimum(sums[size:] - sums[:-size], 255) if len(grams) else np.zeros(0, np.int64)
+            grams = (grams >> np.uint64(8)) | (rank.astype(np.uint64) << np.uint64(56))
         for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if start == end:
                 yield hashes[:0]
