@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, lm_scoring, pieces, quality
+from . import (
+    decontaminate, jaccard_join, kd_search, language_id, licenses, lm_scoring, pieces, quality, transcripts, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +101,54 @@ def op10_sentencepiece(spark, root):
         F.sha2(F.array_join("token_ids", ",").cast("binary"), 256).alias("ids_digest"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
+
+
+WARC_SQL = """
+WITH pages AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest FROM pages
+), heads AS (
+  SELECT payload_digest AS d, min(page_id) AS first FROM pages WHERE payload_bytes >= 100 GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM pages LEFT JOIN heads ON d = payload_digest
+"""
+
+
+@query(WARC_SQL)
+def op7_warc(spark, root):
+    return warc.round_trip(table(spark, root, "pages")).drop("url")
+
+
+TOP_K_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query(TOP_K_SQL)
+def op3_exact_topk(spark, root):
+    vectors = table(spark, root, "embeddings")
+    return kd_search.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query(licenses.scan_sql())
+def op1_license_scan(spark, root):
+    return licenses.scan(table(spark, root, "documents"), licenses.known_digests(spark))
+
+
+@query()
+def op8_chat_format(spark, root):
+    return transcripts.chat_format(table(spark, root, "conversations"))
