@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from .frames import arrow_filter, arrow_map, stage
 from .sampling import bounded_sample, fold, held_out
-from .words import mix
+from .words import mix, text_parts
 
 ORDER = 5
 SPACE = 32
 SAMPLE_ROWS, SAMPLE_BYTES = 300, 2_000_000
-PIECE = 1 << 18  # characters scored at once
+PIECE = 1 << 17  # characters scored at once
 STEP = np.uint64(0x9E3779B97F4A7C15)
 _TABLES: list[np.ndarray] = []
 
@@ -285,7 +285,13 @@ def identify(df: DataFrame, models: Models | None, key: str = "doc_id", text: st
 
 
 def judged(models: Models | None, bodies: list) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Language, score, cross-entropy and acceptance of each text."""
+    """Language, score, cross-entropy and acceptance of each text; about PART_BYTES of text at once."""
+    made = [judged_part(models, part) for part in text_parts(bodies)]
+    names = [name for part in made for name in part[0]]
+    return names, *(np.concatenate([part[i] for part in made]) for i in (1, 2, 3))
+
+
+def judged_part(models: Models | None, bodies: list) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     texts = [letters(b) for b in bodies]
     has = np.array([len(t) > 0 for t in texts], bool) & (models is not None)
     if models is None:
