@@ -43,8 +43,22 @@ def keyed_text(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict | None]], schema: str) -> DataFrame:
-    """Run a batch function over Arrow batches.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Row_batches, size: int | None = SLICE_BYTES) -> Row_batches:
+    """Batches in slices of about ``size`` bytes, so that what is made of one stays small."""
+    for batch in batches:
+        rows = batch.num_rows
+        step = rows if size is None else max(1, rows * size // max(1, batch.nbytes))
+        for start in range(0, rows, step or 1):
+            yield batch.slice(start, step)
+
+
+def arrow_map(
+    df: DataFrame, make: Callable[[], Callable[[dict], dict | None]], schema: str, size: int | None = SLICE_BYTES
+) -> DataFrame:
+    """Run a batch function over slices of Arrow batches.
 
     ``make`` is called once a task and returns the batch function; that gets Python
     lists by column and returns lists or arrays by output column (None: no rows).
@@ -54,9 +68,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict | None]],
 
     def run(batches: Row_batches) -> Row_batches:
         work = make()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices(batches, size):
             out = work({n: batch.column(i) for i, n in enumerate(batch.schema.names)})
             if out is not None:
                 yield to_batch(out, target)
@@ -69,12 +81,11 @@ def arrow_filter(df: DataFrame, text: str, make: Callable[[], Callable[[list], n
 
     def run(batches: Row_batches) -> Row_batches:
         keep = make()
-        for batch in batches:
-            if batch.num_rows:
-                last = batch.num_columns - 1
-                mask = keep(batch.column(last).to_pylist())
-                kept = pa.RecordBatch.from_arrays(batch.columns[:last], names=batch.schema.names[:last])
-                yield kept.filter(pa.array(np.asarray(mask, bool)))
+        for batch in slices(batches):
+            last = batch.num_columns - 1
+            mask = keep(batch.column(last).to_pylist())
+            kept = pa.RecordBatch.from_arrays(batch.columns[:last], names=batch.schema.names[:last])
+            yield kept.filter(pa.array(np.asarray(mask, bool)))
 
     body = F.col(text).cast("binary").alias("__body")
     return df.select("*", body).mapInArrow(run, df.schema)

@@ -37,6 +37,7 @@ BLOCK_ROWS, BLOCK_SHINGLES = 1500, 700_000
 LIGHT_ROWS = 6000
 COMMON, COUNTED = 100_000, 8
 FANOUT = 8
+CHUNK_BYTES = 4 << 20  # bitmaps compared at once
 CHUNK = 1 << 15
 
 
@@ -177,6 +178,13 @@ class Tree:
 
 
 def possible(one, two, i, j, percent):
+    """``fitting_nodes`` for any number of pairs, as many at once as CHUNK_BYTES of bitmaps allow."""
+    step = max(1, CHUNK_BYTES // (8 * one[0].shape[1]))
+    parts = [fitting_nodes(one, two, i[a : a + step], j[a : a + step], percent) for a in range(0, len(i), step)]
+    return np.concatenate(parts)
+
+
+def fitting_nodes(one, two, i, j, percent):
     """Whether some pair below nodes i and j can still be similar and is not one component already.
 
     Shingles that two sets share set bits in both, and at most ``excess`` of a set's shingles
@@ -285,23 +293,53 @@ def fitting(group: pa.Table, percent: int) -> tuple[list]:
     left, right = sides(np.asarray(group["side"]), n)
     right = left if right is None else right
     rest = n - place
-    seen = np.zeros(len(n), bool)
+    pairs = Pairs(group["code"])
     for start in range(0, len(left), 500):
         i = left[start : start + 500][:, None]
         j = right[None, :]
         fits = np.minimum(rest[i], rest[j]) * (100 + percent) >= percent * (n[i] + n[j])
         fits &= groups[i] != groups[j]
-        seen[i[fits.any(axis=1), 0]] = True
-        seen[j[0, fits.any(axis=0)]] = True
-    taken = group.filter(pa.array(seen))
-    return named(taken, "code")
+        a, b = np.nonzero(fits)
+        pairs.add(i[a, 0], j[0, b])
+    return pairs.buckets()
+
 
+class Pairs:
+    """Pairs of rows that may be similar, given on as buckets named by their members.
+
+    While there are no more pairs than rows, each pair is a bucket, so that a pair that
+    meets in many buckets is one in the end; else all rows in pairs are one bucket.
+    """
 
-def named(taken: pa.Table, column: str) -> tuple[list]:
+    def __init__(self, codes: pa.ChunkedArray):
+        self.codes = np.asarray(codes)
+        self.seen = np.zeros(len(self.codes), bool)
+        self.found: set[tuple[int, int]] | None = set()
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.seen[i] = True
+        self.seen[j] = True
+        if self.found is not None and len(i) <= 2 * len(self.codes):
+            one, two = self.codes[i], self.codes[j]
+            self.found.update(zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist(), strict=True))
+        if len(i) > 2 * len(self.codes) or self.found is not None and len(self.found) > len(self.codes):
+            self.found = None
+
+    def buckets(self) -> tuple[list, list]:
+        if self.found is None:
+            return named(self.codes[self.seen].tolist())
+        names, members = [], []
+        for pair in self.found:
+            name, both = named(pair)
+            names += name
+            members += both
+        return names, members
+
+
+def named(members) -> tuple[list, list]:
     """Bucket name from the members, and the members."""
-    members = taken[column].to_pylist()
-    name = xxhash.xxh3_64_intdigest(repr(sorted(members)).encode()) - (1 << 63)
-    return [name] * len(members), members
+    members = sorted(members)
+    return [xxhash.xxh3_64_intdigest(repr(members).encode()) - (1 << 63)] * len(members), members
 
 
 def sides(side: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
@@ -329,13 +367,10 @@ def meeting(group: pa.Table, percent: int) -> tuple[list]:
     if not len(left) or right is not None and not len(right):
         return [], []
     trees = [None if p is None else Tree(bits[p], excess[p], n[p], groups[p], period[p]) for p in (left, right)]
-    seen = np.zeros(group.num_rows, bool)
+    pairs = Pairs(group["code"])
     for i, j in walk(*trees, percent):
-        seen[left[i]] = True
-        seen[(left if right is None else right)[j]] = True
-    keep = np.flatnonzero(seen)
-    taken = group.take(pa.array(keep))
-    return named(taken, "code")
+        pairs.add(left[i], (left if right is None else right)[j])
+    return pairs.buckets()
 
 
 def linked(group: pa.Table, percent: int) -> tuple[list, list]:
@@ -385,13 +420,33 @@ def linked(group: pa.Table, percent: int) -> tuple[list, list]:
     return list(places), [firsts[root(at)] for at in places.values()]
 
 
-def verified(df, key, text, words, percent, common, rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Links (a, b) found in the buckets of ``rows`` (bucket, id, digest, n, component)."""
+def verified(df, key, text, words, percent, common, rows: DataFrame, sizes: DataFrame, whole=True) -> DataFrame:
+    """Links (a, b) found in the buckets of ``rows`` (bucket, id, digest, n, component); not ``whole``: one block each."""
     sets = shingles_of(df, key, text, words, common, stage(rows.select("id", "digest").distinct()))
-    ready = dealt(rows.select("bucket", "code", "id", "digest", "n", "component"), sizes).join(sets, "digest")
+    light = rows.select("bucket", "code", "id", "digest", "n", "component")
+    one = {"first": F.lit(0), "second": F.lit(0), "side": F.lit(2)}
+    ready = (dealt(light, sizes) if whole else light.withColumns(one)).join(sets, "digest")
     return by_group(ready, lambda group: linked(group, percent), "a long, b long")
 
 
+def family_rows(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and sizes of the minimum-hash buckets; a large bucket is cut into blocks that are buckets of their own.
+
+    Blocks are cut differently for each minimum, so what one cut parts another joins; what
+    all of them part is left to the exact buckets.
+    """
+    sizes = stage(
+        near.groupBy("bucket")
+        .agg(F.count("*").alias("bucket_rows"), F.sum("n").alias("bucket_shingles")).filter("bucket_rows > 1")
+    )
+    blocks = F.greatest(F.ceil(F.col("bucket_rows") / BLOCK_ROWS), F.ceil(F.col("bucket_shingles") / BLOCK_SHINGLES))
+    block = F.pmod(F.xxhash64("code", "bucket"), blocks)
+    cut = near.join(sizes, "bucket").withColumn(
+        "bucket", F.when(blocks > 1, F.xxhash64("bucket", block)).otherwise(F.col("bucket"))
+    ).drop("bucket_rows", "bucket_shingles")
+    return cut, stage(bucket_sizes(cut))
+
+
 def bucket_sizes(rows: DataFrame) -> DataFrame:
     """Buckets that hold more than one component, with their rows and shingles; one of those with equal members."""
     members = [F.bit_xor("code").alias("one"), F.bit_xor(F.xxhash64("code")).alias("two")]
@@ -463,9 +518,9 @@ def jaccard_components(
         classes.select(*light, F.posexplode("minima").alias("which", "value"))
         .select(F.xxhash64("which", "value").alias("bucket"), "id", "digest", "code", "n", "component")
     )
-    sizes = stage(bucket_sizes(near))
+    near, sizes = family_rows(near)
     families = near.join(sizes, "bucket", "left_semi")
-    links = stage(links.unionByName(verified(df, key, text, words, percent, common, families, sizes)).distinct())
+    links = stage(links.unionByName(verified(df, key, text, words, percent, common, families, sizes, whole=False)).distinct())
     found = components(links)
 
     known = stage(

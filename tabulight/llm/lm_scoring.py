@@ -153,7 +153,7 @@ def packed_counts(texts: DataFrame, shards: int) -> DataFrame:
 
         return work
 
-    return arrow_map(texts.select("body"), make, "kind int, shard int, grams binary, counts binary")
+    return arrow_map(texts.select("body"), make, "kind int, shard int, grams binary, counts binary", 64 << 20)
 
 
 def merged_counts(packed: DataFrame) -> DataFrame:
@@ -370,7 +370,7 @@ def base_scores(texts: DataFrame, counted: DataFrame, shards: int, tokens: int,
     packed = arrow_map(
         texts.select("id", "digest", "body"), split,
         "shard int, kind int, grams binary, counts binary, ids array<long>, digests array<long>, "
-        "n_known array<long>, sum array<double>",
+        "n_known array<long>, sum array<double>", 64 << 20,
     )
     none = F.lit(None)
     tables = words.select(
