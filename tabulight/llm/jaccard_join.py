@@ -32,6 +32,7 @@ from .frames import FILTER_BITS, arrow_map, filter_slot, id_filter, in_filter, s
 from .words import mix, shingle_sets, text_parts, word_hashes
 
 SIGNATURE_BITS = 1 << 13  # most bits of a signature; a set of n shingles has about n
+WIDE = 4  # how many times more bits the wide signature has
 MINIMA = 3
 BLOCK_ROWS, BLOCK_SHINGLES = 1500, 700_000
 LIGHT_ROWS = 6000
@@ -87,17 +88,20 @@ def describe(df: DataFrame, key: str, text: str, words: int, percent: int, commo
         salts = [mix(np.uint64(0x5851F42D4C957F2D) * np.array([i + 1], np.uint64)) | np.uint64(1) for i in range(MINIMA)]
 
         def work(batch):
-            sizes, digests, signatures, minima, prefixes = [], [], [], [], []
+            sizes, digests, signatures, wides, minima, prefixes = [], [], [], [], [], []
             for found in shingle_sets(batch["body"].to_pylist(), words, common.value):
                 n = len(found)
                 sizes.append(n)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                signatures.append(bitmap(found, min(SIGNATURE_BITS, max(64, 1 << (2 * n - 1).bit_length()))).tobytes())
+                bits = min(SIGNATURE_BITS, max(64, 1 << (n - 1).bit_length()))
+                wide = bitmap(found, WIDE * bits)
+                signatures.append(np.bitwise_or.reduce(wide.reshape(WIDE, -1), axis=0).tobytes())
+                wides.append(wide.tobytes())
                 minima.append([int((found * s).min().view(np.int64)) for s in salts] if n else [])
                 share = n - (percent * n + 99) // 100 + 1 if n else 0
                 prefixes.append(found[:share].view(np.int64).copy())
             return {
-                "id": batch["id"], "n": sizes, "digest": digests, "signature": signatures, "minima": minima,
+                "id": batch["id"], "n": sizes, "digest": digests, "signature": signatures, "wide": wides, "minima": minima,
                 "prefix": prefixes,
             }
 
@@ -106,7 +110,7 @@ def describe(df: DataFrame, key: str, text: str, words: int, percent: int, commo
     source = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
     return arrow_map(
         source, make,
-        "id long, n long, digest binary, signature binary, minima array<long>, prefix array<long>",
+        "id long, n long, digest binary, signature binary, wide binary, minima array<long>, prefix array<long>",
     )
 
 
@@ -350,13 +354,13 @@ def sides(side: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray |
     return place[side[place] == 0], place[side[place] == 1]
 
 
-def meeting(group: pa.Table, percent: int) -> tuple[list]:
+def meeting(group: pa.Table, percent: int, column: str) -> tuple[list]:
     """Rows of a bucket that may be similar to a row of another component, by signatures alone.
 
     They get a bucket named by the hash of its members, so equal ones fall together.
     """
     n = np.asarray(group["n"])
-    own = [np.frombuffer(s, np.uint64) for s in group["signature"].to_pylist()]
+    own = [np.frombuffer(s, np.uint64) for s in group[column].to_pylist()]
     width = max(map(len, own))
     # A narrow signature repeated to a wider width still has a bit wherever a shared shingle sets one.
     bits = np.stack([np.tile(s, width // len(s)) for s in own])
@@ -535,12 +539,14 @@ def jaccard_components(
     spread = stage(mixed_rows(merged))
     fit = by_group(dealt(spread, stage(bucket_sizes(spread)), LIGHT_ROWS), lambda g: fitting(g, percent), "bucket long, code long")
     fit = stage(fit.distinct().join(about, "code"))
-    mixed = stage(bucket_sizes(fit))
-    signs = part.select("digest", "signature").dropDuplicates(["digest"])
-    signed = dealt(fit, mixed).join(signs, "digest")
-    close = stage(
-        by_group(signed, lambda group: meeting(group, percent), "bucket long, code long").distinct().join(about, "code")
-    )
+    close = fit
+    for column in ("signature", "wide"):
+        mixed = stage(bucket_sizes(close))
+        signs = part.select("digest", column).dropDuplicates(["digest"])
+        wanted = stage(close.join(mixed, "bucket", "left_semi").select("digest").distinct())
+        signed = dealt(close, mixed).join(signs.join(wanted, "digest", "left_semi"), "digest")
+        close = by_group(signed, lambda g, c=column: meeting(g, percent, c), "bucket long, code long")
+        close = stage(close.distinct().join(about, "code"))
     late = stage(bucket_sizes(close))
     more = stage(verified(df, key, text, words, percent, common, close.join(late, "bucket", "left_semi"), late))
     if more.limit(1).count():
