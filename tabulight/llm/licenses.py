@@ -78,9 +78,9 @@ def canonical(text: Column) -> Column:
     return F.replace(form, F.lit("  "), F.lit(" "))
 
 
-def squeezed(form: Column) -> Column:
-    """The canonical form as one line."""
-    return F.trim(F.regexp_replace(form, " *\n *", " "))
+def words_by_line(form: Column) -> Column:
+    """The lines of a canonical form that have words."""
+    return F.filter(F.transform(F.split(form, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def digest(form: Column) -> Column:
@@ -95,14 +95,10 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
 
 def known_from(rows: DataFrame) -> DataFrame:
     """(digest, license_id) of a table of (license_id, text)."""
-    made = rows.select("license_id", digest(one_blank(squeezed(canonical(F.col("text"))))).alias("digest"))
+    made = rows.select("license_id", digest(F.array_join(words_by_line(canonical(F.col("text"))), " ")).alias("digest"))
     return made.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def one_blank(form: Column) -> Column:
-    return F.regexp_replace(form, "  +", " ")
-
-
 def scan(df: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text_digest, license_id, n_notices, notice_ids) for each row of ``df``.
 
@@ -111,13 +107,11 @@ def scan(df: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text
     no digest and match nothing. Rows with null or repeated keys are rows like others.
     The licences are broadcast while a count proves there are at most MOST_KNOWN.
     """
-    form = canonical(F.col(text))
-    lines = F.array_distinct(F.transform(F.split(form, "\n"), lambda line: one_blank(F.trim(line))))
-    rows = df.select(F.col(key).cast("long").alias("id"), form.alias("form"), lines.alias("lines"))
-    units = F.transform(F.filter("lines", lambda line: line != ""), lambda line: F.unhex(F.substring(F.sha2(line.cast("binary"), 256), 1, 32)))
-    light = stage(
-        rows.select("id", digest(one_blank(squeezed(F.col("form")))).alias("text_digest"), units.alias("units"))
-    )
+    lines = words_by_line(canonical(F.col(text)))
+    rows = df.select(F.col(key).cast("long").alias("id"), lines.alias("lines"))
+    units = F.transform("lines", lambda line: F.unhex(F.substring(F.sha2(line.cast("binary"), 256), 1, 32)))
+    whole = digest(F.array_join("lines", " "))
+    light = stage(rows.select("id", whole.alias("text_digest"), F.array_distinct(units).alias("units")))
     listed = stage(known)
     few = F.broadcast if listed.count() <= MOST_KNOWN else (lambda frame: frame)
     by_line = listed.select(F.unhex(F.substring("digest", 1, 32)).alias("unit"), F.col("license_id").alias("notice"))

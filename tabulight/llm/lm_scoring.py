@@ -39,7 +39,7 @@ HOT_SHARE = 20_000
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 LEVELS = np.unique(np.ceil(1.25 ** np.arange(190)).astype(np.int64))  # lowest count of each level
 COUNTS = np.concatenate(([0.0], np.sqrt(LEVELS * np.maximum(LEVELS, np.append(LEVELS[1:], LEVELS[-1]) - 1.0))))
-TOKENS_AT_ONCE = 1 << 20
+TOKENS_AT_ONCE = 1 << 21
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ def packed_counts(texts: DataFrame, shards: int) -> DataFrame:
 
         return work
 
-    return arrow_map(texts.select("body"), make, "kind int, shard int, grams binary, counts binary", 64 << 20)
+    return arrow_map(texts.select("body"), make, "kind int, shard int, grams binary, counts binary", 8 << 20)
 
 
 def merged_counts(packed: DataFrame) -> DataFrame:
@@ -370,7 +370,7 @@ def base_scores(texts: DataFrame, counted: DataFrame, shards: int, tokens: int,
     packed = arrow_map(
         texts.select("id", "digest", "body"), split,
         "shard int, kind int, grams binary, counts binary, ids array<long>, digests array<long>, "
-        "n_known array<long>, sum array<double>", 64 << 20,
+        "n_known array<long>, sum array<double>", 8 << 20,
     )
     none = F.lit(None)
     tables = words.select(
