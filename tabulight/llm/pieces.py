@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .frames import arrow_map
+from .frames import arrow_map, slices
 
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-PART_BYTES = 4 << 20  # text walked at once
+PART_BYTES = 8 << 20  # text walked at once
+DECODED_BYTES = 2 << 20  # of a batch at once
 SPLIT = re.compile(rb" *[^ \n]+| +|\n")
 NEVER = np.float64(-1e300)
 
@@ -274,7 +275,8 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ke
     body = F.col(text).cast("binary").alias("body")
     source = df.select(F.col(key).cast("long").alias("id"), body, *[F.col(text).alias("text")] * keep_text)
     made = arrow_map(
-        source, make, "id long, n_bytes long, n_tokens long, token_ids array<int>" + ", text string" * keep_text
+        source, make, "id long, n_bytes long, n_tokens long, token_ids array<int>" + ", text string" * keep_text,
+        2 * PART_BYTES,
     )
     return made.withColumnRenamed("id", key)
 
@@ -290,9 +292,19 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for batch in batches:
-            where = batch.schema.get_field_index(ids)
-            texts = [decode_ids(model, i or []).decode("utf-8", "replace") for i in batch.column(where).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*rest, "decoded"])
+        texts = np.frombuffer(b"".join(model.texts), np.uint8)
+        size = np.array([len(t) for t in model.texts], np.int64)
+        start = np.cumsum(size) - size
+        for batch in slices(batches, DECODED_BYTES):
+            column = batch.column(batch.schema.get_field_index(ids))
+            column = column.fill_null([]) if column.null_count else column
+            flat = column.flatten().to_numpy()
+            taken = size[flat]
+            ends = np.concatenate(([0], np.cumsum(taken)))
+            data = texts[np.repeat(start[flat] - ends[:-1], taken) + np.arange(ends[-1])].tobytes()
+            edges = ends[column.offsets.to_numpy() - column.offsets[0].as_py()].tolist()
+            found = [data[a + (data[a : a + 1] == b" " and b > a) : b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            made = pa.array([f.decode("utf-8", "replace") for f in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*rest, "decoded"])
 
     return df.select(*rest).mapInArrow(run, schema)
