@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -331,89 +332,112 @@ def base_scores(texts: DataFrame, counted: DataFrame, shards: int, tokens: int,
         logs = np.log10((counts + 0.5) / total)
 
         def work(batch):
-            ids, digests = batch["id"].to_pylist(), batch["digest"].to_pylist()
-            out = {"shard": [], "kind": [], "grams": [], "counts": [], "ids": [], "digests": [], "n_known": [], "sum": []}
-
-            def put(shard, tokens, owner, n_known, sums, rows):
-                out["shard"].append(shard)
-                out["kind"].append(1)
-                out["grams"].append(tokens.tobytes())
-                out["counts"].append(owner.astype(np.uint32).tobytes())
-                out["ids"].append([ids[r] for r in rows])
-                out["digests"].append([digests[r] for r in rows])
-                out["n_known"].append(n_known)
-                out["sum"].append(sums)
-
+            ids, digests = batch["id"].to_numpy(zero_copy_only=False), batch["digest"].to_numpy()
+            missing = np.asarray(batch["id"].is_null())
+            ids = np.where(missing, 0, ids).astype(np.int64)
+            out = {n: [] for n in ("shard", "kind", "part", "grams", "counts", "owners")}
             first = 0
             for part in text_parts(batch["body"].to_pylist()):
                 tokens, _, edges = tokens_of(part)
                 size = len(edges) - 1
+                rows = slice(first, first + size)
+                first += size
                 owner = np.repeat(np.arange(size), np.diff(edges))
                 at = np.minimum(np.searchsorted(grams, tokens), max(0, len(grams) - 1))
                 is_hot = grams[at] == tokens if len(grams) else np.zeros(len(tokens), bool)
-                n_known = np.bincount(owner[is_hot], minlength=size)
+                about = np.stack((ids[rows], digests[rows], missing[rows]))
                 sums = np.bincount(owner[is_hot], logs[at[is_hot]], size)
-                put(-1, tokens[:0], owner[:0], n_known, sums, range(first, first + size))
+                name = int(xxhash.xxh3_64_intdigest(about.tobytes())) - (1 << 63)
+                pieces = [(-1, np.bincount(owner[is_hot], minlength=size).astype(np.int64), sums, about)]
                 tokens, owner = tokens[~is_hot], owner[~is_hot]
                 own = shard_of(tokens, shards)
                 turn = np.argsort(own, kind="stable")
                 cuts = np.searchsorted(own[turn], np.arange(shards + 1))
                 for shard in np.flatnonzero(np.diff(cuts)):
                     place = turn[cuts[shard] : cuts[shard + 1]]
-                    rows, where = np.unique(owner[place], return_inverse=True)
-                    put(int(shard), tokens[place], where, [], [], (rows + first).tolist())
-                first += size
+                    pieces.append((int(shard), tokens[place], np.zeros(0), owner[place].astype(np.uint32)))
+                for shard, values, extra, owners in pieces:
+                    for column, value in zip(
+                        out, (shard, 1, name, values.tobytes(), extra.tobytes(), owners.tobytes()), strict=True
+                    ):
+                        out[column].append(value)
             return out
 
         return work
 
+    # Shard -1 holds a run's rows and what frequent words give them; the others a run's words of a shard.
     packed = arrow_map(
         texts.select("id", "digest", "body"), split,
-        "shard int, kind int, grams binary, counts binary, ids array<long>, digests array<long>, "
-        "n_known array<long>, sum array<double>", 8 << 20,
+        "shard int, kind int, part long, grams binary, counts binary, owners binary", 8 << 20,
     )
     none = F.lit(None)
     tables = words.select(
-        "shard", F.lit(0).alias("kind"), "grams", "counts", none.cast("array<long>").alias("ids"),
-        none.cast("array<long>").alias("digests"), none.cast("array<long>").alias("n_known"),
-        none.cast("array<double>").alias("sum"),
+        "shard", F.lit(0).alias("kind"), none.cast("long").alias("part"), "grams", "counts",
+        none.cast("binary").alias("owners"),
     )
-    parsed = StructType.fromDDL("id long, digest long, n_known long, sum double")
-    target = to_arrow_schema(parsed)
+    looked = StructType.fromDDL("part long, owners binary, n_known binary, sums binary")
+    looked_target = to_arrow_schema(looked)
 
     def look_up(batches):
         grams = counts = np.zeros(0, np.uint64)
         current = None
         for batch in batches:
-            for row in batch.to_pylist():
+            for number in range(batch.num_rows):
+                row = batch.slice(number, 1).to_pylist()[0]
                 if row["shard"] != current:
                     current, grams, counts = row["shard"], np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 if row["kind"] == 0:
                     grams, counts = np.frombuffer(row["grams"], np.uint64), np.frombuffer(row["counts"], np.int64)
                     continue
-                tokens, owner = np.frombuffer(row["grams"], np.uint64), np.frombuffer(row["counts"], np.uint32)
+                tokens, owner = np.frombuffer(row["grams"], np.uint64), np.frombuffer(row["owners"], np.uint32)
                 found = np.zeros(len(tokens), np.int64)
                 if len(grams):
                     at = np.minimum(np.searchsorted(grams, tokens), len(grams) - 1)
                     found = np.where(grams[at] == tokens, counts[at], 0)
-                size = len(row["ids"])
+                rows, where = np.unique(owner, return_inverse=True)
+                known_here = np.bincount(where[found > 0], minlength=len(rows)).astype(np.int64)
+                sums = np.bincount(where, np.log10((found + 0.5) / total), len(rows))
                 yield to_batch(
                     {
-                        "id": row["ids"], "digest": row["digests"], "n_known": np.bincount(owner[found > 0], minlength=size),
-                        "sum": np.bincount(owner, np.log10((found + 0.5) / total), size),
+                        "part": [row["part"]], "owners": [rows.astype(np.uint32).tobytes()],
+                        "n_known": [known_here.tobytes()], "sums": [sums.tobytes()],
                     },
-                    target,
+                    looked_target,
                 )
 
-    names = packed.columns
-    cold = packed.filter("shard >= 0").unionByName(tables.select(*names))
-    cold = cold.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(look_up, parsed)
-    warm = packed.filter("shard < 0").select(F.explode(F.arrays_zip("ids", "digests", "n_known", "sum")).alias("r")).select(
-        F.col("r.ids").alias("id"), F.col("r.digests").alias("digest"), F.col("r.n_known").alias("n_known"),
-        F.col("r.sum").alias("sum"),
+    parsed = StructType.fromDDL("id long, digest long, n_known long, sum double, rows long")
+    target = to_arrow_schema(parsed)
+
+    def gather(batches):
+        for group in group_runs(batches, ("part",)):
+            about = n_known = sums = None
+            warm = 0
+            rows = sorted(group.to_pylist(), key=lambda r: r["kind"])  # the run's own rows first
+            for row in rows:
+                if row["kind"] == 0:
+                    warm += 1
+                    if about is None:
+                        about = np.frombuffer(row["owners"], np.int64).reshape(3, -1)
+                        n_known, sums = np.zeros(about.shape[1], np.int64), np.zeros(about.shape[1])
+                    n_known += np.frombuffer(row["n_known"], np.int64)
+                    sums += np.frombuffer(row["sums"], np.float64)
+                else:
+                    owner = np.frombuffer(row["owners"], np.uint32)
+                    n_known[owner] += np.frombuffer(row["n_known"], np.int64)
+                    sums[owner] += np.frombuffer(row["sums"], np.float64)
+            ids = pa.array(about[0], mask=about[2].astype(bool))
+            yield to_batch(
+                {"id": ids, "digest": about[1], "n_known": n_known, "sum": sums, "rows": np.full(len(sums), warm)}, target
+            )
+
+    cold = packed.filter("shard >= 0").unionByName(tables)
+    cold = cold.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(look_up, looked)
+    warm = packed.filter("shard < 0").select(
+        "part", "owners", F.col("grams").alias("n_known"), F.col("counts").alias("sums"), F.lit(0).alias("kind")
     )
-    # Rows repeated with the same text add up to a multiple; each has one warm part.
-    every = cold.withColumn("rows", F.lit(0)).unionByName(warm.withColumn("rows", F.lit(1)))
+    every = warm.unionByName(cold.withColumn("kind", F.lit(1)))
+    every = every.repartition("part").sortWithinPartitions("part").mapInArrow(gather, parsed)
+    # Rows repeated with the same text add up to a multiple.
     return every.groupBy("id", "digest").agg(
         F.expr("sum(n_known) div sum(rows)").alias("n_known"), (F.sum("sum") / F.sum("rows")).alias("base_score")
     )

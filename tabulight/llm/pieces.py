@@ -26,7 +26,7 @@ from .frames import arrow_map, slices
 
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-PART_BYTES = 8 << 20  # text walked at once
+PART_BYTES = 4 << 20  # text walked at once
 DECODED_BYTES = 2 << 20  # of a batch at once
 SPLIT = re.compile(rb" *[^ \n]+| +|\n")
 NEVER = np.float64(-1e300)
@@ -276,7 +276,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ke
     source = df.select(F.col(key).cast("long").alias("id"), body, *[F.col(text).alias("text")] * keep_text)
     made = arrow_map(
         source, make, "id long, n_bytes long, n_tokens long, token_ids array<int>" + ", text string" * keep_text,
-        2 * PART_BYTES,
+        PART_BYTES,
     )
     return made.withColumnRenamed("id", key)
 
