@@ -33,7 +33,7 @@ from .jaccard_join import group_runs
 from .sampling import held_out
 from .words import MULTIPLIERS, mix, text_parts, word_hashes
 
-SHARD_BYTES = 16 << 20  # text a shard
+SHARD_BYTES = 8 << 20  # text a shard
 BITS_PER_ENTRY = 12
 ROUND_BYTES = 256 << 20
 HOT_SHARE = 20_000
