@@ -467,6 +467,7 @@ def lm_score(df: DataFrame, key: str = "doc_id", text: str = "text", parts: int
         rounds = list(filter_rounds(counted, shards))
         for number, shared in enumerate(rounds, 1):
             levels = stage(with_levels(levels, shared, number < len(rounds)))
+            shared.unpersist()  # executors need it no longer
     else:
         nothing = Filter(np.zeros(1, np.uint64), np.zeros((2, shards), np.int64), np.zeros((2, shards), np.int64))
         levels = with_levels(levels, df.sparkSession.sparkContext.broadcast(nothing), False)
