@@ -1,9 +1,14 @@
-"""JSON documents as readable lines, to a bounded depth."""
+"""JSON documents as readable lines, to any depth."""
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What each stage's findings are about.
 PHASE_DESCRIPTIONS = {
@@ -13,63 +18,87 @@ PHASE_DESCRIPTIONS = {
 }
 
 
-def _entries(value: Column) -> Column:
-    return F.map_entries(F.from_json(value, "map<string,string>"))
+def _parsed(body: str) -> Any:
+    """The decoded body, numbers as they are spelled; a body that is no JSON is one text."""
+    try:
+        return json.loads(body, parse_int=str, parse_float=str, parse_constant=str)
+    except (ValueError, RecursionError):
+        return body
 
 
-def _items(value: Column) -> Column:
-    return F.from_json(value, "array<string>")
+def _inside(value: Any) -> list[tuple[str, Any]] | None:
+    """Named parts of an object or list, null for anything else."""
+    if isinstance(value, dict):
+        return list(value.items())
+    if isinstance(value, list):
+        return [(f"[{i}]", item) for i, item in enumerate(value)]
+    return None
 
 
-def _shape(value: Column) -> Column:
-    return F.substring(F.ltrim(value), 1, 1)
+def _scalar(value: Any) -> str:
+    if value is None:
+        return "<nil>"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    return value
 
 
-def json_lines(value: Column, depth: int = 3) -> Column:
-    """``key: value`` and ``[i]: item`` lines; deeper than ``depth`` stays JSON."""
-    if depth == 0:
-        return F.coalesce(value, F.lit("<nil>"))
-    inside = F.transform(
-        _entries(value),
-        lambda e: F.concat(e["key"], F.lit(": "), json_lines(e["value"], depth - 1), F.lit("\n")),
-    )
-    listed = F.transform(
-        _items(value),
-        lambda item, i: F.concat(F.lit("["), i, F.lit("]: "), json_lines(item, depth - 1), F.lit("\n")),
-    )
-    return (
-        F.when(_shape(value) == "{", F.array_join(inside, ""))
-        .when(_shape(value) == "[", F.array_join(listed, ""))
-        .otherwise(F.coalesce(value, F.lit("<nil>")))
-    )
+def _lines(value: Any) -> str:
+    out, todo = [], [(False, value)]
+    while todo:
+        ready, item = todo.pop()
+        parts = None if ready else _inside(item)
+        if parts is None:
+            out.append(item if ready else _scalar(item))
+            continue
+        for name, part in reversed(parts):
+            todo += [(True, "\n"), (False, part), (True, f"{name}: ")]
+    return "".join(out)
 
 
-def json_outline(value: Column, depth: int = 3, level: int = 0) -> Column:
-    """Keys and items on their own lines, two blanks of indent per level."""
-    pad = "  " * level
-    scalar = F.concat(F.lit(pad), F.coalesce(value, F.lit("<nil>")), F.lit("\n"))
-    if level >= depth:
-        return scalar
-    inside = F.transform(
-        _entries(value),
-        lambda e: F.concat(F.lit(pad), e["key"], F.lit(":\n"), json_outline(e["value"], depth, level + 1)),
-    )
-    listed = F.transform(
-        _items(value),
-        lambda item, i: F.concat(F.lit(pad + "["), i, F.lit("]:\n"), json_outline(item, depth, level + 1)),
-    )
-    return (
-        F.when(_shape(value) == "{", F.array_join(inside, ""))
-        .when(_shape(value) == "[", F.array_join(listed, ""))
-        .otherwise(scalar)
-    )
+def _outline(value: Any) -> str:
+    out, todo = [], [(0, None, value)]
+    while todo:
+        level, name, item = todo.pop()
+        if name is not None:
+            out.append(f"{'  ' * (level - 1)}{name}:\n")
+        parts = _inside(item)
+        if parts is None:
+            out.append(f"{'  ' * level}{_scalar(item)}\n")
+        else:
+            todo += [(level + 1, n, part) for n, part in reversed(parts)]
+    return "".join(out)
+
+
+@F.pandas_udf(StringType())
+def _lines_of(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda body: _lines(None if body is None else _parsed(body)))
+
+
+@F.pandas_udf(StringType())
+def _outline_of(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda body: _outline(None if body is None else _parsed(body)))
+
+
+def json_lines(value: Column) -> Column:
+    """``key: value`` and ``[i]: item`` lines of a JSON body, however deep it goes.
+
+    Strings are written as they are, whatever they start with; null is ``<nil>``. A
+    body that is no JSON, or nests deeper than the parser goes, is kept as its text.
+    """
+    return _lines_of(value)
+
+
+def json_outline(value: Column) -> Column:
+    """Keys and items on their own lines, two blanks of indent per level; bodies as above."""
+    return _outline_of(value)
 
 
-def findings_text(phase: str, value: Column, timestamp: Column, depth: int = 3) -> Column:
+def findings_text(phase: str, value: Column, timestamp: Column) -> Column:
     """A stage's findings under a header that names the stage."""
     return F.concat(
         F.lit(f"Phase: {phase}\nDescription: {PHASE_DESCRIPTIONS.get(phase, '')}\nTimestamp: "),
         timestamp.cast("string"),
         F.lit("\n\n"),
-        json_outline(value, depth),
+        json_outline(value),
     )

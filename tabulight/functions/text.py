@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ BLANK_CHARS = (
 BLANKS = r"[\s\u0085\p{Z}]+"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     """Blank characters of any kind removed from both ends."""
     return F.btrim(text, F.lit(BLANK_CHARS))
@@ -126,18 +133,21 @@ def line_chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
     stride = size - overlap
-    lines = F.split(text, "\n")
-    count = F.greatest(F.lit(1), F.ceil((F.size(lines) - overlap) / stride).cast("int"))
 
-    def window(number: Column) -> Column:
-        piece = trimmed(F.array_join(F.slice(lines, number * stride + 1, F.lit(size)), "\n"))
-        return F.when(piece != "", piece)
+    def windows(lines: Column) -> Column:
+        count = F.greatest(F.lit(1), F.ceil((F.size(lines) - overlap) / stride).cast("int"))
+        pieces = F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda number: trimmed(F.array_join(F.slice(lines, number * stride + 1, F.lit(size)), "\n")),
+        )
+        return F.transform(pieces, lambda piece: F.when(piece != "", piece))
 
-    return F.transform(F.sequence(F.lit(0), count - 1), window)
+    # Bound, so the text is split once and not once a window.
+    return bind(F.split(text, "\n"), windows)
 
 
 def collection_items(text: Column) -> Column:
-    """Items of a value split by the first of ``, ; |`` it holds, trimmed, none blank."""
+    """Items of a text split by the first of ``, ; |`` it holds, trimmed, none blank."""
     parts = (
         F.when(F.contains(text, F.lit(",")), F.split(text, ","))
         .when(F.contains(text, F.lit(";")), F.split(text, ";"))

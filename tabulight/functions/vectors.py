@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import words
+from .text import bind, words
 
 # The vocabulary, in index order; a repeated word keeps its last index.
 VOCABULARY = (
@@ -32,11 +32,6 @@ CHAR_DIM = 384
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def dot(left: Column, right: Column) -> Column:
     pairs = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x)

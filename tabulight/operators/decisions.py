@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.catalog import Catalog
+from ..sources.catalog import Catalog, ForeignKey, TableKeys
+from .values import collection_child_table, value_lookup_table
 
 # Answer keys that are not answers.
 IGNORED_KEYS = ("timestamp", "notes")
@@ -89,25 +90,62 @@ def excluded_summary(tables: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def _pruned(keys: dict[str, TableKeys], tables: dict[str, DataFrame]) -> dict[str, TableKeys]:
+    """The keys whose columns, and whose tables referred to, are all still there."""
+
+    def has(table: str, columns: tuple[str, ...]) -> bool:
+        return table in tables and set(columns) <= set(tables[table].columns)
+
+    return {
+        table: TableKeys(
+            k.primary if has(table, k.primary) else (),
+            tuple(f for f in k.foreign if has(table, f.columns) and has(f.ref_table, f.ref_columns)),
+            tuple(u for u in k.unique if has(table, u)),
+        )
+        for table, k in keys.items()
+        if table in tables
+    }
+
+
 def apply_table_decisions(catalog: Catalog, decisions: DataFrame) -> Catalog:
-    """The catalog without dropped tables; at most one name per table is read back."""
+    """The catalog without dropped tables and keys to them; at most one name per table is read back."""
     rows = decisions.filter("decision = 'drop'").select("table_name").distinct().collect()
     gone = {row[0] for row in rows}
     kept = {name: df for name, df in catalog.tables.items() if name not in gone}
-    keys = {name: k for name, k in catalog.keys.items() if name not in gone}
-    return Catalog(kept, keys, catalog.database, catalog.database_type)
+    return Catalog(kept, _pruned(catalog.keys, kept), catalog.database, catalog.database_type)
 
 
 def apply_column_decisions(catalog: Catalog, decisions: DataFrame) -> Catalog:
-    """The catalog without removed and converted columns; one row per column is read back."""
+    """The catalog as decided, with new tables; one row per column is read back.
+
+    Removed columns go, with the keys that use them. A converted collection moves to a
+    table ``<table>_<column>_items`` (parent key, position, item) that refers to its
+    parent; it stays a column where the parent has no key to refer to, or is part of
+    it. Columns with a value list to make get ``<table>_<column>_values``.
+    """
     rows = (
-        decisions.filter("decision IN ('remove', 'convert')")
-        .select("table_name", "column_name")
+        decisions.filter("decision IN ('remove', 'convert') OR value_list IN ('enum', 'options')")
+        .select("table_name", "column_name", "decision", "value_list")
         .distinct()
         .collect()
     )
-    out = dict(catalog.tables)
-    for table, column in rows:
-        if table in out:
-            out[table] = out[table].drop(column)
-    return Catalog(out, catalog.keys, catalog.database, catalog.database_type)
+    out, keys = dict(catalog.tables), dict(catalog.keys)
+    gone: dict[str, set[str]] = {}
+    for table, column, decision, listed in rows:
+        if table not in catalog.tables or column not in catalog[table].columns:
+            continue
+        primary = catalog.keys.get(table, TableKeys()).primary
+        if decision == "remove":
+            gone.setdefault(table, set()).add(column)
+        elif decision == "convert" and primary and column not in primary:
+            child = f"{table}_{column}_items"
+            out[child] = collection_child_table(catalog[table], primary, column)
+            keys[child] = TableKeys((*primary, "item_position"), (ForeignKey(primary, table, primary),))
+            gone.setdefault(table, set()).add(column)
+        if listed in ("enum", "options"):
+            listing = f"{table}_{column}_values"
+            out[listing] = value_lookup_table(catalog[table], column)
+            keys[listing] = TableKeys(("value",))
+    for table, columns in gone.items():
+        out[table] = out[table].drop(*columns)
+    return Catalog(out, _pruned(keys, out), catalog.database, catalog.database_type)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import collection_items
@@ -66,10 +67,18 @@ def value_options(
     )
 
 
+def items_of(df: DataFrame, column: str) -> Column:
+    """Items of a collection column: an array's own, or those a text is split into; none blank."""
+    c = F.col(f"`{column}`")
+    if not isinstance(df.schema[column].dataType, T.ArrayType):
+        return collection_items(c)
+    return F.filter(F.transform(c, lambda item: item.cast("string")), lambda item: item != "")
+
+
 def collection_item_counts(df: DataFrame, table: str, column: str) -> DataFrame:
     """How often each item of a collection column occurs."""
     return (
-        df.select(F.explode(collection_items(F.col(f"`{column}`"))).alias("item"))
+        df.select(F.explode(items_of(df, column)).alias("item"))
         .groupBy("item")
         .agg(F.count(F.lit(1)).alias("item_count"))
         .select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "item", "item_count")
@@ -79,8 +88,9 @@ def collection_item_counts(df: DataFrame, table: str, column: str) -> DataFrame:
 def collection_examples(df: DataFrame, column: str, position: Column, n: int = 5) -> DataFrame:
     """The first ``n`` raw values of a collection column."""
     c = F.col(f"`{column}`")
+    filled = F.size(c) > 0 if isinstance(df.schema[column].dataType, T.ArrayType) else c != ""
     return (
-        df.filter(c.isNotNull() & (c != ""))
+        df.filter(c.isNotNull() & filled)
         .select(position.alias("position"), c.alias("example"))
         .orderBy("position", "example")
         .limit(n)
@@ -89,8 +99,7 @@ def collection_examples(df: DataFrame, column: str, position: Column, n: int = 5
 
 def collection_child_table(df: DataFrame, key: Sequence[str], column: str) -> DataFrame:
     """One row per item: parent key, position from 0, item. Narrow, no shuffle."""
-    items = collection_items(F.col(f"`{column}`"))
-    return df.select(*key, F.posexplode(items).alias("item_position", "item"))
+    return df.select(*key, F.posexplode(items_of(df, column)).alias("item_position", "item"))
 
 
 def value_lookup_table(df: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as text_functions
 from ..functions.classify import business_area, dimension_class
-from ..functions.jsontext import findings_text, json_lines
+from ..functions.jsontext import findings_text, json_lines, json_outline
 from ..functions.vectors import VOCABULARY, cosine, embed_charstats, embed_hash, embed_tfidf, l2_normalize
 from ..operators import business, chunks, search
 from ..sources import knowledge
@@ -145,6 +145,36 @@ def json_to_lines(spark, root):
     return open_lake(spark, root, "events")["events"].select("event_id", json_lines(F.col("props")).alias("lines"))
 
 
+# Six levels, arrays of objects, texts that start like JSON, and bodies that are none.
+BODY = """
+CASE WHEN doc_id % 7 = 0 THEN concat('[broken ', source) ELSE concat('{"a": {"b": {"c": {"d": {"e": {"f": ', doc_id,
+  '}}}}}, "list": [{"lang": "', lang, '"}, {"lang": "[', source, '"}], "note": "{', lang, '", "none": null}') END
+"""
+
+
+@query(
+    """
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '[broken ' || source ELSE 'a: b: c: d: e: f: ' || doc_id || repeat(chr(10), 6)
+  || 'list: [0]: lang: ' || lang || repeat(chr(10), 2) || '[1]: lang: [' || source || repeat(chr(10), 3)
+  || 'note: {' || lang || chr(10) || 'none: <nil>' || chr(10) END AS lines FROM documents
+"""
+)
+def json_lines_deep(spark, root):
+    return _documents(spark, root).select("doc_id", json_lines(F.expr(BODY)).alias("lines"))
+
+
+@query(
+    """
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '[broken ' || source || chr(10) ELSE array_to_string(['a:', '  b:', '    c:',
+  '      d:', '        e:', '          f:', '            ' || doc_id, 'list:', '  [0]:', '    lang:', '      ' || lang,
+  '  [1]:', '    lang:', '      [' || source, 'note:', '  {' || lang, 'none:', '  <nil>', ''], chr(10)) END AS outline
+FROM documents
+"""
+)
+def json_outline_deep(spark, root):
+    return _documents(spark, root).select("doc_id", json_outline(F.expr(BODY)).alias("outline"))
+
+
 @query(
     "SELECT json_extract_string(props, '$.k')::INT AS k, event_type, count(*) AS n, "
     "sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY ALL"

@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,7 +133,32 @@ def test_json_lines(spark):
     body = json.dumps({"a": 1, "b": {"c": "x", "d": [True, None]}, "e": []})
     got = apply(spark, jsontext.json_lines, [body, '"s"', "5"])
     assert got[0] == "a: 1\nb: c: x\nd: [0]: true\n[1]: <nil>\n\n\ne: \n"
-    assert got[1:] == ['"s"', "5"]
+    assert got[1:] == ["s", "5"]
+
+
+def test_json_of_any_depth_and_odd_strings(spark):
+    deep = "7"
+    for _ in range(300):
+        deep = '{"k": ' + deep + "}"
+    bodies = [deep, '{"note":"[draft] text","k":1}', '{"x":"{curly","y":2.50}', "[broken", "", None, '[{"a":[]},"b"]']
+    assert apply(spark, jsontext.json_lines, bodies) == [
+        "k: " * 300 + "7" + "\n" * 300, "note: [draft] text\nk: 1\n", "x: {curly\ny: 2.50\n", "[broken", "", "<nil>",
+        "[0]: a: \n\n[1]: b\n",
+    ]
+    outlined = apply(spark, jsontext.json_outline, bodies)
+    assert outlined[0].endswith("  " * 300 + "7\n") and outlined[0].count("\n") == 301
+    assert outlined[1:] == [
+        "note:\n  [draft] text\nk:\n  1\n", "x:\n  {curly\ny:\n  2.50\n", "[broken\n", "\n", "<nil>\n",
+        "[0]:\n  a:\n[1]:\n  b\n",
+    ]
+
+
+def test_line_chunks_of_long_texts_take_linear_time(spark):
+    body = "\n".join(f"line {i}" for i in range(80_000))
+    apply(spark, lambda c: text.line_chunks(c, 20, 5), [body[:1000]])
+    started = time.time()
+    got = apply(spark, lambda c: text.line_chunks(c, 20, 5), [body])[0]
+    assert len(got) == 5333 and got[-1].endswith("line 79999") and time.time() - started < 10
 
 
 def test_json_outline_and_header(spark):
