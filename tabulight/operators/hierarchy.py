@@ -15,8 +15,8 @@ def tree_paths(nodes: DataFrame, node: str, parent: str, label: str, separator:
     node's own pointer, so the reach doubles and a tree of depth d needs log2(d)
     rounds. As long as an open node can still be closed, a round closes one; rounds
     end when none did, and the nodes left lie on a cycle, or below one, and get a null
-    level. Rounds are written to the checkpoint folder so the plan stays flat. A parent
-    with very many children is a hot key on the left side only, where adaptive
+    level. Only open nodes are joined. Rounds are written to the checkpoint folder so the
+    plan stays flat. A parent with very many children is a hot key on the left side only, where adaptive
     execution splits it.
     """
     state = stage(
@@ -38,8 +38,9 @@ def tree_paths(nodes: DataFrame, node: str, parent: str, label: str, separator:
             F.col("path").alias("lead"),
         )
         found = F.col("add_level").isNotNull()
-        state = stage(
-            state.join(above, "up", "left").select(
+        closed_rows = state.filter("up IS NULL")
+        moved = (
+            state.filter("up IS NOT NULL").join(above, "up", "left").select(
                 "node",
                 F.col("next_up").alias("up"),
                 F.when(found, F.col("next_root")).otherwise(F.col("root")).alias("root"),
@@ -49,6 +50,7 @@ def tree_paths(nodes: DataFrame, node: str, parent: str, label: str, separator:
                 .alias("path"),
             )
         )
+        state = stage(moved.unionByName(closed_rows))
         left = state.filter("up IS NOT NULL").count()
         if left == open_nodes:
             break

@@ -168,6 +168,24 @@ def reference_pairs(catalog: Catalog) -> list[ReferencePair]:
     return pairs
 
 
+def common_type(left: T.DataType, right: T.DataType) -> str:
+    """The type in which values of two columns are compared.
+
+    Whole numbers meet as BIGINT, decimals and whole numbers as a decimal that holds
+    all digits of both, all other numbers as DOUBLE, and anything else as text.
+    """
+    both = left, right
+    if all(isinstance(t, T.IntegralType) for t in both):
+        return "BIGINT"
+    if not all(isinstance(t, T.NumericType) for t in both):
+        return "STRING"
+    if any(isinstance(t, T.FractionalType) and not isinstance(t, T.DecimalType) for t in both):
+        return "DOUBLE"
+    sizes = [(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (19, 0) for t in both]
+    whole, scale = (max(part) for part in zip(*sizes))
+    return f"DECIMAL({whole + scale},{scale})" if whole + scale <= 38 else "DOUBLE"
+
+
 def reference_inclusion(catalog: Catalog, pairs: Sequence[ReferencePair]) -> DataFrame:
     """How far each child column's values are found in its parent column.
 
@@ -179,19 +197,22 @@ def reference_inclusion(catalog: Catalog, pairs: Sequence[ReferencePair]) -> Dat
         for f in catalog[t].schema.fields
     }
 
-    def value(table: str, column: str, whole: bool) -> dict[str, str]:
-        kind = "BIGINT" if whole else "STRING"
-        return {"n" if whole else "s": f"CAST({name_of(column)} AS {kind})"}
+    def value(table: str, column: str, kind: str) -> dict[str, str]:
+        text = f"CAST({name_of(column)} AS {kind})"
+        if kind == "BIGINT":
+            return {"n": text}
+        # Adding zero turns -0.0 into 0.0.
+        return {"d": f"{text} + 0.0D"} if kind == "DOUBLE" else {"s": f"CAST({text} AS STRING)"}
 
-    # Whole numbers on both sides are compared as numbers, other values as text.
+    # Numbers are compared as the narrowest type that holds both sides, other values as text.
     targets, parents = [], []
     child_entries: dict[str, list] = {}
     parent_entries: dict[str, list] = {}
     for number, p in enumerate(pairs):
         types = fields[p.child_table, p.child_column], fields[p.parent_table, p.parent_column]
-        whole = all(isinstance(t, T.IntegralType) for t in types)
-        child_entries.setdefault(p.child_table, []).append((number, value(p.child_table, p.child_column, whole)))
-        target = (p.parent_table, p.parent_column, whole)
+        kind = common_type(*types)
+        child_entries.setdefault(p.child_table, []).append((number, value(p.child_table, p.child_column, kind)))
+        target = (p.parent_table, p.parent_column, kind)
         if target not in parents:
             parent_entries.setdefault(p.parent_table, []).append((len(parents), value(*target)))
             parents.append(target)
@@ -200,7 +221,7 @@ def reference_inclusion(catalog: Catalog, pairs: Sequence[ReferencePair]) -> Dat
     def counted(entries, tag: str, count: str) -> DataFrame:
         return (
             tagged_values(catalog.tables, entries)
-            .groupBy(F.col("tag").alias(tag), "n", "s")
+            .groupBy(F.col("tag").alias(tag), "n", "d", "s")
             .agg(F.count(F.lit(1)).alias(count))
         )
 
@@ -212,6 +233,7 @@ def reference_inclusion(catalog: Catalog, pairs: Sequence[ReferencePair]) -> Dat
     same = (
         (F.col("c.parent") == F.col("p.parent"))
         & F.col("c.n").eqNullSafe(F.col("p.n"))
+        & F.col("c.d").eqNullSafe(F.col("p.d"))
         & F.col("c.s").eqNullSafe(F.col("p.s"))
     )
     matched = near.join(far, same, "left").select("c.pair", "c.child_rows", "p.parent_rows")

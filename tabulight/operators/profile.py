@@ -41,7 +41,7 @@ def table_stats(catalog: Catalog) -> DataFrame:
     """Rows, files and stored bytes of every file-backed table, in one job.
 
     Each file is first reduced to one row map-side, so only file names and
-    sizes are shuffled.
+    sizes are shuffled. Files count if they hold rows; a table without rows has zeros.
     """
     frames = []
     for name, df in sorted(catalog.tables.items()):
@@ -49,7 +49,7 @@ def table_stats(catalog: Catalog) -> DataFrame:
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")
         ).agg(F.count(F.lit(1)).alias("n"))
         frames.append(per_file.select(F.lit(name).alias("table_name"), "file", "size", "n"))
-    return (
+    found = (
         union_all(frames)
         .groupBy("table_name")
         .agg(
@@ -58,6 +58,9 @@ def table_stats(catalog: Catalog) -> DataFrame:
             F.sum("size").alias("stored_bytes"),
         )
     )
+    spark = found.sparkSession
+    names = spark.createDataFrame([(name,) for name in catalog.names], "table_name string")
+    return names.join(found, "table_name", "left").fillna(0)
 
 
 def usage_bands(counts: DataFrame) -> DataFrame:

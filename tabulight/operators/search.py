@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions.text import hard_cut
@@ -195,7 +196,7 @@ def nearest_batch(
     if groups:
         fields.append(T.StructField("group", chunks.schema[group_col].dataType))
     schema = T.StructType(fields)
-    arrow_schema = arrow_types(schema)
+    arrow_schema = to_arrow_schema(schema)
     parts: list[DataFrame] = []
     wanted = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("query_vector"))
     waiting = [(frame, fit, 0) for frame, fit in _query_blocks(wanted, "query_id", "query_vector", block_bytes)]
@@ -227,17 +228,6 @@ def nearest_batch(
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
-def arrow_types(schema: T.StructType) -> pa.Schema:
-    """Arrow types of a flat schema of numbers and texts."""
-    kinds = {
-        T.LongType: pa.int64(),
-        T.IntegerType: pa.int32(),
-        T.DoubleType: pa.float64(),
-        T.StringType: pa.string(),
-    }
-    return pa.schema([(f.name, kinds[type(f.dataType)]) for f in schema.fields])
-
-
 def group_centroids(df: DataFrame, group_col: str, vector_col: str) -> DataFrame:
     """Mean vector of each group; sums are made per task before the shuffle."""
     means = (

@@ -10,15 +10,6 @@ from pyspark.sql.window import Window
 
 from ..sources.staging import stage
 
-# Rows of one key that a single task may order without being split.
-GROUP_ROWS = 5_000_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key; counted per task first, one number comes back."""
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return row[0] or 0
-
 
 def running_total(
     df: DataFrame,
@@ -27,21 +18,16 @@ def running_total(
     value: str,
     total: str = "running_total",
     previous: str = "previous_total",
-    group_rows: int = GROUP_ROWS,
     slices: int | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` within ``keys`` by ``order``, and the sum before the row.
 
-    ``order`` must be unique within a key. While no key has more than ``group_rows``
-    rows this is one window. Otherwise rows are range-partitioned on keys and order,
+    ``order`` must be unique within a key. Rows are range-partitioned on keys and order,
     which cuts a large key into even slices; each slice is summed on its own, and the
     sums of earlier slices are added. Only a key that crosses a slice border needs an
-    addition, so there is at most one such row per slice.
+    addition, so there is at most one such row per slice. Sums of doubles depend on the
+    order of addition; cast to a decimal where they must be exact.
     """
-    if largest_group(df, keys) <= group_rows:
-        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        summed = df.withColumn(total, F.sum(value).over(frame))
-        return summed.withColumn(previous, F.col(total) - F.col(value))
     return _sliced_total(df, keys, order, value, total, previous, slices)
 
 
@@ -89,15 +75,12 @@ def previous_value(
     order: Sequence[str],
     value: str,
     name: str = "previous",
-    group_rows: int = GROUP_ROWS,
     slices: int | None = None,
 ) -> DataFrame:
-    """``value`` of the row ahead within ``keys`` by ``order``; large keys go in slices.
+    """``value`` of the row ahead within ``keys`` by ``order``, in slices as above.
 
-    In slices, the first row of a key takes the last value of the slice before.
+    The first row of a key takes the last value of the slice before.
     """
-    if largest_group(df, keys) <= group_rows:
-        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     sliced = _slices(df, keys, order, slices)
     local = Window.partitionBy("_slice", *keys).orderBy(*order)
     seen = sliced.withColumn("_row", F.row_number().over(local)).withColumn("_local", F.lag(value).over(local))

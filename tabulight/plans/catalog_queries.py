@@ -18,7 +18,7 @@ def row_counts(spark, root):
     return profile.row_counts(open_lake(spark, root))
 
 
-@query(f"SELECT table_name, row_count, true AS has_bytes FROM ({sql.counts_sql()}) WHERE row_count > 0")
+@query(f"SELECT table_name, row_count, row_count > 0 AS has_bytes FROM ({sql.counts_sql()})")
 def table_stats(spark, root):
     stats = profile.table_stats(open_lake(spark, root))
     return stats.select("table_name", "row_count", (F.col("stored_bytes") > 0).alias("has_bytes"))

@@ -56,22 +56,26 @@ def customer_order_summary(customers: DataFrame, orders: DataFrame, cancelled: s
 
 
 def product_sales_summary(
-    products: DataFrame, order_items: DataFrame, orders: DataFrame | None = None
+    products: DataFrame, order_items: DataFrame, orders: DataFrame, drop_invalid: bool = False
 ) -> DataFrame:
     """Every product with its lines, quantity and revenue.
 
-    As shipped, the order status sits on a second left join and removes no line; an
-    order id is unique, so that join changes nothing and is left out. With ``orders``
-    given, lines of cancelled and refunded orders are not counted.
+    As shipped, the order status sits on a second left join: lines of cancelled and
+    refunded orders stay, and a line counts once for each valid order of its id. With
+    ``drop_invalid``, only lines of valid orders count. Orders are counted per id
+    before the join, so a repeated id multiplies no rows.
     """
-    lines = order_items
-    if orders is not None:
-        valid = orders.filter(~F.col("status").isin("cancelled", "refunded"))
-        lines = lines.join(valid.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    valid = (
+        orders.filter(~F.col("status").isin("cancelled", "refunded"))
+        .groupBy(F.col("id").alias("order_id"))
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
+    joined = order_items.join(valid, "order_id", "inner" if drop_invalid else "left")
+    lines = joined.withColumn("times", F.coalesce("times", F.lit(1)))
     per_product = lines.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("total_sold"),
-        F.sum("quantity").alias("total_quantity_sold"),
-        money_sum("total").alias("total_revenue"),
+        F.sum("times").alias("total_sold"),
+        F.sum(F.col("quantity") * F.col("times")).alias("total_quantity_sold"),
+        F.sum(money("total") * F.col("times")).cast("double").alias("total_revenue"),
     )
     named = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "sku")
     return named.join(per_product, "product_id", "left").select(

@@ -68,7 +68,7 @@ GROUP BY p_partkey, p_name, p_brand
 )
 def product_sales_summary(spark, root):
     t = shop_tables(spark, root)
-    return shop.product_sales_summary(t["products"], t["order_items"])
+    return shop.product_sales_summary(t["products"], t["order_items"], t["orders"])
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPORT_SCHEMA = (
     "table_name string, schema array<struct<name:string,type:string,nullable:boolean>>, "
@@ -23,4 +24,4 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table_report(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return read_report(spark, path).filter(f"table_name = '{table}'")
+    return read_report(spark, path).filter(F.col("table_name") == table)

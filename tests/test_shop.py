@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shop_fixture import shop_catalog
 from tabulight.operators import decisions, findings, hierarchy, keys, profile, star, validate, windows
 from tabulight.plans import shop, understanding
+from tabulight.sources.catalog import Catalog, ForeignKey, TableKeys
 
 
 @pytest.fixture(scope="module")
@@ -48,14 +49,27 @@ def test_cancelled_orders_keep_their_customer(catalog):
 
 
 def test_product_sales_summary(catalog):
-    found = {r[0]: tuple(r[3:]) for r in rows(shop.product_sales_summary(catalog["products"], catalog["order_items"]))}
+    args = catalog["products"], catalog["order_items"], catalog["orders"]
+    found = {r[0]: tuple(r[3:]) for r in rows(shop.product_sales_summary(*args))}
     sold = {1: (1, 1, 35900), 2: (1, 1, 32900), 4: (2, 3, 1350), 6: (2, 2, 17800), 9: (1, 1, 1200), 10: (1, 1, 5800)}
     assert found == {i: sold.get(i, (0, 0, 0)) for i in range(1, 11)}
 
 
+def test_product_sales_counts_a_line_once_per_valid_order(catalog):
+    orders = catalog["orders"].unionByName(catalog["orders"].filter("id = 1"))
+    args = catalog["products"], catalog["order_items"], orders
+    found = {r[0]: tuple(r[3:5]) for r in rows(shop.product_sales_summary(*args))}
+    joined = (
+        catalog["order_items"].join(orders.select(F.col("id").alias("order_id")), "order_id", "left")
+        .groupBy("product_id").agg(F.count(F.lit(1)), F.sum("quantity")).collect()
+    )
+    assert {i: n for i, n in found.items() if n[0]} == {r[0]: (r[1], r[2]) for r in joined}
+
+
 def test_product_sales_without_cancelled(catalog):
     orders = catalog["orders"].withColumn("status", F.when(F.col("id") == 1, "refunded").otherwise(F.col("status")))
-    found = {r[0]: r[3] for r in rows(shop.product_sales_summary(catalog["products"], catalog["order_items"], orders))}
+    args = catalog["products"], catalog["order_items"], orders
+    found = {r[0]: r[3] for r in rows(shop.product_sales_summary(*args, drop_invalid=True))}
     assert found[1] == 0 and found[10] == 0 and found[4] == 2
 
 
@@ -202,6 +216,36 @@ def test_column_decisions_routed_and_applied(spark, catalog):
     assert "date_of_birth" in cleaned["customers"].columns
 
 
+def test_decisions_make_tables_and_prune_keys(spark):
+    tags = spark.createDataFrame(
+        [(1, ["a", "b"], "x;y", "red", 7), (2, None, "", "blue", 8), (3, [], "z", "red", 9)],
+        "id int, tags array<string>, codes string, colour string, owner int",
+    )
+    owners = spark.createDataFrame([(7,), (8,), (9,)], "id int")
+    to_owner = ForeignKey(("owner",), "owners", ("id",))
+    made = Catalog(
+        {"things": tags, "owners": owners, "keyless": tags},
+        {"things": TableKeys(("id",), (to_owner,)), "owners": TableKeys(("id",))},
+    )
+    schema = "table_name string, column_name string, decision string, value_list string"
+    decided = spark.createDataFrame(
+        [
+            ("things", "tags", "convert", "items"), ("things", "codes", "convert", "items"),
+            ("things", "colour", "enum", "enum"), ("things", "owner", "remove", "none"),
+            ("keyless", "tags", "convert", "items"), ("missing", "x", "remove", "none"),
+        ],
+        schema,
+    )
+    found = decisions.apply_column_decisions(made, decided)
+    assert sorted(rows(found["things_tags_items"])) == [(1, 0, "a"), (1, 1, "b")]
+    assert sorted(rows(found["things_codes_items"])) == [(1, 0, "x"), (1, 1, "y"), (3, 0, "z")]
+    assert sorted(rows(found["things_colour_values"])) == [("blue", 1), ("red", 2)]
+    assert found["things"].columns == ["id", "colour"] and "tags" in found["keyless"].columns
+    assert found.keys["things"] == TableKeys(("id",)) and found.keys["things_tags_items"].foreign[0].ref_table == "things"
+    dropped = spark.createDataFrame([("owners", "drop")], "table_name string, decision string")
+    assert decisions.apply_table_decisions(made, dropped).keys == {"things": TableKeys(("id",))}
+
+
 def test_enum_answers(spark):
     rows_in = [("enum_check", "枚舉值完整"), ("enum_check", "枚舉值不完整，需要補充"), ("enum_check", "需要進一步檢查")]
     answered = spark.createDataFrame(rows_in, "question_type string, response string")
@@ -223,6 +267,24 @@ def test_references_found(catalog):
     assert found[("payments", "order_id", "orders")][-1] == "one_to_one"
 
 
+def test_references_across_number_types(spark):
+    whole = spark.range(5).select(F.col("id").cast("bigint").alias("id"))
+    for kind in ("decimal(10,2)", "double", "smallint", "decimal(38,19)"):
+        things = whole.select(F.col("id").cast(kind).alias("owner_id"))
+        made = Catalog({"owners": whole, "things": things})
+        pair = keys.ReferencePair("things", "owner_id", "owners", "id")
+        found = keys.reference_inclusion(made, [pair]).first()
+        assert (found["matched_distinct"], found["inclusion"], found["orphan_rows"]) == (5, 1.0, 0), kind
+
+
+def test_empty_tables_have_stats(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "full"))
+    spark.range(0).write.parquet(str(tmp_path / "none"))
+    made = Catalog({n: spark.read.parquet(str(tmp_path / n)) for n in ("full", "none")})
+    found = {r["table_name"]: r for r in profile.table_stats(made).collect()}
+    assert found["full"]["row_count"] == 3 and found["none"][1:] == (0, 0, 0)
+
+
 def test_reference_orphans(catalog):
     items = catalog["order_items"].withColumn("order_id", F.when(F.col("id") < 3, 77).otherwise(F.col("order_id")))
     bad = catalog.with_table("order_items", items)

@@ -17,7 +17,7 @@ def moves(spark):
 
 def test_sliced_running_total_equals_one_window(moves):
     plain = windows.running_total(moves, ["k"], ["at"], "n").collect()
-    sliced = windows.running_total(moves, ["k"], ["at"], "n", group_rows=10, slices=7).collect()
+    sliced = windows.running_total(moves, ["k"], ["at"], "n", slices=7).collect()
     assert sorted(map(tuple, plain)) == sorted(map(tuple, sliced))
     assert len({r["k"] for r in plain}) == 41
 
@@ -25,7 +25,7 @@ def test_sliced_running_total_equals_one_window(moves):
 def test_sliced_previous_value_equals_one_window(moves):
     gaps = moves.withColumn("n", F.when(F.col("at") % 11 != 0, F.col("n")))
     plain = windows.previous_value(gaps, ["k"], ["at"], "n").collect()
-    sliced = windows.previous_value(gaps, ["k"], ["at"], "n", group_rows=10, slices=7).collect()
+    sliced = windows.previous_value(gaps, ["k"], ["at"], "n", slices=7).collect()
     assert sorted(map(repr, plain)) == sorted(map(repr, sliced))
 
 
