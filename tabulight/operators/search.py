@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import hard_cut
 from ..functions.vectors import cosine
+from ..sources.staging import small_side
 
 # Query vectors shipped to the tasks at a time; larger batches go in more passes.
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -256,7 +257,9 @@ def relevant_knowledge(chunks: DataFrame, queries: DataFrame, limit: int = 500)
     searched = chunks.filter(F.col("phase").isin(*PHASE_TITLES))
     hits = nearest_batch(searched, queries, 1, group_col="phase").withColumnRenamed("id", "chunk_id")
     title = F.create_map(*[F.lit(x) for pair in PHASE_TITLES.items() for x in pair])
-    texts = hits.join(searched.select("chunk_id", "content"), "chunk_id").select(
+    # An id, a phase and two numbers a row; contents stay where they are while that is small.
+    found = small_side(hits.select("query_id", "chunk_id", "group"), F.lit(128))
+    texts = searched.select("chunk_id", "content").join(found, "chunk_id").select(
         "query_id",
         F.struct(
             F.col("group").alias("phase"),

@@ -10,7 +10,7 @@ from ..functions.jsontext import findings_text, json_lines, json_outline
 from ..functions.vectors import VOCABULARY, cosine, embed_charstats, embed_hash, embed_tfidf, l2_normalize
 from ..operators import business, chunks, search
 from ..sources import knowledge
-from ..sources.staging import spread
+from ..sources.staging import small_side, spread
 from .lake import open_lake
 from .registry import query
 
@@ -404,6 +404,7 @@ def cosine_pairs(spark, root):
     vectors = _vectors(spark, root)
     centers = search.group_centroids(vectors, "label", "embedding").withColumnRenamed("group", "label")
     score = F.round(cosine(F.col("embedding"), F.col("centroid")), 6)
+    centers = small_side(centers, F.size("centroid") * 8 + 64)
     return vectors.join(centers, "label").select("vec_id", "label", score.alias("score"))
 
 
@@ -463,6 +464,27 @@ def topk_per_phase(spark, root):
     return _rounded(found)
 
 
+PHASE_SQL = "'phase' || (1 + id % 3)"
+
+
+@query(
+    "SELECT query_id, string_agg(title || CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END, "
+    "chr(10) || chr(10) ORDER BY \"group\") AS knowledge FROM ("
+    + _top("vec_id IN (SELECT doc_id FROM documents)", f"query_id, {PHASE_SQL}", 1, f'{PHASE_SQL} AS "group",')
+    + ") JOIN documents ON id = doc_id JOIN (VALUES "
+    + ", ".join(f"('{phase}', '{title}')" for phase, title in search.PHASE_TITLES.items())
+    + ") AS titles(phase, title) ON phase = \"group\" GROUP BY query_id"
+)
+def relevant_knowledge(spark, root):
+    """The text for each class centre from a store whose chunks are documents in three phases."""
+    phase = F.concat(F.lit("phase"), 1 + F.col("vec_id") % 3)
+    vectors = _vectors(spark, root).select(
+        F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), phase.alias("phase")
+    )
+    contents = _documents(spark, root).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return search.relevant_knowledge(vectors.join(contents, "chunk_id"), _centers(spark, root))
+
+
 EVENT_NAMES = {
     "purchase": "order_items", "signup": "customers", "view": "product_pages", "click": "cart_clicks", "error": "error_log",
 }

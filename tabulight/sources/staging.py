@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -33,6 +34,17 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# A join side up to this measured size is broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def small_side(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df`` staged and, if the sum of ``row_bytes`` is within the bound, marked for a broadcast."""
+    staged = stage(df)
+    size = staged.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(staged) if size <= BROADCAST_BYTES else staged
+
+
 # Tables below this size per core are spread over the cores, unless they are tiny.
 SPREAD_BYTES, TINY_BYTES = 16 * 1024 * 1024, 1024 * 1024
 
