@@ -45,17 +45,11 @@ def small_side(df: DataFrame, row_bytes: Column) -> DataFrame:
     return F.broadcast(staged) if size <= BROADCAST_BYTES else staged
 
 
-# Tables below this size per core are spread over the cores, unless they are tiny.
-SPREAD_BYTES, TINY_BYTES = 16 * 1024 * 1024, 1024 * 1024
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """A small table's rows over all cores, for work that costs much per row.
+    """Rows over all cores, for work that costs much per row on a table with fewer splits than cores.
 
-    A Parquet file with one row group is one task, however much work a row makes. The
-    size is the estimate the optimizer chooses joins by; a table of more than 16 MB a
-    core has splits enough and is returned as it is, without a shuffle.
+    A Parquet file with one row group is one task, however much work a row makes. Only the
+    number of splits of the plan counts: a table with enough of them is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if TINY_BYTES < size < cores * SPREAD_BYTES else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
