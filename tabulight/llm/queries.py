@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, jaccard_join, kd_search, language_id, licenses, lm_scoring, pieces, quality, transcripts, warc,
+    decontaminate, jaccard_join, kd_search, language_id, licenses, lm_scoring, negatives, pieces, quality, resampling,
+    substrings, transcripts, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +153,115 @@ def op1_license_scan(spark, root):
 @query()
 def op8_chat_format(spark, root):
     return transcripts.chat_format(table(spark, root, "conversations"))
+
+
+REPEATS_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM places
+), least AS (
+  SELECT h, min(doc_id) AS low FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM windows JOIN least USING (h), range(50) steps(k) WHERE low < doc_id
+), each AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs
+), kept AS (
+  SELECT e.doc_id, count(*) AS n_words, count(g.i) AS n_removed,
+    string_agg(word, ' ' ORDER BY e.i) FILTER (g.i IS NULL) AS kept
+  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id
+)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query(REPEATS_SQL)
+def op11_substring_dedup(spark, root):
+    """Words left of every document after passages of 50 words that a smaller document has, as a digest."""
+    kept = substrings.remove_repeats(table(spark, root, "documents"), words=50)
+    return kept.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).drop("kept")
+
+
+NEGATIVES_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same,
+    list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM vectors a JOIN vectors c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place
+  FROM pairs WHERE same
+), negatives AS (
+  SELECT p.anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT same AND place <= 5
+    AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5
+"""
+
+
+@query(NEGATIVES_SQL)
+def op12_hard_negatives(spark, root):
+    """Hard negatives of every hundredth vector; a seventh of the labels are moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, root, "embeddings").withColumn("label", moved)
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=5, percent=80, scale=256)
+
+
+RESAMPLE_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, 0 AS target, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+  UNION ALL SELECT item_id, 1, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  FROM benchmark
+), words AS (SELECT doc_id, target, unnest(w) AS word FROM texts),
+step AS (
+  SELECT list_transform(range(16), lambda n: list_reduce([n, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), nibbles AS (
+  SELECT word, list_transform(range(length(hex(word))),
+    lambda i: instr('0123456789ABCDEF', hex(word)[(i // 2) * 2 + 2 - i % 2])::BIGINT - 1) AS x
+  FROM (SELECT DISTINCT word FROM words)
+), buckets AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT], x),
+    lambda c, y: xor(t[(xor(c, y) & 15) + 1], c >> 4)), 4294967295) % 10000 AS bucket
+  FROM nibbles, step
+), counts AS (
+  SELECT bucket, sum(1 - target) AS s, sum(target) AS t FROM words JOIN buckets USING (word) GROUP BY bucket
+), sums AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM counts),
+gains AS (
+  SELECT bucket, floor(1000 * ln((c.t + 1)::DOUBLE * (a.s + 10000) / ((c.s + 1)::DOUBLE * (a.t + 10000))))::BIGINT AS gain
+  FROM counts c, sums a
+), weights AS (
+  SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight
+  FROM words JOIN buckets USING (word) JOIN gains USING (bucket) WHERE target = 0 GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln(
+      (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM documents LEFT JOIN weights USING (doc_id)
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
+@query(RESAMPLE_SQL)
+def op13_target_resampling(spark, root):
+    """A tenth of the documents, drawn for their likeness to the benchmark's words."""
+    return resampling.resample(table(spark, root, "documents"), table(spark, root, "benchmark"), percent=10, seed=2024)

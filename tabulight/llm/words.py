@@ -20,16 +20,17 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
-def byte_values() -> tuple[np.ndarray, np.ndarray]:
-    """A value for each byte, that of a-z for A-Z, and which bytes part words."""
-    values = mix(mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[1]) ^ MULTIPLIERS[0])
+def byte_values() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A value for each byte, that of a-z for A-Z; one of its own for each; and which bytes part words."""
+    exact = mix(mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[1]) ^ MULTIPLIERS[0])
+    values = exact.copy()
     values[65:91] = values[97:123]
     parts = np.zeros(256, bool)
     parts[[32, *range(9, 14)]] = True
-    return values, parts
+    return values, exact, parts
 
 
-VALUES, PARTS = byte_values()
+VALUES, EXACT_VALUES, PARTS = byte_values()
 _POWERS: list[np.ndarray] = []
 
 
@@ -60,14 +61,17 @@ def text_parts(bodies: list[bytes | None]):
         yield part
 
 
-def word_hashes(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of all texts in order, and where each text's start (one more entry)."""
+def word_hashes(part: list[bytes], values: np.ndarray = VALUES) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts in order, and where each text's start (one more entry).
+
+    ``values`` says which bytes count as the same: EXACT_VALUES tells A-Z from a-z.
+    """
     data = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
     up, down = powers(len(data))
     between = PARTS[data]
     before = np.concatenate(([True], between[:-1]))
     starts, ends = np.flatnonzero(before & ~between), np.flatnonzero(between & ~before)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(VALUES[data] * up)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[data] * up)))
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     lengths = np.array([len(p) + 1 for p in part], np.int64)
     return hashes, np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
