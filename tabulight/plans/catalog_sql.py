@@ -219,3 +219,54 @@ def description_sql() -> str:
             f"columns. ' || 'They are {', '.join(names)}.' AS description FROM {table}"
         )
     return union(rows)
+
+
+def inclusion_ctes() -> str:
+    """CTEs ``vals`` (distinct values of each column as number or text), ``sizes`` and ``found`` (inclusions)."""
+    rows, facts = [], []
+    for table in COLUMNS:
+        for name, kind in columns_of(table):
+            fam = family(kind)
+            if fam not in ("number", "text", "time"):
+                continue
+            value = f"{name}::DOUBLE + 0.0, NULL" if fam == "number" else f"NULL, '{fam}' || {name}::VARCHAR"
+            rows.append(f"SELECT DISTINCT '{table}' AS t, '{name}' AS c, {value} FROM {table} WHERE {name} IS NOT NULL")
+            facts.append(
+                f"SELECT '{table}' AS t, '{name}' AS c, count(DISTINCT {name}) AS n, count(DISTINCT {name}) = count(*) AS u FROM {table}"
+            )
+    return f"""
+vals(t, c, x, s) AS ({union(rows)}),
+sizes AS (SELECT * FROM ({union(facts)}) WHERE n > 0),
+shared AS (
+  SELECT a.t AS child_table, a.c AS child_column, b.t AS parent_table, b.c AS parent_column, count(*) AS n
+  FROM vals a JOIN vals b ON a.x = b.x AND (a.t, a.c) <> (b.t, b.c) GROUP BY ALL
+  UNION ALL
+  SELECT a.t, a.c, b.t, b.c, count(*) FROM vals a JOIN vals b ON a.s = b.s AND (a.t, a.c) <> (b.t, b.c) GROUP BY ALL
+),
+found AS (
+  SELECT child_table, child_column, parent_table, parent_column, k.n AS child_distinct, p.n AS parent_distinct,
+    round(k.n / p.n, 6) AS coverage, p.u AS parent_unique
+  FROM shared JOIN sizes k ON k.t = child_table AND k.c = child_column AND k.n = shared.n
+  JOIN sizes p ON p.t = parent_table AND p.c = parent_column
+)"""
+
+
+def column_sets_sql(largest: int) -> str:
+    """Minimal keys of one or two columns."""
+    rows = []
+    for table in COLUMNS:
+        names = [n for n, kind in columns_of(table) if family(kind) in ("number", "text", "time")]
+        sets = [(n,) for n in names] + ([(a, b) for i, a in enumerate(names) for b in names[i + 1 :]] if largest > 1 else [])
+        for s in sets:
+            null = " OR ".join(f"{n} IS NULL" for n in s)
+            rows.append(
+                f"SELECT '{table}' AS table_name, {list(s)} AS parts, count(*) AS row_count, "
+                f"count(DISTINCT ({', '.join(s)})) AS n, count_if({null}) AS gaps FROM {table}"
+            )
+    return f"""
+WITH sets AS ({union(rows)}),
+keys AS (SELECT * FROM sets WHERE row_count > 0 AND n = row_count AND gaps = 0)
+SELECT table_name, array_to_string(parts, ',') AS key_columns, len(parts)::INT AS set_size, row_count FROM keys k
+WHERE NOT EXISTS (
+  SELECT 1 FROM keys s WHERE s.table_name = k.table_name AND len(s.parts) < len(k.parts) AND list_has_all(k.parts, s.parts))
+"""
