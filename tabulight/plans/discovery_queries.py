@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from ..operators import inclusion, unique_sets
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import inclusion, search, unique_sets, vector_index
+from ..sources.staging import ensure_checkpoint_dir
 from . import catalog_sql as sql
 from .lake import open_lake
 from .registry import query
@@ -31,3 +36,40 @@ def value_references(spark, root):
 def unique_column_sets(spark, root):
     """All minimal keys of one or two columns of every table."""
     return unique_sets.unique_column_sets(open_lake(spark, root), largest=2)
+
+
+NEIGHBOURS = 10
+NEIGHBOUR_SQL = f"""
+SELECT query_id, id, rank, round(score, 6) AS score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS id, c.label,
+    round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY
+      round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) DESC, c.vec_id)::INT AS rank
+  FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0
+) WHERE rank <= {NEIGHBOURS}
+"""
+
+
+def _indexed(spark, root):
+    """The vectors, every fiftieth as a query, and the path of a new index over all of them."""
+    vectors = open_lake(spark, root, "embeddings")["embeddings"]
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    vector_index.build_index(vectors, path, "vec_id", "embedding")
+    return vectors, asked, path
+
+
+@query(NEIGHBOUR_SQL)
+def vector_index_exact(spark, root):
+    """The nearest rows of every fiftieth row, through the cells and bounds of an index."""
+    _, asked, path = _indexed(spark, root)
+    found = vector_index.search_index(spark, path, asked, NEIGHBOURS, exact=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query()
+def vector_index_recall(spark, root):
+    """How many of the nearest rows of every fiftieth row are found by probing cells alone; near all, by measurement."""
+    vectors, asked, path = _indexed(spark, root)
+    exact = search.nearest_batch(vectors, asked, NEIGHBOURS, "vec_id", "embedding")
+    return vector_index.recall(vector_index.search_index(spark, path, asked, NEIGHBOURS), exact)
