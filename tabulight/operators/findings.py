@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.catalog import Catalog, type_family
-from .profile import LOW_BELOW, profile_catalog
+from ..sources.staging import stage
+from .profile import EXACT_VALUES, LOW_BELOW, distinct_counts, profile_catalog, typed_value
 
 # Thresholds of the column rules.
 UNUSED_SHARE = 0.8
@@ -83,9 +84,42 @@ def columns_needing_distinct(catalog: Catalog) -> dict[str, list[str]]:
     return {t: [f.name for f in catalog[t].schema.fields if needed(f)] for t in catalog.names}
 
 
+# Five standard deviations of the sketch; a count further from a threshold than that is on the side its estimate is.
+ERROR_BAND = 0.08
+
+
+def undecided() -> Column:
+    """Profile rows whose estimated distinct count is too near a threshold of a rule to tell the side."""
+    unique, rows, filled = _unique(), F.col("row_count"), _filled()
+    near = F.lit(False)
+    for threshold in (rows / ENUM_SHARE, rows / NAME_SHARE, rows / ID_SHARE, filled * CHAR_LOW, filled * CHAR_HIGH):
+        near = near | (F.abs(unique - threshold) <= unique * ERROR_BAND + 1)
+    # The sketch is exact well past the fixed thresholds of 1, 20 and 50 values.
+    return (F.col("distinct_count") > EXACT_VALUES * (1 - ERROR_BAND)) & near
+
+
 def findings_profile(catalog: Catalog) -> DataFrame:
-    """The profile the rules need: exact distinct counts only where a rule reads one."""
-    return profile_catalog(catalog, "exact", columns_needing_distinct(catalog))
+    """The profile the rules need, with distinct counts only where a rule reads one.
+
+    Counts come from sketches, which no value is shuffled for. Only columns whose estimate
+    lies within the sketch's error of a row-share threshold are counted exactly.
+    """
+    needed = columns_needing_distinct(catalog)
+    rough = stage(profile_catalog(catalog, "approx", needed))
+    open_ = rough.filter(undecided()).select("table_name", "column_name").collect()
+    if not open_:
+        return rough
+    entries: dict[str, list] = {}
+    for tag, (table, column) in enumerate(open_):
+        entries.setdefault(table, []).append((tag, typed_value(column, catalog[table].schema[column].dataType)))
+    names = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name")) for t, c in open_])
+    exact = distinct_counts(catalog.tables, entries).select(names[F.col("tag")].alias("at"), F.col("distinct_count").alias("exact"))
+    exact = exact.select("at.*", "exact")
+    return (
+        rough.join(exact, ["table_name", "column_name"], "left")
+        .withColumn("distinct_count", F.coalesce("exact", "distinct_count"))
+        .select(*rough.columns)
+    )
 
 
 def _unique() -> Column:

@@ -11,39 +11,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.catalog import Catalog, type_family
-from .profile import distinct_counts, name_of, quoted, sketch, tagged_values, typed_value, union_all, value_text
+from .profile import (
+    distinct_counts, hashed_value, name_of, quoted, sketch_counts, tagged_values, typed_value, union_all, value_text,
+)
 
-# A sketch's estimate is within a few percent (1.6 percent standard error); a true
-# key cannot fall to half.
-SKETCH_SHARE = 0.5
+# A sketch's estimate has 1.6 percent standard deviation; a true key cannot fall to this share.
+SKETCH_SHARE = 0.9
 
 
 def promising_columns(catalog: Catalog) -> dict[str, list[str]]:
-    """Columns whose distinct sketch is near the row count: one cheap pass per table.
+    """Complete columns whose distinct sketch is near the row count: one scan a table, one shuffle of sketches.
 
     Only one row per table and column reaches the driver.
     """
-    frames = []
+    entries: dict[str, list] = {}
+    labels: list[tuple[str, str | None]] = []
     for table, df in sorted(catalog.tables.items()):
         fields = [f for f in df.schema.fields if type_family(f.dataType) in ("number", "text", "time")]
-        if not fields:
-            continue
-        stats = ", ".join(
-            f"named_struct('table_name', {quoted(table)}, 'column_name', {quoted(f.name)}, "
-            f"'distinct', {sketch(f.name)}, "
-            f"'present', count({name_of(f.name)}), 'n', count(1))"
-            for f in fields
-        )
-        frames.append(df.agg(F.expr(f"array({stats})").alias("s")).select(F.inline("s")))
-    rows = (
-        union_all(frames)
-        .filter((F.col("n") > 0) & (F.col("present") == F.col("n")))
-        .filter(F.col("distinct") >= F.col("n") * SKETCH_SHARE)
-        .collect()
-    )
+        for field in fields:
+            entries.setdefault(table, []).append((len(labels), hashed_value(field.name, field.dataType)))
+            labels.append((table, field.name))
+        if fields:
+            entries[table].append((len(labels), {"n": "0L"}))  # every row, to count them
+            labels.append((table, None))
+    counts = {labels[r["tag"]]: r for r in sketch_counts(catalog.tables, entries).collect()}
     found: dict[str, list[str]] = {}
-    for row in rows:
-        found.setdefault(row["table_name"], []).append(row["column_name"])
+    for table, column in labels:
+        rows, own = counts.get((table, None)), counts.get((table, column))
+        if column and rows and own and own["present"] == rows["present"] and own["distinct_count"] >= rows["present"] * SKETCH_SHARE:
+            found.setdefault(table, []).append(column)
     return found
 
 
@@ -100,13 +96,16 @@ def key_check(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     return key_checks(Catalog({table: df}), {table: [list(columns)]})
 
 
-def key_candidates(catalog: Catalog, sets: dict[str, Iterable[Sequence[str]]] | None = None) -> DataFrame:
+def key_candidates(
+    catalog: Catalog, sets: dict[str, Iterable[Sequence[str]]] | None = None, likely: dict[str, list[str]] | None = None
+) -> DataFrame:
     """Complete and unique single columns, and the given column sets that are.
 
-    Exact counting is spent only on columns a sketch has not ruled out.
+    Exact counting is spent only on columns a sketch has not ruled out; ``likely`` passes
+    a result of ``promising_columns`` on.
     """
     wanted: dict[str, list[Sequence[str]]] = {}
-    for table, columns in promising_columns(catalog).items():
+    for table, columns in (promising_columns(catalog) if likely is None else likely).items():
         wanted[table] = [[c] for c in columns]
     for table, column_sets in (sets or {}).items():
         wanted[table] = wanted.get(table, []) + [list(c) for c in column_sets]
@@ -272,12 +271,12 @@ def reference_inclusion(catalog: Catalog, pairs: Sequence[ReferencePair]) -> Dat
     )
 
 
-def discover_references(catalog: Catalog, least: float = 1.0) -> DataFrame:
+def discover_references(catalog: Catalog, least: float = 1.0, likely: dict[str, list[str]] | None = None) -> DataFrame:
     """References found by name and by value: unique parent, inclusion of at least ``least``.
 
     Parents that a sketch rules out as unique are not compared at all.
     """
-    likely = promising_columns(catalog)
+    likely = promising_columns(catalog) if likely is None else likely
     pairs = [p for p in reference_pairs(catalog) if p.parent_column in likely.get(p.parent_table, ())]
     found = reference_inclusion(catalog, pairs)
     return found.filter(F.col("parent_unique") & (F.col("inclusion") >= least))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.catalog import Catalog, type_family
+from ..sources.catalog import Catalog, column_descriptors, type_family
 
 # The time columns a recent-first sample looks for, in order.
 RECENT_COLUMNS = ("updated_at", "created_at")
@@ -19,7 +23,6 @@ LOW_BELOW, HIGH_ABOVE = 10, 10_000
 # Marks that hint at several values in one text.
 COLLECTION_MARKS = r"[,;\[{|]"
 DIGEST_FROM = 64
-COLUMNS_PER_AGGREGATE = 4
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
@@ -126,10 +129,9 @@ def typed_value(column: str, data_type: T.DataType) -> dict[str, str]:
     return {"s": value_text(column, data_type)}
 
 
-def sketch(column: str) -> str:
-    """SQL for an estimated distinct count; the sketch is one small binary per task."""
-    c = name_of(column)
-    return f"hll_sketch_estimate(hll_sketch_agg(CASE WHEN {c} IS NOT NULL THEN xxhash64({c}) END))"
+def hashed_value(column: str, data_type: T.DataType) -> dict[str, str]:
+    """The value's hash, for sketches: whole numbers, however long the value is."""
+    return {"n": f"CASE WHEN {name_of(column)} IS NOT NULL THEN xxhash64({name_of(column)}) END"}
 
 
 VALUE_TYPES = {"n": "BIGINT", "d": "DOUBLE", "s": "STRING"}
@@ -168,37 +170,114 @@ def distinct_counts(
     )
 
 
-def _column_stats(table: str, ordinal: int, field: T.StructField, approx: bool) -> str:
-    c, family = name_of(field.name), type_family(field.dataType)
-    text, number, time = family == "text", family == "number", family == "time"
-
-    def when(condition: bool, expression: str, kind: str) -> str:
-        return expression if condition else f"CAST({'0' if kind == 'BIGINT' else 'NULL'} AS {kind})"
-
-    def moment(expression: str) -> str:
-        return f"CAST(CAST({expression} AS TIMESTAMP_NTZ) AS STRING)"
-
-    stats = {
-        "table_name": quoted(table),
-        "ordinal": str(ordinal),
-        "column_name": quoted(field.name),
-        "data_type": quoted(field.dataType.simpleString()),
-        "family": quoted(family),
-        "nullable": str(field.nullable).lower(),
-        "row_count": "count(1)",
-        "null_count": f"count(1) - count({c})",
-        "empty_count": when(text, f"count_if({c} = '')", "BIGINT"),
-        "marked_count": when(text, f"count_if({c} RLIKE {quoted(COLLECTION_MARKS)})", "BIGINT"),
-        "distinct_count": sketch(field.name) if approx and family != "other" else "CAST(NULL AS BIGINT)",
-        "min_number": when(number, f"CAST(min({c}) AS DOUBLE)", "DOUBLE"),
-        "max_number": when(number, f"CAST(max({c}) AS DOUBLE)", "DOUBLE"),
-        "avg_number": when(number, f"CAST(avg({c}) AS DOUBLE)", "DOUBLE"),
-        "min_text": when(text, f"min({c})", "STRING"),
-        "max_text": when(text, f"max({c})", "STRING"),
-        "min_time": when(time, moment(f"min({c})"), "STRING"),
-        "max_time": when(time, moment(f"max({c})"), "STRING"),
+PARTIAL_SCHEMA = (
+    "table_name string, ordinal int, row_count long, null_count long, empty_count long, marked_count long, "
+    "min_number double, max_number double, sum_number double, nan_count long, min_text string, max_text string, "
+    "min_wall timestamp_ntz, max_wall timestamp_ntz, min_instant long, max_instant long"
+)
+DESCRIBED = ("column_name string", "data_type string", "family string", "nullable boolean")
+
+
+def _number_stats(values: pa.Array) -> dict:
+    known = values.drop_null().to_numpy(zero_copy_only=False)
+    real = known[~np.isnan(known)]
+    ends = {"min_number": real.min(), "max_number": real.max()} if len(real) else {}
+    return ends | {"sum_number": known.sum() if len(known) else None, "nan_count": len(known) - len(real)}
+
+
+def _text_stats(values: pa.Array) -> dict:
+    low = pc.min_max(values)
+    return {
+        "min_text": low["min"].as_py(), "max_text": low["max"].as_py(),
+        "empty_count": pc.sum(pc.equal(values, "")).as_py() or 0,
+        "marked_count": pc.sum(pc.match_substring_regex(values, COLLECTION_MARKS)).as_py() or 0,
     }
-    return "named_struct(" + ", ".join(f"'{name}', {stats[name]}" for name in PROFILE_COLUMNS) + ")"
+
+
+def _time_stats(values: pa.Array) -> dict:
+    low = pc.min_max(values)
+    if values.type.tz is None:
+        return {"min_wall": low["min"], "max_wall": low["max"]}
+    return {"min_instant": low["min"].value, "max_instant": low["max"].value}
+
+
+def partial_stats(table: str, df: DataFrame) -> DataFrame:
+    """Counts, ranges and sums of every column: one scan of the table, one row a task and column."""
+    target = to_arrow_schema(T.StructType.fromDDL(PARTIAL_SCHEMA))
+    columns, kinds = [], []
+    for number, field in enumerate(df.schema.fields):
+        c, kind = F.col(name_of(field.name)), type_family(field.dataType)
+        # Only what the statistics read goes to the Arrow batches; of other types that is where the nulls are.
+        value = {"number": c.cast("double"), "text": c, "time": c}.get(kind, F.when(c.isNotNull(), F.lit(True)))
+        if isinstance(field.dataType, T.DateType):
+            value = c.cast("timestamp_ntz")
+        columns.append(value.alias(f"c{number}"))
+        kinds.append({"number": _number_stats, "text": _text_stats, "time": _time_stats}.get(kind))
+
+    # How two batches' statistics become one.
+    add = lambda a, b: b if a is None else a if b is None else a + b
+    least = lambda a, b: b if a is None else a if b is None else min(a, b)
+    most = lambda a, b: b if a is None else a if b is None else max(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = [{} for _ in kinds]
+        for batch in batches:
+            for stats, values, kind in zip(held, batch.columns, kinds, strict=True):
+                found = {"row_count": len(values), "null_count": values.null_count}
+                if kind is not None and values.null_count < len(values):
+                    found |= kind(values)
+                for name, value in found.items():
+                    value = value.as_py() if isinstance(value, pa.Scalar) else value
+                    merge = least if name.startswith("min") else most if name.startswith("max") else add
+                    stats[name] = merge(stats.get(name), value)
+        rows = [{"table_name": table, "ordinal": i, **stats} for i, stats in enumerate(held, 1) if stats]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=target)
+
+    return df.select(*columns).mapInArrow(run, PARTIAL_SCHEMA)
+
+
+def merged_stats(partials: DataFrame) -> DataFrame:
+    """One row a column from partial statistics of any number of tasks or files."""
+    nan = F.lit(float("nan"))
+    present = F.sum("row_count") - F.sum("null_count")
+
+    def moment(end) -> Column:
+        wall, instant = end("min_wall" if end is F.min else "max_wall"), end("min_instant" if end is F.min else "max_instant")
+        return F.coalesce(wall.cast("string"), F.timestamp_micros(instant).cast("timestamp_ntz").cast("string"))
+
+    zero = F.lit(0).cast("bigint")
+    found = partials.groupBy("table_name", "ordinal").agg(
+        *[F.max(name).alias(name) for name, _ in (d.split(" ") for d in DESCRIBED)],
+        *[F.coalesce(F.sum(n), zero).alias(n) for n in ("row_count", "null_count", "empty_count", "marked_count")],
+        F.when((F.sum("nan_count") > 0) & F.min("min_number").isNull(), nan).otherwise(F.min("min_number")).alias("min_number"),
+        F.when(F.sum("nan_count") > 0, nan).otherwise(F.max("max_number")).alias("max_number"),
+        F.when(present > 0, F.sum("sum_number") / present).alias("avg_number"),
+        F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text"),
+        moment(F.min).alias("min_time"), moment(F.max).alias("max_time"),
+    )
+    return found.withColumn("distinct_count", F.lit(None).cast("bigint")).select(*PROFILE_COLUMNS)
+
+
+def described(catalog: Catalog) -> DataFrame:
+    """A partial row without counts for every column, so that tables without rows have a profile too."""
+    spark = next(iter(catalog.tables.values())).sparkSession
+    return column_descriptors(spark, catalog).select("table_name", "ordinal", *[d.split(" ")[0] for d in DESCRIBED])
+
+
+# A theta sketch is exact up to this many values; its error has 1.6 percent standard deviation beyond.
+EXACT_VALUES, SKETCH_BITS = 4096, 12
+
+
+def sketch_counts(tables: dict[str, DataFrame], wanted: dict[str, list[tuple[int, dict[str, str]]]]) -> DataFrame:
+    """Per tag: estimated distinct hashed values and rows that have one; exact up to EXACT_VALUES.
+
+    A task keeps a sketch of bounded size a tag, and those are all that is shuffled.
+    """
+    estimate = f"CAST(theta_sketch_estimate(theta_sketch_agg(n, {SKETCH_BITS})) AS BIGINT)"
+    return tagged_values(tables, wanted).groupBy("tag").agg(
+        F.expr(estimate).alias("distinct_count"), F.count(F.lit(1)).alias("present")
+    )
 
 
 def profile_catalog(
@@ -206,40 +285,37 @@ def profile_catalog(
 ) -> DataFrame:
     """One row per column of every table, in one job.
 
-    Each table gives its counts and ranges in one aggregate, of which only a row per
-    task is shuffled. ``distinct`` is "exact", "approx" (a sketch in the same
-    aggregate) or "none"; exact counts shuffle distinct values, and ``distinct_for``
-    limits them to the columns that need one.
+    Each table is scanned once for counts and ranges, of which only a row per task and
+    column is shuffled. ``distinct`` is "exact", "approx" or "none"; exact counts shuffle
+    distinct values, approximate ones a sketch a task, exact up to EXACT_VALUES values.
+    ``distinct_for`` limits them to the columns that need one.
     """
-    stats, wanted, columns = [], {}, []
+    partials = union_all([partial_stats(t, df) for t, df in sorted(catalog.tables.items())])
+    profile = merged_stats(partials.unionByName(described(catalog), allowMissingColumns=True))
+    wanted: dict[str, list] = {}
+    columns = []
     for table, df in sorted(catalog.tables.items()):
-        structs = []
         for ordinal, field in enumerate(df.schema.fields, start=1):
-            structs.append(_column_stats(table, ordinal, field, distinct == "approx"))
             needed = distinct_for is None or field.name in distinct_for.get(table, ())
-            if distinct == "exact" and needed and type_family(field.dataType) != "other":
-                wanted.setdefault(table, []).append((len(columns), typed_value(field.name, field.dataType)))
+            if distinct != "none" and needed and type_family(field.dataType) != "other":
+                value = typed_value if distinct == "exact" else hashed_value
+                wanted.setdefault(table, []).append((len(columns), value(field.name, field.dataType)))
                 columns.append((table, ordinal))
-        # Few columns per aggregate keep its generated code small enough for the JVM to
-        # compile; Parquet is columnar, so no column is read twice.
-        for first in range(0, len(structs), COLUMNS_PER_AGGREGATE):
-            some = ", ".join(structs[first : first + COLUMNS_PER_AGGREGATE])
-            stats.append(df.agg(F.expr(f"array({some})").alias("c")).select(F.inline("c")))
-    profile = union_all(stats)
     if not wanted:
         return profile
     places = ", ".join(f"named_struct('table_name', {quoted(t)}, 'ordinal', {o})" for t, o in columns)
-    counts = distinct_counts(catalog.tables, wanted).select(
+    count = distinct_counts if distinct == "exact" else sketch_counts
+    counts = count(catalog.tables, wanted).select(
         F.expr(f"array({places})")[F.col("tag")].alias("at"), F.col("distinct_count").alias("found")
     ).select("at.*", "found")
     asked = F.concat_ws(".", "table_name", F.col("ordinal").cast("string")).isin(
         *[f"{t}.{o}" for t, o in columns]
     )
     # A column of nulls only has no value to count: 0, not null.
-    exact = F.when(asked, F.coalesce("found", F.lit(0)))
+    known = F.when(asked, F.coalesce("found", F.lit(0).cast("bigint")))
     return (
         profile.join(counts, ["table_name", "ordinal"], "left")
-        .withColumn("distinct_count", exact)
+        .withColumn("distinct_count", known)
         .select(*PROFILE_COLUMNS)
     )
 

@@ -71,8 +71,9 @@ def model_catalog(spark: SparkSession, catalog: Catalog, key_sets: dict | None =
         table_category(F.col("table_name")).alias("category"),
     )
     columns = column_descriptors(spark, catalog)
-    found_keys = keys.key_candidates(catalog, key_sets)
-    references = keys.discover_references(catalog)
+    likely = keys.promising_columns(catalog)
+    found_keys = keys.key_candidates(catalog, key_sets, likely)
+    references = keys.discover_references(catalog, likely=likely)
     dimensions = star.detect_dimensions(columns, found_keys)
     facts = star.detect_facts(columns, found_keys, references)
     return Model(
