@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.catalog import Catalog, type_family
-from ..sources.staging import stage
 from .profile import EXACT_VALUES, LOW_BELOW, distinct_counts, profile_catalog, typed_value
 
 # Thresholds of the column rules.
@@ -89,23 +88,33 @@ ERROR_BAND = 0.08
 
 
 def undecided() -> Column:
-    """Profile rows whose estimated distinct count is too near a threshold of a rule to tell the side."""
-    unique, rows, filled = _unique(), F.col("row_count"), _filled()
-    near = F.lit(False)
-    for threshold in (rows / ENUM_SHARE, rows / NAME_SHARE, rows / ID_SHARE, filled * CHAR_LOW, filled * CHAR_HIGH):
-        near = near | (F.abs(unique - threshold) <= unique * ERROR_BAND + 1)
-    # The sketch is exact well past the fixed thresholds of 1, 20 and 50 values.
-    return (F.col("distinct_count") > EXACT_VALUES * (1 - ERROR_BAND)) & near
+    """Profile rows whose estimated distinct count is too near a row share of their rule to tell the side.
+
+    The sketch is exact well past the fixed thresholds of 1, 20 and 50 values.
+    """
+    unique, rows, name = _unique(), F.col("row_count"), F.lower("column_name")
+
+    def near(share: int) -> Column:
+        return F.abs(unique - rows / share) <= unique * ERROR_BAND + 1
+
+    labels = F.lit(False)
+    for word in LABEL_NAMES:
+        labels = labels | F.contains(name, F.lit(word))
+    rules = ((F.col("family") == "text") & near(ENUM_SHARE)) | (labels & near(NAME_SHARE))
+    rules = rules | (F.contains(name, F.lit("id")) & near(ID_SHARE))
+    return (F.col("distinct_count") > EXACT_VALUES * (1 - ERROR_BAND)) & rules
 
 
 def findings_profile(catalog: Catalog) -> DataFrame:
     """The profile the rules need, with distinct counts only where a rule reads one.
 
     Counts come from sketches, which no value is shuffled for. Only columns whose estimate
-    lies within the sketch's error of a row-share threshold are counted exactly.
+    lies within the sketch's error of a row-share threshold are counted exactly. The
+    profile has a row per column; those pass through the driver.
     """
     needed = columns_needing_distinct(catalog)
-    rough = stage(profile_catalog(catalog, "approx", needed))
+    found = profile_catalog(catalog, "approx", needed)
+    rough = found.sparkSession.createDataFrame(found.collect(), found.schema)
     open_ = rough.filter(undecided()).select("table_name", "column_name").collect()
     if not open_:
         return rough

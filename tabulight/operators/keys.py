@@ -3,43 +3,70 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.catalog import Catalog, type_family
 from .profile import (
-    distinct_counts, hashed_value, name_of, quoted, sketch_counts, tagged_values, typed_value, union_all, value_text,
+    distinct_counts, hashed_value, name_of, quoted, tagged_values, typed_value, union_all, value_text,
 )
 
-# A sketch's estimate has 1.6 percent standard deviation; a true key cannot fall to this share.
-SKETCH_SHARE = 0.9
+
+CLASH_SCHEMA = "tag int, row_count long, present long, clash boolean"
+
+
+def _clashes(df: DataFrame, entries: list[tuple[int, str]]) -> DataFrame:
+    """Per task and column: rows, rows with a value, and whether a value came twice in a batch.
+
+    Once a column has clashed in a task its values are not looked at again there.
+    """
+    target = to_arrow_schema(T.StructType.fromDDL(CLASH_SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, present, clash = 0, np.zeros(len(entries), np.int64), np.zeros(len(entries), bool)
+        for batch in batches:
+            rows += batch.num_rows
+            for i, values in enumerate(batch.columns):
+                known = len(values) - values.null_count
+                present[i] += known
+                if not clash[i]:
+                    clash[i] = values.null_count > 0 or len(np.unique(values.to_numpy())) < known
+        if rows:
+            tags = pa.array([tag for tag, _ in entries], pa.int32())
+            yield pa.RecordBatch.from_arrays([tags, pa.array([rows] * len(entries)), pa.array(present), pa.array(clash)], schema=target)
+
+    return df.selectExpr(*[f"{value} AS c{i}" for i, (_, value) in enumerate(entries)]).mapInArrow(run, CLASH_SCHEMA)
 
 
 def promising_columns(catalog: Catalog) -> dict[str, list[str]]:
-    """Complete columns whose distinct sketch is near the row count: one scan a table, one shuffle of sketches.
+    """Complete columns in which no value is seen twice near by: one scan a table.
 
-    Only one row per table and column reaches the driver.
+    A value that comes twice in a batch, or a null, proves that a column is no key; what
+    is left is few columns to count exactly. One row per column reaches the driver.
     """
-    entries: dict[str, list] = {}
-    labels: list[tuple[str, str | None]] = []
+    frames, labels = [], []
     for table, df in sorted(catalog.tables.items()):
         fields = [f for f in df.schema.fields if type_family(f.dataType) in ("number", "text", "time")]
-        for field in fields:
-            entries.setdefault(table, []).append((len(labels), hashed_value(field.name, field.dataType)))
-            labels.append((table, field.name))
         if fields:
-            entries[table].append((len(labels), {"n": "0L"}))  # every row, to count them
-            labels.append((table, None))
-    counts = {labels[r["tag"]]: r for r in sketch_counts(catalog.tables, entries).collect()}
+            entries = [(len(labels) + i, hashed_value(f.name, f.dataType)["n"]) for i, f in enumerate(fields)]
+            labels += [(table, f.name) for f in fields]
+            frames.append(_clashes(df, entries))
+    if not frames:
+        return {}
+    seen = union_all(frames).groupBy("tag").agg(
+        F.sum("row_count").alias("row_count"), F.sum("present").alias("present"), F.max("clash").alias("clash")
+    )
     found: dict[str, list[str]] = {}
-    for table, column in labels:
-        rows, own = counts.get((table, None)), counts.get((table, column))
-        if column and rows and own and own["present"] == rows["present"] and own["distinct_count"] >= rows["present"] * SKETCH_SHARE:
-            found.setdefault(table, []).append(column)
+    for row in seen.filter("NOT clash AND present = row_count").orderBy("tag").collect():
+        table, column = labels[row["tag"]]
+        found.setdefault(table, []).append(column)
     return found
 
 
@@ -101,7 +128,7 @@ def key_candidates(
 ) -> DataFrame:
     """Complete and unique single columns, and the given column sets that are.
 
-    Exact counting is spent only on columns a sketch has not ruled out; ``likely`` passes
+    Exact counting is spent only on columns not ruled out before; ``likely`` passes
     a result of ``promising_columns`` on.
     """
     wanted: dict[str, list[Sequence[str]]] = {}
@@ -274,7 +301,7 @@ def reference_inclusion(catalog: Catalog, pairs: Sequence[ReferencePair]) -> Dat
 def discover_references(catalog: Catalog, least: float = 1.0, likely: dict[str, list[str]] | None = None) -> DataFrame:
     """References found by name and by value: unique parent, inclusion of at least ``least``.
 
-    Parents that a sketch rules out as unique are not compared at all.
+    Parents that cannot be unique are not compared at all.
     """
     likely = promising_columns(catalog) if likely is None else likely
     pairs = [p for p in reference_pairs(catalog) if p.parent_column in likely.get(p.parent_table, ())]
