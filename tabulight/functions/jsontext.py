@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 import pandas as pd
@@ -18,12 +19,71 @@ PHASE_DESCRIPTIONS = {
 }
 
 
+TOKEN = re.compile(
+    r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![0-9.]))|'
+    r"(true|false|null|NaN|-?Infinity))"
+)
+WORDS = {"true": True, "false": False, "null": None}
+LONE_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def _parsed(body: str) -> Any:
     """The decoded body, numbers as they are spelled; a body that is no JSON is one text."""
     try:
         return json.loads(body, parse_int=str, parse_float=str, parse_constant=str)
-    except (ValueError, RecursionError):
+    except ValueError:
         return body
+    except RecursionError:
+        return _parsed_deep(body)
+
+
+def _parsed_deep(body: str) -> Any:
+    """The same for bodies that nest deeper than the parser goes: open objects and lists are kept in a stack."""
+    document: list = []
+    stack: list = [document]
+    names: list = [None]
+    want, at = "value", 0
+    while want != "nothing":
+        token = TOKEN.match(body, at)
+        if token is None:
+            return body
+        at = token.end()
+        mark, text, number, word = token.groups()
+        top = stack[-1]
+        try:
+            text = None if text is None else json.loads(text)
+        except ValueError:
+            return body
+        if text is not None and want in ("name", "name or end"):
+            names[-1], want = text, "colon"
+        elif mark == ":" and want == "colon":
+            want = "value"
+        elif mark == "," and want == "comma or end":
+            want = "name" if isinstance(top, dict) else "value"
+        elif mark in ("]", "}") and want.endswith("or end") and isinstance(top, dict) == (mark == "}"):
+            stack.pop()
+            names.pop()
+            want = "comma or end" if len(stack) > 1 else "nothing"
+        elif want in ("value", "value or end") and mark in ("[", "{", None):
+            item = [] if mark == "[" else {} if mark == "{" else text if text is not None else number if number else WORDS.get(word, word)
+            if isinstance(top, dict):
+                top[names[-1]] = item
+            else:
+                top.append(item)
+            if mark:
+                stack.append(item)
+                names.append(None)
+                want = "name or end" if mark == "{" else "value or end"
+            else:
+                want = "comma or end" if len(stack) > 1 else "nothing"
+        else:
+            return body
+    return body if body[at:].strip(" \t\n\r") else document[0]
+
+
+def _writable(text: str) -> str:
+    """Half of a surrogate pair is no character; each becomes U+FFFD."""
+    return LONE_SURROGATE.sub("\ufffd", text)
 
 
 def _inside(value: Any) -> list[tuple[str, Any]] | None:
@@ -72,19 +132,19 @@ def _outline(value: Any) -> str:
 
 @F.pandas_udf(StringType())
 def _lines_of(bodies: pd.Series) -> pd.Series:
-    return bodies.map(lambda body: _lines(None if body is None else _parsed(body)))
+    return bodies.map(lambda body: _writable(_lines(None if body is None else _parsed(body))))
 
 
 @F.pandas_udf(StringType())
 def _outline_of(bodies: pd.Series) -> pd.Series:
-    return bodies.map(lambda body: _outline(None if body is None else _parsed(body)))
+    return bodies.map(lambda body: _writable(_outline(None if body is None else _parsed(body))))
 
 
 def json_lines(value: Column) -> Column:
     """``key: value`` and ``[i]: item`` lines of a JSON body, however deep it goes.
 
-    Strings are written as they are, whatever they start with; null is ``<nil>``. A
-    body that is no JSON, or nests deeper than the parser goes, is kept as its text.
+    Strings are written as they are, whatever they start with; null is ``<nil>``; half of
+    a surrogate pair is written as U+FFFD. A body that is no JSON is kept as its text.
     """
     return _lines_of(value)
 

@@ -15,34 +15,76 @@ def _singular() -> Column:
     return F.regexp_replace(F.regexp_replace(name, "ies$", "y"), "(?<!s)s$", "")
 
 
-def detect_dimensions(columns: DataFrame, keys: DataFrame) -> DataFrame:
-    """Tables with a single-column key and a further text column, classified.
+# What a caller's rule can make of a column; ``class:…`` names the class of the column's table.
+ROLES = ("key", "attribute", "measure", "ignore")
 
-    ``columns`` are column descriptors, ``keys`` rows of ``table_name, key_columns``
-    that hold in the data; both have one row per column or key of the catalog. The
-    key is the first key column; other texts are attributes.
+
+def column_roles(columns: DataFrame, rules: DataFrame | None) -> DataFrame:
+    """Column rows with the ``role`` and table ``class`` that a caller's rules give them, null where none does.
+
+    ``rules`` has ``priority, table_pattern, column_pattern, role``; patterns are searched
+    in the names, and the matching rule of the lowest priority decides, roles and classes
+    each on their own. Rules are written by a person, so they travel as one constant.
     """
-    key = (
-        keys.select("table_name", F.col("key_columns").alias("column_name"))
-        .join(columns, ["table_name", "column_name"])
-        .groupBy("table_name")
-        .agg(F.min_by("column_name", "ordinal").alias("key"))
+    rows = [] if rules is None else [tuple(r) for r in rules.select("priority", "table_pattern", "column_pattern", "role").orderBy("priority", "role").collect()]
+    unknown = sorted({r[3] for r in rows if r[3] not in ROLES and not r[3].startswith("class:")})
+    if unknown:
+        raise ValueError(f"unknown roles: {', '.join(unknown)}")
+
+    def first(matching: list[tuple]) -> Column:
+        found = F.lit(None).cast("string")
+        for _, table, column, role in reversed(matching):
+            hit = F.col("table_name").rlike(table) & F.col("column_name").rlike(column)
+            found = F.when(hit, F.lit(role)).otherwise(found)
+        return found
+
+    classes = [r for r in rows if r[3].startswith("class:")]
+    return columns.withColumn("role", first([r for r in rows if r not in classes])).withColumn(
+        "class", F.regexp_replace(first(classes), "^class:", "")
+    )
+
+
+def detect_dimensions(
+    columns: DataFrame, keys: DataFrame, declared: DataFrame | None = None, rules: DataFrame | None = None
+) -> DataFrame:
+    """Tables with a key and something that describes it, classified.
+
+    ``columns`` are column descriptors, ``keys`` rows of ``table_name, key_columns`` that
+    hold in the data, ``declared`` rows of ``declared_constraints``, ``rules`` a caller's
+    rules (see ``column_roles``); all have few rows per column of the catalog. A table's
+    key is, in this order, the columns that rules call its key, its declared primary key
+    if that holds, its first column of unique numbers or times; free text is no key
+    unless declared or called one. Attributes are its other texts and what rules call so.
+    """
+    ruled = column_roles(columns, rules)
+    by_rule = ruled.filter("role = 'key'").groupBy("table_name").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))), lambda c: c["column_name"]).alias("ruled_key")
     )
-    texts = (
-        columns.filter("family = 'text'")
-        .groupBy("table_name")
-        .agg(F.array_sort(F.collect_set("column_name")).alias("texts"))
+    single = (
+        keys.select("table_name", F.col("key_columns").alias("column_name"))
+        .join(ruled.filter("family IN ('number', 'time') AND coalesce(role, '') <> 'ignore'"), ["table_name", "column_name"])
+        .groupBy("table_name").agg(F.array(F.min_by("column_name", F.struct(F.col("family") != "number", "ordinal"))).alias("found_key"))
     )
+    tables = ruled.groupBy("table_name").agg(F.first("class", ignorenulls=True).alias("class")).join(by_rule, "table_name", "left").join(single, "table_name", "left")
+    if declared is not None:
+        primary = declared.filter("kind = 'primary'").select("table_name", F.col("columns").alias("declared_key"))
+        primary = primary.withColumn("key_columns", F.array_join("declared_key", ","))
+        tables = tables.join(primary.join(keys.select("table_name", "key_columns").distinct(), ["table_name", "key_columns"]), "table_name", "left")
+    else:
+        tables = tables.withColumn("declared_key", F.lit(None).cast("array<string>"))
+    describing = F.when(F.col("role").isNull(), F.col("family") == "text").otherwise(F.col("role") == "attribute")
+    texts = ruled.filter(describing).groupBy("table_name").agg(F.array_sort(F.collect_set("column_name")).alias("texts"))
     name = F.concat(F.lit("dim_"), _singular())
     listed = F.concat(F.lit("Attributes of "), "table_name", F.lit(": "), F.array_join("attributes", ", "))
     return (
-        key.join(texts, "table_name")
-        .withColumn("key_fields", F.array("key"))
+        tables.withColumn("key_fields", F.coalesce("ruled_key", "declared_key", "found_key"))
+        .filter("key_fields IS NOT NULL")
+        .join(texts, "table_name")
         .withColumn("attributes", F.array_except("texts", "key_fields"))
         .filter(F.size("attributes") > 0)
         .withColumn("name", name)
         .withColumn("description", listed)
-        .withColumn("dimension_class", dimension_class(F.col("name"), F.lit("")))
+        .withColumn("dimension_class", F.coalesce("class", dimension_class(F.col("name"), F.lit(""))))
         .withColumn("business_use", F.concat(F.lit("Group facts by "), _singular()))
         .select(
             "name", "dimension_class", "description", F.col("table_name").alias("source_table"),
@@ -51,8 +93,12 @@ def detect_dimensions(columns: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-def detect_facts(columns: DataFrame, keys: DataFrame, references: DataFrame) -> DataFrame:
-    """Tables with at least two references and a numeric measure that is in no key."""
+def detect_facts(columns: DataFrame, keys: DataFrame, references: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Tables with at least two references and a numeric measure that is in no key.
+
+    A caller's rules (see ``column_roles``) add measures and leave columns out.
+    """
+    ruled = column_roles(columns, rules)
     dims = references.groupBy(F.col("child_table").alias("table_name")).agg(
         F.array_sort(F.collect_set("parent_table")).alias("dimensions"),
         F.collect_set("child_column").alias("reference_columns"),
@@ -60,15 +106,14 @@ def detect_facts(columns: DataFrame, keys: DataFrame, references: DataFrame) ->
     key_parts = keys.groupBy("table_name").agg(
         F.flatten(F.collect_set(F.split("key_columns", ","))).alias("key_parts")
     )
-    numbers = (
-        columns.filter("family = 'number'")
-        .groupBy("table_name")
-        .agg(F.array_sort(F.collect_set("column_name")).alias("numbers"))
+    measured = F.when(F.col("role").isNull(), F.col("family") == "number").otherwise(F.col("role") == "measure")
+    numbers = ruled.filter(measured).groupBy("table_name").agg(
+        F.array_sort(F.collect_set("column_name")).alias("numbers"),
+        F.collect_set(F.when(F.col("role") == "measure", F.col("column_name"))).alias("chosen"),
     )
     none = F.array().cast("array<string>")
-    measures = F.array_except(
-        F.array_except("numbers", "reference_columns"), F.coalesce("key_parts", none)
-    )
+    plain = F.array_except(F.array_except("numbers", "reference_columns"), F.coalesce("key_parts", none))
+    measures = F.array_sort(F.array_union(plain, "chosen"))
     return (
         dims.filter(F.size("reference_columns") >= 2)
         .join(numbers, "table_name")

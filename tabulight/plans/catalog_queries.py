@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import table_category
 from ..operators import business, chunks, decisions, findings, keys, profile, star, validate, values
-from ..sources.catalog import column_descriptors
+from ..sources.catalog import column_descriptors, declared_constraints
 from ..sources.staging import stage
 from . import catalog_sql as sql
 from . import understanding
@@ -420,37 +420,77 @@ def classify_tables(spark, root):
 
 def _star(spark, root):
     lake = open_lake(spark, root)
-    return column_descriptors(spark, lake), keys.key_candidates(lake, KEY_SETS), lake
+    likely = keys.promising_columns(lake)
+    return column_descriptors(spark, lake), keys.key_candidates(lake, KEY_SETS, likely), lake, likely
 
 
-DIMENSIONS_SQL = sql.union(
-    f"SELECT '{name}' AS name, '{kind}' AS dimension_class, '{t}' AS source_table, '{key}' AS key_fields, "
-    f"'{texts}' AS attributes FROM {t} HAVING count(*) = count(DISTINCT {key})"
-    for t, key, name, kind, texts in (
-        ("region", "r_regionkey", "dim_region", "location", "r_name"),
-        ("nation", "n_nationkey", "dim_nation", "product", "n_name"),
-        ("customer", "c_custkey", "dim_customer", "people", "c_mktsegment,c_name"),
-        ("supplier", "s_suppkey", "dim_supplier", "people", "s_name"),
-        ("part", "p_partkey", "dim_part", "product", "p_brand,p_name,p_type"),
-        ("orders", "o_orderkey", "dim_order", "event", "o_orderpriority,o_orderstatus"),
-        ("events", "event_id", "dim_event", "event", "event_type,props"),
-        ("documents", "doc_id", "dim_document", "product", "lang,source,text"),
-        ("pages", "page_id", "dim_page", "product", "html,url"),
-        ("benchmark", "item_id", "dim_benchmark", "product", "text"),
-        ("conversations", "text", "dim_conversation", "product", "role"),
+def _dimensions(spark, root, rules=None):
+    columns, found, lake, _ = _star(spark, root)
+    return star.detect_dimensions(columns, found, declared_constraints(spark, lake), rules)
+
+
+def _dimensions_sql(*rows):
+    return sql.union(
+        f"SELECT '{name}' AS name, '{kind}' AS dimension_class, '{t}' AS source_table, '{key}' AS key_fields, "
+        f"'{texts}' AS attributes FROM {t} HAVING count(*) = count(DISTINCT ({key}))"
+        for t, key, name, kind, texts in rows
     )
+
+
+DIMENSIONS_SQL = _dimensions_sql(
+    ("region", "r_regionkey", "dim_region", "location", "r_name"),
+    ("nation", "n_nationkey", "dim_nation", "product", "n_name"),
+    ("customer", "c_custkey", "dim_customer", "people", "c_mktsegment,c_name"),
+    ("supplier", "s_suppkey", "dim_supplier", "people", "s_name"),
+    ("part", "p_partkey", "dim_part", "product", "p_brand,p_name,p_type"),
+    ("orders", "o_orderkey", "dim_order", "event", "o_orderpriority,o_orderstatus"),
+    ("events", "event_id", "dim_event", "event", "event_type,props"),
+    ("documents", "doc_id", "dim_document", "product", "lang,source,text"),
+    ("pages", "page_id", "dim_page", "product", "html,url"),
+    ("benchmark", "item_id", "dim_benchmark", "product", "text"),
+    ("conversations", "conv_id,turn", "dim_conversation", "product", "role,text"),
 )
 
 
-@query(DIMENSIONS_SQL)
-def detect_dimensions(spark, root):
-    columns, found, _ = _star(spark, root)
-    return star.detect_dimensions(columns, found).select(
+def _listed(dimensions):
+    return dimensions.select(
         "name", "dimension_class", "source_table",
         F.array_join("key_fields", ",").alias("key_fields"), F.array_join("attributes", ",").alias("attributes"),
     )
 
 
+@query(DIMENSIONS_SQL)
+def detect_dimensions(spark, root):
+    return _listed(_dimensions(spark, root))
+
+
+RULES = [
+    (1, "^pages$", "^html$", "ignore"), (2, "^part$", "^p_size$", "attribute"), (3, "^events$", ".", "ignore"),
+    (4, "^lineitem$", "^l_(orderkey|linenumber)$", "key"), (5, "^orders$", ".", "class:people"), (6, ".", "^text$", "ignore"),
+    (7, "^documents$", "^text$", "key"), (8, "^lineitem$", "^l_linenumber$", "measure"),
+]
+
+
+@query(
+    _dimensions_sql(
+        ("region", "r_regionkey", "dim_region", "location", "r_name"),
+        ("nation", "n_nationkey", "dim_nation", "product", "n_name"),
+        ("customer", "c_custkey", "dim_customer", "people", "c_mktsegment,c_name"),
+        ("supplier", "s_suppkey", "dim_supplier", "people", "s_name"),
+        ("part", "p_partkey", "dim_part", "product", "p_brand,p_name,p_size,p_type"),
+        ("orders", "o_orderkey", "dim_order", "people", "o_orderpriority,o_orderstatus"),
+        ("documents", "doc_id", "dim_document", "product", "lang,source"),
+        ("pages", "page_id", "dim_page", "product", "url"),
+        ("conversations", "conv_id,turn", "dim_conversation", "product", "role"),
+    )
+    + "\nUNION ALL SELECT 'dim_lineitem', 'product', 'lineitem', 'l_orderkey,l_linenumber', 'l_linestatus,l_returnflag'"
+)
+def detect_dimensions_ruled(spark, root):
+    """Dimensions under a caller's rules, the earlier rule first."""
+    rules = spark.createDataFrame(RULES, "priority int, table_pattern string, column_pattern string, role string")
+    return _listed(_dimensions(spark, root, rules))
+
+
 @query(
     """
 SELECT 'fact_lineitem' AS name, 'lineitem' AS source_table,
@@ -463,8 +503,8 @@ FROM lineitem HAVING count_if(l_orderkey NOT IN (SELECT o_orderkey FROM orders))
 """
 )
 def detect_facts(spark, root):
-    columns, found, lake = _star(spark, root)
-    facts = star.detect_facts(columns, found, keys.discover_references(lake))
+    columns, found, lake, likely = _star(spark, root)
+    facts = star.detect_facts(columns, found, keys.discover_references(lake, likely=likely))
     return facts.select(
         "name", "source_table",
         F.array_join("measures", ",").alias("measures"), F.array_join("dimensions", ",").alias("dimensions"),
@@ -484,8 +524,7 @@ FROM classes LEFT JOIN m USING (c) GROUP BY c
 """
 )
 def dimension_report(spark, root):
-    columns, found, _ = _star(spark, root)
-    return business.dimension_report(star.detect_dimensions(columns, found))
+    return business.dimension_report(_dimensions(spark, root))
 
 
 @query(sql.table_text_sql())

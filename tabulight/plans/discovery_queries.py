@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import inclusion, search, unique_sets, vector_index
+from ..operators import heavy, inclusion, search, stored_profiles, unique_sets, vector_index
 from ..sources.staging import ensure_checkpoint_dir
 from . import catalog_sql as sql
-from .lake import open_lake
+from .lake import COLUMNS, NAMES, open_lake
 from .registry import query
 
 
@@ -50,11 +50,15 @@ SELECT query_id, id, rank, round(score, 6) AS score FROM (
 """
 
 
+def _folder(spark, kind):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def _indexed(spark, root):
     """The vectors, every fiftieth as a query, and the path of a new index over all of them."""
     vectors = open_lake(spark, root, "embeddings")["embeddings"]
     asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    path = _folder(spark, "index")
     vector_index.build_index(vectors, path, "vec_id", "embedding")
     return vectors, asked, path
 
@@ -73,3 +77,40 @@ def vector_index_recall(spark, root):
     vectors, asked, path = _indexed(spark, root)
     exact = search.nearest_batch(vectors, asked, NEIGHBOURS, "vec_id", "embedding")
     return vector_index.recall(vector_index.search_index(spark, path, asked, NEIGHBOURS), exact)
+
+
+@query(
+    sql.union(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
+        f"{f'CASE WHEN length({c}) >= 64 THEN sha256({c}) ELSE {c} END' if kind == 'string' else f'{c}::VARCHAR'} AS value, "
+        f"{f'length({c}) >= 64' if kind == 'string' else 'false'} AS is_digest, count(*) AS value_count, any_value(n) AS filled_count "
+        f"FROM (SELECT *, count(*) OVER () AS n FROM {t} WHERE {c} IS NOT NULL{f' AND {c} <> chr(0) AND length({c}) > 0' if kind == 'string' else ''}) "
+        f"GROUP BY {c} HAVING 100 * count(*) >= any_value(n)"
+        for t in COLUMNS for c, kind in sql.columns_of(t) if kind == "string" or kind in sql.INTS
+    )
+)
+def heavy_values(spark, root):
+    """Every value that makes up a hundredth of a text or integer column, of all tables."""
+    return heavy.heavy_values(open_lake(spark, root), one_in=100)
+
+
+@query(
+    f"SELECT table_name, ordinal, column_name, row_count, null_count, empty_count, min_number, max_number, avg_number, "
+    f"min_text, max_text, CASE WHEN distinct_count <= 2000 THEN distinct_count END AS distinct_count "
+    f"FROM ({sql.profile_sql()}) WHERE row_count > 0"
+)
+def profile_refresh(spark, root):
+    """The profile of all tables from a store that had half of them and then read the files of the rest only.
+
+    Distinct counts are given where sketches are exact.
+    """
+    path = _folder(spark, "profiles")
+    stored_profiles.refresh(spark, open_lake(spark, root, *NAMES[::2]), path)
+    lake = open_lake(spark, root)
+    stored_profiles.refresh(spark, lake, path)
+    found = stored_profiles.merged_profile(spark, lake, path)
+    return found.select(
+        "table_name", "ordinal", "column_name", "row_count", "null_count", "empty_count", "min_number", "max_number",
+        F.round("avg_number", 4).alias("avg_number"), "min_text", "max_text",
+        F.when(F.col("distinct_count") <= 2000, F.col("distinct_count")).alias("distinct_count"),
+    )

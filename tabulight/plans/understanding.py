@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import business_area, table_category
 from ..operators import business, decisions, findings, keys, profile, star
-from ..sources.catalog import Catalog, column_descriptors
+from ..sources.catalog import Catalog, column_descriptors, declared_constraints
 
 
 @dataclass
@@ -61,8 +61,10 @@ def table_descriptions(catalog: Catalog) -> DataFrame:
     return profile.union_all(frames)
 
 
-def model_catalog(spark: SparkSession, catalog: Catalog, key_sets: dict | None = None) -> Model:
-    """Areas, domain and labels by name and description; star schema from keys in the data."""
+def model_catalog(
+    spark: SparkSession, catalog: Catalog, key_sets: dict | None = None, rules: DataFrame | None = None
+) -> Model:
+    """Areas, domain and labels by name and description; star schema from keys in the data and a caller's rules."""
     described = table_descriptions(catalog)
     areas = described.select(
         F.lit(catalog.database).alias("source"),
@@ -74,8 +76,8 @@ def model_catalog(spark: SparkSession, catalog: Catalog, key_sets: dict | None =
     likely = keys.promising_columns(catalog)
     found_keys = keys.key_candidates(catalog, key_sets, likely)
     references = keys.discover_references(catalog, likely=likely)
-    dimensions = star.detect_dimensions(columns, found_keys)
-    facts = star.detect_facts(columns, found_keys, references)
+    dimensions = star.detect_dimensions(columns, found_keys, declared_constraints(spark, catalog), rules)
+    facts = star.detect_facts(columns, found_keys, references, rules)
     return Model(
         areas=areas,
         domain=business.infer_domain(areas),

@@ -1,14 +1,17 @@
 """Structure found in values alone, against brute force over small tables."""
 
+import collections
 import datetime as dt
+import hashlib
 import itertools
 import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
-from tabulight.operators import inclusion, unique_sets
-from tabulight.sources.catalog import Catalog
+from tabulight.operators import heavy, inclusion, star, stored_profiles, unique_sets
+from tabulight.sources.catalog import Catalog, TableKeys, column_descriptors, declared_constraints
 
 
 def rows_of(df, *columns):
@@ -100,3 +103,86 @@ def test_minimal_keys_equal_brute_force(spark, seed):
     assert {r["key_columns"] for r in got if r["table_name"] == "once"} == brute_keys(rows, names, 4)
     assert {r["key_columns"] for r in got if r["table_name"] != "once"} == set()
     assert all(r["set_size"] == len(r["key_columns"].split(",")) and r["row_count"] == len(rows) for r in got)
+
+
+def test_heavy_values_equal_counting(spark):
+    """Many rare values beside a few heavy ones, long texts, blanks, nulls, in tables of several files."""
+    rng = random.Random(8)
+    long = "x" * 80
+    rows = [
+        (rng.choice([1, 1, 1, 2, i]), rng.choice(["a", long, "", None, f"v{i}", f"w{i}"]), i, None) for i in range(6000)
+    ]
+    df = spark.createDataFrame(rows, "n int, s string, id bigint, empty string").repartition(7)
+    found = {
+        (r["column_name"], r["value"], r["value_count"], r["filled_count"], r["is_digest"])
+        for r in heavy.heavy_values(Catalog({"t": df}), one_in=20).collect()
+    }
+    expected = set()
+    for at, name in enumerate(["n", "s", "id", "empty"]):
+        filled = [r[at] for r in rows if r[at] not in (None, "")]
+        for value, count in collections.Counter(filled).items():
+            if count * 20 >= len(filled):
+                digest = isinstance(value, str) and len(value) >= 64
+                expected.add((name, hashlib.sha256(value.encode()).hexdigest() if digest else str(value), count, len(filled), digest))
+    assert found == expected and len(found) == 4
+
+
+def test_profiles_are_merged_and_only_new_files_read(spark, tmp_path):
+    rng = random.Random(2)
+    values = [(rng.choice([None, rng.gauss(0, 10)]), f"k{rng.randrange(3000)}") for _ in range(9000)]
+    path, store = f"file://{tmp_path}/t", f"file://{tmp_path}/store"
+
+    def write(part, mode):
+        spark.createDataFrame(part, "x double, k string").coalesce(2).write.mode(mode).parquet(path)
+
+    def lake():
+        return Catalog({"t": spark.read.schema("x double, k string").parquet(path)})
+
+    write(values[:4000], "overwrite")
+    assert stored_profiles.refresh(spark, lake(), store) == 2
+    assert stored_profiles.refresh(spark, lake(), store) == 0
+    write(values[4000:], "append")
+    assert stored_profiles.refresh(spark, lake(), store) == 2
+    x, k = (r for r in stored_profiles.merged_profile(spark, lake(), store).orderBy("ordinal").collect())
+    known = sorted(v for v, _ in values if v is not None)
+    assert (x["row_count"], x["null_count"], x["min_number"], x["max_number"]) == (9000, 9000 - len(known), known[0], known[-1])
+    assert abs(x["avg_number"] - sum(known) / len(known)) < 1e-9
+    for share, found in zip((0.25, 0.5, 0.75), x["quartiles"], strict=True):
+        assert abs(sum(v <= found for v in known) / len(known) - share) < 0.02
+    assert abs(x["distinct_count"] - len(known)) < 0.08 * len(known)
+    assert k["distinct_count"] == len({s for _, s in values}) and k["quartiles"] is None
+    write(values[:100], "overwrite")  # all files are other ones now
+    stored_profiles.refresh(spark, lake(), store)
+    assert {r["row_count"] for r in stored_profiles.merged_profile(spark, lake(), store).collect()} == {100}
+
+
+def test_rules_come_before_declared_keys_and_those_before_found_ones(spark):
+    shape = "code string, number int, at timestamp, name string, body string, price double"
+    tables = {t: spark.createDataFrame([], shape) for t in ("plain", "declared", "broken", "ruled", "texts")}
+    lake = Catalog(tables, {t: TableKeys(("code",)) for t in ("declared", "broken", "ruled")})
+    columns, declared = column_descriptors(spark, lake), declared_constraints(spark, lake)
+    found = [(t, c) for t in tables for c in ("code", "number", "at")]
+    found = [k for k in found if k != ("broken", "code") and not (k[0] == "texts" and k[1] != "code")]
+    keys = spark.createDataFrame(found, "table_name string, key_columns string")
+    rules = spark.createDataFrame(
+        [
+            (2, "^ruled$", "^(name|code)$", "key"), (1, "^ruled$", "^name$", "attribute"), (3, "^ruled$", "^body$", "ignore"),
+            (4, "^ruled$", ".", "class:time"), (5, "^pl", "^price$", "attribute"), (6, "^pl", "^number$", "ignore"),
+        ],
+        "priority int, table_pattern string, column_pattern string, role string",
+    )
+    plain = {r["source_table"]: r for r in star.detect_dimensions(columns, keys, declared).collect()}
+    assert {t: r["key_fields"] for t, r in plain.items()} == {"plain": ["number"], "declared": ["code"], "broken": ["number"], "ruled": ["code"]}
+    ruled = {r["source_table"]: r for r in star.detect_dimensions(columns, keys, declared, rules).collect()}
+    assert ruled["ruled"]["key_fields"] == ["code"] and ruled["ruled"]["attributes"] == ["name"]
+    assert ruled["ruled"]["dimension_class"] == "time"
+    assert ruled["plain"]["key_fields"] == ["at"] and ruled["plain"]["attributes"] == ["body", "code", "name", "price"]
+    with pytest.raises(ValueError, match="unknown roles: kee"):
+        star.column_roles(columns, rules.limit(1).withColumn("role", F.lit("kee")))
+    references = spark.createDataFrame(
+        [("ruled", "number", "a", "id"), ("ruled", "code", "b", "id")],
+        "child_table string, child_column string, parent_table string, parent_column string",
+    )
+    more = rules.limit(0).unionByName(spark.createDataFrame([(1, "^ruled$", "^(number|name)$", "measure")], rules.schema))
+    (fact,) = star.detect_facts(columns, keys, references, more).collect()
+    assert fact["measures"] == ["name", "number", "price"]  # a rule's measures stay even if they refer to something

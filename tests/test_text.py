@@ -229,3 +229,18 @@ def test_query_log_findings(spark):
     found = [json.loads(r["body"]) for r in guarded.query_log_findings(log).collect()]
     assert [(f["has_error"], f["insights_generated"], f["result_count"]) for f in found] == [(False, True, 3), (True, False, 0)]
     assert found[0]["query"] == "best sellers?" and found[0]["phase"] == "marketing_query"
+
+
+def test_json_with_half_surrogates_and_any_depth(spark):
+    """Half of a pair is no character, in names and values; a body deeper than the parser goes is read all the same."""
+    deep = '{"a":' * 30_000 + '["x", 1.50, null, {}]' + "}" * 30_000
+    bodies = [
+        '{"a":"\\ud800x","\\udfff":"\\ud83d\\ude00"}', deep, deep[:-1], deep + "]", deep.replace('"x"', '"\\q"'), deep.replace("1.50", "01"),
+    ]
+    lines = apply(spark, jsontext.json_lines, bodies)
+    assert lines[0] == "a: \ufffdx\n\ufffd: \U0001f600\n"
+    assert lines[1] == "a: " * 30_000 + "[0]: x\n[1]: 1.50\n[2]: <nil>\n[3]: \n" + "\n" * 30_000
+    assert lines[2:] == bodies[2:]
+    assert apply(spark, jsontext.json_outline, bodies[:1])[0] == "a:\n  \ufffdx\n\ufffd:\n  \U0001f600\n"
+    for body in ('{"a": [1, {"b": "c,\\n"}], "d": -1.5E+3, "e": [[], {}, true, NaN]}', "[1,]", "{,}", '{"a" 1}', "[1 2]", "12.", "-", '"a"', ""):
+        assert jsontext._parsed_deep(body) == jsontext._parsed(body), body
