@@ -274,12 +274,50 @@ def test_transcripts(spark):
     found = transcripts.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     plain = [r for r in found if r["conv_id"] is not None and r["conv_id"] < 60]
     assert sum(r["n_right"] for r in plain) > 0.95 * sum(r["n_lines"] for r in plain)
-    assert len([r for r in found if r["conv_id"] == 900]) == 11
+    long = sorted((r for r in found if r["conv_id"] == 900), key=lambda r: r["part"])
+    assert len(long) >= 3 and sum(r["n_lines"] for r in long) >= 2 * 701
     assert "<|user|>" in plain[0]["rendered"]
     model = transcripts.Model(*(np.zeros(s) for s in (6, (6, 6), (6, transcripts.SYMBOLS))))
     assert transcripts.parse(model, None) == ([], []) and transcripts.parse(model, "  \n") == ([], [])
 
 
+ODD = "pick one\nA: red\nAnswer: 5\n# Instructions\n\n  user: x \nend of it"
+
+
+def test_only_markers_of_opening_lines_go(spark):
+    """Lines that look like markers inside a turn stay, blanks too; every style gives the text back byte by byte."""
+    texts = [ODD, "", " two  blanks ", "\nstarts blank", "ends blank\n", "?", "a\n\n\nb"]
+    for conv in range(5):
+        for turn, text in enumerate(texts):
+            lines, states = transcripts.written_turn(conv, turn, "assistant", text)
+            rest, turns = transcripts.cut(lines, states, None)
+            own = turns[0][1] if (conv * 31 + turn * 7) % 5 else [lines[0], *lines[1:-1]]
+            assert rest == [] and len(turns) == 1 and "\n".join(own) == text, (conv, turn)
+
+
+def test_a_long_conversation_is_decoded_as_one(spark, monkeypatch):
+    """1,000 turns in slices of 16 rows over several partitions: states and rendering as of one decode."""
+    monkeypatch.setattr(transcripts, "SLICE_ROWS", 16)
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "x", None]), rng.choice([ODD, "hi there?", prose(t, 9), ""])) for c, n in ((7, 1000), (3, 40), (None, 20)) for t in range(n)]
+    rows += rows[:30] + [(7, None, "user", "no turn"), (3, 5, None, None)]
+    written = transcripts.stage(transcripts.written_out(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    gen = np.random.default_rng(4)
+    model = transcripts.Model(gen.normal(size=6), gen.normal(size=(6, 6)) * 3, gen.normal(size=(6, transcripts.SYMBOLS)))
+    found = transcripts.parse_slices(written, model).collect()
+    texts = {}
+    for r in sorted(written.collect(), key=lambda r: r["part"]):
+        texts.setdefault(r["conv_id"], []).append(r["text"])
+    assert sum(len(t) for t in texts.values()) == len(found) > 60
+    for conv, parts in texts.items():
+        own = sorted((r for r in found if r["conv_id"] == conv), key=lambda r: r["part"])
+        line_roles, turns = transcripts.parse(model, "\n".join(parts))
+        assert [x for r in own for x in r["line_roles"]] == line_roles
+        assert "".join(r["rendered"] for r in own) == transcripts.rendered(turns)
+        assert [x for r in own for x in r["roles"]] == [role for role, _ in turns]
+    assert transcripts.chat_format(spark.createDataFrame([], "conv_id long, turn long, role string, text string, part string")).collect() == []
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(6)
     model = transcripts.Model(rng.normal(size=6), rng.normal(size=(6, 6)), rng.normal(size=(6, transcripts.SYMBOLS)))
