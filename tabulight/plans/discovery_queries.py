@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import heavy, inclusion, search, stored_profiles, unique_sets, vector_index
+from ..operators import footers, heavy, inclusion, pages, search, stored_profiles, unique_sets, vector_index
 from ..sources.staging import ensure_checkpoint_dir
 from . import catalog_sql as sql
 from .lake import COLUMNS, NAMES, open_lake
@@ -114,3 +114,28 @@ def profile_refresh(spark, root):
         F.round("avg_number", 4).alias("avg_number"), "min_text", "max_text",
         F.when(F.col("distinct_count") <= 2000, F.col("distinct_count")).alias("distinct_count"),
     )
+
+
+@query(
+    "SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate), (SELECT count(*) FROM lineitem) AS row_count "
+    "FROM (FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 50 OFFSET 4321)"
+)
+def sample_page_deep(spark, root):
+    """A page in the middle of the newest-first order, with the number of all rows."""
+    items = open_lake(spark, root, "lineitem")["lineitem"]
+    page = pages.deep_page(items, 50, 4321, ("l_shipdate",), ("l_orderkey", "l_linenumber"))
+    return page.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    sql.union(
+        f"SELECT '{t}' AS table_name, {i} AS ordinal, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, "
+        + (f"min({c})::BIGINT AS min_value, max({c})::BIGINT AS max_value" if kind in sql.INTS else "NULL::BIGINT AS min_value, NULL::BIGINT AS max_value")
+        + f" FROM {t}"
+        for t in COLUMNS for i, (c, kind) in enumerate(sql.columns_of(t), 1) if not kind.startswith("array")
+    )
+)
+def footer_stats(spark, root):
+    """Rows, nulls and whole-number ranges of all columns, from footers."""
+    lake = open_lake(spark, root)
+    return footers.footer_stats(spark, {t: (f"{root}/{t}.parquet", lake[t].schema) for t in lake.names})

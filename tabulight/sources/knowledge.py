@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import embed
-from .staging import stage
+from .staging import small_side, stage
 
 STORE_SCHEMA = (
     "chunk_id string, source string, chunk_no int, content string, content_hash string, "
@@ -136,16 +136,23 @@ def delete_phases(spark: SparkSession, path: str, phases: str) -> DataFrame:
 
 
 def new_chunks(candidates: DataFrame, stored: DataFrame) -> DataFrame:
-    """Hashed chunks whose content is not stored yet, each content once.
+    """Hashed chunks whose content is not stored yet, each content once: its first place by phase, source and number.
 
-    Copies collapse to their first place in their own tasks, and of the stored chunks
-    only the 64-character digests are read and shuffled.
+    Only digests and places are compared and shuffled; contents stay in their rows until
+    it is known which are new. The places of those are broadcast where they measure few,
+    so that the contents of all other chunks are not moved at all.
     """
-    rest = [c for c in candidates.columns if c not in ("content_hash", "phase", "source", "chunk_no")]
-    first = F.min(F.struct("phase", "source", "chunk_no", *rest)).alias("first")
-    once = candidates.groupBy("content_hash").agg(first).select("content_hash", "first.*")
-    known = stored.select("content_hash")
-    return once.join(known, "content_hash", "left_anti").select(*candidates.columns)
+    place = ["phase", "source", "chunk_no"]
+    first = candidates.groupBy("content_hash").agg(F.min(F.struct(*place)).alias("first"))
+    fresh = first.join(stored.select("content_hash"), "content_hash", "left_anti").select("content_hash", "first.*")
+    size = F.lit(64) + sum((F.coalesce(F.octet_length(f"{c}_"), F.lit(0)) for c in place[:2]), F.lit(16))
+    wanted = small_side(fresh.select(*[F.col(c).alias(f"{c}_") for c in ("content_hash", *place)]), size)
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in place]
+    found = candidates.join(wanted, [F.col("content_hash") == F.col("content_hash_"), *same], "left_semi")
+    # The same place may come twice with one content; only new contents get here.
+    rest = [c for c in candidates.columns if c not in ("content_hash", *place)]
+    once = found.groupBy("content_hash").agg(F.min(F.struct(*place, *rest)).alias("first"))
+    return once.select("content_hash", "first.*").select(*candidates.columns)
 
 
 def update_index(spark: SparkSession, chunks: DataFrame, path: str, embedder="tfidf") -> None:

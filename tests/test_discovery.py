@@ -10,7 +10,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tabulight.operators import heavy, inclusion, star, stored_profiles, unique_sets
+from tabulight.operators import footers, heavy, inclusion, pages, star, stored_profiles, unique_sets
+from tabulight.sources import knowledge
 from tabulight.sources.catalog import Catalog, TableKeys, column_descriptors, declared_constraints
 
 
@@ -186,3 +187,55 @@ def test_rules_come_before_declared_keys_and_those_before_found_ones(spark):
     more = rules.limit(0).unionByName(spark.createDataFrame([(1, "^ruled$", "^(number|name)$", "measure")], rules.schema))
     (fact,) = star.detect_facts(columns, keys, references, more).collect()
     assert fact["measures"] == ["name", "number", "price"]  # a rule's measures stay even if they refer to something
+
+
+@pytest.mark.parametrize("recent,tiebreak", [(("b", "a"), ("c", "id")), ((), ("c", "id")), (("c",), ())])
+def test_deep_pages_equal_a_full_sort(spark, recent, tiebreak):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, *range(6)]), rng.choice([None, *range(9)]), rng.choice([None, "x", "y", "é"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, a int, b int, c string").repartition(3)
+    top = (lambda r: r[2] if r[2] is not None else r[1]) if "b" in recent else (lambda r: r[3])
+    low = lambda v: (v is not None, v if v is not None else 0)
+    ordered = sorted(rows, key=lambda r: [low(r[3]), low(r[0])] if tiebreak else [])
+    if recent:
+        known = sorted({top(r) for r in rows} - {None}, reverse=True)
+        ordered = sorted(ordered, key=lambda r: -1 if top(r) is None else known.index(top(r)))
+    for offset in (0, 37, 199, 390, 399, 400, 1000):
+        page = [tuple(r) for r in pages.deep_page(df, 25, offset, recent, tiebreak).collect()]
+        assert all(r[4] == 400 for r in page)
+        want = ordered[offset : offset + 25]
+        if tiebreak:
+            assert [r[:4] for r in page] == want
+        else:  # equal rows come in any order
+            assert [top(r) for r in page] == [top(r) for r in want]
+
+
+def test_footers_answer_without_reading_pages(spark, tmp_path):
+    rows = [(i, None if i % 4 else i, f"s{i}", dt.date(1970, 1, 1 + i % 9), [i]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id bigint, n int, s string, d date, parts array<int>")
+    df.repartition(4).write.parquet(f"{tmp_path}/t")
+    df.limit(0).write.parquet(f"{tmp_path}/none")
+    found = footers.footer_stats(spark, {t: (f"file://{tmp_path}/{t}", df.schema) for t in ("t", "none")})
+    got = {(r["table_name"], r["column_name"]): tuple(r)[3:] for r in found.collect()}
+    assert got == {
+        ("t", "id"): (50, 0, 0, 49), ("t", "n"): (50, 37, 0, 48), ("t", "s"): (50, 0, None, None), ("t", "d"): (50, 0, 0, 8),
+        **{("none", c): (0, 0, None, None) for c in ("id", "n", "s", "d")},
+    }
+    session = footers.footer_session(spark)
+    scan = session.read.schema(df.schema).parquet(f"file://{tmp_path}/t").selectExpr("count(*)", "min(id)")
+    assert "PushedAggregation" in scan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_new_chunks_move_no_known_content(spark, tmp_path):
+    """The digests of the store and of the candidates are compared; contents are shuffled after that, of new chunks alone."""
+    rows = [("p", f"s{i % 5}", i % 7, f"text {i % 11}", "k", None) for i in range(60)]
+    shape = "phase string, source string, chunk_no int, content string, kind string, table_name string"
+    candidates = knowledge.hashed(spark.createDataFrame(rows, shape))
+    stored = knowledge.hashed(spark.createDataFrame(rows[:4], shape)).select("content_hash")
+    fresh = knowledge.new_chunks(candidates, stored)
+    got = {r["content"]: (r["phase"], r["source"], r["chunk_no"]) for r in fresh.collect()}
+    known = {r[3] for r in rows[:4]}
+    assert got == {c: min(r[:3] for r in rows if r[3] == c) for c in {r[3] for r in rows} - known}
+    assert fresh.count() == len(got) and fresh.columns == candidates.columns
+    plan = fresh._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning(content_hash") <= 1
