@@ -249,6 +249,28 @@ def decision_counts(spark, root):
     return decisions.decision_counts(_column_decisions(spark, root))
 
 
+LISTED_VALUES = sql.union(
+    f"SELECT '{t}' AS t, '{c}' AS c, {c}::VARCHAR AS v, count(*) AS n FROM {f'survey_{t}' if t in sql.SURVEY_EXTRA else t} "
+    f"WHERE length({c}::VARCHAR) > 0 GROUP BY {c}"
+    for t in COLUMNS
+    for c, kind in sql.columns_of(t) + ([sql.SURVEY_EXTRA[t]] if t in sql.SURVEY_EXTRA else [])
+    if kind == "string" or kind in sql.INTS
+)
+
+
+@query(
+    f"WITH {sql.findings_ctes()}, {sql.QUESTIONS_CTE}, vals AS ({LISTED_VALUES}) "
+    "SELECT t || '_' || c || '_values' AS list_name, v AS value, n AS value_count FROM vals "
+    "JOIN (SELECT DISTINCT table_name, column_name FROM decided WHERE value_list IN ('enum', 'options')) ON t = table_name AND c = column_name"
+)
+def applied_value_lists(spark, root):
+    """The value lists of all columns that the answers ask one for, as the decided catalog has them."""
+    lake = survey_lake(spark, root)
+    made = decisions.apply_column_decisions(lake, stage(_column_decisions(spark, root)))
+    lists = [n for n in made.names if n not in lake.tables and n.endswith("_values")]
+    return profile.union_all(made[n].select(F.lit(n).alias("list_name"), "value", "value_count") for n in lists)
+
+
 @query(
     "SELECT p_partkey, generate_subscripts(string_split(p_name, ' '), 1)::INT - 1 AS item_position, "
     "unnest(string_split(p_name, ' ')) AS item FROM part"
