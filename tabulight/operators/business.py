@@ -113,6 +113,7 @@ def database_summary(tables: DataFrame, database: str, database_type: str = "par
     )
     lines = F.transform("t", lambda x: F.concat(F.lit("• "), x["table_name"], F.lit(": "), x["summary"], F.lit("\n")))
     names = F.transform("t", lambda x: F.concat(F.lit("• "), x["table_name"], F.lit("\n")))
+    # The header and section lines of the summary.
     text = F.concat(
         F.lit(f"Database: {database} ({database_type})\nTotal Tables Analyzed: "),
         F.size("t"),

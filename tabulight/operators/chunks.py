@@ -34,6 +34,7 @@ def chunk_documents(
 
 def table_text(report: DataFrame) -> DataFrame:
     """The schema block of each table report."""
+    # The lines of the block.
     keys = F.col("constraints")
     columns = F.transform(
         "schema",
@@ -64,6 +65,7 @@ def table_text(report: DataFrame) -> DataFrame:
 
 def sample_text(report: DataFrame) -> DataFrame:
     """The sample block of each table report that has samples."""
+    # The lines of the block.
     lines = F.transform(
         F.slice("samples", 1, SAMPLE_ROWS),
         lambda s, i: F.concat(F.lit("Sample "), i + 1, F.lit(": "), s, F.lit("\n")),

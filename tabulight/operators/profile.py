@@ -82,7 +82,7 @@ def sample_recent(
     """The newest ``n`` rows past ``offset``; a top-n heap per partition, no full sort."""
     present = [F.col(c) for c in recent if c in df.columns]
     order = [F.coalesce(*present).desc_nulls_first()] if present else []
-    order += [F.col(c).asc() for c in tiebreak]
+    order += [F.col(name_of(c)).asc() for c in tiebreak]
     ordered = df.orderBy(*order) if order else df
     return ordered.offset(offset).limit(n) if offset else ordered.limit(n)
 
@@ -111,6 +111,8 @@ def value_text(column: str, data_type: T.DataType) -> str:
     value never weighs more than that in a shuffle.
     """
     c = name_of(column)
+    if isinstance(data_type, T.TimestampType):
+        return f"CAST(unix_micros({c}) AS STRING)"  # a clock change gives two instants one text
     if type_family(data_type) in ("number", "time", "bool"):
         return f"CAST({c} AS STRING)"
     text = c if type_family(data_type) == "text" else f"CAST({c} AS STRING)"
@@ -347,10 +349,18 @@ def profile_database(catalog: Catalog) -> DataFrame:
     return union_all(frames)
 
 
+def orderable(df: DataFrame) -> list[str]:
+    """The columns that can stand in for a key where rows must have one order."""
+    return [f.name for f in df.schema.fields if type_family(f.dataType) in ("number", "text", "time", "bool")]
+
+
 def table_report(
     catalog: Catalog, n: int = 5, recent: Iterable[str] = RECENT_COLUMNS, tiebreak: dict | None = None
 ) -> DataFrame:
-    """Schema, keys, newest rows (as JSON) and row count of each table; one row per table."""
+    """Schema, keys, newest rows (as JSON) and row count of each table; one row per table.
+
+    Ties between newest rows go by ``tiebreak``, the primary key, or all columns of a table without one.
+    """
     shape = (
         "struct<schema:array<struct<name:string,type:string,nullable:boolean>>,constraints:struct<"
         "primary_keys:array<string>,foreign_keys:array<string>,unique_keys:array<string>>>"
@@ -372,7 +382,7 @@ def table_report(
             },
         }
         described = F.from_json(F.lit(json.dumps(known)), shape)
-        rows = sample_recent(df, n, recent, (tiebreak or {}).get(name, keys.primary))
+        rows = sample_recent(df, n, recent, (tiebreak or {}).get(name, keys.primary or orderable(df)))
         samples = rows.agg(
             F.collect_list(F.to_json(F.struct("*"))).alias("samples")
         )

@@ -70,6 +70,7 @@ def query_log_findings(log: DataFrame) -> DataFrame:
 
     ``log``: query, sql_query, result_count, error, asked_at, insights.
     """
+    # The names and texts of the record.
     record = F.struct(
         F.lit("marketing_query").alias("phase"),
         F.lit("Marketing query result with business insights").alias("description"),

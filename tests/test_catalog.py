@@ -137,3 +137,24 @@ def test_jdbc_options():
 
 def test_checkpoint_folder_is_kept(spark):
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
+
+
+def test_samples_of_a_table_without_a_key_are_the_same_each_time(spark):
+    rows = [(i % 3, f"t{i % 7}", float(i % 5)) for i in range(200)]
+    one = spark.createDataFrame(rows, "a int, `b.c` string, d double")
+    seen = set()
+    for parts in (1, 5):
+        report = profile.table_report(sources.Catalog({"t": one.repartition(parts)}), 4).first()
+        seen.add(tuple(report["samples"]))
+    assert len(seen) == 1 and len(report["samples"]) == 4
+
+
+def test_instants_are_told_apart_at_a_clock_change(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        two = spark.sql("SELECT timestamp_seconds(x) AS at FROM VALUES (1729989000), (1729992600) AS v(x)")  # both 02:30
+        assert {str(r["at"]) for r in two.select(F.col("at").cast("string").alias("at")).collect()} == {"2024-10-27 02:30:00"}
+        (found,) = profile.column_profile(two, "t").collect()
+        assert found["distinct_count"] == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
