@@ -4,7 +4,9 @@ The pieces of a model file become one Aho-Corasick automaton over UTF-8 bytes. A
 pass over a segment keeps the best score at every position: at each byte the automaton
 moves on, and the output links of its state name every piece that ends there, each of
 which may improve the position's score. Segments of a batch are walked side by side, a
-byte of each at a time, so numpy does the work.
+byte of each at a time, so numpy does the work. Where few segments are left, as in texts
+without blanks, each is walked by itself in constant time a byte, so a text of any kind
+takes time in proportion to its length.
 
 Spaces stand for the model's space mark inside the automaton, so a mark that a text has
 itself is spelled in byte pieces and decoding gives back the very text.
@@ -13,8 +15,10 @@ itself is spelled in byte pieces and decoding gives back the very text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import deque
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,7 @@ SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 PART_BYTES = 4 << 20  # text walked at once
 DECODED_BYTES = 2 << 20  # of a batch at once
+WIDTH = 64  # with fewer segments left, numpy's fixed cost a step exceeds that of a plain loop
 SPLIT = re.compile(rb" *[^ \n]+| +|\n")
 NEVER = np.float64(-1e300)
 
@@ -50,6 +55,20 @@ class Model:
     unknown_score: float
     splits: bool  # no piece goes on after a space that follows another character, or over a line end
 
+    @cached_property
+    def plain(self) -> tuple:
+        """Edges, suffix links and the pieces that end in each state, longest first, for walks of one segment.
+
+        A piece is (bytes, score, state). Made once a Python worker, of the vocabulary's size.
+        """
+        edges = dict(zip(self.edge_keys.tolist(), self.edge_next.tolist(), strict=True))
+        output, after = self.output.tolist(), self.after.tolist()
+        length, score = self.length.tolist(), self.score.tolist()
+        chains: dict[int, tuple] = {0: ()}
+        for state in sorted({s for s in output if s}, key=length.__getitem__):
+            chains[state] = ((length[state], score[state], state), *chains[after[state]])
+        return edges, self.suffix.tolist(), [chains[s] for s in output]
+
 
 def load_model(path: str) -> Model:
     """A SentencePiece model file with byte pieces; its scores are the costs of the Viterbi pass."""
@@ -131,7 +150,72 @@ def moved(model: Model, states: np.ndarray, bytes_now: np.ndarray) -> np.ndarray
     return out
 
 
+def lone_ids(model: Model, segment: bytes) -> np.ndarray:
+    """``segment_ids`` of one segment: the same path, a byte at a time in a plain loop."""
+    edges, suffix, pieces = model.plain
+    best = array("d", [NEVER]) * (len(segment) + 1)
+    back = array("i", [0]) * (len(segment) + 1)
+    best[0] = 0.0
+    state = char_at = 0
+    size = len(segment)
+    for place, byte in enumerate(segment):
+        if byte & 0xC0 != 0x80:
+            char_at = place
+        to = edges.get(state << 8 | byte)
+        while to is None and state:
+            state = suffix[state]
+            to = edges.get(state << 8 | byte)
+        state = to or 0
+        end = place + 1
+        top, link = NEVER, 0
+        for length, score, piece in pieces[state]:
+            value = best[end - length] + score
+            if value > top:
+                top, link = value, piece
+        if end == size or segment[end] & 0xC0 != 0x80:
+            if not any(length == end - char_at for length, _, _ in pieces[state]):
+                value = best[char_at] + model.unknown_score
+                if value > top:
+                    top, link = value, 0
+        best[end], back[end] = top, link
+    ids = array("i")
+    piece, length, byte_ids = model.piece, model.length, model.byte_ids
+    place = size
+    while place:
+        link = back[place]
+        if link:
+            ids.append(int(piece[link]))
+            place -= int(length[link])
+            continue
+        while True:  # an unknown character, back to its first byte
+            place -= 1
+            ids.append(int(byte_ids[segment[place]]))
+            if not place or segment[place] & 0xC0 != 0x80:
+                break
+    return np.array(ids, np.int32)[::-1]
+
+
 def segment_ids(model: Model, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all segments in a row, and where each one's start (one more entry than segments).
+
+    Segments longer than the WIDTH-th longest go one by one, so that numpy always has many to step through.
+    """
+    sizes = np.array([len(s) for s in segments], np.int64)
+    wide = np.partition(sizes, -WIDTH)[-WIDTH] if len(sizes) >= WIDTH else 0
+    lone = {int(i): lone_ids(model, segments[i]) for i in np.flatnonzero(sizes > wide)}
+    ids, starts = wide_ids(model, [b"" if i in lone else s for i, s in enumerate(segments)])
+    if not lone:
+        return ids, starts
+    counts = np.diff(starts)
+    own = np.repeat(np.arange(len(segments)), counts)
+    own = np.concatenate([own, *[np.full(len(found), i) for i, found in lone.items()]])
+    ids = np.concatenate([ids, *lone.values()])
+    for i, found in lone.items():
+        counts[i] = len(found)
+    return ids[np.argsort(own, kind="stable")], np.concatenate(([0], np.cumsum(counts)))
+
+
+def wide_ids(model: Model, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all segments in a row, and where each segment's ids start (one more entry than segments).
 
     The best path has the highest sum of scores; of equal ones that with the longest last

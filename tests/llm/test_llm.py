@@ -3,13 +3,14 @@
 import io
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabulight.llm import (
-    decontaminate, jaccard_join, kd_search, language_id, licenses, lm_scoring, pieces, quality, transcripts, warc,
+    decontaminate, jaccard_join, kd_search, language_id, licenses, lm_scoring, pieces, quality, sampling, transcripts, warc,
 )
 from tabulight.llm.queries import model_path
 from tabulight.llm.words import shingle_sets, word_hashes
@@ -218,6 +219,47 @@ def test_pieces_give_texts_back_at_the_best_score():
         assert got + len(unknown) * model.unknown_score == pytest.approx(best[-1])
 
 
+def test_long_segments_take_the_same_path_in_linear_time(monkeypatch):
+    model = pieces.load_model(model_path())
+    rng = random.Random(8)
+    signs = "漢字仮名交文日本語東京大学の学生は毎朝電車で通う一二三aé🎉"
+    long = "".join(rng.choice(signs) for _ in range(700)) + "=" * 90 + "a" * 300 + "thequickbrownfoxjumps" * 9
+    segments = [long.encode(), b" the", "漢".encode(), b"", b"\xe6\xbc", long[40:90].encode(), b"x"]
+    ids, starts = pieces.wide_ids(model, segments)
+    for i, segment in enumerate(segments):
+        assert pieces.lone_ids(model, segment).tolist() == ids[starts[i] : starts[i + 1]].tolist()
+    for width in (1, 3, 64):
+        monkeypatch.setattr(pieces, "WIDTH", width)
+        mixed, edges = pieces.segment_ids(model, segments)
+        assert mixed.tolist() == ids.tolist() and edges.tolist() == starts.tolist()
+    page = "".join(rng.choice(signs) for _ in range(360_000)).encode()
+    assert len(page) > 1_000_000
+    before = time.perf_counter()
+    found = pieces.encode_batch(model, [page])[0]
+    assert time.perf_counter() - before < 10
+    assert pieces.decode_ids(model, found.tolist()) == page
+
+
+@pytest.mark.parametrize("most_rows, most_bytes", [(10, 10**6), (40, 300), (10**6, 10**6), (0, 5), (700, 2500)])
+def test_bounded_sample_equals_a_full_sort(spark, most_rows, most_bytes, monkeypatch):
+    rows = [(i, "hot" if i % 3 else f"l{i % 4}", i % 7) for i in range(900)] + [(5, "hot", 5), (5, "hot", 2)]
+    df = spark.createDataFrame(rows, "id long, label string, size long").withColumn("hash", F.xxhash64("id"))
+    want = set()
+    for label in {r[1] for r in rows}:
+        ordered = sorted((r["hash"], r["id"], r["size"]) for r in df.collect() if r["label"] == label)
+        so_far = np.cumsum([r[2] for r in ordered])
+        want |= {(r[1], label) for r, s in zip(ordered[:most_rows], so_far, strict=False) if s <= most_bytes}
+    source = df.select("id", "label", "size")
+    for bits in (10, 2):
+        monkeypatch.setattr(sampling, "LEVEL_BITS", bits)
+        found = sampling.bounded_sample(source.repartition(5), "label", most_rows, most_bytes).collect()
+        got = [tuple(r) for r in found]
+        assert len(got) == len(set(got))
+        # rows of one id may come in any order, so a bound may fall between them
+        assert {g for g in got if g[0] != 5} == {w for w in want if w[0] != 5}
+    assert sampling.bounded_sample(source.limit(0), "label", most_rows, most_bytes).count() == 0
+
+
 def test_encode_and_decode_frames(spark):
     texts = [prose(1, 30), None, "", "tab\there\nnew  line "]
     coded = pieces.encode(documents(spark, texts), model_path(), keep_text=True)
