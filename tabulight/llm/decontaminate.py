@@ -8,6 +8,8 @@ computes the lowest edit distance of the item to any passage there.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from .frames import arrow_filter, arrow_map, stage
 
 ERROR_SHARE = 0.1
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000  # of items searched at once; bounds what a Python worker holds
 
 
 def normal(text: str | None) -> str:
@@ -77,11 +79,13 @@ def ancestors(edges: list[int], low: int, high: int, path: list, found: list) ->
 
 
 class Item:
-    """A test item, its pieces, and for each piece what is verified on the way to the whole item."""
+    """A test item, its pieces, and for each piece what is verified on the way to the whole item.
+
+    Bit masks are made when a text first hits the item or run, so most items never have any.
+    """
 
     def __init__(self, item_id: int, item: str, share: float):
         self.id, self.text, self.budget = item_id, item, int(len(item) * share)
-        self.masks = masks(item)
         self.pieces = pieces(item, self.budget)
         edges = [place for place, _ in self.pieces] + [len(item)]
         paths: list = []
@@ -89,17 +93,25 @@ class Item:
         runs: dict = {}
         self.paths = [
             [
-                runs.setdefault((a, b), (edges[a], edges[b] - edges[a], b - a - 1, masks(item[edges[a] : edges[b]])))
+                runs.setdefault((a, b), (edges[a], edges[b] - edges[a], b - a - 1))
                 for a, b in path
             ]
             for path in paths
         ]
+        self.known: dict[tuple[int, int], dict[str, int]] = {}
+
+    def masks_of(self, start: int, size: int) -> dict[str, int]:
+        """Bit masks of a run of the item."""
+        found = self.known.get((start, size))
+        if found is None:
+            found = self.known[start, size] = masks(self.text[start : start + size])
+        return found
 
     def promising(self, text: str, start: int, piece: int) -> bool:
         """Whether every run above a piece fits, if the item would start near ``start``."""
-        for place, size, budget, run_masks in self.paths[piece]:
+        for place, size, budget in self.paths[piece]:
             begin = max(0, start + place - budget)
-            if myers(run_masks, size, text[begin : start + place + size + budget])[0] > budget:
+            if myers(self.masks_of(place, size), size, text[begin : start + place + size + budget])[0] > budget:
                 return False
         return True
 
@@ -115,12 +127,23 @@ class Item:
             held = held[len(near) :]
             begin = max(0, near[0] - self.budget)
             window = text[begin : near[-1] + len(self.text) + self.budget]
-            distance, end = myers(self.masks, len(self.text), window)
+            distance, end = myers(self.masks_of(0, len(self.text)), len(self.text), window)
             if distance < best:
                 best, where = distance, begin + end
         return (best, where) if best <= self.budget else None
 
 
+class Block:
+    """Items as (id, normal form); their matcher is made once a Python worker and kept with the broadcast."""
+
+    def __init__(self, rows: list[tuple[int, str]], share: float):
+        self.rows, self.share = rows, share
+
+    @cached_property
+    def matcher(self) -> "Matcher":
+        return Matcher(self.rows, self.share)
+
+
 class Matcher:
     """Finds a block of items in texts."""
 
@@ -164,10 +187,10 @@ def contaminated(
     texts = df.filter(F.length(text) > 0).select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
     schema = "id long, item_id long, distance int, end_at long"
     made = df.sparkSession.createDataFrame([], schema)
-    for shared in item_blocks(items, item_key, item_text):
+    for shared in item_blocks(items, item_key, item_text, share):
 
         def make(shared=shared):
-            matcher = Matcher(shared.value, share)
+            matcher = shared.value.matcher
 
             def work(batch):
                 out = {"id": [], "item_id": [], "distance": [], "end_at": []}
@@ -183,8 +206,8 @@ def contaminated(
     return made.withColumnRenamed("id", key)
 
 
-def item_blocks(items: DataFrame, item_key: str, item_text: str):
-    """The items as broadcast lists of (id, normal form), a block at a time."""
+def item_blocks(items: DataFrame, item_key: str, item_text: str, share: float):
+    """The items as broadcast blocks, one at a time."""
     listed = stage(
         items.filter(F.col(item_key).isNotNull() & F.col(item_text).isNotNull())
         .select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("item")).distinct()
@@ -195,7 +218,7 @@ def item_blocks(items: DataFrame, item_key: str, item_text: str):
         part = listed.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == block)
         rows = sorted({(r["item_id"], normal(r["item"])) for r in part.collect()})
         if rows := [r for r in rows if r[1]]:
-            yield items.sparkSession.sparkContext.broadcast(rows)
+            yield items.sparkSession.sparkContext.broadcast(Block(rows, share))
 
 
 def drop_contaminated(
@@ -203,10 +226,10 @@ def drop_contaminated(
     share: float = ERROR_SHARE,
 ) -> DataFrame:
     """The rows of ``df``, null keys included, in which no item is found; one pass a block of items."""
-    for shared in item_blocks(items, item_key, item_text):
+    for shared in item_blocks(items, item_key, item_text, share):
 
         def make(shared=shared):
-            matcher = Matcher(shared.value, share)
+            matcher = shared.value.matcher
             return lambda bodies: [not matcher.find(normal((b or b"").decode("utf-8", "replace"))) for b in bodies]
 
         df = arrow_filter(df, text, make)
