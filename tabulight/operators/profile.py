@@ -404,6 +404,21 @@ def table_report(
     )
 
 
+def database_report(
+    catalog: Catalog, n: int = 5, recent: Iterable[str] = RECENT_COLUMNS, tiebreak: dict | None = None
+) -> DataFrame:
+    """The whole first stage as one row: database, its type, time, number of tables, and every table's report by name.
+
+    It holds an entry a table of the catalog and at most ``n`` rows of each.
+    """
+    report = table_report(catalog, n, recent, tiebreak)
+    listed = F.array_sort(F.collect_list(F.struct(*report.columns)))
+    return report.agg(
+        F.lit(catalog.database).alias("database"), F.lit(catalog.database_type).alias("database_type"),
+        F.count(F.lit(1)).alias("tables_count"), F.current_timestamp().alias("generated_at"), listed.alias("tables"),
+    )
+
+
 def database_overview(report: DataFrame) -> DataFrame:
     """Totals over table reports."""
     return report.agg(

@@ -8,10 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.catalog import Catalog
+from ..sources.catalog import Catalog, literal_rows
+from .inclusion import comparable
 from .keys import key_checks
 from .profile import union_all
 
+# The forms a value may have; see ``comparable``.
+VALUE_TYPES = (("n", "BIGINT"), ("d", "DOUBLE"), ("s", "STRING"))
+
 
 @dataclass(frozen=True)
 class RowRule:
@@ -82,24 +86,37 @@ def unique_violations(catalog: Catalog, rules: Sequence[UniqueRule]) -> DataFram
     )
 
 
-def reference_violations(catalog: Catalog, rule: ReferenceRule) -> DataFrame:
-    """Rows whose value has no parent; values are counted before the join."""
-    children = (
-        catalog[rule.table]
-        .select(F.col(f"`{rule.column}`").alias("value"))
-        .filter("value IS NOT NULL")
-        .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("n"))
+def reference_violations(catalog: Catalog, rules: Sequence[ReferenceRule]) -> DataFrame:
+    """Rows whose value has no parent, for all rules at once; nulls pass.
+
+    Each table is scanned once for all its columns in any rule, and all values of all rules
+    meet in one shuffle, after those of a task were merged: a value that fills a third of
+    a table is one row a task.
+    """
+    columns: dict[str, list[str]] = {}
+    for number, rule in enumerate(rules):
+        for table, column, is_parent in ((rule.table, rule.column, False), (rule.ref_table, rule.ref_column, True)):
+            value = comparable(column, catalog[table].schema[column].dataType)
+            parts = [f"CAST({value.get(kind, 'NULL')} AS {name})" for kind, name in VALUE_TYPES]
+            columns.setdefault(table, []).append(
+                f"named_struct('number', {number}, 'is_parent', {str(is_parent).lower()}, 'n', {parts[0]}, 'd', {parts[1]}, 's', {parts[2]})"
+            )
+    listed = [catalog[t].select(F.expr(f"inline(array({', '.join(found)}))")) for t, found in columns.items()]
+    values = (
+        union_all(listed).filter("n IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL").groupBy("number", "n", "d", "s")
+        .agg(F.count_if(~F.col("is_parent")).alias("children"), F.bool_or("is_parent").alias("held"))
+    )
+    orphans = values.filter(~F.col("held")).groupBy("number").agg(F.sum("children").alias("violations"))
+    named = literal_rows(
+        catalog[rules[0].table].sparkSession,
+        [
+            {"number": i, "table_name": r.table, "rule": f"{r.column} in {r.ref_table}.{r.ref_column}"}
+            for i, r in enumerate(rules)
+        ],
+        "number int, table_name string, rule string",
     )
-    parents = catalog[rule.ref_table].select(F.col(f"`{rule.ref_column}`").alias("value"))
-    return (
-        children.join(parents, "value", "left_anti")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
-        .select(
-            F.lit(rule.table).alias("table_name"),
-            F.lit(f"{rule.column} in {rule.ref_table}.{rule.ref_column}").alias("rule"),
-            "violations",
-        )
+    return named.join(orphans, "number", "left").select(
+        "table_name", "rule", F.coalesce("violations", F.lit(0).cast("bigint")).alias("violations")
     )
 
 
@@ -107,11 +124,11 @@ def constraint_violations(catalog: Catalog, rules: Sequence) -> DataFrame:
     """Violations of every rule, in one job."""
     by_table: dict[str, list[RowRule]] = {}
     unique = [rule for rule in rules if isinstance(rule, UniqueRule)]
+    references = [rule for rule in rules if isinstance(rule, ReferenceRule)]
     frames = [unique_violations(catalog, unique)] if unique else []
+    frames += [reference_violations(catalog, references)] if references else []
     for rule in rules:
         if isinstance(rule, RowRule):
             by_table.setdefault(rule.table, []).append(rule)
-        elif isinstance(rule, ReferenceRule):
-            frames.append(reference_violations(catalog, rule))
     frames += [row_violations(catalog[t], t, r) for t, r in by_table.items()]
     return union_all(frames)

@@ -68,6 +68,32 @@ def table_report(spark, root):
     )
 
 
+RECENT = ("o_orderdate", "l_shipdate", "ts")
+
+
+def _newest_sql(table: str) -> str:
+    names = [n for n, _ in sql.columns_of(table)]
+    order = ", ".join([f"{c} DESC NULLS FIRST" for c in RECENT if c in names] + list(KEYS[table].primary))
+    key = " || ',' || ".join(f"{c}::VARCHAR" for c in KEYS[table].primary)
+    return (
+        f"SELECT 'lake' AS database, {len(COLUMNS)}::BIGINT AS tables_count, '{table}' AS table_name, "
+        f"(row_number() OVER (ORDER BY {order}) - 1)::INT AS place, {key} AS row_key FROM {table} QUALIFY place < 5"
+    )
+
+
+@query(sql.union(_newest_sql(t) for t in COLUMNS if KEYS.get(t) and KEYS[t].primary))
+def database_report(spark, root):
+    """What the samples of the stage report hold: the keys of the newest rows of every table with a key, in order."""
+    lake = open_lake(spark, root)
+    tables = profile.database_report(lake, recent=RECENT).select("database", "tables_count", F.inline("tables"))
+    rows = tables.select("database", "tables_count", "table_name", F.posexplode("samples").alias("place", "sample"))
+    key = F.lit(None).cast("string")
+    for name in lake.names:
+        fields = [F.get_json_object("sample", f"$.{c}") for c in lake.keys_of(name).primary]
+        key = F.when(F.col("table_name") == name, F.concat_ws(",", *fields)).otherwise(key) if fields else key
+    return rows.withColumn("row_key", key).filter("row_key IS NOT NULL").drop("sample")
+
+
 @query(
     "SELECT count(*) AS tables_count, sum(c)::BIGINT AS total_columns, sum(least(n, 5))::BIGINT AS total_samples, "
     "count_if(k) AS tables_with_constraints, count_if(u) AS tables_with_indexes FROM ("

@@ -108,6 +108,16 @@ def knowledge_stats(spark, root):
     return by_phase.unionByName(by_source)
 
 
+@query(
+    f"WITH {CHUNK_CTES} SELECT 'phase' AS grouping, lang AS name, count(*) AS chunk_count FROM chunked GROUP BY lang "
+    "UNION ALL SELECT 'source', doc_id::VARCHAR, count(*) FROM chunked GROUP BY doc_id "
+    "UNION ALL SELECT 'total', NULL, count(*) FROM chunked"
+)
+def knowledge_chunk_counts(spark, root):
+    """Chunks per phase, per source and in all."""
+    return knowledge.chunk_counts(_chunks(_documents(spark, root)))
+
+
 @query(
     """
 SELECT doc_id, CASE WHEN length(text) <= 200 THEN text
@@ -372,6 +382,17 @@ def index_build(spark, root):
     return rows.select("source", "content_hash", *_vector_digest(F.col("vector"))[:2])
 
 
+@query(
+    f"WITH {CHUNK_CTES}, d AS (SELECT doc_id::VARCHAR || '#' || chunk_no AS doc_id, doc_id::VARCHAR AS source, chunk_no, "
+    f"content AS body FROM chunked), q AS (WITH {_tfidf_digest('d')}) "
+    "SELECT source, chunk_no, sha256(body) AS content_hash, 256::BIGINT AS dims, weighted_sum FROM d JOIN q USING (doc_id)"
+)
+def index_build_windows(spark, root):
+    """Store rows of documents that are split into many overlapping windows."""
+    rows = knowledge.build_store_rows(_chunks(_documents(spark, root)))
+    return rows.select("source", "chunk_no", "content_hash", *_vector_digest(F.col("vector"))[:2])
+
+
 @query(
     f"""
 WITH d AS (SELECT event_id AS doc_id, 'Phase: phase2' || chr(10)

@@ -175,6 +175,14 @@ def source_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source").agg(F.count(F.lit(1)).alias("chunk_count"))
 
 
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """(grouping, name, chunk_count): chunks per phase, per source and in all, from one pass; no rows for no chunks."""
+    sets = chunks.groupingSets([["phase"], ["source"], []], "phase", "source")
+    found = sets.agg(F.count(F.lit(1)).alias("chunk_count"), F.grouping("phase").alias("p"), F.grouping("source").alias("s"))
+    kind = F.when(F.col("p") == 0, "phase").when(F.col("s") == 0, "source").otherwise("total")
+    return found.select(kind.alias("grouping"), F.coalesce("phase", "source").alias("name"), "chunk_count")
+
+
 def export_knowledge(chunks: DataFrame, path: str) -> None:
     """JSON lines in one folder per phase, and a summary with counts and time.
 

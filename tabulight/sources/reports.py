@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,22 @@ REPORT_SCHEMA = (
 )
 
 
+DATABASE_SCHEMA = (
+    "database string, database_type string, tables_count bigint, generated_at timestamp, "
+    "tables array<struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2: ", REPORT_SCHEMA) + ">>"
+)
+
+
+def read_database_report(spark: SparkSession, path: str) -> DataFrame:
+    """A stage report written by ``write_report``, one row with every table's report."""
+    return spark.read.schema(DATABASE_SCHEMA).json(path)
+
+
+def table_reports(report: DataFrame) -> DataFrame:
+    """The table reports of a stage report, one row each."""
+    return report.select(F.inline("tables"))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Replace the report at ``path``."""
     report.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
