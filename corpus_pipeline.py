@@ -40,7 +40,7 @@ STAGES = [
     ("language", recognised), ("quality", good), ("near_duplicates", single), ("decontamination", unseen),
     ("tokens", encoded),
 ]
-# A trained classifier and an edit-distance search are no SQL; the tests hold a brute-force version against run().
+# A trained classifier and an edit-distance search are no SQL; the tests hold run() against planted cases.
 ORACLE_SQL = None
 
 
