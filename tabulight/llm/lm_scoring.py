@@ -1,11 +1,18 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-Words and word pairs of the training texts are counted, their counts quantised on a
-logarithmic scale, and an n-gram of level q is put into a Bloom filter q times, as
-(n-gram, 1) … (n-gram, q). The filter is broadcast; a count is read back by probing for
-level 1, 2, … until a probe fails. A token's probability mixes the pair's relative
-frequency with the smoothed word frequency, with a weight for each level of the word
-before, fitted by leaving one out over all training tokens.
+Words and runs of two to five words of the training texts are counted, their counts
+quantised on a logarithmic scale, and an n-gram of level q is put into a Bloom filter q
+times, as (n-gram, 1) … (n-gram, q). The filter is broadcast; a count is read back by
+probing for level 1, 2, … until a probe fails. A token's probability starts from the
+smoothed word frequency and is mixed, run length by run length, with the run's relative
+frequency after its context, with a weight for each level of the context: for pairs by
+EM, for longer runs by deleted interpolation (how often the run's frequency is not below
+all of shorter runs), both leaving one out over all training tokens.
+
+All words and pairs are kept. A longer run says something about other texts only if it
+is repeated, and then all runs inside it are; so runs of three are counted only where
+both pairs are seen twice or more, runs of four and five only where all runs of three
+are, and those seen once are not put into the filter. What is found repeated is exact.
 
 N-grams are dealt by hash to shards. What is counted in a batch is shuffled as one
 packed row a shard, so a frequent n-gram is one entry a batch, and a shard's part of the
@@ -41,6 +48,9 @@ START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 LEVELS = np.unique(np.ceil(1.25 ** np.arange(190)).astype(np.int64))  # lowest count of each level
 COUNTS = np.concatenate(([0.0], np.sqrt(LEVELS * np.maximum(LEVELS, np.append(LEVELS[1:], LEVELS[-1]) - 1.0))))
 TOKENS_AT_ONCE = 1 << 21
+ORDERS = 5  # kind 0 is words, kind n runs of n + 1 words
+GROUPS = ((0, 1), (2,), (3, 4))  # kinds counted together, each where the longest runs of the group before are repeated
+COLUMNS = tuple(f"level{kind}" for kind in range(ORDERS))
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -61,10 +71,10 @@ def probe_words(grams: np.ndarray, at_level: np.ndarray | int, sizes: np.ndarray
     return ((keys >> np.uint64(24)) % sizes.astype(np.uint64)).astype(np.int64), bits
 
 
-def filter_bits(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def filter_bits(grams: np.ndarray, counts: np.ndarray, per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
     """The filter part of one shard."""
     levels = level(counts)
-    size = max(1, -(-int(levels.sum()) * BITS_PER_ENTRY // 64))
+    size = max(1, -(-int(levels.sum()) * per_entry // 64))
     bits = np.zeros(size, np.uint64)
     for step in range(1, int(levels.max(initial=0)) + 1):
         grams, levels = grams[levels >= step], levels[levels >= step]
@@ -78,7 +88,7 @@ class Filter:
     """Filter parts of some shards, one after the other; a shard that is not here has size 0."""
 
     bits: np.ndarray
-    start: np.ndarray  # by order (0: words, 1: pairs) and shard
+    start: np.ndarray  # by kind and shard
     size: np.ndarray
 
     def levels(self, grams: np.ndarray, order: int) -> np.ndarray:
@@ -112,6 +122,34 @@ def pair_hash(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mix(before * MULTIPLIERS[1] + tokens)
 
 
+def runs_of(tokens: np.ndarray, before: np.ndarray, kinds: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """The hashes of the runs of each kind that end at each token; START counts as a word.
+
+    Those at the first tokens of a text, where longer runs would begin before START, stand for nothing.
+    """
+    out = {0: tokens, 1: pair_hash(before, tokens)}
+    for kind in range(2, max(kinds) + 1):
+        last = out[kind - 1]
+        out[kind] = pair_hash(np.concatenate((last[:1], last[:-1])), tokens)
+    return {kind: out[kind] for kind in kinds}
+
+
+def repeatable(levels: np.ndarray, low: int, kind: int, edges: np.ndarray) -> np.ndarray:
+    """Where a run of ``kind`` can be repeated, by the levels of the runs of kind ``low``: all inside it are."""
+    place = np.arange(len(levels)) - np.repeat(edges[:-1], np.diff(edges))
+    twice = levels >= 2
+    out = place >= kind - 1
+    for back in range(kind - low + 1):
+        out[back:] &= twice[: len(twice) - back]
+    return out
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows of a binary column without nulls, and where each row's start (one more entry)."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=np.int64)))
+
+
 def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams in order and their counts."""
     order = np.argsort(grams, kind="stable")
@@ -120,18 +158,22 @@ def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return grams[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def packed_counts(texts: DataFrame, shards: int) -> DataFrame:
-    """(kind, shard, grams, counts): what a run of texts counts, one row a shard; kind 0 words, 1 pairs."""
+def packed_counts(texts: DataFrame, shards: int, kinds: tuple[int, ...]) -> DataFrame:
+    """(kind, shard, grams, counts): the n-grams of some kinds that a run of texts counts, one row a shard.
+
+    Kinds above 1 are counted where the levels of the longest runs known so far allow a repeat.
+    """
+    low = min(kinds) - 1
 
     def make():
         def work(batch):
             out = {"kind": [], "shard": [], "grams": [], "counts": []}
-            held: list[tuple[np.ndarray, np.ndarray]] = []
+            held: list[dict[int, np.ndarray]] = []
+            waiting = 0
 
             def flush():
-                for kind in (0, 1):
-                    every = np.concatenate([h[kind] for h in held])
-                    grams, counts = np.unique(every, return_counts=True)
+                for kind in kinds:
+                    grams, counts = np.unique(np.concatenate([h[kind] for h in held]), return_counts=True)
                     own = shard_of(grams, shards)
                     order = np.argsort(own, kind="stable")
                     edges = np.searchsorted(own[order], np.arange(shards + 1))
@@ -143,25 +185,36 @@ def packed_counts(texts: DataFrame, shards: int) -> DataFrame:
                         out["counts"].append(counts[place].astype(np.uint32).tobytes())
                 held.clear()
 
+            levels = batch[COLUMNS[low]].to_pylist() if low > 0 else None
+            first = 0
             for part in text_parts(batch["body"].to_pylist()):
-                tokens, before, _ = tokens_of(part)
-                held.append((tokens, pair_hash(before, tokens)))
-                if sum(len(h[0]) for h in held) >= TOKENS_AT_ONCE:
+                tokens, before, edges = tokens_of(part)
+                runs = runs_of(tokens, before, kinds)
+                if levels is not None:
+                    known = np.frombuffer(b"".join(levels[first : first + len(part)]), np.uint8)
+                    runs = {kind: grams[repeatable(known, low, kind, edges)] for kind, grams in runs.items()}
+                first += len(part)
+                held.append(runs)
+                waiting += len(tokens)
+                if waiting >= TOKENS_AT_ONCE:
                     flush()
+                    waiting = 0
             if held:
                 flush()
             return out
 
         return work
 
-    return arrow_map(texts.select("body"), make, "kind int, shard int, grams binary, counts binary", 8 << 20)
+    rows = texts.select("body", *([COLUMNS[low]] if low > 0 else []))
+    return arrow_map(rows, make, "kind int, shard int, grams binary, counts binary", 8 << 20)
 
 
 def merged_counts(packed: DataFrame) -> DataFrame:
-    """A row a kind and shard: filter bits, sums, and for words the exact counts."""
+    """A row a kind and shard: filter bits, sums, and for words the exact counts; longer runs only if repeated."""
     schema = "kind int, shard int, tokens long, kinds long, bits binary, grams binary, counts binary"
     parsed = StructType.fromDDL(schema)
     target = to_arrow_schema(parsed)
+    per_entry = BITS_PER_ENTRY
 
     def run(batches):
         for group in group_runs(batches, ("kind", "shard")):
@@ -170,10 +223,12 @@ def merged_counts(packed: DataFrame) -> DataFrame:
             grams, counts = summed(grams, counts)
             kind = group["kind"][0].as_py()
             words = kind == 0
+            if kind > 1:
+                grams, counts = grams[counts > 1], counts[counts > 1]
             yield to_batch(
                 {
                     "kind": [kind], "shard": [group["shard"][0].as_py()], "tokens": [int(counts.sum())],
-                    "kinds": [len(grams)], "bits": [filter_bits(grams, counts).tobytes()],
+                    "kinds": [len(grams)], "bits": [filter_bits(grams, counts, per_entry).tobytes()],
                     "grams": [grams.tobytes() if words else b""], "counts": [counts.tobytes() if words else b""],
                 },
                 target,
@@ -182,8 +237,8 @@ def merged_counts(packed: DataFrame) -> DataFrame:
     return packed.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(run, parsed)
 
 
-def filter_rounds(counted: DataFrame, shards: int):
-    """The filter in parts of at most about ROUND_BYTES, as broadcasts."""
+def filter_plan(counted: DataFrame) -> list[list[tuple[int, int]]]:
+    """The (kind, shard) pairs of each part of the filter, parts of at most about ROUND_BYTES; one part at least."""
     sizes = counted.select("kind", "shard", F.octet_length("bits").alias("size")).collect()
     rounds: list[list] = [[]]
     total = 0
@@ -193,11 +248,16 @@ def filter_rounds(counted: DataFrame, shards: int):
             total = 0
         rounds[-1].append((row["kind"], row["shard"]))
         total += row["size"]
-    for chosen in rounds:
-        low, high = min(s for _, s in chosen), max(s for _, s in chosen)
-        start, size = np.zeros((2, shards), np.int64), np.zeros((2, shards), np.int64)
-        parts, at = [], 0
+    return rounds
+
+
+def filter_part(counted: DataFrame, shards: int, chosen: list[tuple[int, int]]):
+    """One part of the filter as a broadcast."""
+    start, size = np.zeros((ORDERS, shards), np.int64), np.zeros((ORDERS, shards), np.int64)
+    parts, at = [np.zeros(1, np.uint64)], 1
+    if chosen:
         picked = set(chosen)
+        low, high = min(s for _, s in chosen), max(s for _, s in chosen)
         rows = counted.filter(F.col("shard").between(low, high)).select("kind", "shard", "bits")
         for row in rows.toLocalIterator():
             if (row["kind"], row["shard"]) in picked:
@@ -205,80 +265,136 @@ def filter_rounds(counted: DataFrame, shards: int):
                 start[row["kind"], row["shard"]], size[row["kind"], row["shard"]] = at, len(part)
                 parts.append(part)
                 at += len(part)
-        yield counted.sparkSession.sparkContext.broadcast(Filter(np.concatenate(parts), start, size))
+    return counted.sparkSession.sparkContext.broadcast(Filter(np.concatenate(parts), start, size))
 
 
-def with_levels(rows: DataFrame, shared, more: bool) -> DataFrame:
-    """Add the levels that one filter part knows to ``words`` and ``pairs`` (a byte a token).
+def with_levels(rows: DataFrame, shared, kinds: tuple[int, ...], more: bool, following: int | None) -> DataFrame:
+    """Add the levels that one filter part knows of n-grams of some kinds (a column a kind, a byte a token).
 
-    The text is kept while ``more`` parts follow.
+    The text is kept while ``more`` parts follow for these kinds; after the last, only
+    where a run of the kind ``following`` can be repeated. A text left out has level 0.
     """
+    low = min(kinds) - 1
+    first_kind = low < 0
+    older = COLUMNS[: low + 1]
 
     def make():
         known = shared.value
 
         def work(batch):
             bodies = batch["body"].to_pylist()
-            words, pairs = [], []
-            for part in text_parts(bodies):
+            # Without a text: not needed any more, as no run of these kinds can be repeated there.
+            here = [i for i, body in enumerate(bodies) if body is not None]
+            lower = None if first_kind else batch[COLUMNS[low]].to_pylist()
+            own = {kind: [None] * len(bodies) for kind in kinds}
+            kept = list(bodies) if more else [None] * len(bodies)
+            at = 0
+            for part in text_parts([bodies[i] for i in here]):
+                names = here[at : at + len(part)]
+                at += len(part)
                 tokens, before, edges = tokens_of(part)
-                found = []
-                for order, grams in enumerate((tokens, pair_hash(before, tokens))):
-                    kinds, where = np.unique(grams, return_inverse=True)
-                    found.append(known.levels(kinds, order)[where])
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    words.append(found[0][a:b])
-                    pairs.append(found[1][a:b])
-            out = {n: batch[n] for n in ("id", "digest", "held_out")}
-            for name, values in (("words", words), ("pairs", pairs)):
-                old = batch[name].to_pylist()
-                out[name] = [
-                    (v if o is None else v + np.frombuffer(o, np.uint8)).tobytes()
-                    for v, o in zip(values, old, strict=True)
-                ]
-            return out | ({"body": batch["body"]} if more else {})
+                may = {}
+                if lower is not None:
+                    levels = np.frombuffer(b"".join(lower[i] for i in names), np.uint8)
+                    may = {kind: repeatable(levels, low, kind, edges) for kind in kinds}
+                for kind, grams in runs_of(tokens, before, kinds).items():
+                    where = may.get(kind, slice(None))
+                    distinct, back = np.unique(grams[where], return_inverse=True)
+                    found = np.zeros(len(tokens), np.uint8)
+                    found[where] = known.levels(distinct, kind)[back]
+                    old = [batch[COLUMNS[kind]][i].as_py() for i in names]
+                    if old and old[0] is not None:
+                        found += np.frombuffer(b"".join(old), np.uint8)
+                    for i, a, b in zip(names, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                        own[kind][i] = found[a:b].tobytes()
+                if not more and following is not None:
+                    again = np.logical_or.reduceat(repeatable(found, kind, following, edges), edges[:-1])
+                    for i, needed in zip(names, again.tolist(), strict=True):
+                        kept[i] = bodies[i] if needed else None
+            out = {n: batch[n] for n in ("id", "digest", "held_out", *older)}
+            if len(here) < len(bodies):
+                sizes = [len(v) for v in batch[COLUMNS[0]].to_pylist()]
+                for values in own.values():
+                    for i, value in enumerate(values):
+                        if value is None:
+                            values[i] = bytes(sizes[i])
+            out |= {COLUMNS[kind]: own[kind] for kind in kinds}
+            return out | ({"body": kept} if more or following is not None else {})
 
         return work
 
-    schema = "id long, digest long, held_out boolean, words binary, pairs binary" + ", body binary" * more
-    return arrow_map(rows, make, schema)
+    rows = rows.select(
+        "id", "digest", "held_out", "body", *older,
+        *(F.col(c) if c in rows.columns else F.lit(None).cast("binary").alias(c) for c in (COLUMNS[k] for k in kinds)),
+    )
+    names = [*older, *(COLUMNS[kind] for kind in kinds)] + ["body"] * (more or following is not None)
+    return arrow_map(rows, make, "id long, digest long, held_out boolean, " + ", ".join(f"{n} binary" for n in names))
+
+
+def frequencies(levels: list[np.ndarray], edges: np.ndarray, start_level: int, left_out: int):
+    """By kind from 1 up: the level of each token's context and the run's relative frequency after it."""
+    for kind in range(1, ORDERS):
+        context = np.concatenate((levels[kind - 1][:1], levels[kind - 1][:-1])).astype(np.int64)
+        context[edges[:-1]] = start_level if kind == 1 else 0
+        part = np.maximum(COUNTS[levels[kind]] - left_out, 0) / np.maximum(COUNTS[context] - left_out, 1)
+        yield kind, context, np.where(context > 0, np.minimum(part, 1), 0.0)
 
 
 def weights(levels: DataFrame, start_level: int, tokens: int, kinds: int) -> np.ndarray:
-    """By level of the word before: how much the pair's frequency counts, by EM over all training tokens.
+    """By kind and level of the context: how much the run's frequency counts, from all training tokens.
 
-    Every training token is left out of its own counts. The tokens come as a histogram of
-    their three levels, which has a bounded number of rows.
+    Every training token is left out of its own counts. For pairs the tokens come as a
+    histogram of their three levels, for longer runs as counts by level of the context;
+    both have a bounded number of rows.
     """
 
     def make():
+        base = (np.maximum(COUNTS - 1, 0) + 0.5) / (tokens + 0.5 * (kinds + 1))
+
         def work(batch):
-            total: dict[int, int] = {}
-            for words, pairs in zip(batch["words"].to_pylist(), batch["pairs"].to_pylist(), strict=True):
-                own = np.frombuffer(words, np.uint8).astype(np.int64)
-                before = np.concatenate(([start_level], own[:-1]))
-                keys, counts = np.unique(
-                    (before << 16) | (np.frombuffer(pairs, np.uint8).astype(np.int64) << 8) | own, return_counts=True
-                )
-                for key, count in zip(keys.tolist(), counts.tolist(), strict=True):
-                    total[key] = total.get(key, 0) + count
-            return {"key": list(total), "times": list(total.values())}
+            own, edges = flat(batch[COLUMNS[0]])
+            every = [own] + [flat(batch[c])[0] for c in COLUMNS[1:]]
+            best = base[own]
+            keys, wins, times = [], [], []
+            for kind, context, part in frequencies(every, edges, start_level, 1):
+                if kind == 1:
+                    packed, count = np.unique((context << 16) | (every[1].astype(np.int64) << 8) | own, return_counts=True)
+                    won = np.zeros(len(packed), np.int64)
+                else:
+                    count = np.bincount(context, minlength=len(COUNTS))
+                    won = np.bincount(context[(part > 0) & (part >= best)], minlength=len(COUNTS))
+                    seen = np.flatnonzero(count)
+                    packed, count, won = (kind << 32) | seen, count[seen], won[seen]
+                best = np.maximum(best, part)
+                keys.append(packed)
+                wins.append(won)
+                times.append(count)
+            return {"key": np.concatenate(keys), "wins": np.concatenate(wins), "times": np.concatenate(times)}
 
         return work
 
-    made = arrow_map(levels.filter(~F.col("held_out")).select("words", "pairs"), make, "key long, times long")
-    found = made.groupBy("key").agg(F.sum("times").alias("times")).toArrow()
-    share = np.full(len(LEVELS) + 1, 0.1)
+    made = arrow_map(levels.filter(~F.col("held_out")).select(*COLUMNS), make, "key long, wins long, times long")
+    found = made.groupBy("key").agg(F.sum("wins").alias("wins"), F.sum("times").alias("times")).toArrow()
+    share = np.zeros((ORDERS, len(COUNTS)))
+    share[1] = 0.1
     if not found.num_rows:
         return share
-    keys, times = found["key"].to_numpy(), found["times"].to_numpy()
+    keys, wins, times = (found[n].to_numpy() for n in ("key", "wins", "times"))
+    for kind in range(2, ORDERS):
+        chosen = (keys >> 32) == kind
+        at = keys[chosen] & 255
+        share[kind, at] = (wins[chosen] + 0.1) / (times[chosen] + 1)
+        share[kind, 0] = 0
+    keys, times = keys[keys >> 32 == 0], times[keys >> 32 == 0]
     before, pair, own = keys >> 16, (keys >> 8) & 255, keys & 255
     frequency = np.clip(np.maximum(COUNTS[pair] - 1, 0) / np.maximum(COUNTS[before] - 1, 1), 0, 1)
     base = (np.maximum(COUNTS[own] - 1, 0) + 0.5) / (tokens + 0.5 * (kinds + 1))
+    pairs = share[1]
     for _ in range(30):
-        mixed = share[before] * frequency
-        part = times * mixed / (mixed + (1 - share[before]) * base)
-        share = (np.bincount(before, part, len(share)) + 0.1) / (np.bincount(before, times, len(share)) + 1)
+        mixed = pairs[before] * frequency
+        part = times * mixed / (mixed + (1 - pairs[before]) * base)
+        pairs = (np.bincount(before, part, len(pairs)) + 0.1) / (np.bincount(before, times, len(pairs)) + 1)
+    share[1] = pairs
     return share
 
 
@@ -291,15 +407,15 @@ def scored(levels: DataFrame, share: np.ndarray, start_level: int, tokens: int,
         base = (COUNTS + 0.5) / (tokens + 0.5 * (kinds + 1))
 
         def work(batch):
-            sizes, scores = [], []
-            for words, pairs in zip(batch["words"].to_pylist(), batch["pairs"].to_pylist(), strict=True):
-                own = np.frombuffer(words, np.uint8)
-                before = np.concatenate(([start_level], own[:-1])).astype(np.int64)
-                frequency = np.minimum(COUNTS[np.frombuffer(pairs, np.uint8)] / np.maximum(COUNTS[before], 1), 1)
-                weight = mix_share[before]
-                sizes.append(len(own))
-                scores.append(float(np.log10(weight * frequency + (1 - weight) * base[own]).sum()))
-            return {n: batch[n] for n in ("id", "digest", "held_out")} | {"n_tokens": sizes, "score": scores}
+            own, edges = flat(batch[COLUMNS[0]])
+            every = [own] + [flat(batch[c])[0] for c in COLUMNS[1:]]
+            chance = base[own]
+            for kind, context, part in frequencies(every, edges, start_level, 0):
+                # The context of a pair's first word is the text's start, which every text has.
+                weight = mix_share[kind][context]
+                chance = weight * part + (1 - weight) * chance
+            scores = np.add.reduceat(np.log10(chance), edges[:-1])
+            return {n: batch[n] for n in ("id", "digest", "held_out")} | {"n_tokens": np.diff(edges), "score": scores}
 
         return work
 
@@ -456,21 +572,22 @@ def lm_score(df: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     ).withColumn("digest", F.xxhash64("body"))
     size = df.agg(F.sum(F.octet_length(text)).alias("size")).first()["size"] or 0
     shards = int(size // SHARD_BYTES) + 1
-    counted = stage(merged_counts(packed_counts(texts.filter(~F.col("held_out")), shards)))
+    training = texts.filter(~F.col("held_out"))
+    levels, counted = texts, stage(merged_counts(packed_counts(training, shards, GROUPS[0])))
     sums = counted.filter("kind = 0").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     tokens, kinds = sums["tokens"] or 0, sums["kinds"] or 0
-    trained = texts.filter(~F.col("held_out")).count()
-    start_level = int(level(np.array([trained]))[0])
-    empty = F.lit(None).cast("binary")
-    levels = texts.withColumn("words", empty).withColumn("pairs", empty)
-    if tokens:
-        rounds = list(filter_rounds(counted, shards))
-        for number, shared in enumerate(rounds, 1):
-            levels = stage(with_levels(levels, shared, number < len(rounds)))
-            shared.unpersist()  # executors need it no longer
-    else:
-        nothing = Filter(np.zeros(1, np.uint64), np.zeros((2, shards), np.int64), np.zeros((2, shards), np.int64))
-        levels = with_levels(levels, df.sparkSession.sparkContext.broadcast(nothing), False)
+    start_level = int(level(np.array([training.count()]))[0])
+    found = counted
+    for number, group in enumerate(GROUPS):
+        if number:
+            wanted = levels.filter(~F.col("held_out") & F.col("body").isNotNull())
+            found = stage(merged_counts(packed_counts(wanted, shards, group)))
+        following = GROUPS[number + 1][0] if number + 1 < len(GROUPS) else None
+        plan = filter_plan(found)
+        for part, chosen in enumerate(plan, 1):
+            shared = filter_part(found, shards, chosen)
+            levels = stage(with_levels(levels, shared, group, part < len(plan), following))
+            shared.unpersist()  # the levels are written, executors need it no longer
     share = weights(levels, start_level, tokens, kinds)
     scores = scored(levels, share, start_level, tokens, kinds)
     exact = base_scores(texts, counted, shards, tokens, kinds)
