@@ -32,10 +32,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stage(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: one computation, short lineage, pruned reads."""
+    return stage_at(df)[0]
+
+
+def stage_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``stage``, with the folder, for ``release``."""
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def release(df: DataFrame, path: str) -> None:
+    """Empty the folder of a staged table that no frame reads any more."""
+    df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def keyed_text(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .frames import arrow_map, stage, to_batch
+from .frames import arrow_map, release, stage, stage_at, to_batch
 from .jaccard_join import group_runs
 from .sampling import held_out
 from .words import MULTIPLIERS, mix, text_parts, word_hashes
@@ -48,6 +48,7 @@ START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 LEVELS = np.unique(np.ceil(1.25 ** np.arange(190)).astype(np.int64))  # lowest count of each level
 COUNTS = np.concatenate(([0.0], np.sqrt(LEVELS * np.maximum(LEVELS, np.append(LEVELS[1:], LEVELS[-1]) - 1.0))))
 TOKENS_AT_ONCE = 1 << 21
+LOW = np.uint64((1 << 40) - 1)
 ORDERS = 5  # kind 0 is words, kind n runs of n + 1 words
 GROUPS = ((0, 1), (2,), (3, 4))  # kinds counted together, each where the longest runs of the group before are repeated
 COLUMNS = tuple(f"level{kind}" for kind in range(ORDERS))
@@ -58,12 +59,31 @@ def level(counts: np.ndarray) -> np.ndarray:
 
 
 def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
-    return ((grams >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+    """By the high bits; within a shard the low ones tell runs apart (LOW), so that they need fewer bytes to move."""
+    return ((grams >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Sorted numbers as the gaps between them, each in as many bytes as the widest gap takes."""
+    if not len(values):
+        return b""
+    gaps = np.concatenate((values[:1], np.diff(values)))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    gaps = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    wide = np.zeros((len(gaps), 8), np.uint8)
+    wide[:, : data[0]] = gaps
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
 def probe_words(grams: np.ndarray, at_level: np.ndarray | int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The filter word of each (n-gram, level) within its shard, and the bits that stand for it there."""
-    keys = mix(grams + np.asarray(at_level).astype(np.uint64) * MULTIPLIERS[0])
+    keys = mix((grams & LOW) + np.asarray(at_level).astype(np.uint64) * MULTIPLIERS[0])
     one = np.uint64(1)
     bits = np.zeros(len(keys), np.uint64)
     for shift in (0, 6, 12, 18):
@@ -159,15 +179,16 @@ def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def packed_counts(texts: DataFrame, shards: int, kinds: tuple[int, ...]) -> DataFrame:
-    """(kind, shard, grams, counts): the n-grams of some kinds that a run of texts counts, one row a shard.
+    """(kind, shard, once, more, counts): the n-grams of some kinds that a run of texts counts, one row a shard.
 
+    Those it has once need no count. Words are whole hashes, longer runs the low bits.
     Kinds above 1 are counted where the levels of the longest runs known so far allow a repeat.
     """
     low = min(kinds) - 1
 
     def make():
         def work(batch):
-            out = {"kind": [], "shard": [], "grams": [], "counts": []}
+            out = {"kind": [], "shard": [], "once": [], "more": [], "counts": []}
             held: list[dict[int, np.ndarray]] = []
             waiting = 0
 
@@ -175,14 +196,18 @@ def packed_counts(texts: DataFrame, shards: int, kinds: tuple[int, ...]) -> Data
                 for kind in kinds:
                     grams, counts = np.unique(np.concatenate([h[kind] for h in held]), return_counts=True)
                     own = shard_of(grams, shards)
-                    order = np.argsort(own, kind="stable")
-                    edges = np.searchsorted(own[order], np.arange(shards + 1))
-                    for shard in np.flatnonzero(np.diff(edges)):
-                        place = order[edges[shard] : edges[shard + 1]]
+                    grams = grams & LOW if kind else grams
+                    order = np.lexsort((grams, counts > 1, own))
+                    own, grams, counts = own[order], grams[order], counts[order]
+                    edges = np.searchsorted(own, np.arange(shards + 1)).tolist()
+                    for shard in np.flatnonzero(np.diff(edges)).tolist():
+                        end = edges[shard + 1]
+                        first = edges[shard] + int(np.searchsorted(counts[edges[shard] : end] > 1, True))
                         out["kind"].append(kind)
-                        out["shard"].append(int(shard))
-                        out["grams"].append(grams[place].tobytes())
-                        out["counts"].append(counts[place].astype(np.uint32).tobytes())
+                        out["shard"].append(shard)
+                        out["once"].append(packed(grams[edges[shard] : first]))
+                        out["more"].append(packed(grams[first:end]))
+                        out["counts"].append(counts[first:end].astype(np.uint32).tobytes())
                 held.clear()
 
             levels = batch[COLUMNS[low]].to_pylist() if low > 0 else None
@@ -206,7 +231,7 @@ def packed_counts(texts: DataFrame, shards: int, kinds: tuple[int, ...]) -> Data
         return work
 
     rows = texts.select("body", *([COLUMNS[low]] if low > 0 else []))
-    return arrow_map(rows, make, "kind int, shard int, grams binary, counts binary", 8 << 20)
+    return arrow_map(rows, make, "kind int, shard int, once binary, more binary, counts binary", 8 << 20)
 
 
 def merged_counts(packed: DataFrame) -> DataFrame:
@@ -218,9 +243,11 @@ def merged_counts(packed: DataFrame) -> DataFrame:
 
     def run(batches):
         for group in group_runs(batches, ("kind", "shard")):
-            grams = np.concatenate([np.frombuffer(g.as_py(), np.uint64) for g in group["grams"]])
-            counts = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in group["counts"]]).astype(np.int64)
-            grams, counts = summed(grams, counts)
+            once = [unpacked(g) for g in group["once"].to_pylist()]
+            more = [unpacked(g) for g in group["more"].to_pylist()]
+            times = [np.frombuffer(c, np.uint32).astype(np.int64) for c in group["counts"].to_pylist()]
+            alone = np.ones(sum(len(g) for g in once), np.int64)
+            grams, counts = summed(np.concatenate(once + more), np.concatenate([alone, *times]))
             kind = group["kind"][0].as_py()
             words = kind == 0
             if kind > 1:
@@ -577,17 +604,22 @@ def lm_score(df: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     sums = counted.filter("kind = 0").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     tokens, kinds = sums["tokens"] or 0, sums["kinds"] or 0
     start_level = int(level(np.array([training.count()]))[0])
-    found = counted
+    found, last = counted, None
     for number, group in enumerate(GROUPS):
         if number:
             wanted = levels.filter(~F.col("held_out") & F.col("body").isNotNull())
-            found = stage(merged_counts(packed_counts(wanted, shards, group)))
+            found, found_at = stage_at(merged_counts(packed_counts(wanted, shards, group)))
         following = GROUPS[number + 1][0] if number + 1 < len(GROUPS) else None
         plan = filter_plan(found)
         for part, chosen in enumerate(plan, 1):
             shared = filter_part(found, shards, chosen)
-            levels = stage(with_levels(levels, shared, group, part < len(plan), following))
+            made, made_at = stage_at(with_levels(levels, shared, group, part < len(plan), following))
             shared.unpersist()  # the levels are written, executors need it no longer
+            if last:
+                release(levels, last)
+            levels, last = made, made_at
+        if number:
+            release(found, found_at)
     share = weights(levels, start_level, tokens, kinds)
     scores = scored(levels, share, start_level, tokens, kinds)
     exact = base_scores(texts, counted, shards, tokens, kinds)

@@ -118,3 +118,11 @@ def test_candidates_cover_every_repeated_run():
             for at in range(start, end):
                 inside = range(at - (kind - low), at + 1)
                 assert may[at] == (at - start >= kind - 1 and all(levels[j] >= 2 for j in inside))
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(4)
+    for top in (1, 255, 256, 2**40 - 1, 2**64 - 1):
+        values = np.sort(rng.integers(0, top, 50, dtype=np.uint64, endpoint=True))
+        assert lm_scoring.unpacked(lm_scoring.packed(values)).tolist() == values.tolist()
+    assert lm_scoring.unpacked(lm_scoring.packed(values[:0])).tolist() == []
