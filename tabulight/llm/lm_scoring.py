@@ -49,6 +49,7 @@ LEVELS = np.unique(np.ceil(1.25 ** np.arange(190)).astype(np.int64))  # lowest c
 COUNTS = np.concatenate(([0.0], np.sqrt(LEVELS * np.maximum(LEVELS, np.append(LEVELS[1:], LEVELS[-1]) - 1.0))))
 TOKENS_AT_ONCE = 1 << 21
 LOW = np.uint64((1 << 40) - 1)
+TWO_BITS = ((np.uint64(1) << np.arange(64, dtype=np.uint64))[:, None] | (np.uint64(1) << np.arange(64, dtype=np.uint64))).ravel()
 ORDERS = 5  # kind 0 is words, kind n runs of n + 1 words
 GROUPS = ((0, 1), (2,), (3, 4))  # kinds counted together, each where the longest runs of the group before are repeated
 COLUMNS = tuple(f"level{kind}" for kind in range(ORDERS))
@@ -84,11 +85,8 @@ def unpacked(data: bytes) -> np.ndarray:
 def probe_words(grams: np.ndarray, at_level: np.ndarray | int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The filter word of each (n-gram, level) within its shard, and the bits that stand for it there."""
     keys = mix((grams & LOW) + np.asarray(at_level).astype(np.uint64) * MULTIPLIERS[0])
-    one = np.uint64(1)
-    bits = np.zeros(len(keys), np.uint64)
-    for shift in (0, 6, 12, 18):
-        bits |= one << ((keys >> np.uint64(shift)) & np.uint64(63))
-    return ((keys >> np.uint64(24)) % sizes.astype(np.uint64)).astype(np.int64), bits
+    bits = TWO_BITS[keys & np.uint64(4095)] | TWO_BITS[(keys >> np.uint64(12)) & np.uint64(4095)]
+    return (((keys >> np.uint64(32)) * sizes.astype(np.uint64)) >> np.uint64(32)).astype(np.int64), bits
 
 
 def filter_bits(grams: np.ndarray, counts: np.ndarray, per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
@@ -116,15 +114,14 @@ class Filter:
         shard = shard_of(grams, self.start.shape[1])
         out = np.zeros(len(grams), np.uint8)
         left = np.flatnonzero(self.size[order, shard] > 0)
+        grams, start, size = grams[left], self.start[order, shard[left]], self.size[order, shard[left]].astype(np.uint64)
         step = 1
-        while len(left):
-            own = shard[left]
-            words, bits = probe_words(grams[left], step, self.size[order, own])
-            left = left[self.bits[self.start[order, own] + words] & bits == bits]
+        while len(left) and step <= len(LEVELS):
+            words, bits = probe_words(grams, step, size)
+            here = np.flatnonzero(self.bits[start + words] & bits == bits)
+            left, grams, start, size = left[here], grams[here], start[here], size[here]
             out[left] += 1
             step += 1
-            if step > len(LEVELS):
-                break
         return out
 
 
@@ -194,20 +191,31 @@ def packed_counts(texts: DataFrame, shards: int, kinds: tuple[int, ...]) -> Data
 
             def flush():
                 for kind in kinds:
-                    grams, counts = np.unique(np.concatenate([h[kind] for h in held]), return_counts=True)
-                    own = shard_of(grams, shards)
-                    grams = grams & LOW if kind else grams
-                    order = np.lexsort((grams, counts > 1, own))
-                    own, grams, counts = own[order], grams[order], counts[order]
-                    edges = np.searchsorted(own, np.arange(shards + 1)).tolist()
-                    for shard in np.flatnonzero(np.diff(edges)).tolist():
-                        end = edges[shard + 1]
-                        first = edges[shard] + int(np.searchsorted(counts[edges[shard] : end] > 1, True))
+                    every = np.concatenate([h[kind] for h in held])
+                    if kind:
+                        # One number for shard and low bits, so that plain sorting deals and counts at once.
+                        every = (shard_of(every, shards).astype(np.uint64) << np.uint64(40)) | (every & LOW)
+                    grams, counts = np.unique(every, return_counts=True)
+                    if kind:
+                        own = (grams >> np.uint64(40)).astype(np.int64)
+                        grams = grams & LOW
+                    else:
+                        own = shard_of(grams, shards)
+                        order = np.argsort(own, kind="stable")
+                        own, grams, counts = own[order], grams[order], counts[order]
+                    alone = counts == 1
+                    sides = []
+                    for chosen in (alone, ~alone):
+                        sides += [grams[chosen], np.searchsorted(own[chosen], np.arange(shards + 1)).tolist()]
+                    once, once_at, more, more_at = sides
+                    times = counts[~alone].astype(np.uint32)
+                    for shard in np.unique(own).tolist():
+                        repeated = slice(more_at[shard], more_at[shard + 1])
                         out["kind"].append(kind)
                         out["shard"].append(shard)
-                        out["once"].append(packed(grams[edges[shard] : first]))
-                        out["more"].append(packed(grams[first:end]))
-                        out["counts"].append(counts[first:end].astype(np.uint32).tobytes())
+                        out["once"].append(packed(once[once_at[shard] : once_at[shard + 1]]))
+                        out["more"].append(packed(more[repeated]))
+                        out["counts"].append(times[repeated].tobytes())
                 held.clear()
 
             levels = batch[COLUMNS[low]].to_pylist() if low > 0 else None
