@@ -70,13 +70,22 @@ def promising_columns(catalog: Catalog) -> dict[str, list[str]]:
     return found
 
 
-def _key_value(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """A key as one typed value; several parts as one text, null if a part is null."""
+def key_value(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """A key as one typed value; several parts as one text, null if a part is null.
+
+    Parts that may hold any character are led by their length, so no two keys have one text.
+    """
     if len(columns) == 1:
         return typed_value(columns[0], df.schema[columns[0]].dataType)
-    parts = [value_text(c, df.schema[c].dataType) for c in columns]
+
+    def part(column: str) -> str:
+        data_type = df.schema[column].dataType
+        text = value_text(column, data_type)
+        closed = type_family(data_type) in ("number", "time", "bool")
+        return text if closed else f"concat(length({text}), ':', {text})"
+
     complete = " AND ".join(f"{name_of(c)} IS NOT NULL" for c in columns)
-    return {"s": f"CASE WHEN {complete} THEN to_json(array({', '.join(parts)})) END"}
+    return {"s": f"CASE WHEN {complete} THEN concat_ws(',', {', '.join(map(part, columns))}) END"}
 
 
 def key_checks(catalog: Catalog, wanted: dict[str, Sequence[Sequence[str]]]) -> DataFrame:
@@ -88,7 +97,7 @@ def key_checks(catalog: Catalog, wanted: dict[str, Sequence[Sequence[str]]]) ->
     labels = []
     for table, column_sets in wanted.items():
         for columns in column_sets:
-            entries.setdefault(table, []).append((len(labels), _key_value(catalog[table], columns)))
+            entries.setdefault(table, []).append((len(labels), key_value(catalog[table], columns)))
             labels.append((table, ",".join(columns)))
     names = ", ".join(
         f"named_struct('tag', {i}, 'table_name', {quoted(t)}, 'key_columns', {quoted(c)})"

@@ -1,9 +1,10 @@
 """Keys of several columns, found in the data: a search through column sets from small to large.
 
 A set is tried only if no part of it is a key already, so all results are minimal. Before
-any value is shuffled a set must pass two bounds: the product of its columns' distinct
-counts must reach the row count, and so must a sketch of their combined hash. Survivors
-of all tables are counted exactly in one shuffle a level.
+the values of a set are shuffled, the product of its columns' distinct counts must reach
+the row count. Sets of a large table are then counted exactly among a share of the values:
+one combination that comes twice there proves that a set is no key, and costs little.
+What is left of all tables is counted exactly over all rows, in one shuffle a level.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog, literal_rows, type_family
-from .keys import key_checks
-from .profile import name_of, union_all
+from .keys import key_checks, key_value
+from .profile import distinct_counts, name_of, union_all
 
 # An estimate has 1.6 percent standard error, so a true key's does not fall below this share.
 SKETCH_SHARE = 0.9
 SETS_PER_AGGREGATE = 32
+# A share has about so many rows, and so many values of a set's leading column at least.
+SHARE_ROWS, SHARE_VALUES = 1 << 17, 64
 
 
 def combined_sketch(columns: tuple[str, ...]) -> str:
@@ -49,6 +52,36 @@ def next_sets(columns: list[str], size: int, keys: list[tuple[str, ...]]) -> lis
     return [s for s in combinations(columns, size) if not any(set(k) <= set(s) for k in keys)]
 
 
+def repeated_sets(
+    catalog: Catalog, wanted: dict[str, list[tuple[str, ...]]], known: dict[tuple[str, tuple[str, ...]], tuple[int, int, int]]
+) -> set[tuple[str, tuple[str, ...]]]:
+    """The (table, set) of which a combination is found twice in a share of the rows.
+
+    A share takes all rows of some values of the set's leading column, which is the one with
+    the most values, so it holds all rows of a combination or none. A set that is not returned
+    may be a key or not. ``known`` has the rows and estimated values of single columns.
+    """
+    tables, entries, labels = {}, {}, []
+    for table, sets in wanted.items():
+        shares = []
+        for columns in sets:
+            lead = max(columns, key=lambda c: known[table, (c,)][2])
+            rows, _, values = known[table, (lead,)]
+            parts = min(rows // SHARE_ROWS, values // SHARE_VALUES)
+            if parts < 2:
+                continue
+            share = f"pmod(xxhash64({name_of(lead)}), {parts}) = 0"
+            value = {slot: f"CASE WHEN {share} THEN {text} END" for slot, text in key_value(catalog[table], columns).items()}
+            entries.setdefault(table, []).append((len(labels), value))
+            labels.append((table, columns))
+            shares.append(share)
+        if shares:
+            tables[table] = catalog[table].filter(" OR ".join(sorted(set(shares))))
+    if not labels:
+        return set()
+    return {labels[r["tag"]] for r in distinct_counts(tables, entries).filter("distinct_count < present").collect()}
+
+
 def unique_column_sets(catalog: Catalog, largest: int = 3) -> DataFrame:
     """(table_name, key_columns, set_size, row_count): all minimal keys of up to ``largest`` columns.
 
@@ -79,8 +112,10 @@ def unique_column_sets(catalog: Catalog, largest: int = 3) -> DataFrame:
             reach = {c: known[table, (c,)][2] / SKETCH_SHARE for c in names}
             tried[table] = [s for s in next_sets(names, size, keys[table]) if prod(reach[c] for c in s) >= n]
         tried = {t: s for t, s in tried.items() if s}
-        found = known if size == 1 else estimates(catalog, tried)
-        likely = {t: [s for s in sets if found[t, s][2] >= SKETCH_SHARE * found[t, s][0]] for t, sets in tried.items()}
+        repeated = repeated_sets(catalog, tried, known) if size > 1 else {
+            (t, s) for t, sets in tried.items() for s in sets if known[t, s][2] < SKETCH_SHARE * known[t, s][0]
+        }
+        likely = {t: [s for s in sets if (t, s) not in repeated] for t, sets in tried.items()}
         likely = {t: s for t, s in likely.items() if s}
         if not likely:
             continue

@@ -10,7 +10,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tabulight.operators import footers, heavy, inclusion, pages, star, stored_profiles, unique_sets
+from tabulight.operators import footers, heavy, inclusion, keys, pages, star, stored_profiles, unique_sets
 from tabulight.sources import knowledge
 from tabulight.sources.catalog import Catalog, TableKeys, column_descriptors, declared_constraints
 
@@ -106,6 +106,29 @@ def test_minimal_keys_equal_brute_force(spark, seed):
     assert all(r["set_size"] == len(r["key_columns"].split(",")) and r["row_count"] == len(rows) for r in got)
 
 
+def test_repeats_in_a_share_of_a_large_table_spare_its_values(spark, monkeypatch):
+    """A set that is unique but for one row in forty is counted over a share only; the key among the others is found."""
+    odd = "CASE WHEN id % 40 = 1 THEN 0 ELSE CAST(id % 4 AS INT) END"
+    large = spark.range(1 << 19).selectExpr("id DIV 4 AS a", f"{odd} AS b", "concat('v', id % 4) AS c")
+    counted = []
+
+    def key_checks(catalog, wanted):
+        counted.append(wanted)
+        return keys.key_checks(catalog, wanted)
+
+    monkeypatch.setattr(unique_sets, "key_checks", key_checks)
+    found = unique_sets.unique_column_sets(Catalog({"large": large}), largest=2).collect()
+    assert [(r["key_columns"], r["row_count"]) for r in found] == [("a,c", 1 << 19)]
+    assert counted == [{"large": [("a", "c")]}]
+
+
+def test_keys_of_several_texts_stay_apart(spark):
+    rows = [("1,2", "3", 1.0), ("1", "2,3", 1.0), ("1:1", "", 1.0), ("", "1:1", 1.0), ("x" * 70, "y", 1.0), ("x" * 70 + "y", "", 1.0)]
+    df = spark.createDataFrame([*rows, *rows[:2]], "a string, b string, d double")
+    row = keys.key_check(df, "t", ["a", "b", "d"]).first()
+    assert (row["distinct_count"], row["null_count"], row["is_key"]) == (6, 0, False)
+
+
 def test_heavy_values_equal_counting(spark):
     """Many rare values beside a few heavy ones, long texts, blanks, nulls, in tables of several files."""
     rng = random.Random(8)
