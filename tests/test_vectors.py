@@ -1,8 +1,10 @@
 import hashlib
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,18 @@ def test_embeddings_match_plain_python(spark, builder, plain):
         assert np.allclose(row["v"], plain(TEXTS[row["i"]]), atol=1e-12), TEXTS[row["i"]]
 
 
+def test_charstats_take_little_beside_their_batch():
+    """Texts stay the batch's bytes: what is made beside them is far smaller, for many texts and for a long one."""
+    for texts in (["Some text, e.g. this. " * 250] * 4000 + ["", None], ["ab c" * 4_000_000]):
+        batch = pa.array(texts)
+        tracemalloc.start()
+        made = vectors._charstats.func(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8_000_000
+        assert np.allclose(made[0].as_py(), plain_charstats(texts[0])[:56], atol=1e-12)
+
+
 def test_vocabulary_keeps_last_index():
     last = {w: i for i, w in enumerate(vectors.VOCABULARY)}
     assert len(vectors.VOCABULARY) == 61 and len(last) == 58
