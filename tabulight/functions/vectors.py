@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import bind, words
+from .text import BLANK_CHARS, bind
 
 # The vocabulary, in index order; a repeated word keeps its last index.
 VOCABULARY = (
@@ -29,6 +29,7 @@ COMMON_WEIGHT, RARE_WEIGHT = 1.0, 2.0
 # Marks read as blanks, and terms counted in the last positions.
 MARKS = ".,:;!?"
 COUNTED_TERMS = ("分析", "查詢", "銷售", "客戶", "產品", "數據")
+TAIL = 4 + len(COUNTED_TERMS)
 CHAR_DIM = 384
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -82,14 +83,8 @@ def embed_hash(text: Column, dim: int = 256) -> Column:
     return l2_normalize(F.concat(bind(F.sha2(text, 256), numbers), zeros))
 
 
-def _literals(values) -> Column:
-    """A constant array, from one expression."""
-    kind = "double" if isinstance(values[0], float) else "string"
-    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
-
-
-# Bytes counted at once.
-PIECE = 1 << 16
+# Bytes counted, and rows of vectors built, at once.
+PIECE, ROWS = 1 << 16, 1024
 
 
 def _lists(values: np.ndarray, unknown: np.ndarray | None = None) -> pa.Array:
@@ -125,59 +120,63 @@ def embed_charstats(text: Column) -> Column:
     return F.concat(_charstats(text), F.array_repeat(F.lit(0.0), CHAR_DIM - 1 - 3 - len(LETTERS)))
 
 
+def _tfidf(dim: int, with_tail: bool) -> Callable[[Column], Column]:
+    """Unit vectors of clean texts."""
+    last = {term: index for index, term in enumerate(VOCABULARY) if index < dim}
+    known = frozenset(VOCABULARY)
+    weights = np.zeros(dim)
+    for term, index in last.items():
+        weights[index] = COMMON_WEIGHT if any(part in term for part in COMMON_PARTS) else RARE_WEIGHT
+    word = re.compile(f"[^{BLANK_CHARS}]+")
+    places = np.arange(dim)
+
+    def raw(texts: list[str]) -> np.ndarray:
+        counts, tails = np.zeros((len(texts), 1)), np.zeros((len(texts), TAIL))
+        made = np.zeros((len(texts), dim))
+        for row, text in enumerate(texts):
+            tokens = word.findall(text)
+            size, count = len(text.encode()), len(tokens)
+            hits = [token for token in tokens if token in known]
+            for term in set(hits):
+                if term in last:
+                    made[row, last[term]] = hits.count(term) / len(hits)
+            counts[row] = count
+            if with_tail:
+                tails[row] = [
+                    size / 1000.0, count / 100.0, size / (count + 1), len(set(tokens)) / (count + 1),
+                    *[text.count(term) / 10.0 for term in COUNTED_TERMS],
+                ]
+        made *= weights
+        made += np.where(places < counts, 0.1 * places / np.maximum(counts, 1), 0.0)
+        if with_tail:
+            made[:, dim - TAIL :] = tails
+        return made
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def built(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), dim))
+        for at in range(0, len(texts), ROWS):
+            made = raw([text or "" for text in texts[at : at + ROWS].to_pylist()])
+            lengths = np.sqrt(np.einsum("ij,ij->i", made, made))[:, None]
+            np.divide(made, lengths, out=out[at : at + ROWS], where=lengths > 0)
+        if not with_tail or not texts.null_count:
+            return _lists(out)
+        # The statistics of no text are unknown.
+        unknown = np.zeros(out.shape, bool)
+        unknown[np.flatnonzero(texts.is_null()), dim - TAIL :] = True
+        return _lists(out, unknown)
+
+    return built
+
+
 def embed_tfidf(text: Column, dim: int = 256, stats: bool = True) -> Column:
     """Vocabulary TF-IDF with a position ramp; the last ten numbers are text statistics.
 
-    Each intermediate (clean text, words, known words, their index counts) is bound
-    once, so a text is split once and its few known words are counted per index.
+    Texts are cleaned by built-ins and go to numpy in Arrow batches: expressions over the
+    slots of each vector cost several times more than a look at the few known words.
     """
-    last = {term: index for index, term in enumerate(VOCABULARY) if index < dim}
-    weights = [
-        COMMON_WEIGHT if any(part in term for part in COMMON_PARTS) else RARE_WEIGHT for term in VOCABULARY
-    ]
-    slots = [term if last.get(term) == index else "" for index, term in enumerate(VOCABULARY[:dim])]
-    slots += [""] * (dim - len(slots))
-    weights = (weights + [0.0] * dim)[:dim]
-    with_tail = stats and dim >= 10
-
-    def from_words(clean: Column, tokens: Column) -> Column:
-        count = F.size(tokens)
-
-        def from_known(known: Column) -> Column:
-            total = F.size(known)
-
-            def slot(term: Column, i: Column) -> Column:
-                hits = F.size(F.filter(known, lambda word: word == term))
-                tf = F.when(
-                    (term != "") & (total > 0), hits / total * F.get(_literals(weights), i)
-                ).otherwise(F.lit(0.0))
-                return tf + F.when(i < count, F.lit(0.1) * i / count).otherwise(F.lit(0.0))
-
-            return F.transform(_literals(slots), slot)
-
-        ramp = bind(F.filter(tokens, lambda word: word.isin(*VOCABULARY)), from_known)
-        if not with_tail:
-            return ramp
-        size = F.octet_length(clean)
-
-        def term_count(term: Column) -> Column:
-            rest = F.replace(clean, term, F.lit(""))
-            return (F.length(clean) - F.length(rest)) / F.length(term) / 10.0
-
-        tail = F.concat(
-            F.array(
-                size / 1000.0,
-                count / 100.0,
-                size / (count + 1),
-                F.size(F.array_distinct(tokens)) / (count + 1),
-            ),
-            F.transform(_literals(COUNTED_TERMS), term_count),
-        )
-        return F.concat(F.slice(ramp, 1, dim - 4 - len(COUNTED_TERMS)), tail)
-
     clean = F.translate(F.lower(text), MARKS, " " * len(MARKS))
-    built = bind(clean, lambda t: bind(words(t), lambda tokens: from_words(t, tokens)))
-    return l2_normalize(built)
+    return _tfidf(dim, stats and dim >= TAIL)(clean)
 
 
 # Embeddings by name; callers may add a builder, such as one made of a pandas_udf.

@@ -72,6 +72,18 @@ def test_embeddings_match_plain_python(spark, builder, plain):
         assert np.allclose(row["v"], plain(TEXTS[row["i"]]), atol=1e-12), TEXTS[row["i"]]
 
 
+def test_tfidf_of_more_texts_than_are_built_at_once(spark):
+    """No expression runs over the slots of a vector; texts of all blocks, blank marks of all kinds, and no text."""
+    texts = [None if i % 50 == 3 else f"Order\u00a0{i} customer\u3000x{i % 7}. " * (i % 11) for i in range(2 * vectors.ROWS + 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", vectors.embed_tfidf(F.col("t")).alias("v"))
+    assert "lambda" not in df._jdf.queryExecution().executedPlan().toString()
+    for row in df.collect():
+        if texts[row["i"]] is None:
+            assert row["v"] == [0.0] * 246 + [None] * 10
+        else:
+            assert np.allclose(row["v"], plain_tfidf(texts[row["i"]]), atol=1e-12)
+
+
 def test_charstats_take_little_beside_their_batch():
     """Texts stay the batch's bytes: what is made beside them is far smaller, for many texts and for a long one."""
     for texts in (["Some text, e.g. this. " * 250] * 4000 + ["", None], ["ab c" * 4_000_000]):
