@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root}/llm-{uuid.uuid4().hex}"
 
 
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 15 << 19
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside move Arrow batches of about BATCH_BYTES, whatever their rows hold.
+
+    A batch of 10,000 rows of packed windows or texts is several times a slice, and both the
+    executor and its Python worker hold it.
+    """
+    before = spark.conf.get(BATCH_LIMIT)
+    spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_LIMIT, before)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: one computation, short lineage, pruned reads."""
     return stage_at(df)[0]
@@ -39,7 +58,8 @@ def stage_at(df: DataFrame) -> tuple[DataFrame, str]:
     """As ``stage``, with the folder, for ``release``."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
