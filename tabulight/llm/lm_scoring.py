@@ -48,6 +48,7 @@ START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 LEVELS = np.unique(np.ceil(1.25 ** np.arange(190)).astype(np.int64))  # lowest count of each level
 COUNTS = np.concatenate(([0.0], np.sqrt(LEVELS * np.maximum(LEVELS, np.append(LEVELS[1:], LEVELS[-1]) - 1.0))))
 TOKENS_AT_ONCE = 1 << 21
+REMEMBERED = 1 << 18
 LOW = np.uint64((1 << 40) - 1)
 TWO_BITS = ((np.uint64(1) << np.arange(64, dtype=np.uint64))[:, None] | (np.uint64(1) << np.arange(64, dtype=np.uint64))).ravel()
 ORDERS = 5  # kind 0 is words, kind n runs of n + 1 words
@@ -64,6 +65,29 @@ def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     return ((grams >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
+def by_shard(own: np.ndarray, shards: int) -> np.ndarray:
+    """The order by shard, within a shard as before; numbers of 16 bits are dealt without comparing them."""
+    return np.argsort(own.astype(np.uint16) if shards <= 1 << 16 else own, kind="stable")
+
+
+class Sorted:
+    """Sorted hashes in which many others are looked up, from where their leading bits say."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = np.append(grams, ~np.uint64(0))
+        inside = np.bincount((grams >> np.uint64(48)).view(np.int64), minlength=1 << 16)
+        self.first = np.cumsum(inside) - inside
+
+    def places(self, asked: np.ndarray) -> np.ndarray:
+        """As ``np.searchsorted`` gives them."""
+        at = self.first.take((asked >> np.uint64(48)).view(np.int64))
+        left = np.flatnonzero(self.grams.take(at) < asked)
+        while len(left):
+            at[left] += 1
+            left = left[self.grams.take(at.take(left)) < asked.take(left)]
+        return at
+
+
 def packed(values: np.ndarray) -> bytes:
     """Sorted numbers as the gaps between them, each in as many bytes as the widest gap takes."""
     if not len(values):
@@ -85,8 +109,12 @@ def unpacked(data: bytes) -> np.ndarray:
 def probe_words(grams: np.ndarray, at_level: np.ndarray | int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The filter word of each (n-gram, level) within its shard, and the bits that stand for it there."""
     keys = mix((grams & LOW) + np.asarray(at_level).astype(np.uint64) * MULTIPLIERS[0])
-    bits = TWO_BITS[keys & np.uint64(4095)] | TWO_BITS[(keys >> np.uint64(12)) & np.uint64(4095)]
-    return (((keys >> np.uint64(32)) * sizes.astype(np.uint64)) >> np.uint64(32)).astype(np.int64), bits
+    bits = TWO_BITS.take((keys & np.uint64(4095)).view(np.int64))
+    bits |= TWO_BITS.take(((keys >> np.uint64(12)) & np.uint64(4095)).view(np.int64))
+    keys >>= np.uint64(32)
+    keys *= sizes.astype(np.uint64, copy=False)
+    keys >>= np.uint64(32)
+    return keys.view(np.int64), bits
 
 
 def filter_bits(grams: np.ndarray, counts: np.ndarray, per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
@@ -113,15 +141,41 @@ class Filter:
         """The level of each n-gram, 0 if it is not found or belongs to another part."""
         shard = shard_of(grams, self.start.shape[1])
         out = np.zeros(len(grams), np.uint8)
-        left = np.flatnonzero(self.size[order, shard] > 0)
-        grams, start, size = grams[left], self.start[order, shard[left]], self.size[order, shard[left]].astype(np.uint64)
-        step = 1
-        while len(left) and step <= len(LEVELS):
+        start, size = self.start[order].take(shard), self.size[order].astype(np.uint64).take(shard)
+        left = np.flatnonzero(size)
+        grams, start, size = grams.take(left), start.take(left), size.take(left)
+        for step in range(1, len(LEVELS) + 1):
+            if not len(left):
+                break
             words, bits = probe_words(grams, step, size)
-            here = np.flatnonzero(self.bits[start + words] & bits == bits)
-            left, grams, start, size = left[here], grams[here], start[here], size[here]
-            out[left] += 1
-            step += 1
+            words += start
+            here = np.flatnonzero(self.bits.take(words) & bits == bits)
+            left, grams, start, size = left.take(here), grams.take(here), start.take(here), size.take(here)
+            out[left] = step
+        return out
+
+
+class Lookup:
+    """Levels of the n-grams of one order in a filter part; frequent ones, which take many probes, are remembered."""
+
+    def __init__(self, known: Filter, order: int):
+        self.known, self.order = known, order
+        self.name = np.arange(1, REMEMBERED + 1, dtype=np.uint64)  # by low bits; at first, none is where it belongs
+        self.level = np.zeros(REMEMBERED, np.uint8)
+
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        """As ``Filter.levels``; an n-gram may come more than once."""
+        slot = (grams & np.uint64(REMEMBERED - 1)).view(np.int64)
+        out = self.level.take(slot)
+        other = np.flatnonzero(self.name.take(slot) != grams)
+        asked, back = grams.take(other), slice(None)
+        if not self.order:  # few words are new, but most runs are
+            asked, back = np.unique(asked, return_inverse=True)
+        found = self.known.levels(asked, self.order)
+        out[other] = found[back]
+        often = np.flatnonzero(found >= 4)
+        slot = (asked.take(often) & np.uint64(REMEMBERED - 1)).view(np.int64)
+        self.name[slot], self.level[slot] = asked.take(often), found.take(often)
         return out
 
 
@@ -169,7 +223,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams in order and their counts."""
-    order = np.argsort(grams, kind="stable")
+    order = np.argsort(grams)
     grams, counts = grams[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
     return grams[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -201,7 +255,7 @@ def packed_counts(texts: DataFrame, shards: int, kinds: tuple[int, ...]) -> Data
                         grams = grams & LOW
                     else:
                         own = shard_of(grams, shards)
-                        order = np.argsort(own, kind="stable")
+                        order = by_shard(own, shards)
                         own, grams, counts = own[order], grams[order], counts[order]
                     alone = counts == 1
                     sides = []
@@ -314,7 +368,7 @@ def with_levels(rows: DataFrame, shared, kinds: tuple[int, ...], more: bool, fol
     older = COLUMNS[: low + 1]
 
     def make():
-        known = shared.value
+        known = {kind: Lookup(shared.value, kind) for kind in kinds}
 
         def work(batch):
             bodies = batch["body"].to_pylist()
@@ -334,9 +388,8 @@ def with_levels(rows: DataFrame, shared, kinds: tuple[int, ...], more: bool, fol
                     may = {kind: repeatable(levels, low, kind, edges) for kind in kinds}
                 for kind, grams in runs_of(tokens, before, kinds).items():
                     where = may.get(kind, slice(None))
-                    distinct, back = np.unique(grams[where], return_inverse=True)
                     found = np.zeros(len(tokens), np.uint8)
-                    found[where] = known.levels(distinct, kind)[back]
+                    found[where] = known[kind].levels(grams[where])
                     old = [batch[COLUMNS[kind]][i].as_py() for i in names]
                     if old and old[0] is not None:
                         found += np.frombuffer(b"".join(old), np.uint8)
@@ -481,6 +534,7 @@ def base_scores(texts: DataFrame, counted: DataFrame, shards: int, tokens: int,
     def split():
         grams, counts = known.value
         logs = np.log10((counts + 0.5) / total)
+        table = Sorted(grams)
 
         def work(batch):
             ids, digests = batch["id"].to_numpy(zero_copy_only=False), batch["digest"].to_numpy()
@@ -494,7 +548,7 @@ def base_scores(texts: DataFrame, counted: DataFrame, shards: int, tokens: int,
                 rows = slice(first, first + size)
                 first += size
                 owner = np.repeat(np.arange(size), np.diff(edges))
-                at = np.minimum(np.searchsorted(grams, tokens), max(0, len(grams) - 1))
+                at = np.minimum(table.places(tokens), max(0, len(grams) - 1))
                 is_hot = grams[at] == tokens if len(grams) else np.zeros(len(tokens), bool)
                 about = np.stack((ids[rows], digests[rows], missing[rows]))
                 sums = np.bincount(owner[is_hot], logs[at[is_hot]], size)
@@ -502,7 +556,7 @@ def base_scores(texts: DataFrame, counted: DataFrame, shards: int, tokens: int,
                 pieces = [(-1, np.bincount(owner[is_hot], minlength=size).astype(np.int64), sums, about)]
                 tokens, owner = tokens[~is_hot], owner[~is_hot]
                 own = shard_of(tokens, shards)
-                turn = np.argsort(own, kind="stable")
+                turn = by_shard(own, shards)
                 cuts = np.searchsorted(own[turn], np.arange(shards + 1))
                 for shard in np.flatnonzero(np.diff(cuts)):
                     place = turn[cuts[shard] : cuts[shard + 1]]
@@ -531,7 +585,7 @@ def base_scores(texts: DataFrame, counted: DataFrame, shards: int, tokens: int,
 
     def look_up(batches):
         grams = counts = np.zeros(0, np.uint64)
-        current = None
+        table = current = None
         for batch in batches:
             for number in range(batch.num_rows):
                 row = batch.slice(number, 1).to_pylist()[0]
@@ -539,11 +593,12 @@ def base_scores(texts: DataFrame, counted: DataFrame, shards: int, tokens: int,
                     current, grams, counts = row["shard"], np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 if row["kind"] == 0:
                     grams, counts = np.frombuffer(row["grams"], np.uint64), np.frombuffer(row["counts"], np.int64)
+                    table = Sorted(grams)
                     continue
                 tokens, owner = np.frombuffer(row["grams"], np.uint64), np.frombuffer(row["owners"], np.uint32)
                 found = np.zeros(len(tokens), np.int64)
                 if len(grams):
-                    at = np.minimum(np.searchsorted(grams, tokens), len(grams) - 1)
+                    at = np.minimum(table.places(tokens), len(grams) - 1)
                     found = np.where(grams[at] == tokens, counts[at], 0)
                 rows, where = np.unique(owner, return_inverse=True)
                 known_here = np.bincount(where[found > 0], minlength=len(rows)).astype(np.int64)

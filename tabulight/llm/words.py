@@ -31,6 +31,7 @@ def byte_values() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 VALUES, EXACT_VALUES, PARTS = byte_values()
+PARTS_TABLE = PARTS.tobytes()  # for bytes.translate
 _POWERS: list[np.ndarray] = []
 
 
@@ -66,12 +67,16 @@ def word_hashes(part: list[bytes], values: np.ndarray = VALUES) -> tuple[np.ndar
 
     ``values`` says which bytes count as the same: EXACT_VALUES tells A-Z from a-z.
     """
-    data = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
+    body = b"\n".join(part) + b"\n"
+    data = np.frombuffer(body, np.uint8)
     up, down = powers(len(data))
-    between = PARTS[data]
-    before = np.concatenate(([True], between[:-1]))
-    starts, ends = np.flatnonzero(before & ~between), np.flatnonzero(between & ~before)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[data] * up)))
+    between = np.frombuffer(b"\x01" + body.translate(PARTS_TABLE), bool)
+    turns = np.flatnonzero(between[1:] != between[:-1])  # a word's start, its end, the next one's start, ...
+    starts, ends = turns[::2], turns[1::2]
+    parts = values.take(data, mode="clip")
+    parts *= up
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(parts, out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     lengths = np.array([len(p) + 1 for p in part], np.int64)
     return hashes, np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
