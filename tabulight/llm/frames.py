@@ -107,18 +107,20 @@ def arrow_map(
 
 
 def arrow_filter(df: DataFrame, text: str, make: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
-    """The rows of ``df``, all columns as they are, for which a function of their texts' bytes says true."""
+    """The rows of ``df``, all columns as they are, for which a function of their texts' bytes says true.
+
+    A text travels once: its bytes are read where the column lies.
+    """
+    names = df.columns
+    place = names.index(text) if text in names else [n.lower() for n in names].index(text.lower())
 
     def run(batches: Row_batches) -> Row_batches:
         keep = make()
         for batch in slices(batches):
-            last = batch.num_columns - 1
-            mask = keep(batch.column(last).to_pylist())
-            kept = pa.RecordBatch.from_arrays(batch.columns[:last], names=batch.schema.names[:last])
-            yield kept.filter(pa.array(np.asarray(mask, bool)))
+            mask = keep(batch.column(place).cast(pa.binary()).to_pylist())
+            yield batch.filter(pa.array(np.asarray(mask, bool)))
 
-    body = F.col(text).cast("binary").alias("__body")
-    return df.select("*", body).mapInArrow(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def to_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:

@@ -49,6 +49,7 @@ LEVELS = np.unique(np.ceil(1.25 ** np.arange(190)).astype(np.int64))  # lowest c
 COUNTS = np.concatenate(([0.0], np.sqrt(LEVELS * np.maximum(LEVELS, np.append(LEVELS[1:], LEVELS[-1]) - 1.0))))
 TOKENS_AT_ONCE = 1 << 21
 REMEMBERED = 1 << 18
+RUN_BYTES = 1 << 20  # text whose words of a shard are moved as one row
 LOW = np.uint64((1 << 40) - 1)
 TWO_BITS = ((np.uint64(1) << np.arange(64, dtype=np.uint64))[:, None] | (np.uint64(1) << np.arange(64, dtype=np.uint64))).ravel()
 ORDERS = 5  # kind 0 is words, kind n runs of n + 1 words
@@ -542,7 +543,7 @@ def base_scores(texts: DataFrame, counted: DataFrame, shards: int, tokens: int,
             ids = np.where(missing, 0, ids).astype(np.int64)
             out = {n: [] for n in ("shard", "kind", "part", "grams", "counts", "owners")}
             first = 0
-            for part in text_parts(batch["body"].to_pylist()):
+            for part in text_parts(batch["body"].to_pylist(), RUN_BYTES):
                 tokens, _, edges = tokens_of(part)
                 size = len(edges) - 1
                 rows = slice(first, first + size)

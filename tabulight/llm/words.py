@@ -11,7 +11,7 @@ import numpy as np
 
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -48,14 +48,14 @@ def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:count], _POWERS[1][:count]
 
 
-def text_parts(bodies: list[bytes | None]):
-    """Runs of texts of about PART_BYTES, or one longer text, so that arrays over their words stay small."""
+def text_parts(bodies: list[bytes | None], most: int = PART_BYTES):
+    """Runs of texts of about ``most`` bytes, or one longer text, so that arrays over their words stay small."""
     part: list[bytes] = []
     size = 0
     for body in bodies:
         part.append(body or b"")
         size += len(part[-1]) + 1
-        if size >= PART_BYTES:
+        if size >= most:
             yield part
             part, size = [], 0
     if part:
