@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -366,21 +367,34 @@ def remove_repeats(df: DataFrame, words: int = 50, key: str = "doc_id", text: st
     def touched(name: pd.Series) -> pd.Series:
         return pd.Series(held(bitmap.value, name.to_numpy().view(np.uint64)))
 
-    # Only texts that lose words, and a few that look like it, are shuffled to their spans.
-    marked = rows.withColumn("hit", touched(slot))
-    hit = marked.filter("hit").drop("hit").join(gone, ["id", "copy"], "left")
-    empty = F.lit(None).cast(gone.schema["spans"].dataType)
-    every = hit.unionByName(marked.filter("not hit").drop("hit").withColumn("spans", empty))
+    # Only texts that lose words, and a few that look like it, are shuffled to their spans. The others are
+    # told apart in the task that joins their words, so that no task keeps two Python workers.
+    hit = rows.filter(touched(slot)).join(gone, ["id", "copy"], "left").select(
+        "id", "body", F.col("spans.start").alias("start"), F.col("spans.size").alias("size")
+    )
+
+    def result(batch, starts, sizes):
+        bodies = batch["body"].to_pylist()
+        made = [kept_words(b or b"", s, z) for b, s, z in zip(bodies, starts, sizes, strict=True)]
+        return {"id": batch["id"], **{n: [m[i] for m in made] for i, n in enumerate(("n_words", "n_removed", "kept"))}}
+
+    def shorten():
+        return lambda batch: result(batch, batch["start"].to_pylist(), batch["size"].to_pylist())
+
+    def leave():
+        bits = bitmap.value
 
-    def make():
         def work(batch):
-            starts, sizes = batch["start"].to_pylist(), batch["size"].to_pylist()
-            made = [kept_words(b or b"", s, z) for b, s, z in zip(batch["body"].to_pylist(), starts, sizes, strict=True)]
-            return {"id": batch["id"], **{n: [m[i] for m in made] for i, n in enumerate(("n_words", "n_removed", "kept"))}}
+            left = pa.array(~held(bits, batch["slot"].to_numpy().view(np.uint64)))
+            none = [None] * left.true_count
+            return result({n: batch[n].filter(left) for n in ("id", "body")}, none, none)
 
         return work
 
-    chosen = every.select("id", "body", F.col("spans.start").alias("start"), F.col("spans.size").alias("size"))
-    return arrow_map(chosen, make, "id long, n_words long, n_removed long, kept binary", SLICE).select(
+    schema = "id long, n_words long, n_removed long, kept binary"
+    every = arrow_map(hit, shorten, schema, SLICE).unionByName(
+        arrow_map(rows.select("id", "body", slot.alias("slot")), leave, schema, SLICE)
+    )
+    return every.select(
         F.col("id").alias(key), "n_words", "n_removed", F.col("kept").cast("string").alias("kept")
     )
