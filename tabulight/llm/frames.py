@@ -32,34 +32,46 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 15 << 19
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs inside move Arrow batches of about BATCH_BYTES, whatever their rows hold.
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs inside move Arrow batches of about ``size`` bytes, whatever their rows hold.
 
     A batch of 10,000 rows of packed windows or texts is several times a slice, and both the
     executor and its Python worker hold it.
     """
     before = spark.conf.get(BATCH_LIMIT)
-    spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+    spark.conf.set(BATCH_LIMIT, size)
     try:
         yield
     finally:
         spark.conf.set(BATCH_LIMIT, before)
 
 
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries inside drop their shuffle files when they end, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: one computation, short lineage, pruned reads."""
     return stage_at(df)[0]
 
 
-def stage_at(df: DataFrame) -> tuple[DataFrame, str]:
-    """As ``stage``, with the folder, for ``release``."""
+def stage_at(df: DataFrame, batch_bytes: int = BATCH_BYTES, **options) -> tuple[DataFrame, str]:
+    """As ``stage``, with the folder, for ``release``; ``options`` are those of the Parquet writer."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    with small_batches(spark):
-        df.write.parquet(path)
+    with small_batches(spark, batch_bytes), own_shuffles(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

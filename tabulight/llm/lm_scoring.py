@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .frames import arrow_map, release, stage, stage_at, to_batch
+from .frames import arrow_map, release, slices, small_batches, stage_at, to_batch
 from .jaccard_join import group_runs
 from .sampling import held_out
 from .words import MULTIPLIERS, mix, text_parts, word_hashes
@@ -50,6 +50,9 @@ COUNTS = np.concatenate(([0.0], np.sqrt(LEVELS * np.maximum(LEVELS, np.append(LE
 TOKENS_AT_ONCE = 1 << 21
 REMEMBERED = 1 << 18
 RUN_BYTES = 1 << 20  # text whose words of a shard are moved as one row
+MOVED_BYTES = 4 << 20  # an Arrow batch: beside the filter, executors and their workers hold little else
+# Of staged texts two tables lie on disk at once, and a writing task holds a row group.
+LEVEL_FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": 1, "parquet.block.size": 16 << 20}
 LOW = np.uint64((1 << 40) - 1)
 TWO_BITS = ((np.uint64(1) << np.arange(64, dtype=np.uint64))[:, None] | (np.uint64(1) << np.arange(64, dtype=np.uint64))).ravel()
 ORDERS = 5  # kind 0 is words, kind n runs of n + 1 words
@@ -233,49 +236,50 @@ def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def packed_counts(texts: DataFrame, shards: int, kinds: tuple[int, ...]) -> DataFrame:
     """(kind, shard, once, more, counts): the n-grams of some kinds that a run of texts counts, one row a shard.
 
-    Those it has once need no count. Words are whole hashes, longer runs the low bits.
+    A run has up to about TOKENS_AT_ONCE counted tokens, from however many batches; n-grams
+    it has once need no count. Words are whole hashes, longer runs the low bits.
     Kinds above 1 are counted where the levels of the longest runs known so far allow a repeat.
     """
     low = min(kinds) - 1
+    parsed = StructType.fromDDL("kind int, shard int, once binary, more binary, counts binary")
+    target = to_arrow_schema(parsed)
 
-    def make():
-        def work(batch):
-            out = {"kind": [], "shard": [], "once": [], "more": [], "counts": []}
-            held: list[dict[int, np.ndarray]] = []
-            waiting = 0
-
-            def flush():
-                for kind in kinds:
-                    every = np.concatenate([h[kind] for h in held])
-                    if kind:
-                        # One number for shard and low bits, so that plain sorting deals and counts at once.
-                        every = (shard_of(every, shards).astype(np.uint64) << np.uint64(40)) | (every & LOW)
-                    grams, counts = np.unique(every, return_counts=True)
-                    if kind:
-                        own = (grams >> np.uint64(40)).astype(np.int64)
-                        grams = grams & LOW
-                    else:
-                        own = shard_of(grams, shards)
-                        order = by_shard(own, shards)
-                        own, grams, counts = own[order], grams[order], counts[order]
-                    alone = counts == 1
-                    sides = []
-                    for chosen in (alone, ~alone):
-                        sides += [grams[chosen], np.searchsorted(own[chosen], np.arange(shards + 1)).tolist()]
-                    once, once_at, more, more_at = sides
-                    times = counts[~alone].astype(np.uint32)
-                    for shard in np.unique(own).tolist():
-                        repeated = slice(more_at[shard], more_at[shard + 1])
-                        out["kind"].append(kind)
-                        out["shard"].append(shard)
-                        out["once"].append(packed(once[once_at[shard] : once_at[shard + 1]]))
-                        out["more"].append(packed(more[repeated]))
-                        out["counts"].append(times[repeated].tobytes())
-                held.clear()
-
-            levels = batch[COLUMNS[low]].to_pylist() if low > 0 else None
+    def counted(kind, held):
+        out = {"kind": [], "shard": [], "once": [], "more": [], "counts": []}
+        every = np.concatenate([h[kind] for h in held])
+        if kind:
+            # One number for shard and low bits, so that plain sorting deals and counts at once.
+            every = (shard_of(every, shards).astype(np.uint64) << np.uint64(40)) | (every & LOW)
+        grams, counts = np.unique(every, return_counts=True)
+        if kind:
+            own = (grams >> np.uint64(40)).astype(np.int64)
+            grams = grams & LOW
+        else:
+            own = shard_of(grams, shards)
+            order = by_shard(own, shards)
+            own, grams, counts = own[order], grams[order], counts[order]
+        alone = counts == 1
+        sides = []
+        for chosen in (alone, ~alone):
+            sides += [grams[chosen], np.searchsorted(own[chosen], np.arange(shards + 1)).tolist()]
+        once, once_at, more, more_at = sides
+        times = counts[~alone].astype(np.uint32)
+        for shard in np.unique(own).tolist():
+            repeated = slice(more_at[shard], more_at[shard + 1])
+            out["kind"].append(kind)
+            out["shard"].append(shard)
+            out["once"].append(packed(once[once_at[shard] : once_at[shard + 1]]))
+            out["more"].append(packed(more[repeated]))
+            out["counts"].append(times[repeated].tobytes())
+        return to_batch(out, target)
+
+    def run(batches):
+        held: list[dict[int, np.ndarray]] = []
+        waiting = 0
+        for batch in slices(batches):
+            levels = batch.column(1).to_pylist() if low > 0 else None
             first = 0
-            for part in text_parts(batch["body"].to_pylist()):
+            for part in text_parts(batch.column(0).to_pylist()):
                 tokens, before, edges = tokens_of(part)
                 runs = runs_of(tokens, before, kinds)
                 if levels is not None:
@@ -283,18 +287,17 @@ def packed_counts(texts: DataFrame, shards: int, kinds: tuple[int, ...]) -> Data
                     runs = {kind: grams[repeatable(known, low, kind, edges)] for kind, grams in runs.items()}
                 first += len(part)
                 held.append(runs)
-                waiting += len(tokens)
+                waiting += max(map(len, runs.values()))
                 if waiting >= TOKENS_AT_ONCE:
-                    flush()
-                    waiting = 0
-            if held:
-                flush()
-            return out
-
-        return work
+                    for kind in kinds:
+                        yield counted(kind, held)
+                    held, waiting = [], 0
+        if held:
+            for kind in kinds:
+                yield counted(kind, held)
 
     rows = texts.select("body", *([COLUMNS[low]] if low > 0 else []))
-    return arrow_map(rows, make, "kind int, shard int, once binary, more binary, counts binary", 8 << 20)
+    return rows.mapInArrow(run, parsed)
 
 
 def merged_counts(packed: DataFrame) -> DataFrame:
@@ -650,21 +653,13 @@ def base_scores(texts: DataFrame, counted: DataFrame, shards: int, tokens: int,
     )
 
 
-def lm_score(df: DataFrame, key: str = "doc_id", text: str = "text", parts: int = 5) -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``df``.
-
-    Learns from rows whose fold is not 1. Null and empty texts are one END token. Rows
-    with a null key are scored but not learned from. Repeated rows are counted, and
-    scored, as often as they come. Without any training row every count is 0.
-    """
-    texts = df.select(
-        F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"),
-        held_out(key, parts).alias("held_out"),
-    ).withColumn("digest", F.xxhash64("body"))
+def both_scores(df: DataFrame, texts: DataFrame, text: str) -> tuple[DataFrame, DataFrame, int]:
+    """Scores, exact base scores and the number of training tokens; all that holds texts or levels is done when it returns."""
     size = df.agg(F.sum(F.octet_length(text)).alias("size")).first()["size"] or 0
     shards = int(size // SHARD_BYTES) + 1
     training = texts.filter(~F.col("held_out"))
-    levels, counted = texts, stage(merged_counts(packed_counts(training, shards, GROUPS[0])))
+    levels = texts
+    counted, counted_at = stage_at(merged_counts(packed_counts(training, shards, GROUPS[0])), MOVED_BYTES)
     sums = counted.filter("kind = 0").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     tokens, kinds = sums["tokens"] or 0, sums["kinds"] or 0
     start_level = int(level(np.array([training.count()]))[0])
@@ -672,12 +667,12 @@ def lm_score(df: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     for number, group in enumerate(GROUPS):
         if number:
             wanted = levels.filter(~F.col("held_out") & F.col("body").isNotNull())
-            found, found_at = stage_at(merged_counts(packed_counts(wanted, shards, group)))
+            found, found_at = stage_at(merged_counts(packed_counts(wanted, shards, group)), MOVED_BYTES)
         following = GROUPS[number + 1][0] if number + 1 < len(GROUPS) else None
         plan = filter_plan(found)
         for part, chosen in enumerate(plan, 1):
             shared = filter_part(found, shards, chosen)
-            made, made_at = stage_at(with_levels(levels, shared, group, part < len(plan), following))
+            made, made_at = stage_at(with_levels(levels, shared, group, part < len(plan), following), MOVED_BYTES, **LEVEL_FILES)
             shared.unpersist()  # the levels are written, executors need it no longer
             if last:
                 release(levels, last)
@@ -685,8 +680,26 @@ def lm_score(df: DataFrame, key: str = "doc_id", text: str = "text", parts: int
         if number:
             release(found, found_at)
     share = weights(levels, start_level, tokens, kinds)
-    scores = scored(levels, share, start_level, tokens, kinds)
-    exact = base_scores(texts, counted, shards, tokens, kinds)
+    scores, _ = stage_at(scored(levels, share, start_level, tokens, kinds), MOVED_BYTES)
+    release(levels, last)
+    exact, _ = stage_at(base_scores(texts, counted, shards, tokens, kinds), MOVED_BYTES)
+    release(counted, counted_at)
+    return scores, exact, tokens
+
+
+def lm_score(df: DataFrame, key: str = "doc_id", text: str = "text", parts: int = 5) -> DataFrame:
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``df``.
+
+    Learns from rows whose fold is not 1. Null and empty texts are one END token. Rows
+    with a null key are scored but not learned from. Repeated rows are counted, and
+    scored, as often as they come. Without any training row every count is 0.
+    """
+    texts = df.select(
+        F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"),
+        held_out(key, parts).alias("held_out"),
+    ).withColumn("digest", F.xxhash64("body"))
+    with small_batches(df.sparkSession, MOVED_BYTES):
+        scores, exact, tokens = both_scores(df, texts, text)
     exact = exact.withColumnsRenamed({"id": "other_id", "digest": "other_digest"})
     joined = scores.join(exact, scores.id.eqNullSafe(exact.other_id) & (scores.digest == exact.other_digest))
     return joined.select(
