@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .components import components
-from .frames import FILTER_BITS, arrow_map, filter_slot, id_filter, in_filter, stage, to_batch
+from .frames import FILTER_BITS, arrow_map, filter_slot, id_filter, in_filter, release, stage, stage_at, to_batch
 from .words import mix, shingle_sets, text_parts, word_hashes
 
 SIGNATURE_BITS = 1 << 13  # most bits of a signature; a set of n shingles has about n
@@ -312,13 +312,14 @@ class Pairs:
     """Pairs of rows that may be similar, given on as buckets named by their members.
 
     While there are no more pairs than rows, each pair is a bucket, so that a pair that
-    meets in many buckets is one in the end; else all rows in pairs are one bucket.
+    meets in many buckets is one in the end; else, or if ``whole``, all rows in pairs are
+    one bucket.
     """
 
-    def __init__(self, codes: pa.ChunkedArray):
+    def __init__(self, codes: pa.ChunkedArray, whole: bool = False):
         self.codes = np.asarray(codes)
         self.seen = np.zeros(len(self.codes), bool)
-        self.found: set[tuple[int, int]] | None = set()
+        self.found: set[tuple[int, int]] | None = None if whole else set()
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         self.seen[i] = True
@@ -354,10 +355,11 @@ def sides(side: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray |
     return place[side[place] == 0], place[side[place] == 1]
 
 
-def meeting(group: pa.Table, percent: int, column: str) -> tuple[list]:
+def meeting(group: pa.Table, percent: int, column: str, whole: bool = False) -> tuple[list]:
     """Rows of a bucket that may be similar to a row of another component, by signatures alone.
 
-    They get a bucket named by the hash of its members, so equal ones fall together.
+    They get a bucket named by the hash of its members, so equal ones fall together; ``whole``
+    keeps those of a bucket in one.
     """
     n = np.asarray(group["n"])
     own = [np.frombuffer(s, np.uint64) for s in group[column].to_pylist()]
@@ -371,7 +373,7 @@ def meeting(group: pa.Table, percent: int, column: str) -> tuple[list]:
     if not len(left) or right is not None and not len(right):
         return [], []
     trees = [None if p is None else Tree(bits[p], excess[p], n[p], groups[p], period[p]) for p in (left, right)]
-    pairs = Pairs(group["code"])
+    pairs = Pairs(group["code"], whole)
     for i, j in walk(*trees, percent):
         pairs.add(left[i], (left if right is None else right)[j])
     return pairs.buckets()
@@ -451,6 +453,23 @@ def family_rows(near: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut, stage(bucket_sizes(cut))
 
 
+def likely(part: DataFrame, families: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows and sizes of the family buckets, without the rows whose signature fits none of their bucket's.
+
+    Most sets that share a minimum by chance go here, before any whole set is moved; buckets
+    that are left with equal members are one.
+    """
+    one = {"first": F.lit(0), "second": F.lit(0), "side": F.lit(2)}
+    signs = part.select("digest", "wide").dropDuplicates(["digest"])
+    wanted = stage(families.select("digest").distinct())
+    rows = families.withColumns(one).join(signs.join(wanted, "digest", "left_semi"), "digest")
+    fits = by_group(rows, lambda g: meeting(g, percent, "wide", whole=True), "bucket long, code long")
+    about = families.select("code", "id", "digest", "n", "component").distinct()
+    left = stage(fits.distinct().join(about, "code"))
+    sizes = stage(bucket_sizes(left))
+    return left.join(sizes, "bucket", "left_semi"), sizes
+
+
 def bucket_sizes(rows: DataFrame) -> DataFrame:
     """Buckets that hold more than one component, with their rows and shingles; one of those with equal members."""
     members = [F.bit_xor("code").alias("one"), F.bit_xor(F.xxhash64("code")).alias("two")]
@@ -523,20 +542,21 @@ def jaccard_components(
         .select(F.xxhash64("which", "value").alias("bucket"), "id", "digest", "code", "n", "component")
     )
     near, sizes = family_rows(near)
-    families = near.join(sizes, "bucket", "left_semi")
+    families, sizes = likely(part, stage(near.join(sizes, "bucket", "left_semi")), percent)
     links = stage(links.unionByName(verified(df, key, text, words, percent, common, families, sizes, whole=False)).distinct())
     found = components(links)
 
     known = stage(
         classes.drop("minima").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     )
-    merged = stage(
+    merged, merged_at = stage_at(
         part.select("digest", "id", "prefix").groupBy("digest").agg(F.min(F.struct("id", "prefix")).alias("first"))
         .select("digest", "first.prefix").join(known.select("digest", "code", "n", "component"), "digest")
         .drop("digest")
     )
     about = known.select("code", "id", "digest", "n", "component")
     spread = stage(mixed_rows(merged))
+    release(merged, merged_at)
     fit = by_group(dealt(spread, stage(bucket_sizes(spread)), LIGHT_ROWS), lambda g: fitting(g, percent), "bucket long, code long")
     fit = stage(fit.distinct().join(about, "code"))
     close = fit
@@ -544,8 +564,8 @@ def jaccard_components(
         mixed = stage(bucket_sizes(close))
         signs = part.select("digest", column).dropDuplicates(["digest"])
         wanted = stage(close.join(mixed, "bucket", "left_semi").select("digest").distinct())
-        signed = dealt(close, mixed).join(signs.join(wanted, "digest", "left_semi"), "digest")
-        close = by_group(signed, lambda g, c=column: meeting(g, percent, c), "bucket long, code long")
+        met = dealt(close, mixed).join(signs.join(wanted, "digest", "left_semi"), "digest")
+        close = by_group(met, lambda g, c=column: meeting(g, percent, c), "bucket long, code long")
         close = stage(close.distinct().join(about, "code"))
     late = stage(bucket_sizes(close))
     more = stage(verified(df, key, text, words, percent, common, close.join(late, "bucket", "left_semi"), late))
