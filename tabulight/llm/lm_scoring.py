@@ -330,8 +330,8 @@ def merged_counts(packed: DataFrame) -> DataFrame:
     return packed.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(run, parsed)
 
 
-def filter_plan(counted: DataFrame) -> list[list[tuple[int, int]]]:
-    """The (kind, shard) pairs of each part of the filter, parts of at most about ROUND_BYTES; one part at least."""
+def filter_plan(counted: DataFrame) -> list[list[tuple[int, int, int]]]:
+    """(kind, shard, words) of what each part of the filter holds, parts of at most about ROUND_BYTES; one part at least."""
     sizes = counted.select("kind", "shard", F.octet_length("bits").alias("size")).collect()
     rounds: list[list] = [[]]
     total = 0
@@ -339,26 +339,27 @@ def filter_plan(counted: DataFrame) -> list[list[tuple[int, int]]]:
         if total + row["size"] > ROUND_BYTES and rounds[-1]:
             rounds.append([])
             total = 0
-        rounds[-1].append((row["kind"], row["shard"]))
+        rounds[-1].append((row["kind"], row["shard"], row["size"] // 8))
         total += row["size"]
     return rounds
 
 
-def filter_part(counted: DataFrame, shards: int, chosen: list[tuple[int, int]]):
-    """One part of the filter as a broadcast."""
+def filter_part(counted: DataFrame, shards: int, chosen: list[tuple[int, int, int]]):
+    """One part of the filter as a broadcast; the driver holds it once."""
     start, size = np.zeros((ORDERS, shards), np.int64), np.zeros((ORDERS, shards), np.int64)
-    parts, at = [np.zeros(1, np.uint64)], 1
+    at = 1
+    for kind, shard, words in chosen:
+        start[kind, shard], size[kind, shard] = at, words
+        at += words
+    bits = np.zeros(at, np.uint64)
     if chosen:
-        picked = set(chosen)
-        low, high = min(s for _, s in chosen), max(s for _, s in chosen)
+        low, high = min(s for _, s, _ in chosen), max(s for _, s, _ in chosen)
         rows = counted.filter(F.col("shard").between(low, high)).select("kind", "shard", "bits")
         for row in rows.toLocalIterator():
-            if (row["kind"], row["shard"]) in picked:
-                part = np.frombuffer(row["bits"], np.uint64)
-                start[row["kind"], row["shard"]], size[row["kind"], row["shard"]] = at, len(part)
-                parts.append(part)
-                at += len(part)
-    return counted.sparkSession.sparkContext.broadcast(Filter(np.concatenate(parts), start, size))
+            here, words = start[row["kind"], row["shard"]], size[row["kind"], row["shard"]]
+            if words:
+                bits[here : here + words] = np.frombuffer(row["bits"], np.uint64)
+    return counted.sparkSession.sparkContext.broadcast(Filter(bits, start, size))
 
 
 def with_levels(rows: DataFrame, shared, kinds: tuple[int, ...], more: bool, following: int | None) -> DataFrame:
@@ -674,6 +675,7 @@ def both_scores(df: DataFrame, texts: DataFrame, text: str) -> tuple[DataFrame,
             shared = filter_part(found, shards, chosen)
             made, made_at = stage_at(with_levels(levels, shared, group, part < len(plan), following), MOVED_BYTES, **LEVEL_FILES)
             shared.unpersist()  # the levels are written, executors need it no longer
+            del shared  # nor does the driver, while it puts the next part together
             if last:
                 release(levels, last)
             levels, last = made, made_at

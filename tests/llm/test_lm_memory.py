@@ -42,3 +42,26 @@ def test_batches_of_texts_stay_small_beside_the_filter(spark, monkeypatch):
     before = spark.conf.get(limit)
     lm_scoring.lm_score(rows_of(spark, 10)).collect()
     assert seen and set(seen) == {(lm_scoring.MOVED_BYTES,)} and spark.conf.get(limit) == before
+
+
+def test_the_driver_holds_a_filter_part_once(spark):
+    """A part is put together where it stays, not from a list of its pieces."""
+    import tracemalloc
+
+    words = 1 << 18
+    counted = spark.range(0, 6, 1, 6).selectExpr(
+        "cast(id % 2 AS int) AS kind", "cast(id div 2 AS int) AS shard", f"cast(repeat(char(97 + id), {8 * words}) AS binary) AS bits"
+    )
+    plan = lm_scoring.filter_plan(counted)
+    assert len(plan) == 1
+    tracemalloc.start()
+    shared = lm_scoring.filter_part(counted, 3, plan[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    made = shared.value
+    assert made.bits.nbytes == 8 * (6 * words + 1) and peak < 1.9 * made.bits.nbytes
+    for kind in (0, 1):
+        for shard in range(3):
+            at = made.start[kind, shard]
+            assert made.size[kind, shard] == words
+            assert set(made.bits[at : at + words].tobytes()) == {97 + kind + 2 * shard}
